@@ -1,3 +1,42 @@
 """DuckDB equivalents of the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+OP5 = f"""
+WITH line AS (
+  SELECT doc_id, t.pos, t.line, lower_ascii AS key FROM (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents) t,
+    LATERAL (SELECT translate(trim(t.line, {WHITE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii)),
+rep AS (SELECT key, max(doc_id) AS keeper FROM line WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM (SELECT l.*, coalesce(l.doc_id <> r.keeper, false) AS gone FROM line l LEFT JOIN rep r USING (key)) GROUP BY doc_id
+"""
+
+OP7 = r"""
+WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+word AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM doc),
+fig AS (
+  SELECT rid, doc_id, text, words, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))
+           - len(list_distinct(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+         len(string_split(text, chr(10))) AS n_lines
+  FROM word),
+win AS (
+  SELECT rid, i, words[i] || ' ' || words[i+1] || ' ' || words[i+2] || ' ' || words[i+3] || ' ' || words[i+4] AS w
+  FROM (SELECT rid, words, unnest(range(1, n_words - 3)) AS i FROM fig WHERE n_words >= 5)),
+many AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS c FROM win) WHERE c > 1),
+rep AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM many, range(0, 5) AS r(k) GROUP BY rid),
+all_ AS (SELECT fig.*, coalesce(n_repeat_words, 0) AS n_repeat_words FROM fig LEFT JOIN rep USING (rid)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM all_)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+         OR 10 * n_dup_lines > 3 * n_lines OR 2 * length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) > word_chars
+         OR 10 * length(regexp_replace(text, '[^0-9]', '', 'g')) > 3 * word_chars OR 2 * length(regexp_replace(text, '[^\p{L}]', '', 'g')) < word_chars) AS kept
+FROM judged
+"""
+
+ORACLES: dict[str, str] = {"op5_line_dedup": OP5, "op7_quality": OP7}
