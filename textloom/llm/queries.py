@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import line_dedup, mixing, quality
+from textloom.llm import decontam, line_dedup, mixing, quality
 from textloom.llm.common import table
 
 
@@ -24,4 +24,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op5_line_dedup": op5_line_dedup, "op7_quality": op7_quality}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
+
+
+QUERIES = {"op10_decontamination": op10_decontamination, "op3_mixing": op3_mixing, "op5_line_dedup": op5_line_dedup, "op7_quality": op7_quality}
