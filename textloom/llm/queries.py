@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontam, line_dedup, mixing, quality
-from textloom.llm.common import table
+from textloom.llm import decontam, line_dedup, mixing, quality, toxicity
+from textloom.llm.common import crc_mod, table
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,4 +30,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
 
 
-QUERIES = {"op10_decontamination": op10_decontamination, "op3_mixing": op3_mixing, "op5_line_dedup": op5_line_dedup, "op7_quality": op7_quality}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod("doc_id", 4) == 2
+    found = toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), holdout=held_out)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op10_decontamination": op10_decontamination, "op3_mixing": op3_mixing, "op5_line_dedup": op5_line_dedup, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity}
