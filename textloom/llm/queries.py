@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontam, line_dedup, mixing, quality, toxicity
+from textloom.llm import decontam, html_extract, langid, line_dedup, mixing, quality, toxicity
 from textloom.llm.common import crc_mod, table
 
 
@@ -36,4 +36,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op10_decontamination": op10_decontamination, "op3_mixing": op3_mixing, "op5_line_dedup": op5_line_dedup, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity}
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    found = langid.identify(table(spark, sf_dir, "documents"), train=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES = {"op10_decontamination": op10_decontamination, "op3_mixing": op3_mixing, "op4_langid": op4_langid, "op6_html_extraction": op6_html_extraction, "op5_line_dedup": op5_line_dedup, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity}
