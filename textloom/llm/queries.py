@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontam, html_extract, langid, line_dedup, mixing, quality, toxicity
+from textloom.llm import decontam, html_extract, langid, line_dedup, mixing, ngram_join, quality, toxicity
 from textloom.llm.common import crc_mod, table
 
 
@@ -46,4 +46,8 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {"op10_decontamination": op10_decontamination, "op3_mixing": op3_mixing, "op4_langid": op4_langid, "op6_html_extraction": op6_html_extraction, "op5_line_dedup": op5_line_dedup, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity}
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_decontamination": op10_decontamination, "op3_mixing": op3_mixing, "op4_langid": op4_langid, "op6_html_extraction": op6_html_extraction, "op5_line_dedup": op5_line_dedup, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity, "op9_ngram_join": op9_ngram_join}
