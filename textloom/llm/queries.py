@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontam, html_extract, langid, line_dedup, mixing, ngram_join, quality, toxicity
+from textloom.llm import decontam, html_extract, langid, line_dedup, mixing, ngram_join, pii, quality, toxicity
 from textloom.llm.common import crc_mod, table
 
 
@@ -50,4 +50,10 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_decontamination": op10_decontamination, "op3_mixing": op3_mixing, "op4_langid": op4_langid, "op6_html_extraction": op6_html_extraction, "op5_line_dedup": op5_line_dedup, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity, "op9_ngram_join": op9_ngram_join}
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(f"{k}_base").cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.span_list(found, False), 256).alias("base_sha256"), pii.span_list(found, True).alias("spans"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op10_decontamination": op10_decontamination, "op3_mixing": op3_mixing, "op4_langid": op4_langid, "op6_html_extraction": op6_html_extraction, "op5_line_dedup": op5_line_dedup, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity, "op9_ngram_join": op9_ngram_join}
