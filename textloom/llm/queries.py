@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontam, html_extract, langid, line_dedup, mixing, ngram_join, pii, quality, toxicity
+from textloom.llm import decontam, html_extract, langid, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup, toxicity
 from textloom.llm.common import crc_mod, table
 
 
@@ -56,4 +56,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.span_list(found, False), 256).alias("base_sha256"), pii.span_list(found, True).alias("spans"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op10_decontamination": op10_decontamination, "op3_mixing": op3_mixing, "op4_langid": op4_langid, "op6_html_extraction": op6_html_extraction, "op5_line_dedup": op5_line_dedup, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity, "op9_ngram_join": op9_ngram_join}
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_suffix_dedup": op2_suffix_dedup, "op10_decontamination": op10_decontamination, "op3_mixing": op3_mixing, "op4_langid": op4_langid, "op6_html_extraction": op6_html_extraction, "op5_line_dedup": op5_line_dedup, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity, "op9_ngram_join": op9_ngram_join}
