@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import SPACES, materialise
 
+BROADCAST_ROWS = 1 << 19  # of bucket totals (some 100 bytes each) that may be sent to every task
 BUCKET_BITS = 12  # of the seeded hash; the prefix sums run over 2^12 bucket totals per pattern
 
 
@@ -155,18 +156,18 @@ def route(sizes: dict, members: dict, quota: dict, layers: int) -> dict:
     return flow
 
 
-def mix(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", sources=None, weights=(3, 1, 2), share: float = 1.5, repeat: int = 2, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", sources=None, weights=(3, 1, 2), share: float = 1.5, repeat: int = 2, seed: int = 7, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Select words of documents so that each source comes to its target.
 
     sources: an array column of the sources that a document belongs to (default: the one in column `source`, null being a
-    source of its own; an empty array belongs to none and is never taken). Result: (doc_id, sources, size, taken), one row per
+    source of its own; an empty array belongs to none and is never taken). Result: (doc_id, sources, size, taken and the columns `extra`), one row per
     row of docs, and (source, source_size, target); taken is at most repeat times size. The seeded order takes whole documents; the one document at the end of
     a (pattern, layer) is taken in part, so the words taken meet the flow exactly. Null or empty texts have size 0 and taken
     0. Repeated rows are documents of their own; rows alike in hash, id and size are interchangeable. An empty table gives an
     empty result. Column names beside those named play no part.
     """
     src = F.array(F.col("source")) if sources is None else sources
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.array_distinct(src).alias("sources"), word_count(F.col(text)).alias("size"))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.array_distinct(src).alias("sources"), word_count(F.col(text)).alias("size"), F.struct(F.lit(0).alias("_"), *extra).alias("extra"))
     slim = slim.withColumn("pattern", F.to_json(F.struct(F.array_sort("sources").alias("s")), {"ignoreNullFields": "false"}))
     slim = slim.withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "size"))
     slim = materialise(slim.withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS).cast("int")), "mix")
@@ -190,10 +191,11 @@ def mix(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", sources=
     whole = F.expr("transform(asked, a -> CASE WHEN a >= before + words THEN 1 WHEN a <= before THEN 0 ELSE -1 END)")
     sums = sums.withColumn("whole", whole).drop("words")
     cut = F.array_contains("whole", -1)
-    dealt = slim.join(sums, ["pattern", "bucket"])
+    few = len(members) << BUCKET_BITS <= BROADCAST_ROWS
+    dealt = slim.join(F.broadcast(sums) if few else sums, ["pattern", "bucket"])
     flat = dealt.filter(~cut).withColumn("taken", F.expr("size * aggregate(whole, 0, (a, x) -> a + x)"))
     inner = Window.partitionBy("pattern", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = dealt.filter(cut).withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
     edge = edge.withColumn("taken", F.expr("aggregate(asked, 0L, (a, x) -> a + least(size, greatest(0L, x - before)))"))
-    cols = ["doc_id", "sources", "size", F.col("taken").cast("long").alias("taken")]
+    cols = ["doc_id", "sources", "size", F.col("taken").cast("long").alias("taken"), *(F.col("extra")[c].alias(c) for c in extra)]
     return flat.select(cols).unionByName(edge.select(cols)), goal
