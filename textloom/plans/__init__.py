@@ -1 +1,19 @@
+"""Queries of the operators over the test tables, and their DuckDB equivalents."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+
+def _modules() -> list:
+    from textloom.plans import analytics
+
+    return [analytics]
+
+
+def queries() -> dict[str, Callable]:
+    return {name: query for m in _modules() for name, query in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in _modules() for name, sql in m.ORACLES.items()}
