@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 
 def _modules() -> list:
-    from textloom.plans import analytics
+    from textloom.plans import analytics, dictionary
 
-    return [analytics]
+    return [analytics, dictionary]
 
 
 def queries() -> dict[str, Callable]:
