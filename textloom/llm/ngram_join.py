@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import materialise
@@ -213,41 +213,44 @@ def links(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int
     own = rows.join(_small(reps.select("node", "rid"), n_reps), ["node", "rid"], "left_semi")
     # sets of fewer than percent / (100 - percent) n-grams are linked with equal ones only
     post = own.filter(F.col("n") * (100 - percent) >= percent).select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
-    post = post.select("gram", "node", F.shiftleft("n", 32).bitwiseOR(F.col("pos")).alias("np"))
-    star = post.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("node", "np")).alias("hub")).filter("k > 1")
-    met = materialise(post.join(star.select("gram", F.col("hub.node").alias("hub"), F.col("hub.np").alias("hub_np")), "gram"), "met")
-    spokes = met.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), *_sizes("node", "hub", "np", "hub_np"))
-    spokes = spokes.filter(_possible(percent)).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= SHARED).drop("k")
+    # an n-gram of one class only can't be shared. The hub of a bucket is the class with the fewest rarer n-grams, so the most central one
+    star = post.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("pos", "node")).alias("hub")).filter("k > 1")
+    met = post.join(star.select("gram", F.col("hub.node").alias("hub")), "gram")
+    before = Window.partitionBy("node").orderBy("pos")
+    met = materialise(met.withColumn("live", F.row_number().over(before) - 1), "met")
+    hubs = met.filter("node <> hub").groupBy("node", "n", "hub").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= SHARED)
+    spokes = hubs.groupBy("node", "n").agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("hub"))
+    sizes = reps.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"))
+    spokes = spokes.join(F.broadcast(sizes) if n_reps <= BROADCAST_ROWS else sizes, "hub").filter(F.least("n", "hub_n") * 100 >= percent * F.greatest("n", "hub_n"))
+    low = F.col("node") < F.col("hub")
+    spokes = spokes.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.when(low, F.col("n")).otherwise(F.col("hub_n")).alias("na"), F.when(low, F.col("hub_n")).otherwise(F.col("n")).alias("nb")).distinct()
     first = materialise(overlaps(materialise(spokes, "spokes"), slim, reps, order, n), "counted")
     good = F.col("overlap") * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
     joined = first.filter(good).select(F.col("a").alias("u"), F.col("b").alias("v"))
     comp = materialise(components(joined), "components")
     # what is left: pairs of one bucket in different components
-    at = met.join(comp, "node", "left").select("gram", "node", "np", F.coalesce("root", "node").alias("comp"))
+    at = met.join(comp, "node", "left").select("gram", "node", "n", "pos", "live", F.coalesce("root", "node").alias("comp"))
     many = at.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
     at = materialise(at.join(many, "gram", "left_semi"), "apart")
-    x, y = (at.select("gram", *(F.col(c).alias(c + s) for c in ("node", "np", "comp"))) for s in "xy")
-    rest = x.join(y, "gram").filter((F.col("nodex") < F.col("nodey")) & (F.col("compx") != F.col("compy"))).select("nodex", "nodey", *_sizes("nodex", "nodey", "npx", "npy"), F.col("nodex").alias("a"), F.col("nodey").alias("b"))
-    rest = rest.filter(_possible(percent)).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= SHARED).drop("k")
+    x, y = (at.select("gram", *(F.col(c).alias(c + s) for c in ("node", "n", "pos", "live", "comp"))) for s in "xy")
+    apart = (F.col("nodex") < F.col("nodey")) & (F.col("compx") != F.col("compy"))
+    # what the sets can share at most: of what stands before the n-gram that they meet on, and from there on
+    most = F.least("livex", "livey") + F.least(F.col("nx") - F.col("posx"), F.col("ny") - F.col("posy"))
+    close = F.least("nx", "ny") * 100 >= percent * F.greatest("nx", "ny")
+    fits = lambda overlap: overlap * (100 + percent) >= percent * (F.col("nx") + F.col("ny"))
+    rest = x.join(y, (x.gram == y.gram) & apart & close & fits(most)).groupBy("nodex", "nodey", "nx", "ny").agg(F.count(F.lit(1)).alias("k"))
+    # all n-grams shared up to the earlier end of the two prefixes are counted in k; behind it stand as many as the longer rest at most
+    behind = F.greatest(*(F.col(c) - _prefix(c, percent) for c in ("nx", "ny")))
+    rest = rest.filter((F.col("k") >= SHARED) & fits(F.col("k") + behind)).select(F.col("nodex").alias("a"), F.col("nodey").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"))
     rest = materialise(rest.join(first, ["a", "b"], "left_anti"), "rest")
     second = overlaps(rest, slim, reps, order, n)
     edges = joined.unionByName(second.filter(good).select(F.col("a").alias("u"), F.col("b").alias("v")))
     return rows.select("doc_id", "n", "node"), materialise(components(edges), "components")
 
 
-def _sizes(x: str, y: str, px: str, py: str):
-    """na, nb of the pair ordered by class, and the positions with them."""
-    nx, ny = F.shiftright(px, 32), F.shiftright(py, 32)
-    ix, iy = F.col(px).bitwiseAND(F.lit(0xFFFFFFFF)), F.col(py).bitwiseAND(F.lit(0xFFFFFFFF))
-    low = F.col(x) < F.col(y)
-    most = F.least(ix, iy) + F.least(nx - ix, ny - iy)
-    return F.when(low, nx).otherwise(ny).alias("na"), F.when(low, ny).otherwise(nx).alias("nb"), most.alias("most")
-
-
-def _possible(percent: int):
-    """By sizes, and by what the sets can share before and after the n-gram that they meet on."""
-    na, nb = F.col("na"), F.col("nb")
-    return (F.least(na, nb) * 100 >= percent * F.greatest(na, nb)) & (F.col("most") * (100 + percent) >= percent * (na + nb))
+def _prefix(n: str, percent: int):
+    """prefix_length as a column."""
+    return F.least(F.col(n), F.col(n) + F.floor(F.lit(-percent) * F.col(n) / 100).cast("long") + SHARED)
 
 
 def join_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int = N, percent: int = PERCENT) -> DataFrame:
