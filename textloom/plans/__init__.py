@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 
 def _modules() -> list:
-    from textloom.plans import analytics, dictionary
+    from textloom.plans import analytics, dictionary, numerals, spans
 
-    return [analytics, dictionary]
+    return [analytics, dictionary, spans, numerals]
 
 
 def queries() -> dict[str, Callable]:
