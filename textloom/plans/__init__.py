@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 
 def _modules() -> list:
-    from textloom.plans import analytics, dictionary, numerals, spans
+    from textloom.plans import analytics, dictionary, numerals, spans, text
 
-    return [analytics, dictionary, spans, numerals]
+    return [analytics, dictionary, spans, numerals, text]
 
 
 def queries() -> dict[str, Callable]:
