@@ -64,17 +64,21 @@ def run_hashes(h: np.ndarray, k: int = SEED) -> np.ndarray:
 
 
 def minimisers(x: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Positions of the leftmost smallest value of each window. Of successive equal values, one in `window` can be selected."""
+    """Positions of the leftmost smallest value of each window. Of equal values less than a window apart (periodic text) the first is retained."""
     if len(x) < window:
         return np.zeros(0, np.int64)
-    y = x.copy()
-    same = np.concatenate([[False], x[1:] == x[:-1]])
-    if same.any():
-        starts = np.flatnonzero(~same)
-        index = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
-        y[index % window != 0] = np.uint64(2**64 - 1)
-    view = np.lib.stride_tricks.sliding_window_view(y, window)
-    return np.unique(view.argmin(1) + np.arange(len(view)))
+    view = np.lib.stride_tricks.sliding_window_view(x, window)
+    at = np.unique(view.argmin(1) + np.arange(len(view)))
+    value = x[at].tolist()
+    if len(set(value)) == len(value):
+        return at
+    last: dict[int, int] = {}
+    kept = []
+    for p, v in zip(at.tolist(), value, strict=True):
+        if p - last.get(v, -window) >= window:
+            last[v] = p
+            kept.append(p)
+    return np.array(kept, np.int64)
 
 
 def sign_of(h: np.ndarray) -> int:
@@ -228,8 +232,10 @@ def repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> D
     n_reps = reps.count()
     hint = reps.select("node", "rid")
     hint = F.broadcast(hint) if n_reps <= BROADCAST_ROWS else hint
-    post = rows.join(hint, ["node", "rid"], "left_semi").select("node", F.explode(F.arrays_zip("at", "seeds")).alias("x")).select("node", F.col("x.at").alias("pos"), F.col("x.seeds").alias("seed"))
-    shared = post.groupBy("seed").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("seed")
+    own = rows.join(hint, ["node", "rid"], "left_semi")
+    post = own.select("node", F.explode(F.arrays_zip("at", "seeds")).alias("x")).select("node", F.col("x.at").alias("pos"), F.col("x.seeds").alias("seed"))
+    once = own.select("node", F.explode(F.array_distinct("seeds")).alias("seed"))
+    shared = once.groupBy("seed").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("seed")
     met = post.join(shared, "seed", "left_semi").groupBy("node").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     need = met.join(reps.select("node", "rid"), "node").select("rid", "node", "at")
     full = materialise(contexts(slim.select("rid", "text").join(need, "rid")), "contexts").withColumn("ctx", F.xxhash64("seed", "before", "after"))
