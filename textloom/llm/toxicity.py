@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import free_name
 
 BITS = 20
-POSITIVES, UNLABELLED, CALIBRATION = 4000, 8000, 6000
+POSITIVES, UNLABELLED, CALIBRATION = 2000, 5000, 3000
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.3
 _SPLIT = {c: " " for c in range(0x80) if not chr(c).isalnum()}
@@ -74,7 +74,7 @@ class Model:
 
 def _csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    return np.concatenate(rows) if rows else np.zeros(0, np.int64), at
+    return np.concatenate(rows) if rows else np.zeros(0, np.int32), at
 
 
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, steps: int = 400, rate: float = 0.05, l2: float = 2e-5) -> tuple[np.ndarray, float]:
@@ -87,9 +87,9 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     n = 1 << BITS
     start = _start(positive, unlabelled, n)
     live = np.flatnonzero(start)
-    dense = np.full(n, -1, np.int64)
+    dense = np.full(n, -1, np.int32)
     dense[live] = np.arange(len(live))
-    (ip, ap), (iu, au) = (_csr([r for r in (dense[x] for x in rows)]) for rows in (positive, unlabelled))
+    (ip, ap), (iu, au) = (_csr([dense[x] for x in rows]) for rows in (positive, unlabelled))
     p_row, u_row = np.repeat(np.arange(len(positive)), np.diff(ap)), np.repeat(np.arange(len(unlabelled)), np.diff(au))
     (ip, p_row), (iu, u_row) = ((i[i >= 0], r[i >= 0]) for i, r in ((ip, p_row), (iu, u_row)))
     w, b, n_p, n_u, k = start[live], float(np.log(prior / (1 - prior))), len(positive), len(unlabelled), len(live)
@@ -112,9 +112,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
 
 
 def _raw(rows: list[np.ndarray], w: np.ndarray, b: float) -> np.ndarray:
-    idx, at = _csr(rows)
-    total = np.concatenate([[0.0], np.cumsum(w[idx])])
-    return np.clip(total[at[1:]] - total[at[:-1]] + b, -30, 30)
+    return np.clip(np.array([w[r].sum() for r in rows]) + b, -30, 30)
 
 
 def _start(positive, unlabelled, n: int, z: float = 4.5) -> np.ndarray:
@@ -165,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
         return Model(np.zeros(1 << BITS), -30.0, 1.0, 0.0)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     picked = _sample(own.filter("label > 0"), POSITIVES, n_pos, "doc_id").unionByName(_sample(own.filter("label <= 0"), CALIBRATION, n_all - n_pos, "doc_id"))
-    known = slim.join(picked, "doc_id").select("label", "text")
+    known = slim.join(F.broadcast(picked), "doc_id").select("label", "text")  # the sample is bounded
     free = _sample(slim, UNLABELLED, slim.select("doc_id").count(), "doc_id").select(F.lit(-1).alias("label"), "text")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,9 +171,10 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
         for pdf in batches:
             yield pd.DataFrame({"label": pdf["label"], "ids": [np.sort(enc(t)).astype(np.int32).tobytes() for t in pdf["text"]]})
 
+    # sorted feature ids, 4 bytes each, of at most POSITIVES + CALIBRATION + UNLABELLED texts or so
     rows = known.unionByName(free).mapInPandas(encode, "label int, ids binary").toPandas()
     rows = rows.sort_values(["label", "ids"])  # the order of tasks plays no part in the fit
-    ids = {k: [np.frombuffer(x, np.int32).astype(np.int64) for x in g] for k, g in rows.groupby("label")["ids"]}
+    ids = {k: [np.frombuffer(x, np.int32) for x in g] for k, g in rows.groupby("label")["ids"]}
     positive, negative, unlabelled = ids.get(1, []), ids.get(0, []), ids.get(-1, [])
     if not positive:
         return Model(np.zeros(1 << BITS), -30.0, 1.0, 0.0)
