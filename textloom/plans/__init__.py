@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 
 def _modules() -> list:
-    from textloom.plans import analytics, dictionary, numerals, spans, text
+    from textloom.plans import analytics, dictionary, documents, numerals, spans, text
 
-    return [analytics, dictionary, spans, numerals, text]
+    return [analytics, dictionary, spans, numerals, text, documents]
 
 
 def queries() -> dict[str, Callable]:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.shipping import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def literal_rows(spark: SparkSession, columns: dict[str, str], rows: list[tuple]) -> DataFrame:
     """A small fixture as a table; columns map names to types."""
+    ship(spark)
     return spark.createDataFrame(rows, ", ".join(f"{k} {v}" for k, v in columns.items()))
