@@ -7,16 +7,17 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """NFKC, with ellipses left as they are."""
     keep = re.compile("([…⋯]+)")
     return s.map(lambda t: None if t is None else "".join(p if keep.fullmatch(p) else unicodedata.normalize("NFKC", p) for p in keep.split(t)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def slug(s: pd.Series) -> pd.Series:
     """ASCII letters and digits of the decomposed text, other runs as hyphens, 60 characters at most; `chapter` if nothing is left."""
 
