@@ -14,8 +14,13 @@ from textloom.shipping import ship
 SPACES = r"\x20\x09-\x0D"
 
 
+#: Rows of an Arrow batch: texts vary from nothing to many MB, and a Python worker holds a batch or two.
+BATCH_ROWS = 512
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -28,7 +28,7 @@ PERCENT, N = 85, 4
 SHARED = 2  # n-grams of the prefixes that a linked pair shares at least
 FRAGMENTS = 8  # 7 of the order's front, by hash; the last holds the common n-grams
 #: The order needs to know common n-grams; any order gives the same result, so they are estimated from one document in 16.
-ORDER_SHARE, ORDER_LEAST, ORDER_MOST = 16, 2, 1 << 21
+ORDER_SHARE, ORDER_LEAST, ORDER_MOST = 16, 2, 1 << 20
 BROADCAST_ROWS = 1 << 21  # of 8 or 16 bytes; beyond it, Spark's own choice of join
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -38,7 +38,7 @@ class _Words(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 18:
             self.clear()
         got = self[word] = xxhash.xxh64_intdigest(word, 5)
         return got

@@ -36,7 +36,7 @@ class Words(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 18:
             self.clear()
         got = self[word] = xxhash.xxh64_intdigest(word, 9)
         return got

@@ -43,7 +43,7 @@ def features(word: str) -> list[int]:
 class Encoder:
     """Feature ids of texts; words are remembered up to a bound, so memory doesn't grow with the input."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 18
 
     def __init__(self):
         self.memo: dict[str, tuple[int, ...]] = {}
