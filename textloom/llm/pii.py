@@ -26,7 +26,7 @@ _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 BASE = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",  # shorter chains of digits fail the rule and hold no candidate
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -78,36 +78,34 @@ def _total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0), lambda a, x: a + x)
 
 
+_SPAN = "s:int,e:int,v:string,l:string,r:string"
+
+
 def spans_of(text: Column, pattern: str) -> Column:
-    """All matches of a pattern as array<struct<s, e, v>>, in code points, end exclusive.
+    """All matches of a pattern as array<struct<s, e, v, l, r>>: places in code points, end exclusive, the match, and its context.
 
-    The pieces between the matches give the places. Their lengths are summed in blocks, so a text with many matches needs
-    no running array.
+    The pieces between the matches give the places and the context. Their lengths are summed in blocks, so a text with many
+    matches needs no running array, and no expression reads the whole text once per match.
     """
-    block = 128
-    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
-
-    def places(found: Column, gaps: Column) -> Column:
-        n = F.size(found)
-        ends = F.transform(found, lambda v, i: F.length(gaps[i]) + F.length(v))  # from the end of the match before to the end of this one
-        return let(
-            ends,
-            lambda e: let(
-                F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: _total(F.slice(e, b * block + 1, block))),
-                lambda sums: F.transform(
-                    found,
-                    lambda v, i: let(
-                        _total(F.slice(sums, F.lit(1), F.floor(i / block).cast("int"))) + _total(F.slice(e, F.floor(i / block).cast("int") * block + 1, i % block + 1)),
-                        lambda end: F.struct((end - F.length(v)).alias("s"), end.alias("e"), v.alias("v")),
-                    ),
-                ),
-            ),
-        )
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, F.array().cast(f"array<struct<{_SPAN}>>")).otherwise(let(F.split(text, pattern, -1), lambda gaps: _places(found, gaps))))
 
-    return let(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda found: F.when(F.size(found) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda gaps: places(found, gaps))),
-    )
+
+def _places(found: Column, gaps: Column) -> Column:
+    n = F.size(found)
+    block = F.ceil(F.sqrt(n)).cast("int")
+    ends = F.transform(found, lambda v, i: F.length(gaps[i]) + F.length(v))  # from the end of the match before to the end of this one
+    near = lambda i: F.coalesce(F.try_element_at(found, i), F.lit(""))
+
+    def place(v: Column, i: Column, e: Column, sums: Column, size: Column) -> Column:
+        k = F.floor(i / size).cast("int")
+        left = F.right(F.concat(F.when(i > 0, near(F.greatest(i, F.lit(1)))).otherwise(""), gaps[i]), F.lit(BEFORE))
+        right = F.left(F.concat(gaps[i + 1], near(i + 2)), F.lit(AFTER))
+        return let(_total(F.slice(sums, F.lit(1), k)) + _total(F.slice(e, k * size + 1, i % size + 1)), lambda end: F.struct((end - F.length(v)).alias("s"), end.alias("e"), v.alias("v"), left.alias("l"), right.alias("r")))
+
+    def blocks(e: Column, size: Column) -> Column:
+        return let(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda b: _total(F.slice(e, b * size + 1, size))), lambda sums: F.transform(found, lambda v, i: place(v, i, e, sums, size)))
+
+    return let(ends, lambda e: let(block, lambda size: blocks(e, size)))
 
 
 def digits_of(v: Column) -> Column:
@@ -135,10 +133,23 @@ def passes(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
-def candidates(text: Column, kind: str, matches: Column, base: Column) -> Column:
-    """Candidates that are not base spans: failed base matches and the finds of the other generators."""
-    found = [matches, *(spans_of(text, p) for p in GENERATORS[kind])]
-    return let(F.array_except(F.array_distinct(F.concat(*found)), base), lambda c: F.filter(c, lambda x: ~F.exists(base, lambda b: (b.s < x.e) & (x.s < b.e))))
+def plausible(kind: str, v: Column) -> Column:
+    """Failed base matches that the trees may look at; others hold nothing that the generators don't find themselves."""
+    n = F.length(digits_of(v))
+    return n.between(13, 19) if kind == "card" else n.between(7, 15) if kind == "phone" else F.lit(False)
+
+
+def masked(text: Column, matches: Column, kind: str) -> Column:
+    """The text with its base spans overwritten, character for character, so that no other generator finds them again."""
+    pieces = F.split(text, BASE[kind], -1)
+    cover = lambda x: F.when(passes(kind, x.v), F.repeat(F.lit("\x01"), F.length(x.v))).otherwise(x.v)
+    return F.when(F.size(matches) == 0, text).otherwise(let(pieces, lambda p: F.concat(F.array_join(F.transform(matches, lambda x, i: F.concat(p[i], cover(x))), ""), F.element_at(p, -1))))
+
+
+def candidates(text: Column, kind: str, matches: Column) -> Column:
+    """Candidates that are no base spans and overlap none: failed base matches and the finds of the other generators."""
+    failed = F.filter(matches, lambda x: ~passes(kind, x.v) & plausible(kind, x.v))
+    return let(masked(text, matches, kind), lambda t: F.concat(failed, *(spans_of(t, p) for p in GENERATORS[kind])))
 
 
 #: Numeric features of a candidate, by name.
@@ -148,11 +159,9 @@ FEATURES = (
 )
 
 
-def features(text: Column, c: Column) -> Column:
-    """array<double> of FEATURES for a candidate of a text."""
-    v, d = c.v, digits_of(c.v)
-    left = F.substring(text, F.greatest(c.s - BEFORE + 1, F.lit(1)), F.least(c.s, F.lit(BEFORE)))
-    right = F.substring(text, c.e + 1, F.lit(AFTER))
+def features(c: Column) -> Column:
+    """array<double> of FEATURES for a candidate."""
+    v, d, left, right = c.v, digits_of(c.v), c.l, c.r
     num = lambda x: x.cast("double")
     count = lambda p: num(F.regexp_count(v, F.lit(p)))
     values = {
@@ -286,7 +295,7 @@ def _found(text: Column, kind: str) -> Column:
     """struct<base, rest> of a kind: base spans and the other candidates."""
     return let(
         spans_of(text, BASE[kind]),
-        lambda m: let(F.filter(m, lambda x: passes(kind, x.v)), lambda base: F.struct(base.alias("base"), candidates(text, kind, m, base).alias("rest"))),
+        lambda m: let(F.filter(m, lambda x: passes(kind, x.v)), lambda base: F.struct(base.alias("base"), candidates(text, kind, m).alias("rest"))),
     )
 
 
@@ -298,7 +307,7 @@ def _fit(app: str, seed: int, precision: float) -> dict:
     models = {}
     for kind in KINDS:
         got = rows.select("i", "t", _found(F.col("t"), kind).alias("k")).select("i", "t", F.explode("k.rest").alias("c"))
-        got = got.select("i", "c.s", "c.e", features(F.col("t"), F.col("c")).alias("f")).collect()
+        got = got.select("i", "c.s", "c.e", features(F.col("c")).alias("f")).collect()
         x = np.array([r.f for r in got], float).reshape(-1, len(FEATURES))
         y = np.array([texts[r.i][3] == kind and r.e > texts[r.i][1] and r.s < texts[r.i][2] and r.e - r.s > 0.6 * (texts[r.i][2] - texts[r.i][1]) for r in got], float)
         fit = np.array([r.i % 3 != 0 for r in got], bool)
@@ -312,13 +321,20 @@ def fitted(spark: SparkSession, seed: int = 13, precision: float = 0.99) -> dict
     return _fit(spark.sparkContext.applicationId, seed, precision)
 
 
-def _choose(text: Column, rest: Column, model: tuple[float, list], least: float) -> Column:
-    """Of candidates that reach the threshold, the best of any that overlap."""
-    kind = "array<struct<r:double,s:int,e:int,v:string>>"
-    scored = F.transform(rest, lambda c: let(features(text, c), lambda f: F.struct((-as_column(model, f)).alias("r"), c.s.alias("s"), c.e.alias("e"), c.v.alias("v"))))
-    good = F.array_sort(F.filter(scored, lambda c: -c.r >= least))
-    picked = F.aggregate(good, F.array().cast(kind), lambda acc, c: F.when(F.exists(acc, lambda o: (o.s < c.e) & (c.s < o.e)), acc).otherwise(F.concat(acc, F.array(c))))
-    return F.transform(picked, lambda c: F.struct(c.s.alias("s"), c.e.alias("e"), c.v.alias("v")))
+#: Candidates of one kind come from six generators at most, each without overlaps: those that overlap stand close by start.
+NEAR = 8
+
+
+def _choose(rest: Column, model: tuple[float, list], least: float) -> Column:
+    """Of candidates that reach the threshold, those that overlap none of a higher score (or of the same one, and earlier)."""
+    scored = F.transform(rest, lambda c: let(features(c), lambda f: F.struct(c.s.alias("s"), c.e.alias("e"), (-as_column(model, f)).alias("r"), c.v.alias("v"))))
+    good = F.array_sort(F.array_distinct(F.filter(scored, lambda c: -c.r >= least)))
+
+    def best(c: Column, i: Column, all_: Column) -> Column:
+        others = F.slice(all_, F.greatest(i + 1 - NEAR, F.lit(1)), F.lit(2 * NEAR + 1))
+        return ~F.exists(others, lambda o: (o.s < c.e) & (c.s < o.e) & ((o.r < c.r) | ((o.r == c.r) & ((o.s < c.s) | ((o.s == c.s) & (o.e < c.e))))))
+
+    return let(good, lambda g: F.transform(F.filter(g, lambda c, i: best(c, i, g)), lambda c: F.struct(c.s.alias("s"), c.e.alias("e"), c.v.alias("v"))))
 
 
 def find(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -333,14 +349,14 @@ def find(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
     likely = {"email": r"(?i)@|[\[({<]at[\])}>]| dot ", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]|\[\.\]|[0-9] ?\. ?[0-9]", "card": "[0-9]", "phone": "[0-9]"}
     for kind in KINDS:
         # no generator of a kind matches a text without these signs
-        none = F.array().cast("array<struct<s:int,e:int,v:string>>")
+        none = F.array().cast(f"array<struct<{_SPAN}>>")
         both = F.when(F.col("__text").rlike(likely[kind]), _found(F.col("__text"), kind)).otherwise(F.struct(none.alias("base"), none.alias("rest")))
         out = out.withColumn(f"__{kind}", both)
     cols = []
     for kind in KINDS:
         rest = F.col(f"__{kind}.rest")
-        added = F.when(F.size(rest) == 0, rest).otherwise(F.array_sort(_choose(F.col("__text"), rest, *models[kind])))
-        cols += [F.col(f"__{kind}.base").alias(f"{kind}_base"), added.alias(f"{kind}_added")]
+        added = F.when(F.size(rest) == 0, F.array().cast("array<struct<s:int,e:int,v:string>>")).otherwise(_choose(rest, *models[kind]))
+        cols += [F.transform(f"__{kind}.base", lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), x.v.alias("v"))).alias(f"{kind}_base"), added.alias(f"{kind}_added")]
     return out.select(*keep, *cols)
 
 
