@@ -73,8 +73,20 @@ def q_gain(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", F.round(N.gain_db(a, p), 6).alias("gain"))
 
 
+_COUNTED = ("回", "冊", "分", "本", "杯", "軒", "歳", "点", "枚", "人")
+
+
+def q_counters(spark, sf):
+    """Quantities with counters, by the kind of part."""
+    p = table(spark, sf, "part").withColumn("n", F.col("p_size") % 24 + 1).withColumn("k", (F.col("p_partkey") % len(_COUNTED)).cast("int"))
+    out = F
+    for i, c in enumerate(_COUNTED):
+        out = out.when(F.col("k") == i, N.counted(F.col("n"), c))
+    return p.select("p_partkey", "n", F.array(*map(F.lit, _COUNTED))[F.col("k")].alias("counter"), out.alias("reading"))
+
+
 QUERIES = {
-    "f31_to_kana": q_kana, "f31_to_kanji": q_kanji, "f31_digit_names": q_digits, "f32_from_kanji": q_from_kanji, "f32_to_roman": q_roman, "f34_date_reading": q_dates, "f36_clock_seconds": q_clock, "f36_timecode": q_timecode, "f37_gain": q_gain, "f52_part_name": q_part_name,
+    "f31_to_kana": q_kana, "f31_to_kanji": q_kanji, "f31_digit_names": q_digits, "f32_from_kanji": q_from_kanji, "f32_to_roman": q_roman, "f34_date_reading": q_dates, "f35_counters": q_counters, "f36_clock_seconds": q_clock, "f36_timecode": q_timecode, "f37_gain": q_gain, "f52_part_name": q_part_name,
 }
 
 _PRICE = "CAST(floor(o_totalprice) AS BIGINT)"
@@ -82,7 +94,16 @@ _DIGITS = "c_name"
 for _d, _name in enumerate(N.DIGIT_NAMES):
     _DIGITS = f"replace({_DIGITS}, '{_d}', '{_name}')"
 
+#: Irregular readings written out, for the comparison only.
+_IRREGULAR = (
+    "回 1 いっかい, 回 6 ろっかい, 回 8 はっかい, 回 10 じゅっかい, 冊 1 いっさつ, 冊 8 はっさつ, 冊 10 じゅっさつ, 分 1 いっぷん, 分 3 さんぷん, 分 4 よんぷん, 分 6 ろっぷん, 分 8 はっぷん, 分 10 じゅっぷん, 本 1 いっぽん, 本 3 さんぼん, 本 6 ろっぽん, 本 8 はっぽん, "
+    "本 10 じゅっぽん, 杯 1 いっぱい, 杯 3 さんばい, 杯 6 ろっぱい, 杯 8 はっぱい, 杯 10 じゅっぱい, 軒 1 いっけん, 軒 3 さんげん, 軒 6 ろっけん, 軒 8 はっけん, 軒 10 じゅっけん, 歳 1 いっさい, 歳 8 はっさい, 歳 10 じゅっさい, 歳 20 はたち, 点 1 いってん, 人 1 ひとり, 人 2 ふたり, 人 4 よにん"
+)
+_NAMES = ("かい", "さつ", "ふん", "ほん", "はい", "けん", "さい", "てん", "まい", "にん")
+
 ORACLES = {
+    "f35_counters": f"""WITH p AS (SELECT p_partkey, p_size % 24 + 1 AS n, CAST(p_partkey % 10 + 1 AS INT) AS k FROM part), q AS (SELECT *, {_list(_COUNTED)}[k] AS counter, {_list(_NAMES)}[k] AS name FROM p),
+i AS (SELECT * FROM (VALUES {", ".join("('{}', {}, '{}')".format(*x.split()) for x in _IRREGULAR.split(", "))}) AS v(counter, n, r)) SELECT p_partkey, q.n, q.counter, coalesce(r, {_kana('q.n')} || name) AS reading FROM q LEFT JOIN i ON i.counter = q.counter AND i.n = q.n""",
     "f31_to_kana": f"SELECT o_orderkey, {_kana('o_orderkey')} AS kana, {_kana(_PRICE)} AS price FROM orders",
     "f31_to_kanji": f"SELECT o_orderkey, {_kanji('o_orderkey')} AS kanji, {_kanji(_PRICE)} AS price FROM orders",
     "f31_digit_names": f"SELECT c_custkey, {_DIGITS} AS spoken FROM customer",
