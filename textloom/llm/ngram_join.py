@@ -5,7 +5,7 @@ in one global order, common ones last; the order is cut into fragments, and a cl
 
 1. Candidates: two classes of Jaccard t share at least SHARED of the first  n - ceil(t n) + SHARED  n-grams of each in the
    global order, so only these prefixes are spread out. Sizes and positions rule out more.
-2. Counts: a pair's overlap is counted fragment by fragment, on segments that meet by (class, fragment), and summed per pair.
+2. Counts: a pair's overlap is counted fragment by fragment, on the segments of its two classes, and summed per pair.
 
 Groups of near copies are not expanded into all pairs. First every class is paired with the smallest class of its n-gram's
 bucket only (a star); classes that these links connect need no further comparison. Then all pairs of classes of one bucket
@@ -91,11 +91,11 @@ class Order:
         front, back = self.split(grams)
         return front[:k] if len(front) >= k else np.concatenate([front, back[: k - len(front)]])
 
-    def segments(self, grams: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    def segments(self, grams: np.ndarray) -> list[np.ndarray]:
+        """The set cut into FRAGMENTS parts of the order."""
         front, back = self.split(grams)
         cut = np.searchsorted(front, [np.uint64((i << 64) // (FRAGMENTS - 1)) for i in range(1, FRAGMENTS - 1)])
-        parts = [*np.split(front, cut), np.sort(back)]
-        return [(i, p) for i, p in enumerate(parts) if len(p)]
+        return [*np.split(front, cut), back]
 
 
 def _texts(batch: pa.RecordBatch, i: int) -> list[bytes]:
@@ -142,24 +142,24 @@ def classes(slim: DataFrame, order, n: int, percent: int) -> DataFrame:
 
 
 def segments(slim: DataFrame, order, n: int) -> DataFrame:
-    """(node, frag, grams) of the rows given."""
+    """(node, parts) of the rows given: the set of each, one array per fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, by = _Words(), order.value
         for batch in batches:
-            nodes, frags, grams = [], [], []
+            nodes, parts = [], []
             for t in _texts(batch, 1):
                 own = shingles(t, memo, n)
-                sign = xxhash.xxh3_64_intdigest(own.tobytes())
-                for f, g in by.segments(own):
+                if len(own):
+                    sign = xxhash.xxh3_64_intdigest(own.tobytes())
                     nodes.append(sign - (sign >> 63 << 64))
-                    frags.append(f)
-                    grams.append(g.view(np.int64))
-            flat = pa.array(np.concatenate(grams) if grams else np.zeros(0, np.int64))
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in grams])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(frags, pa.int32()), pa.ListArray.from_arrays(ends, flat)], names=["node", "frag", "grams"])
+                    parts += [g.view(np.int64) for g in by.segments(own)]
+            flat = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32))
+            rows = pa.array((np.arange(len(nodes) + 1) * FRAGMENTS).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(rows, pa.ListArray.from_arrays(ends, flat))], names=["node", "parts"])
 
-    return slim.select("rid", "text").mapInArrow(run, "node long, frag int, grams array<long>")
+    return slim.select("rid", "text").mapInArrow(run, "node long, parts array<array<long>>")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -173,13 +173,12 @@ def overlaps(pairs: DataFrame, slim: DataFrame, reps: DataFrame, order, n: int)
     need = materialise(nodes.join(reps, "node").select("rid"), "need")
     rows = need.count()
     texts = slim.join(_small(need.distinct(), rows), "rid", "left_semi")
-    seg = materialise(segments(texts, order, n), "segments")
-    seg = seg.groupBy("node", "frag").agg(F.first("grams").alias("grams"))
-    left = seg.select(F.col("node").alias("a"), "frag", F.col("grams").alias("ga"))
-    right = seg.select(F.col("node").alias("b"), "frag", F.col("grams").alias("gb"))
-    # the pairs' fragments first, so that both joins are by (class, fragment) and no class is a hot key of the pair's other side
-    part = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("i"))
-    return part.groupBy("a", "b", "na", "nb").agg(F.sum("i").alias("overlap"))
+    seg = materialise(segments(texts, order, n), "segments").groupBy("node").agg(F.first("parts").alias("parts"))
+    left = seg.select(F.col("node").alias("a"), F.col("parts").alias("pa"))
+    right = seg.select(F.col("node").alias("b"), F.col("parts").alias("pb"))
+    # a pair's fragments are counted one by one, in one row: the pair's own key, not the fragment's, deals the work
+    partial = F.zip_with("pa", "pb", lambda x, y: F.size(F.array_intersect(x, y)))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.aggregate(partial, F.lit(0), lambda s, i: s + i).cast("long").alias("overlap"))
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
