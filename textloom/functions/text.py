@@ -244,3 +244,34 @@ def chapter_id(index: Column, title: Column) -> Column:
 
 def is_http_url(text: Column) -> Column:
     return F.lower(F.trim(text)).rlike(r"^https?://[^\s/]+")
+
+
+# Words that stay small inside a repaired line, and abbreviations that stay capital.
+SMALL_WORDS = ("a", "an", "and", "as", "at", "but", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
+
+
+def repair_capitals(line: Column, heading: Column, spellings: Column) -> Column:
+    """A line in capitals as a title (headings) or a sentence; other lines stay.
+
+    spellings: a map from lower-case words to how they are spelled elsewhere. Small words are lower-cased, Roman numerals and
+    words of up to three letters stay as they are.
+    """
+    title = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))
+
+    def word(w: Column, i: Column) -> Column:
+        low = F.lower(w)
+        known = F.try_element_at(spellings, low)
+        first = lambda x: F.when(i == 0, F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))).otherwise(x)
+        plain = F.when(heading | (i == 0), title(w)).otherwise(low)
+        keep = w.rlike("^[IVXLCDM]+$") | (F.length(w) <= 3)
+        return F.when(known.isNotNull(), first(known)).when(low.isin(*SMALL_WORDS), F.when(i == 0, title(w)).otherwise(low)).when(keep, w).otherwise(plain)
+
+    capitals = line.rlike(r"\p{Lu}") & ~line.rlike(r"\p{Ll}")
+    return F.when(capitals, F.array_join(F.transform(F.split(line, " "), word), " ")).otherwise(line)
+
+
+def css_markers(css: Column) -> Column:
+    """Class and id names (with their sign) of a style sheet's selectors that look like headings, each once, in order of appearance."""
+    selectors = F.regexp_extract_all(F.regexp_replace(css, r"(?s)/\*.*?\*/", ""), F.lit(r"([^{}]+)\{"), F.lit(1))
+    names = F.flatten(F.transform(selectors, lambda s: F.regexp_extract_all(s, F.lit(r"([.#][A-Za-z_][\w-]*)"), F.lit(1))))
+    return F.array_distinct(F.filter(F.transform(names, lambda n: F.lower(n)), lambda n: is_heading_marker(F.substring(n, F.lit(2), F.length(n)))))

@@ -137,6 +137,21 @@ def q_section_markers(spark, sf):
     return out.select("doc", F.col("x").alias("marker"), "n", "alone", "embedded", (~T.has_bracket(F.col("x")) & (F.col("embedded") <= 0.35 * F.col("n") * F.length("x")) & (F.col("n") >= 2) & (F.col("alone") >= 0.8 * F.col("n"))).alias("is_marker"))
 
 
+CAPS = [("CHAPTER FIRST", True, "Chapter First"), ("CHAPTER FIRST", False, "Chapter first"), ("THE HOUSE OF NASA AND LONDON IV", False, "The house of NASA and London IV"), ("Not Capitals", True, "Not Capitals"), ("12 - 13", False, "12 - 13")]
+CSS = [("h1.Title { a: b } .body{} #hd-1, p.midashi2 > a.ttl {x:y} /* .chapter {} */", ".title|#hd-1|.midashi2|.ttl"), ("p { }", ""), ("", "")]
+
+
+def q_capitals(spark, sf):
+    rows = literal_rows(spark, {"line": "string", "heading": "boolean"}, [r[:2] for r in CAPS])
+    known = F.create_map(F.lit("nasa"), F.lit("NASA"), F.lit("london"), F.lit("London"))
+    return rows.select("line", "heading", T.repair_capitals(F.col("line"), F.col("heading"), known).alias("repaired"))
+
+
+def q_css(spark, sf):
+    rows = literal_rows(spark, {"css": "string"}, [r[:1] for r in CSS])
+    return rows.select("css", F.array_join(T.css_markers(F.col("css")), "|").alias("markers"))
+
+
 def _md5(sql: str) -> str:
     return f"md5({sql})"
 
@@ -148,11 +163,13 @@ _REMOVED = f"""r AS (SELECT doc_id, text AS t0, regexp_replace(text, '{_R0}', ''
 c AS (SELECT doc_id, t3, len(regexp_extract_all(t0, '{_R0}')) AS n0, len(regexp_extract_all(t1, '{_R1}')) AS n1, len(regexp_extract_all(t2, '(?i){_R2}')) AS n2 FROM r3)"""
 
 QUERIES = {
-    "a11_case_map": q_case_map, "a12_section_markers": q_section_markers, "a15_removal_totals": q_removal_totals, "f1_clean": q_clean, "f17_f28_japanese": q_japanese, "f49_f51_metadata": q_meta, "f53_urls": q_url, "o7_title": q_title, "p1_drop_reason": q_drop,
-    "p2_cutoff": q_cutoff, "p3_remove": q_remove, "p5_suspicious": q_suspicious, "p6_p7_lines": q_lines, "p8_p9_titles": q_filename, "p10_p11_markers": q_markers, "p21_caps": q_words, "s7_titles": q_markdown, "s10_reader": q_reader,
+    "a11_case_map": q_case_map, "a12_section_markers": q_section_markers, "a15_removal_totals": q_removal_totals, "f1_clean": q_clean, "f9_capitals": q_capitals, "f17_f28_japanese": q_japanese, "f49_f51_metadata": q_meta, "f53_urls": q_url, "o7_title": q_title, "p1_drop_reason": q_drop,
+    "p2_cutoff": q_cutoff, "p3_remove": q_remove, "p5_suspicious": q_suspicious, "p6_p7_lines": q_lines, "p8_p9_titles": q_filename, "p10_p11_markers": q_markers, "p21_caps": q_words, "s7_titles": q_markdown, "s10_reader": q_reader, "s26_css_markers": q_css,
 }
 
 ORACLES = {
+    "f9_capitals": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {str(b).lower()}, '{c}')" for a, b, c in CAPS) + ") AS v(line, heading, repaired)",
+    "s26_css_markers": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in CSS) + ") AS v(css, markers)",
     "f17_f28_japanese": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in FIXTURES) + f") AS v({', '.join(_NAMES)})",
     "f1_clean": r"""WITH d AS (SELECT doc_id, '  “[t]he”  ' || replace(text, '. ', '.  ' || chr(13) || chr(10)) || ' . . .' AS t FROM documents),
 a AS (SELECT doc_id, regexp_replace(regexp_replace(replace(replace(t, '“', '"'), '”', '"'), '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g') AS t FROM d),
