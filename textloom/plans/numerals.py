@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import numerals as N
-from textloom.plans.common import table
+from textloom.functions.spoken import speak_numbers
+from textloom.plans.common import literal_rows, table
+
+#: Texts and how their numbers are spoken.
+SPOKEN = [
+    ("2024年7月1日", "二千二十四年しちがつついたち"), ("四月", "しがつ"), ("七月一五日", "しちがつじゅうごにち"), ("八月一〇日", "はちがつとおか"), ("二〇一〇年三月", "二千十年さんがつ"), ("一二時五九分〇二秒", "じゅうにじごじゅうきゅうふんにびょう"), ("一〇〇パーセント", "百パーセント"), ("三〇年", "三十年"), ("二〇日ほど経つ", "にじゅうにちほど経つ"), ("二．〇", "二てんぜろ"), ("3.14", "三てんいちよん"), ("合計13です", "合計十三です"), ("10", "十"), (" 11 ", " 十一 "), ("番号 10", "番号 いちゼロ"), ("全7冊 合本版", "全ななさつ 合本版"), ("20歳を過ぎた", "はたちを過ぎた"), ("一人で二人と4人", "ひとりでふたりとよにん"), ("二日間の旅", "ふつかかんの旅"), ("一日間滞在", "いちにちかん滞在"), ("三杯", "さんばい"), ("十分待つ", "じゅっぷん待つ"), ("十分に注意する", "じゅうぶんに注意する"), ("一個人の判断", "一個人の判断"), ("三分の二", "さんぶんのに"), ("10分の1", "じゅうぶんのいち"), ("2/3(日)開催", "にがつみっか(日)開催"), ("HG 1/144 スサノオ", "HG ひゃくよんじゅうよんぶんのいち スサノオ"), ("GOSICK VIII 上", "GOSICK はち 上"), ("TV CM", "TV CM"), ("平日10:00～18:00まで", "平日じゅうじぜろふんからじゅうはちじぜろふんまで"), ("下心１００％だぜ", "下心百パーセントだぜ"), ("ver.1.0", "ver.一てんゼロ"),
+]
 
 
 def _list(xs) -> str:
@@ -85,8 +91,19 @@ def q_counters(spark, sf):
     return p.select("p_partkey", "n", F.array(*map(F.lit, _COUNTED))[F.col("k")].alias("counter"), out.alias("reading"))
 
 
+def q_spoken(spark, sf):
+    return literal_rows(spark, {"t": "string"}, [r[:1] for r in SPOKEN]).select("t", speak_numbers("t").alias("spoken"))
+
+
+def q_spoken_orders(spark, sf):
+    """Orders in words: the day, and the price with a counter."""
+    o = table(spark, sf, "orders").filter("o_orderkey % 10 = 0")
+    text = F.concat(F.date_format("o_orderdate", "yyyy年M月d日"), F.lit("に"), F.floor("o_totalprice").cast("string"), F.lit("円"))
+    return o.select("o_orderkey", speak_numbers(text).alias("spoken"))
+
+
 QUERIES = {
-    "f31_to_kana": q_kana, "f31_to_kanji": q_kanji, "f31_digit_names": q_digits, "f32_from_kanji": q_from_kanji, "f32_to_roman": q_roman, "f34_date_reading": q_dates, "f35_counters": q_counters, "f36_clock_seconds": q_clock, "f36_timecode": q_timecode, "f37_gain": q_gain, "f52_part_name": q_part_name,
+    "f31_to_kana": q_kana, "f31_to_kanji": q_kanji, "f31_digit_names": q_digits, "f32_from_kanji": q_from_kanji, "f32_to_roman": q_roman, "f33_spoken": q_spoken, "f33_spoken_orders": q_spoken_orders, "f34_date_reading": q_dates, "f35_counters": q_counters, "f36_clock_seconds": q_clock, "f36_timecode": q_timecode, "f37_gain": q_gain, "f52_part_name": q_part_name,
 }
 
 _PRICE = "CAST(floor(o_totalprice) AS BIGINT)"
@@ -102,6 +119,8 @@ _IRREGULAR = (
 _NAMES = ("かい", "さつ", "ふん", "ほん", "はい", "けん", "さい", "てん", "まい", "にん")
 
 ORACLES = {
+    "f33_spoken": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in SPOKEN) + ") AS v(t, spoken)",
+    "f33_spoken_orders": f"SELECT o_orderkey, {_kanji('year(o_orderdate)')} || '年' || {_list(N.MONTHS)}[month(o_orderdate)] || {_list(N.DAYS)}[day(o_orderdate)] || 'に' || {_kana(_PRICE)} || 'えん' AS spoken FROM orders WHERE o_orderkey % 10 = 0",
     "f35_counters": f"""WITH p AS (SELECT p_partkey, p_size % 24 + 1 AS n, CAST(p_partkey % 10 + 1 AS INT) AS k FROM part), q AS (SELECT *, {_list(_COUNTED)}[k] AS counter, {_list(_NAMES)}[k] AS name FROM p),
 i AS (SELECT * FROM (VALUES {", ".join("('{}', {}, '{}')".format(*x.split()) for x in _IRREGULAR.split(", "))}) AS v(counter, n, r)) SELECT p_partkey, q.n, q.counter, coalesce(r, {_kana('q.n')} || name) AS reading FROM q LEFT JOIN i ON i.counter = q.counter AND i.n = q.n""",
     "f31_to_kana": f"SELECT o_orderkey, {_kana('o_orderkey')} AS kana, {_kana(_PRICE)} AS price FROM orders",
