@@ -18,7 +18,7 @@ from textloom.functions.numerals import COUNTERS, DAYS, DIGIT_NAMES, GEMINATE, H
 _K = "〇零一二三四五六七八九十百千万億兆京"
 _D = "〇零一二三四五六七八九"
 _JA = "぀-ヿ㐀-䶿一-鿿々"
-_NEXT_KEEPS = {"回": "り", "個": "人", "軒": "家屋"}
+_NEXT_KEEPS = {"回": "り", "通": "り", "個": "人", "軒": "家屋"}
 #: What may follow 十分 in the sense of enough, and in the sense of ten minutes.
 _ENOUGH = re.compile(r"$|[。！？?!…」』】）］〉》”’\"']|に|な|だ(?!け)|です|でしょう|であ|では|でも|でいい|でよ|でな|じゃ|なら|かも")
 _MINUTES = re.compile("後|前|間|ほど|くらい|ぐらい|ばかり|程度|余り|あまり|以上|以内|経|過|待|歩|走|進|続|要|かか|かけ|かっ|かり|だけ|は|も")
@@ -129,7 +129,9 @@ def _counter(m: re.Match) -> str | None:
         return ("いちにち" if n == 1 else _day(n) or kana(n) + "にち") + "かん"
     if c == "分" and not ascii_ and n in (10, 12, 100) and not _MINUTES.match(rest) and _ENOUGH.match(rest):
         return kana(n) + "ぶん"
-    if c in "歳才" and n == 20 and rest[:1] not in ("代", "台"):
+    if c == "代" and m["n"] == "千" and re.search(f"[{_JA}]", m.string[max(0, m.start() - 1) : m.start()] + rest[:1]):
+        return None  # as in names of places
+    if c in ("歳", "才") and n == 20 and rest[:1] not in ("代", "台"):
         return "はたち"
     irregular = c == "人" or (c, n) in VOICED or n in GEMINATE.get(c, ())
     return counted(n, c) if irregular or not ascii_ else written(m["n"]) + c
