@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +51,13 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Give what a Python task has freed back to the system: workers are used again, by other operators too."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def crc_mod(doc_id, n: int):
     """crc32(doc_id as text) mod n; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(n)

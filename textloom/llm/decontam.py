@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialise
+from textloom.llm.common import materialise, release
 
 WINDOW = 13
 BLOCK_TOKENS = 1 << 20  # a block ends after the document that reaches it
@@ -55,6 +55,8 @@ def build_index(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
                     state = _Block(fixed, gap)
         if state.doc_ids:
             yield state.row()
+        del state
+        release()
 
     return slim.mapInArrow(index, INDEX)
 

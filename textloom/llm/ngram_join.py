@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialise
+from textloom.llm.common import materialise, release
 
 PERCENT, N = 85, 4
 SHARED = 2  # n-grams of the prefixes that a linked pair shares at least
@@ -38,7 +38,7 @@ class _Words(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 16:
             self.clear()
         got = self[word] = xxhash.xxh64_intdigest(word, 5)
         return got
@@ -137,6 +137,8 @@ def classes(slim: DataFrame, order, n: int, percent: int) -> DataFrame:
             ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32))
             cols = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(ends, flat)]
             yield pa.RecordBatch.from_arrays(cols, names=["rid", "doc_id", "n", "node", "prefix"])
+        del memo
+        release()
 
     return slim.select("rid", "text", "doc_id").mapInArrow(run, "rid long, doc_id long, n long, node long, prefix array<long>")
 
@@ -158,6 +160,8 @@ def segments(slim: DataFrame, order, n: int) -> DataFrame:
             ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32))
             rows = pa.array((np.arange(len(nodes) + 1) * FRAGMENTS).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(rows, pa.ListArray.from_arrays(ends, flat))], names=["node", "parts"])
+        del memo
+        release()
 
     return slim.select("rid", "text").mapInArrow(run, "node long, parts array<array<long>>")
 

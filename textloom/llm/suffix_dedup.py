@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialise
+from textloom.llm.common import materialise, release
 
 LEAST, SEED = 50, 16
 WINDOW = LEAST - SEED + 1
@@ -36,7 +36,7 @@ class Words(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 16:
             self.clear()
         got = self[word] = xxhash.xxh64_intdigest(word, 9)
         return got
@@ -112,6 +112,8 @@ def suffixes(slim: DataFrame) -> DataFrame:
                 seeds.append(x[m].view(np.int64))
             cols = [batch.column("rid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), _lists(at, pa.int32()), _lists(seeds, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["rid", "doc_id", "n", "node", "at", "seeds"])
+        del memo
+        release()
 
     return slim.mapInArrow(run, "rid long, doc_id long, n long, node long, at array<int>, seeds array<long>")
 

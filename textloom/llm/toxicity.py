@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import free_name
+from textloom.llm.common import free_name, release
 
 BITS = 20
 POSITIVES, UNLABELLED, CALIBRATION = 2000, 5000, 3000
@@ -43,7 +43,7 @@ def features(word: str) -> list[int]:
 class Encoder:
     """Feature ids of texts; words are remembered up to a bound, so memory doesn't grow with the input."""
 
-    LIMIT = 1 << 18
+    LIMIT = 1 << 17
 
     def __init__(self):
         self.memo: dict[str, tuple[int, ...]] = {}
@@ -215,6 +215,8 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str,
                         found.update(got)
                 raw.append(np.fromiter(found, np.int64, len(found)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(m.scores(raw), pa.float64())], names=[*keep, "score"])
+        del enc, memo
+        release()
 
     kinds = dict(slim.dtypes)
     return slim.mapInArrow(judge, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double"]))
