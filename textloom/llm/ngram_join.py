@@ -234,17 +234,22 @@ def links(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int
     # what is left: pairs of one bucket in different components
     at = met.join(comp, "node", "left").select("gram", "node", "n", "pos", "live", F.coalesce("root", "node").alias("comp"))
     many = at.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
-    at = materialise(at.join(many, "gram", "left_semi"), "apart")
-    x, y = (at.select("gram", *(F.col(c).alias(c + s) for c in ("node", "n", "pos", "live", "comp"))) for s in "xy")
+    at = at.join(many, "gram", "left_semi")
+    # the shared n-grams of a class's prefix, in order: a pair is met at its first common one, and only there
+    lists = met.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gram"))), lambda x: x.gram).alias("grams"))
+    at = materialise(at.join(lists, "node"), "apart")
+    x, y = (at.select("gram", *(F.col(c).alias(c + s) for c in ("node", "n", "pos", "live", "comp", "grams"))) for s in "xy")
     apart = (F.col("nodex") < F.col("nodey")) & (F.col("compx") != F.col("compy"))
     # what the sets can share at most: of what stands before the n-gram that they meet on, and from there on
     most = F.least("livex", "livey") + F.least(F.col("nx") - F.col("posx"), F.col("ny") - F.col("posy"))
     close = F.least("nx", "ny") * 100 >= percent * F.greatest("nx", "ny")
     fits = lambda overlap: overlap * (100 + percent) >= percent * (F.col("nx") + F.col("ny"))
-    rest = x.join(y, (x.gram == y.gram) & apart & close & fits(most)).groupBy("nodex", "nodey", "nx", "ny").agg(F.count(F.lit(1)).alias("k"))
-    # all n-grams shared up to the earlier end of the two prefixes are counted in k; behind it stand as many as the longer rest at most
+    first_met = ~F.arrays_overlap(F.slice("gramsx", F.lit(1), F.col("livex")), F.slice("gramsy", F.lit(1), F.col("livey")))
+    # all n-grams shared up to the earlier end of the two prefixes are counted; behind it stand as many as the longer rest at most
+    shared = F.size(F.array_intersect("gramsx", "gramsy"))
     behind = F.greatest(*(F.col(c) - _prefix(c, percent) for c in ("nx", "ny")))
-    rest = rest.filter((F.col("k") >= SHARED) & fits(F.col("k") + behind)).select(F.col("nodex").alias("a"), F.col("nodey").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"))
+    rest = x.join(y, (x.gram == y.gram) & apart & close & fits(most) & first_met & (shared >= SHARED) & fits(shared + behind))
+    rest = rest.select(F.col("nodex").alias("a"), F.col("nodey").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")).distinct()
     rest = materialise(rest.join(first, ["a", "b"], "left_anti"), "rest")
     second = overlaps(rest, slim, reps, order, n)
     edges = joined.unionByName(second.filter(good).select(F.col("a").alias("u"), F.col("b").alias("v")))
