@@ -3,7 +3,9 @@
 Of all word suffixes only those are retained that start at content-selected minimiser positions: the smallest hash among WINDOW
 successive SEED-word runs. Any passage of WINDOW + SEED - 1 = 50 words holds a retained position, the same one in each copy.
 Suffixes that start with a seed found in different documents are sorted by what follows the seed, and once more by what goes
-before it read backwards; each is compared with its neighbours, and the match is extended right and left, word by word.
+before it read backwards; each is compared with its neighbours, and the match is extended right and left, word by word. That
+meets all pairs of a seed with NEIGHBOURS + 1 contexts at most; of a seed with more, the 50-word windows that hold it are grouped
+by their hashes, and a window of two classes is a match.
 
 A match may reach REACH words beyond its seed on either side; matches of successive positions overlap, so their union covers
 passages of any length. Texts with equal words are one class and enter once; equal contexts are one row, so neither large
@@ -172,6 +174,23 @@ def compare(ctx: np.ndarray, seed: np.ndarray, before: list[bytes], after: list[
     return found
 
 
+def windows(table: DataFrame) -> DataFrame:
+    """(ctx, lo, hi, k, w): the windows of LEAST words around the seeds of contexts; w is the hash of one that starts k words before its seed."""
+    left, right = (F.length("before") / 4).cast("int"), (F.length("after") / 4).cast("int")
+    k = F.explode(F.sequence(F.greatest(F.lit(0), F.lit(REACH) - right), F.least(F.lit(REACH), left)))
+    rows = table.filter(left + right >= REACH).select("ctx", "lo", "hi", "seed", "before", "after", k.alias("k"))
+    w = F.xxhash64("seed", "k", F.substring("before", F.lit(1), F.col("k") * 4), F.substring("after", F.lit(1), (F.lit(REACH) - F.col("k")) * 4))
+    return rows.select("ctx", "lo", "hi", "k", w.alias("w"))
+
+
+def grouped(table: DataFrame) -> DataFrame:
+    """(ctx, left, right) of contexts with a window in another class. Matches hold the seed, so the outermost windows give their union."""
+    rows = windows(table)
+    met = materialise(rows.groupBy("w").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("w"), "windows")
+    met = F.broadcast(met) if met.count() <= BROADCAST_ROWS else met
+    return rows.join(met, "w", "left_semi").groupBy("ctx").agg(F.max("k").alias("left"), (F.lit(REACH) - F.min("k")).alias("right"))
+
+
 def neighbours(table: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """(ctx, left, right) from one sorted order of contexts. Sorted ranges are read as streams; rows at the ends of ranges, NEIGHBOURS each, meet on the driver."""
     names = ["ctx", "seed", "before", "after", "lo", "hi"]
@@ -245,7 +264,13 @@ def repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> D
     table = materialise(table, "table")
     equal = table.filter("lo <> hi").select("ctx", (F.length("before") / 4).cast("int").alias("left"), (F.length("after") / 4).cast("int").alias("right"))
     equal = equal.filter(F.col("left") + F.col("right") + SEED >= LEAST)
-    found = equal.unionByName(neighbours(table, ("seed", "after", "before", "ctx"))).unionByName(neighbours(table, ("seed", "before", "after", "ctx")))
+    large = materialise(table.groupBy("seed").count().filter(F.col("count") > NEIGHBOURS + 1).select("seed"), "large")
+    small = large.count() <= BROADCAST_ROWS
+    large = F.broadcast(large) if small else large
+    few, many = table.join(large, "seed", "left_anti"), table.join(large, "seed", "left_semi")
+    if not small:
+        few, many = materialise(few, "few"), materialise(many, "many")
+    found = equal.unionByName(neighbours(few, ("seed", "after", "before", "ctx"))).unionByName(neighbours(few, ("seed", "before", "after", "ctx"))).unionByName(grouped(many))
     reach = found.groupBy("ctx").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     span = full.select("node", "pos", "ctx").join(reach, "ctx").select("node", F.struct((F.col("pos") - F.col("left")).alias("s"), (F.col("pos") + SEED + F.col("right")).alias("e")).alias("x"))
     # overlapping spans of a class become one
