@@ -39,11 +39,13 @@ def followers(starts: DataFrame, items: DataFrame) -> DataFrame:
 def report_rows(chapters: DataFrame, report: DataFrame) -> DataFrame:
     """For each chapter (chapter, path, name, title) the first report row (ord, path, title) that matches by the end of its path, by name, or by title.
 
-    Each way is an equi-join of its own, so no row pairs are tried that can't match.
+    Each way is an equi-join of its own with the first row of a name or title, so no row pairs are tried that can't match, and
+    repeated titles make no groups of pairs.
     """
     r = report.select(F.col("ord").alias("r_ord"), F.element_at(F.split("path", "/"), -1).alias("r_name"), F.col("title").alias("r_title"))
-    by_name = chapters.join(r, F.col("name") == F.col("r_name")).select("chapter", "r_ord")
-    by_title = chapters.join(r, F.col("title") == F.col("r_title")).select("chapter", "r_ord")
+    first = lambda c: r.groupBy(c).agg(F.min("r_ord").alias("r_ord"))
+    by_name = chapters.join(first("r_name"), F.col("name") == F.col("r_name")).select("chapter", "r_ord")
+    by_title = chapters.join(first("r_title"), F.col("title") == F.col("r_title")).select("chapter", "r_ord")
     best = by_name.unionByName(by_title).groupBy("chapter").agg(F.min("r_ord").alias("row"))
     return chapters.select("chapter").join(best, "chapter", "left")
 
