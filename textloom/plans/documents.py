@@ -78,7 +78,12 @@ def q_ruby(spark, sf):
     return rows.select("h", html.html_text("h").alias("x")).select("h", "x.text", F.array_join(F.transform("x.ruby", lambda r: F.concat_ws(":", r.start.cast("string"), r.end.cast("string"), r.base, r.reading)), ",").alias("ruby"))
 
 
+def q_slug_all(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", unicode.slug("text").alias("slug"))
+
+
 def q_slug(spark, sf):
+    """Slugs of the first 90 characters, as its SQL has it."""
     return table(spark, sf, "documents").select("doc_id", unicode.slug(F.substring("text", 1, 90)).alias("slug"))
 
 
@@ -138,7 +143,7 @@ def q_positions(spark, sf):
 
 
 QUERIES = {
-    "a13_class_ratio": q_class_ratio, "f6_slug": q_slug, "f12_page_text": q_page_text, "f12_page_links": q_page_links, "f13_ruby": q_ruby, "m2_plan": q_plan, "m3_stale": q_stale, "s18_chapter_metadata": q_chapter_metadata, "s18_concat_list": q_concat, "s20_overrides": q_overrides,
+    "a13_class_ratio": q_class_ratio, "f6_slug": q_slug, "f6_slug_all": q_slug_all, "f12_page_text": q_page_text, "f12_page_links": q_page_links, "f13_ruby": q_ruby, "m2_plan": q_plan, "m3_stale": q_stale, "s18_chapter_metadata": q_chapter_metadata, "s18_concat_list": q_concat, "s20_overrides": q_overrides,
     "t1_stream_ingest": q_stream, "t5_positions": q_positions, "w6_pack": q_pack, "w8_chunks": q_chunks, "w8_chunk_fixtures": q_chunk_fixtures, "w9_pauses": q_pauses,
 }
 

@@ -63,19 +63,42 @@ def q_shift(spark, sf):
     return S.shift_concat(c).select("grp", "ord", F.col("offset").cast("long").alias("offset"))
 
 
-def q_replace(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 200).alias("t"))
+def _replaced(d):
     one = lambda s, e: F.struct(F.lit(s).alias("start"), F.lit(e).alias("end"), F.substring("t", s + 1, e - s).alias("base"), F.concat(F.lit("<"), F.substring("t", s + 1, e - s), F.lit(">")).alias("reading"))
     wrong = F.struct(F.lit(30).alias("start"), F.lit(34).alias("end"), F.lit("no such").alias("base"), F.lit("!").alias("reading"))
-    return d.filter("length(t) >= 60").select("doc_id", S.replace_spans(F.col("t"), F.array(one(2, 5), wrong, one(40, 44))).alias("t"))
+    return d.select("doc_id", S.replace_spans(F.col("t"), F.array(one(2, 5), wrong, one(40, 44))).alias("t"))
 
 
-def q_highlight(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", F.substring("html", 1, 120).alias("t"))
+def q_replace(spark, sf):
+    """The first 200 characters of documents of 60 or more, as its SQL has it."""
+    return _replaced(table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 200).alias("t")).filter("length(t) >= 60"))
+
+
+def q_replace_all(spark, sf):
+    """Every text whole, with spans at fixed places and just before its end."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("t"))
+    n = F.length("t")
+    span = lambda s, e: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), F.substring("t", s.cast("int") + 1, (e - s).cast("int")).alias("base"), F.concat(F.lit("<"), F.substring("t", s.cast("int") + 1, (e - s).cast("int")), F.lit(">")).alias("reading"))
+    wrong = F.struct(F.lit(30).alias("start"), F.lit(34).alias("end"), F.lit("no such").alias("base"), F.lit("!").alias("reading"))
+    spans = F.array(span(F.lit(2), F.lit(5)), wrong, span(F.lit(40), F.lit(44)), span(F.lit(300), F.lit(307)), span(n - 4, n - 1))
+    inside = F.filter(spans, lambda s: (s.start >= 0) & (s.end <= n) & ((s.end <= n - 4) | (s.start == n - 4)))
+    return d.select("doc_id", S.replace_spans(F.col("t"), inside).alias("t")).select("doc_id", F.length("t").alias("n"), F.md5("t").alias("h"))
+
+
+def _marked(p):
     r = lambda s, e: F.struct(F.lit(s).alias("start"), F.lit(e).alias("end"))
     return p.select("page_id", S.highlight(F.col("t"), F.array(r(0, 10), r(20, 40))).alias("html"))
 
 
+def q_highlight(spark, sf):
+    """The first 120 characters of pages, as its SQL has it."""
+    return _marked(table(spark, sf, "pages").select("page_id", F.substring("html", 1, 120).alias("t")))
+
+
+def q_highlight_all(spark, sf):
+    return _marked(table(spark, sf, "pages").select("page_id", F.col("html").alias("t"))).select("page_id", F.length("html").alias("n"), F.md5("html").alias("h"))
+
+
 def q_enclosing(spark, sf):
     s = spans_of(spark, sf)
     quotes = s.filter("flag = 'A'").select("chapter", "start", "end", F.col("id").alias("ord"))
@@ -89,11 +112,20 @@ def q_breaks(spark, sf):
     return S.breaks_before_next(s, b)
 
 
-def q_continuations(spark, sf):
-    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("ord"), (F.col("role") == "user").alias("starts"), F.substring("text", 1, 40).alias("text"))
+def _continued(spark, sf, text):
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("ord"), (F.col("role") == "user").alias("starts"), text.alias("text"))
     return S.merge_continuations(c).select("book", "ord", "text", "n")
 
 
+def q_continuations(spark, sf):
+    """The first 40 characters of turns, as its SQL has it."""
+    return _continued(spark, sf, F.substring("text", 1, 40))
+
+
+def q_continuations_all(spark, sf):
+    return _continued(spark, sf, F.col("text")).select("book", "ord", F.md5("text").alias("h"), "n")
+
+
 def q_renumber(spark, sf):
     return S.renumber(spans_of(spark, sf), ["chapter"], ["start", "end", "id"]).select("chapter", "id", "index")
 
@@ -105,8 +137,8 @@ def q_valid(spark, sf):
 
 
 QUERIES = {
-    "f16_highlight": q_highlight, "f40_replace_spans": q_replace, "j1_version": q_version, "j2_contained": q_contained, "j4_without_overlaps": q_without_overlaps, "j16_enclosing": q_enclosing, "j17_breaks": q_breaks, "p4_valid_spans": q_valid,
-    "w10_coalesce": q_coalesce, "w11_merge_ranges": q_merge, "w12_greedy": q_greedy, "w12b_first_claims": q_claims, "w16_continuations": q_continuations, "w18_shift": q_shift, "w20_renumber": q_renumber,
+    "f16_highlight": q_highlight, "f16_highlight_all": q_highlight_all, "f40_replace_spans": q_replace, "f40_replace_spans_all": q_replace_all, "j1_version": q_version, "j2_contained": q_contained, "j4_without_overlaps": q_without_overlaps, "j16_enclosing": q_enclosing, "j17_breaks": q_breaks, "p4_valid_spans": q_valid,
+    "w10_coalesce": q_coalesce, "w11_merge_ranges": q_merge, "w12_greedy": q_greedy, "w12b_first_claims": q_claims, "w16_continuations": q_continuations, "w16_continuations_all": q_continuations_all, "w18_shift": q_shift, "w20_renumber": q_renumber,
 }
 
 _ESC = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
