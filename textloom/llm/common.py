@@ -17,20 +17,24 @@ from textloom.shipping import ship
 SPACES = r"\x20\x09-\x0D"
 
 
-#: Rows of an Arrow batch: texts vary from nothing to many MB, and a Python worker holds a batch or two.
-BATCH_ROWS = 512
+#: An Arrow batch ends at so many rows or bytes: texts vary from nothing to many MB, and a Python worker holds a batch or two.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Sets the session's bounds of Arrow batches, which Spark knows per session only."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: under spark.checkpoint.dir, or, where that is unset (tests), a temporary one."""
+    """A folder that driver and executors share: under spark.checkpoint.dir. Where that is unset, a local master has one of its own; a cluster gets an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="textloom-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
@@ -42,15 +46,42 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete this application's scratch tables; call when no result that reads them is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise has written, once no result that is still to be computed reads them."""
+    for df in tables:
+        _delete(df.sparkSession, df.scratch_path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables; call when no result that reads them is needed any more."""
+    _delete(spark, scratch_dir(spark))
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, weight: DataFrame, by: str, how: str = "inner", share: int = 1024) -> DataFrame:
+    """left.join(right, on, how) with hot keys dealt over many tasks.
+
+    weight: (on, n), about how many rows of left hold a key. A key with over 1 / share of all rows is cut into parts of about
+    that size, by the hash of left's column `by` (the same in every attempt of a task); right's rows of that key are repeated
+    for each part. At most `share` keys are hot, so they can be sent to all tasks, and right grows by some 2 * share rows per row
+    that it holds of a key.
+    """
+    total = weight.agg(F.sum("n")).first()[0] or 0
+    hot = weight.filter(F.col("n") * share > total).select(on, F.ceil(F.col("n") * share / F.lit(max(total, 1))).cast("int").alias("__parts"))
+    parts = F.coalesce("__parts", F.lit(1))
+    x = left.join(F.broadcast(hot), on, "left").withColumn("__salt", F.pmod(F.xxhash64(by), parts).cast("int")).drop("__parts")
+    y = right.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return x.join(y, [on, "__salt"], how).drop("__salt")
+
 def release() -> None:
     """Give what a Python task has freed back to the system: workers are used again, by other operators too."""
     gc.collect()

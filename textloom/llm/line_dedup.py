@@ -7,7 +7,7 @@ State of an index, as Parquet in a shared folder:
 
 Inserting documents adds reference rows, deleting documents adds negative ones; the active keys of the shards touched
 follow from them exactly, and keys that pass the threshold are inserted into or deleted from the shard's cuckoo filter.
-Whether a line goes is decided by the exact table; a filter only spares the lookup for the lines that it doesn't hold.
+A line meets its shard's filter first, at every size of the tables; the exact table then decides about those it holds.
 A key is the pair of two 64-bit hashes of the normalised line.
 """
 
@@ -15,20 +15,23 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import SPACES, materialise, scratch_dir
+from textloom.llm.common import materialise, scratch_dir, spread_join
 
 MIN_CHARS, MIN_DOCS = 20, 3
 KEYS_PER_SHARD = 1 << 16
-#: Active keys whose table (24 bytes each) and filters may be sent to every task; beyond it lines are joined instead.
-BROADCAST_KEYS = 1 << 20
+#: Filters and exact keys of so many bytes (measured) may be sent to every task; beyond it lines are dealt to their shard's filter.
+BROADCAST_BYTES = 48 << 20
+SALTS = 64  # tasks over which a shard's lines are dealt
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _WHITE = b" \t\n\x0b\x0c\r"
 
@@ -182,8 +185,13 @@ def document_keys(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return slim.select(k1.alias("k1"), k2.alias("k2"), "doc_id")
 
 
+def reference_counts(keys: DataFrame) -> DataFrame:
+    """(k1, k2, doc_id, n): rows of a document that hold a key. Dealt by key and document, so a line of very many documents is no hot group."""
+    return keys.groupBy("k1", "k2", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def activate(refs: DataFrame, shards: int, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Active keys of reference rows (k1, k2, doc_id): those of at least min_docs rows, with the largest doc_id. Sums are made before the shuffle."""
+    """Active keys of reference counts: those of at least min_docs documents, with the largest doc_id. Sums are made before the shuffle."""
     found = refs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
     return found.withColumn("shard", F.pmod(F.col("k1"), F.lit(shards)).cast("int"))
 
@@ -196,26 +204,32 @@ def shards_for(n_keys: int) -> int:
 _APPLIED = "n_lines long, n_dropped long, kept string"
 
 
-def apply_active(docs: DataFrame, active: DataFrame, filters: DataFrame, *, text: str, doc_id: str, n_active: int, shards: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns `extra`, n_lines, n_dropped, kept (the lines that stay, joined by newlines)."""
-    if n_active <= BROADCAST_KEYS:
+def apply_active(docs: DataFrame, active: DataFrame, filters: DataFrame, *, text: str, doc_id: str, shards: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns `extra`, n_lines, n_dropped, kept (the lines that stay, joined by newlines).
+
+    At every size a line first meets the cuckoo filter of its key's shard, and only what the filter holds meets the exact
+    keys. The measured size of filters and keys says how: sent to the tasks, or brought together with the lines by shard.
+    """
+    names = {c.lower() for c in ("doc_id", "n_lines", "n_dropped", "kept")}
+    if clash := [c for c in extra if c.lower() in names]:
+        raise ValueError(f"names of the result can't be extra columns: {clash}")
+    size = filters.agg(F.coalesce(F.sum(F.length("blob")), F.lit(0))).first()[0] + active.agg(F.coalesce(F.sum(32 + F.length(F.coalesce(F.col("keeper").cast("string"), F.lit("")))), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
         return _apply_here(docs, active, filters, text, doc_id, shards, extra)
-    return _apply_joined(docs, active, text, doc_id, extra)
+    return _apply_sharded(docs, active, filters, text, doc_id, shards, extra)
 
 
 def _apply_here(docs, active, filters, text, doc_id, shards, extra) -> DataFrame:
-    """The tables are small (checked): every task gets the filters and the exact keys; no text is shuffled."""
+    """The tables are small (measured): every task gets the filters and the exact keys as sorted arrays; no text is shuffled."""
     sc = docs.sparkSession.sparkContext
     exact = active.select("k1", "k2", F.col("keeper").cast("string").alias("keeper")).toPandas().sort_values(["k1", "k2"])
     blobs = {r.shard: bytes(r.blob) for r in filters.collect()}
-    state = sc.broadcast((exact["k1"].to_numpy(np.int64), exact["k2"].to_numpy(np.int64), exact["keeper"].tolist(), blobs))
+    state = sc.broadcast((exact["k1"].to_numpy(np.int64), exact["k2"].to_numpy(np.int64), pa.array(exact["keeper"], pa.string()), blobs))
     slim = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), F.col(doc_id).cast("string").alias("__as_text"), *extra)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k1s, k2s, keepers, raw = state.value
         cuckoo = {s: CuckooFilter.load(b) for s, b in raw.items()}
-        exact_of = {(int(a), int(b)): k for a, b, k in zip(k1s, k2s, keepers, strict=True)}
-        memo: dict[bytes, tuple | None] = {}
         for batch in batches:
             ids, texts = batch.column(2).to_pylist(), batch.column(1)
             split = [(x.as_buffer().to_pybytes() if x.is_valid else b"").split(b"\n") for x in texts]
@@ -235,9 +249,9 @@ def _apply_here(docs, active, filters, text, doc_id, shards, extra) -> DataFrame
                     if int(s) in cuckoo:
                         at = np.flatnonzero(shard == s)
                         maybe[at] = cuckoo[int(s)].holds(pairs[at, 0].view(np.uint64), pairs[at, 1].view(np.uint64))
-                keeper = {int(i): exact_of.get((int(pairs[i, 0]), int(pairs[i, 1])), memo) for i in np.flatnonzero(maybe)}
+                keeper = {int(i): keepers[row].as_py() for i in np.flatnonzero(maybe) if (row := _find(k1s, k2s, pairs[i, 0], pairs[i, 1])) >= 0}
                 for d, p, k in where:
-                    if k in keeper and keeper[k] is not memo and keeper[k] != ids[d]:
+                    if k in keeper and keeper[k] != ids[d]:
                         dropped.setdefault(d, set()).add(p)
             kept = [b"\n".join(x for p, x in enumerate(lines) if p not in dropped[d]) if d in dropped else b"\n".join(lines) for d, lines in enumerate(split)]
             arrays = [batch.column(0), *(batch.column(3 + i) for i in range(len(extra)))]
@@ -250,62 +264,121 @@ def _apply_here(docs, active, filters, text, doc_id, shards, extra) -> DataFrame
     return slim.mapInArrow(probe, f"{head}, {_APPLIED}")
 
 
-def _apply_joined(docs, active, text, doc_id, extra) -> DataFrame:
-    """The tables are large: lines meet the exact keys in a join, decisions come back to their document by a row key."""
+def _find(k1s: np.ndarray, k2s: np.ndarray, a, b) -> int:
+    """Row of a key in arrays sorted by (k1, k2), or -1."""
+    lo, hi = np.searchsorted(k1s, a), np.searchsorted(k1s, a, "right")
+    at = lo + int(np.searchsorted(k2s[lo:hi], b))
+    return at if at < hi and k2s[at] == b else -1
+
+
+def _apply_sharded(docs, active, filters, text, doc_id, shards, extra) -> DataFrame:
+    """The tables are large: lines are dealt by shard and salt, pass the shard's filter as a stream behind it, and the rest meets the exact keys; decisions come back by a row key."""
     rows = docs.select(F.expr("uuid()").alias("__row"), F.col(doc_id).alias("doc_id"), F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("__lines"), *extra)
     rows = materialise(rows, "lines")  # the row key must not change if a task runs again
     line = rows.select("__row", "doc_id", F.posexplode("__lines").alias("pos", "line")).withColumn("key", line_key(F.col("line"))).filter(F.length("key") >= MIN_CHARS)
     k1, k2 = key_hashes(F.col("key"))
-    hits = line.select("__row", "doc_id", "pos", k1.alias("k1"), k2.alias("k2")).join(active.select("k1", "k2", "keeper"), ["k1", "k2"])
-    drops = hits.filter(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("__row").agg(F.collect_set("pos").alias("__drop"))
+    maybe = probe_shards(line.select("__row", "pos", k1.alias("k1"), k2.alias("k2")), filters, shards)
+    keys = active.select(F.struct("k1", "k2").alias("key"), "keeper")
+    weight = active.select(F.struct("k1", "k2").alias("key"), F.col("n_docs").alias("n"))
+    hits = spread_join(maybe.select("__row", "pos", F.struct("k1", "k2").alias("key")), keys, "key", weight, "__row")
+    hits = hits.join(rows.select("__row", "doc_id"), "__row").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    drops = hits.groupBy("__row").agg(F.array_sort(F.collect_set("pos")).alias("__drop"))
     both = rows.join(drops, "__row", "left").withColumn("__drop", F.coalesce("__drop", F.array().cast("array<int>")))
-    kept = F.filter("__lines", lambda x, i: ~F.array_contains("__drop", i))
+    gone = F.map_from_arrays("__drop", F.transform("__drop", lambda _: F.lit(True)))
+    kept = F.when(F.size("__drop") == 0, F.col("__lines")).otherwise(F.filter("__lines", lambda x, i: F.try_element_at(gone, i).isNull()))
     return both.select("doc_id", *extra, F.size("__lines").cast("long").alias("n_lines"), F.size("__drop").cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("kept"))
 
 
+def probe_shards(lines: DataFrame, filters: DataFrame, shards: int, salts: int = SALTS) -> DataFrame:
+    """Rows of lines (__row, pos, k1, k2) whose key the filter of its shard (pmod(k1, shards)) may hold.
+
+    A shard's lines are dealt over `salts` tasks by their document, so a hot line is no hot group; each of them gets the shard's
+    filter first and then streams the lines past it. A task holds one filter.
+    """
+    none = F.lit(None)
+    asked = lines.select(F.pmod("k1", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("__row"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), none.cast("binary").alias("blob"), "__row", "pos", "k1", "k2")
+    sent = filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "blob", none.cast("string").alias("__row"), none.cast("int").alias("pos"), none.cast("long").alias("k1"), none.cast("long").alias("k2"))
+    parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = asked.unionByName(sent).repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, cuckoo = None, None
+        for batch in batches:
+            shard, kind = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            stops = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True] | np.r_[True, kind[1:] != kind[:-1], True]) if len(shard) else []
+            for a, b in zip(stops[:-1], stops[1:], strict=True):
+                if kind[a] == 0:
+                    at, cuckoo = int(shard[a]), CuckooFilter.load(batch.column(3)[a].as_py())
+                elif at == int(shard[a]):
+                    part = batch.slice(a, b - a).select([4, 5, 6, 7])
+                    held = cuckoo.holds(part.column(2).to_numpy().view(np.uint64), part.column(3).to_numpy().view(np.uint64))
+                    if held.any():
+                        yield part.filter(pa.array(held))
+
+    return dealt.mapInArrow(run, "__row string, pos int, k1 long, k2 long")
+
+
 def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS, extra: tuple[str, ...] = ()) -> DataFrame:
     """Drop repeated lines of one corpus: doc_id, `extra`, n_lines, n_dropped, kept; one row per row of docs.
 
     Keys of at least 20 code points found in at least min_docs documents lose all their lines except in the largest doc_id
-    holding it. Null or empty text: one empty line. Each row counts as a document, so repeated rows add to the count, and all
-    rows of the largest doc_id keep the line; a null doc_id is smaller than any other. An empty table gives an empty result;
-    columns beside those named are not read.
+    holding it. Null or empty text: one empty line. Rows of one doc_id are one document, as are all rows without a doc_id,
+    which is smaller than any other; all rows of the largest doc_id keep the line. A text of any length is split as a whole.
+    An empty table gives an empty result; columns beside those named are not read, and `extra` may not name a column of the
+    result.
     """
-    active = activate(document_keys(docs, text, doc_id), 1, min_docs).drop("shard")
-    active = materialise(active, "active")
-    n_active = active.count()
-    shards = shards_for(n_active)
+    active = materialise(activate(reference_counts(document_keys(docs, text, doc_id)), 1, min_docs).drop("shard"), "active")
+    shards = shards_for(active.count())
     active = active.withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int"))
-    return apply_active(docs, active, build_filters(active), text=text, doc_id=doc_id, n_active=n_active, shards=shards, extra=extra)
+    filters = materialise(build_filters(active), "filters")
+    return apply_active(docs, active, filters, text=text, doc_id=doc_id, shards=shards, extra=extra)
 
 
 class LineIndex:
-    """An incremental index in a shared folder. Documents can be inserted and deleted; each change is a new version of the tables of the shards touched."""
+    """An incremental index in a shared folder: documents can be inserted and deleted.
+
+    A change writes its reference counts, reads those of the shards that it touches, and writes new active keys and filters of
+    these shards only. `state/v=N`, written last, names for every shard the version that holds it, so a change that fails leaves
+    nothing that counts. Rows of one doc_id add up, null ids being one document; texts are read as in dedup_lines; an empty
+    table changes nothing. Choose shards so that one holds some KEYS_PER_SHARD active keys: a shard's filter is made in one task.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, shards: int = 64, min_docs: int = MIN_DOCS):
         self.spark, self.shards, self.min_docs = spark, shards, min_docs
         self.path = path or f"{scratch_dir(spark)}/line-index-{uuid.uuid4().hex}"
-        self.version = 0
-        empty = "shard int, k1 long, k2 long, "
-        spark.createDataFrame([], empty + "n_docs long, keeper long").write.parquet(f"{self.path}/active/v=0")
-        spark.createDataFrame([], "shard int, n long, blob binary").write.parquet(f"{self.path}/filters/v=0")
+        self.version, self.refs, self.holds = 0, [], {}  # holds: shard -> version of its active keys and filter
 
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}/v={self.version}")
+    def _read(self, name: str, shards) -> DataFrame | None:
+        """The present rows of `shards`; None if no version holds any of them."""
+        by: dict[int, list[int]] = {}
+        for s in shards:
+            if s in self.holds:
+                by.setdefault(self.holds[s], []).append(s)
+        found = [self.spark.read.parquet(f"{self.path}/{name}/v={v}").filter(F.col("shard").isin(own)) for v, own in by.items()]
+        return reduce(DataFrame.unionByName, found) if found else None
 
     def _change(self, docs: DataFrame, sign: int, text: str, doc_id: str) -> None:
-        refs = document_keys(docs, text, doc_id).withColumn("n", F.lit(sign)).withColumn("shard", F.pmod("k1", F.lit(self.shards)).cast("int"))
-        refs.write.mode("append").partitionBy("shard").parquet(f"{self.path}/refs")
-        old = self._read("active")
-        live = self.spark.read.parquet(f"{self.path}/refs").groupBy("shard", "k1", "k2", "doc_id").agg(F.sum("n").alias("n")).filter("n > 0")
-        new = live.groupBy("shard", "k1", "k2").agg(F.sum("n").alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= self.min_docs)
         to = self.version + 1
-        new.select("shard", "k1", "k2", "n_docs", "keeper").write.parquet(f"{self.path}/active/v={to}")
-        new = self.spark.read.parquet(f"{self.path}/active/v={to}")
+        refs = reference_counts(document_keys(docs, text, doc_id)).withColumn("n", F.col("n") * sign).withColumn("shard", F.pmod("k1", F.lit(self.shards)).cast("int"))
+        refs.write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/refs/v={to}")
+        try:
+            touched = [r.shard for r in self.spark.read.parquet(f"{self.path}/refs/v={to}").select("shard").distinct().collect()]
+        except AnalysisException:  # no row, no file
+            return
+        every = reduce(DataFrame.unionByName, (self.spark.read.parquet(f"{self.path}/refs/v={v}") for v in [*self.refs, to])).filter(F.col("shard").isin(touched))
+        live = every.groupBy("shard", "k1", "k2", "doc_id").agg(F.sum("n").alias("n")).filter("n > 0")
+        new = live.groupBy("shard", "k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= self.min_docs)
+        new.write.mode("overwrite").parquet(f"{self.path}/active/v={to}")
+        new = self.spark.read.schema(new.schema).parquet(f"{self.path}/active/v={to}")
+        old, kept = self._read("active", touched), self._read("filters", touched)
+        old = new.limit(0) if old is None else old
+        kept = self.spark.createDataFrame([], "shard int, n long, blob binary") if kept is None else kept
         came = new.join(old, ["shard", "k1", "k2"], "left_anti").select("shard", "k1", "k2", F.lit(True).alias("add"))
         went = old.join(new, ["shard", "k1", "k2"], "left_anti").select("shard", "k1", "k2", F.lit(False).alias("add"))
-        update_filters(self._read("filters"), came.unionByName(went), new).write.parquet(f"{self.path}/filters/v={to}")
-        self.version = to
+        update_filters(kept, came.unionByName(went), new).write.mode("overwrite").parquet(f"{self.path}/filters/v={to}")
+        holds = self.holds | dict.fromkeys(touched, to)
+        self.spark.createDataFrame([(to, [*self.refs, to], sorted(holds.items()))], "version int, refs array<int>, holds array<struct<shard:int,version:int>>").write.mode("overwrite").parquet(f"{self.path}/state/v={to}")
+        self.version, self.refs, self.holds = to, [*self.refs, to], holds
 
     def insert(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> None:
         self._change(docs, 1, text, doc_id)
@@ -315,5 +388,7 @@ class LineIndex:
         self._change(docs, -1, text, doc_id)
 
     def apply(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", extra: tuple[str, ...] = ()) -> DataFrame:
-        active = self._read("active")
-        return apply_active(docs, active, self._read("filters"), text=text, doc_id=doc_id, n_active=active.count(), shards=self.shards, extra=extra)
+        active, filters = self._read("active", range(self.shards)), self._read("filters", range(self.shards))
+        if active is None:
+            active, filters = self.spark.createDataFrame([], "shard int, k1 long, k2 long, n_docs long, keeper string"), self.spark.createDataFrame([], "shard int, n long, blob binary")
+        return apply_active(docs, active, filters, text=text, doc_id=doc_id, shards=self.shards, extra=extra)
