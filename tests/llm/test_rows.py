@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
-from textloom.llm import line_dedup
+from textloom.llm import line_dedup, quality
 
 LINE = "a line that is long enough to be a key"
 
@@ -51,3 +51,16 @@ def test_line_index_touches_its_shards(spark):
     assert {r.doc_id: r.n_dropped for r in index.apply(docs.unionByName(one)).collect()} == {2**53 + i: 2 if i % 3 < 2 else 1 for i in range(9)} | {2**53 + 9: 0}
     index.delete(one)
     assert {r.doc_id: r.n_dropped for r in index.apply(docs).collect()}[2**53 + 8] == 0
+
+
+def test_quality_keeps_ids_and_categories(spark):
+    """Ids beside a null one stay exact; superscripts and fractions are no letters, Roman numeral signs no capitals."""
+    texts = ["² ½ ³ " * 12 + "²", "Ⅷ Ⅷa " * 12, "plain words that stand in a row of ten or more here", "- a\n- b c\n- d e\n- f g h\n- i j k l", "so it goes on...\nand so on and on…\nuntil here it ends"]
+    rows = [(2**53 + 1, texts[0]), (None, texts[1]), *((i, t) for i, t in enumerate(texts[2:]))]
+    got = {r.doc_id: r for r in quality.cascade(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {2**53 + 1, None, 0, 1, 2}
+    docs = {i: quality.base_figures(t)[0] for i, t in rows}
+    assert quality._letters(docs[2**53 + 1]) and not quality._caps(docs[None]) and quality._bullets(docs[1]) and quality._dots(docs[2])
+    assert {i: r.kept for i, r in got.items()} == {2**53 + 1: False, None: False, 0: True, 1: False, 2: False}
+    with pytest.raises(ValueError):
+        quality.cascade(spark.createDataFrame(rows, "kept long, text string"), keep=("kept",))

@@ -35,7 +35,10 @@ judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
          OR 10 * n_dup_lines > 3 * n_lines OR 2 * length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) > word_chars
-         OR 10 * length(regexp_replace(text, '[^0-9]', '', 'g')) > 3 * word_chars OR 2 * length(regexp_replace(text, '[^\p{L}]', '', 'g')) < word_chars) AS kept
+         OR 10 * length(regexp_replace(text, '[^0-9]', '', 'g')) > 3 * word_chars OR 2 * length(regexp_replace(text, '[^\p{L}]', '', 'g')) < word_chars
+         OR 2 * len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) < n_words
+         OR 10 * len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[-*•]'))) > 9 * n_lines
+         OR 10 * len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(\.\.\.|…)$'))) > 3 * n_lines) AS kept
 FROM judged
 """
 

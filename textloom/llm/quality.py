@@ -8,16 +8,19 @@ rule that rejects it. The order changes the cost only: a document is kept if no
 
 from __future__ import annotations
 
-import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import free_name
+
 SYMBOLS = b"#*$%&|<>"  # fixed by the contract
 WINDOW, LEAST_WORDS, REPEAT_PERCENT = 5, 10, 20
 SAMPLE_ROWS = 2000  # expected rows of the sample on which the cascade is ordered
@@ -43,9 +46,19 @@ class Rule:
     rejects: Callable[[Doc], bool]
 
 
+_ASCII_UPPER, _ASCII_LETTERS, _ASCII = bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123)]), bytes(range(128))
+_UPPER, _LETTER, _LETTER_WORD = regex.compile(r"\p{Lu}"), regex.compile(r"\p{L}"), regex.compile(r"\p{L}[^\x20\x09-\x0D]*+")  # the rest of a word from its first letter: once a word
+_BULLETS, _DOTS = ("-", "*", "\u2022"), ("...", "\u2026")
+
+
+def _count(d: Doc, ascii_: bytes, other) -> int:
+    """Characters of an ASCII set and of a category outside ASCII."""
+    n = len(d.raw) - len(d.raw.translate(None, ascii_))
+    return n if d.raw.isascii() else n + len(other.findall(d.raw.translate(None, _ASCII).decode("utf-8", "surrogatepass")))
+
+
 def _caps(d: Doc) -> bool:
-    upper = sum(map(str.isupper, d.text))
-    return 2 * upper > d.word_chars
+    return 2 * _count(d, _ASCII_UPPER, _UPPER) > d.word_chars
 
 
 def _dup_lines(d: Doc) -> bool:
@@ -57,10 +70,22 @@ def _digits(d: Doc) -> bool:
 
 
 def _letters(d: Doc) -> bool:
-    return 2 * len(_LETTER.findall(d.text)) < d.word_chars
+    return 2 * _count(d, _ASCII_LETTERS, _LETTER) < d.word_chars
+
 
+def _letter_words(d: Doc) -> bool:
+    return 2 * len(_LETTER_WORD.findall(d.text)) < d.n_words
+
+
+def _bullets(d: Doc) -> bool:
+    lines = d.text.split("\n")
+    return 10 * sum(x.startswith(_BULLETS) for x in lines) > 9 * len(lines)
+
+
+def _dots(d: Doc) -> bool:
+    lines = d.text.split("\n")
+    return 10 * sum(x.endswith(_DOTS) for x in lines) > 3 * len(lines)
 
-_LETTER = re.compile(r"[^\W\d_]")
 
 #: A rule rejects a document; all are independent of each other.
 RULES = (
@@ -71,6 +96,9 @@ RULES = (
     Rule("capitals", _caps),
     Rule("digits", _digits),
     Rule("few letters", _letters),
+    Rule("few words with a letter", _letter_words),
+    Rule("bullets", _bullets),
+    Rule("lines that trail off", _dots),
 )
 
 
@@ -151,24 +179,30 @@ def sample_order(docs: DataFrame, text: str, rules: tuple[Rule, ...] = RULES, ro
 
 
 def cascade(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The columns `keep`, the base figures, base_failed and kept; one row per row of docs, nothing is shuffled.
+    """The columns `keep` (values as they are), the base figures, base_failed and kept; one row per row of docs, nothing is shuffled.
 
-    Null texts have no words and fail the base rules, as do empty ones. Repeated rows are judged alike. An empty table gives
-    an empty result. Columns beside `text` and `keep` are not read; `keep` may not hold names of the figures.
+    Null texts have no words and fail the base rules, as do empty ones; a text of any length is judged as a whole. Repeated
+    rows are judged alike, and ties of rules in the sample's order go by their place. An empty table gives an empty result.
+    Columns beside `text` and `keep` are not read; `keep` may not hold names of the figures.
     """
+    figures = [c.split()[0] for c in OUT.split(", ")]
+    if clash := [c for c in keep if c.lower() in figures]:
+        raise ValueError(f"names of figures can't be kept columns: {clash}")
     order = sample_order(docs, text, rules)
-    slim = docs.select(*keep, F.col(text).alias("__text"))
+    body = free_name(keep, "__text")
+    slim = docs.select(*keep, F.col(text).alias(body))
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2
+        for batch in batches:
             rows = []
-            for t in pdf.pop("__text"):
+            for t in batch.column(len(keep)).to_pylist():
                 d, n_repeat = base_figures(t)
                 failed = d.n_words < LEAST_WORDS or 100 * n_repeat > REPEAT_PERCENT * d.n_words
                 kept = not failed and not any(rules[i].rejects(d) for i in order)
                 rows.append((d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, n_repeat, failed, kept))
-            figures = pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")], index=pdf.index)
-            yield pd.concat([pdf, figures], axis=1)
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*keep, *figures])
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "__text")
-    return slim.mapInPandas(judge, f"{head}, {OUT}")
+    kinds = dict(slim.dtypes)
+    return slim.mapInArrow(judge, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), OUT]))
