@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
-from textloom.llm import line_dedup, quality
+from textloom.llm import line_dedup, pii, quality
 
 LINE = "a line that is long enough to be a key"
 
@@ -64,3 +64,23 @@ def test_quality_keeps_ids_and_categories(spark):
     assert {i: r.kept for i, r in got.items()} == {2**53 + 1: False, None: False, 0: True, 1: False, 2: False}
     with pytest.raises(ValueError):
         quality.cascade(spark.createDataFrame(rows, "kept long, text string"), keep=("kept",))
+
+
+def test_pii_takes_the_best_first(spark):
+    """In a chain A > B > C the last stays; nothing stands beside a longer one that holds it, however many there are."""
+    cases = [
+        ([(0, 10, 3), (8, 18, 2), (16, 26, 1)], [(0, 10), (16, 26)]),
+        ([(0, 10, 1), (8, 18, 2), (16, 26, 1)], [(8, 18)]),
+        ([(0, 100, 9), *((5 * i, 5 * i + 4, 1) for i in range(18))], [(0, 100)]),
+        ([(0, 100, 1), *((5 * i, 5 * i + 4, 2) for i in range(18))], [(5 * i, 5 * i + 4) for i in range(18)]),
+        ([(0, 10, 1), (8, 18, 1), (16, 26, 1), (30, 31, 1)], [(0, 10), (16, 26), (30, 31)]),
+        ([], []),
+    ]
+    d = spark.createDataFrame([(i, [(s, e, str(r)) for s, e, r in c]) for i, (c, _) in enumerate(cases)], "i int, c array<struct<s:int,e:int,v:string>>")
+    features, as_column = pii.features, pii.as_column
+    try:
+        pii.features, pii.as_column = (lambda c: F.array(c.v.cast("double"))), (lambda model, f: f[0])
+        got = d.select("i", pii._choose(F.col("c"), None, 0.5).alias("k")).collect()
+    finally:
+        pii.features, pii.as_column = features, as_column
+    assert [[(x.s, x.e) for x in r.k] for r in sorted(got)] == [want for _, want in cases]

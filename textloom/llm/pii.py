@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 import random
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -305,9 +305,10 @@ def _fit(app: str, seed: int, precision: float) -> dict:
     texts = training_texts(seed)
     rows = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{"i": i, "t": t[0]} for i, t in enumerate(texts)])), "array<struct<i:int,t:string>>")).alias("r")).select("r.i", "r.t")
     models = {}
+    parts = [rows.select("i", _found(F.col("t"), kind).alias("k")).select(F.lit(kind).alias("kind"), "i", F.explode("k.rest").alias("c")) for kind in KINDS]
+    every = reduce(DataFrame.unionByName, (x.select("kind", "i", "c.s", "c.e", features(F.col("c")).alias("f")) for x in parts)).collect()  # one job for all kinds
     for kind in KINDS:
-        got = rows.select("i", "t", _found(F.col("t"), kind).alias("k")).select("i", "t", F.explode("k.rest").alias("c"))
-        got = got.select("i", "c.s", "c.e", features(F.col("c")).alias("f")).collect()
+        got = [r for r in every if r.kind == kind]
         x = np.array([r.f for r in got], float).reshape(-1, len(FEATURES))
         y = np.array([texts[r.i][3] == kind and r.e > texts[r.i][1] and r.s < texts[r.i][2] and r.e - r.s > 0.6 * (texts[r.i][2] - texts[r.i][1]) for r in got], float)
         fit = np.array([r.i % 3 != 0 for r in got], bool)
@@ -321,20 +322,27 @@ def fitted(spark: SparkSession, seed: int = 13, precision: float = 0.99) -> dict
     return _fit(spark.sparkContext.applicationId, seed, precision)
 
 
-#: Candidates of one kind come from six generators at most, each without overlaps: those that overlap stand close by start.
-NEAR = 8
-
-
 def _choose(rest: Column, model: tuple[float, list], least: float) -> Column:
-    """Of candidates that reach the threshold, those that overlap none of a higher score (or of the same one, and earlier)."""
-    scored = F.transform(rest, lambda c: let(features(c), lambda f: F.struct(c.s.alias("s"), c.e.alias("e"), (-as_column(model, f)).alias("r"), c.v.alias("v"))))
+    """Of candidates that reach the threshold, the best first (score, then start, then end), each if it overlaps none taken before it.
+
+    Candidates are cut into runs that overlap one another, directly or not, so one is compared with those of its run only.
+    """
+    kind = "struct<s:int,e:int,r:double,v:string>"
+    scored = F.transform(rest, lambda c: let(features(c), lambda f: F.struct(c.s.alias("s"), c.e.alias("e"), (-as_column(model, f)).cast("double").alias("r"), c.v.alias("v"))))
     good = F.array_sort(F.array_distinct(F.filter(scored, lambda c: -c.r >= least)))
+    start = F.struct(F.array().cast(f"array<array<{kind}>>").alias("done"), F.array().cast(f"array<{kind}>").alias("run"), F.lit(0).alias("end"))
+
+    def run(a: Column, c: Column) -> Column:
+        apart = c.s >= a.end
+        return F.struct(F.when(apart & (F.size(a.run) > 0), F.concat(a.done, F.array(a.run))).otherwise(a.done).alias("done"), F.when(apart, F.array(c)).otherwise(F.concat(a.run, F.array(c))).alias("run"), F.greatest(a.end, c.e).alias("end"))
 
-    def best(c: Column, i: Column, all_: Column) -> Column:
-        others = F.slice(all_, F.greatest(i + 1 - NEAR, F.lit(1)), F.lit(2 * NEAR + 1))
-        return ~F.exists(others, lambda o: (o.s < c.e) & (c.s < o.e) & ((o.r < c.r) | ((o.r == c.r) & ((o.s < c.s) | ((o.s == c.s) & (o.e < c.e))))))
+    def greedy(group: Column) -> Column:
+        ranked = F.transform(F.array_sort(F.transform(group, lambda c: F.struct(c.r.alias("r"), c.s.alias("s"), c.e.alias("e"), c.v.alias("v")))), lambda c: F.struct(c.s.alias("s"), c.e.alias("e"), c.r.alias("r"), c.v.alias("v")))
+        taken = F.aggregate(ranked, F.array().cast(f"array<{kind}>"), lambda a, c: F.when(F.exists(a, lambda o: (o.s < c.e) & (c.s < o.e)), a).otherwise(F.concat(a, F.array(c))))
+        return F.when(F.size(group) < 2, group).otherwise(F.array_sort(taken))
 
-    return let(good, lambda g: F.transform(F.filter(g, lambda c, i: best(c, i, g)), lambda c: F.struct(c.s.alias("s"), c.e.alias("e"), c.v.alias("v"))))
+    runs = F.aggregate(good, start, run, lambda a: F.concat(a.done, F.array(a.run)))
+    return F.transform(F.flatten(F.transform(runs, greedy)), lambda c: F.struct(c.s.alias("s"), c.e.alias("e"), c.v.alias("v")))
 
 
 def find(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
