@@ -1,5 +1,6 @@
 """Repeated rows, null ids, large ids and clashing names: what each operator makes of them."""
 
+import random
 import sys
 from pathlib import Path
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
-from textloom.llm import line_dedup, pii, quality
+from textloom.llm import line_dedup, pii, quality, suffix_dedup
 
 LINE = "a line that is long enough to be a key"
 
@@ -84,3 +85,19 @@ def test_pii_takes_the_best_first(spark):
     finally:
         pii.features, pii.as_column = features, as_column
     assert [[(x.s, x.e) for x in r.k] for r in sorted(got)] == [want for _, want in cases]
+
+
+def test_passages_among_near_misses(spark):
+    """A 50-word passage of two documents is found though 240 others share 49 words of it, before or behind; ids may be text or null, a hot class and a hot seed included."""
+    r = random.Random(7)
+    w = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage = w(50)
+    docs = [(f"d{i}", " ".join(w(6) + passage + w(6)), 6) for i in (0, 1)]
+    docs += [(f"x{i}", " ".join(w(8) + (passage[:49] if i % 2 else passage[1:]) + w(8)), None) for i in range(240)]
+    copy = " ".join(w(60))
+    docs += [(None, copy, 0)] * 30 + [(f"c{i}", copy, 0) for i in range(30)]
+    got = suffix_dedup.repeats(spark.createDataFrame(docs, "doc_id string, text string, at int").repartition(5)).collect()
+    where = {(x.doc_id, x.start, x.end) for x in got}
+    near = {x for x in where if x[0] and x[0].startswith("x")}
+    assert where - near == {("d0", 6, 56), ("d1", 6, 56), (None, 0, 60), *((f"c{i}", 0, 60) for i in range(30))}
+    assert len(got) == 62 and not near

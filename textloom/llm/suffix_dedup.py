@@ -5,11 +5,14 @@ successive SEED-word runs. Any passage of WINDOW + SEED - 1 = 50 words holds a r
 Suffixes that start with a seed found in different documents are sorted by what follows the seed, and once more by what goes
 before it read backwards; each is compared with its neighbours, and the match is extended right and left, word by word. That
 meets all pairs of a seed with NEIGHBOURS + 1 contexts at most; of a seed with more, the 50-word windows that hold it are grouped
-by their hashes, and a window of two classes is a match.
+by their hashes, and a window of two classes is a match, so no match is lost at any number of contexts.
 
 A match may reach REACH words beyond its seed on either side; matches of successive positions overlap, so their union covers
 passages of any length. Texts with equal words are one class and enter once; equal contexts are one row, so neither large
-groups of copies nor a passage in very many documents makes a large group.
+groups of copies nor a passage in very many documents makes a large group. Rows of a hot seed or class are dealt over many tasks.
+
+A class is known by two 64-bit hashes of all its words (node, check). That a seed or window occurs in two classes is read
+from node alone: a pair of classes of equal node would hide what only these two share.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialise, release
+from textloom.llm.common import discard, materialise, release, spread_join
 
 LEAST, SEED = 50, 16
 WINDOW = LEAST - SEED + 1
@@ -83,9 +86,11 @@ def minimisers(x: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def sign_of(h: np.ndarray) -> int:
-    got = xxhash.xxh3_64_intdigest(h.tobytes())
-    return got - (got >> 63 << 64)
+def sign_of(h: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of all words."""
+    got = xxhash.xxh3_128_intdigest(h.tobytes())
+    high, low = got >> 64, got & (1 << 64) - 1
+    return high - (high >> 63 << 64), low - (low >> 63 << 64)
 
 
 def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
@@ -98,51 +103,57 @@ def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
 
 
 def suffixes(slim: DataFrame) -> DataFrame:
-    """(rid, doc_id, n, node, at, seeds) of every row: node is the hash of all its words; at and seeds are the retained positions and their seeds' hashes."""
+    """(rid, doc_id, n, node, check, at, seeds) of every row: node and check are hashes of all its words; at and seeds are the retained positions and their seeds' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Words()
         for batch in batches:
-            n, nodes, at, seeds = [], [], [], []
+            n, nodes, checks, at, seeds = [], [], [], [], []
             for t in _texts(batch, "text"):
                 h = word_hashes(t, memo)
                 x = run_hashes(h)
                 m = minimisers(x)
+                node, check = sign_of(h)
                 n.append(len(h))
-                nodes.append(sign_of(h))
+                nodes.append(node)
+                checks.append(check)
                 at.append(m.astype(np.int32))
                 seeds.append(x[m].view(np.int64))
-            cols = [batch.column("rid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), _lists(at, pa.int32()), _lists(seeds, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["rid", "doc_id", "n", "node", "at", "seeds"])
+            cols = [batch.column("rid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), _lists(at, pa.int32()), _lists(seeds, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["rid", "doc_id", "n", "node", "check", "at", "seeds"])
         del memo
         release()
 
-    return slim.mapInArrow(run, "rid long, doc_id long, n long, node long, at array<int>, seeds array<long>")
+    kind = dict(slim.dtypes)["doc_id"]
+    return slim.mapInArrow(run, f"rid long, doc_id {kind}, n long, node long, check long, at array<int>, seeds array<long>")
 
 
 def contexts(rows: DataFrame) -> DataFrame:
-    """(node, pos, seed, before, after) of rows (node, text, at): up to REACH words on either side of a seed, 4 bytes a word, `before` read backwards."""
+    """(node, check, pos, seed, before, after) of rows (node, check, text, at): up to REACH words on either side of a seed, 4 bytes a word, `before` read backwards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Words()
         for batch in batches:
-            nodes, places, seeds, before, after = [], [], [], [], []
-            for t, node, at in zip(_texts(batch, "text"), batch.column("node").to_pylist(), batch.column("at").to_pylist(), strict=True):
+            nodes, checks, places, seeds, before, after = [], [], [], [], [], []
+            for t, node, check, at in zip(_texts(batch, "text"), *(batch.column(c).to_pylist() for c in ("node", "check", "at")), strict=True):
                 h = word_hashes(t, memo)
-                if sign_of(h) != node:
-                    continue  # another row of the same doc_id
+                if sign_of(h) != (node, check):
+                    continue  # another text of the same row id
                 x, low = run_hashes(h), (h >> np.uint64(32)).astype(np.uint32)
                 for p in at:
                     before.append(low[max(0, p - REACH) : p][::-1].tobytes())
                     after.append(low[p + SEED : p + SEED + REACH].tobytes())
                 nodes += [node] * len(at)
+                checks += [check] * len(at)
                 places += at
                 seeds.append(x[at].view(np.int64))
             flat = np.concatenate(seeds) if seeds else np.zeros(0, np.int64)
-            cols = [pa.array(nodes, pa.int64()), pa.array(places, pa.int32()), pa.array(flat), pa.array(before, pa.binary()), pa.array(after, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["node", "pos", "seed", "before", "after"])
+            cols = [pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(places, pa.int32()), pa.array(flat), pa.array(before, pa.binary()), pa.array(after, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "check", "pos", "seed", "before", "after"])
+        del memo
+        release()
 
-    return rows.select("node", "text", "at").mapInArrow(run, "node long, pos int, seed long, before binary, after binary")
+    return rows.select("node", "check", "text", "at").mapInArrow(run, "node long, check long, pos int, seed long, before binary, after binary")
 
 
 def _grid(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -244,41 +255,52 @@ def repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> D
     """doc_id, start, end, n_words: the spans, in words, that passages of at least 50 words found in another row cover.
 
     Words are runs without white space, A-Z lower-cased. Spans of a row don't touch each other. Rows of equal words repeat
-    each other as a whole if they have 50 words. Each row is a document of its own, so a repeated row is a copy. Null, empty
-    and shorter texts give no row, nor does an empty table; other columns are not read.
+    each other as a whole if they have 50 words. Each row is a document of its own, so a repeated row is a copy. doc_id may
+    have any type and be null. Null, empty and shorter texts give no row, nor does an empty table; a text of any length is
+    read as a whole; other columns are not read.
     """
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("rid", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("rid", F.xxhash64(F.col("doc_id").cast("string"), "text"))
     rows = materialise(suffixes(slim), "suffixes").filter(F.col("n") >= LEAST)
-    reps = materialise(rows.groupBy("node").agg(F.min("rid").alias("rid"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies")), "reps")
-    n_reps = reps.count()
-    hint = reps.select("node", "rid")
-    hint = F.broadcast(hint) if n_reps <= BROADCAST_ROWS else hint
-    own = rows.join(hint, ["node", "rid"], "left_semi")
-    post = own.select("node", F.explode(F.arrays_zip("at", "seeds")).alias("x")).select("node", F.col("x.at").alias("pos"), F.col("x.seeds").alias("seed"))
+    reps = materialise(rows.groupBy("node", "check").agg(F.min("rid").alias("rid"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies")), "reps")
+    few = reps.count() <= BROADCAST_ROWS
+    hint = reps.select("node", "check", "rid")
+    own = rows.join(F.broadcast(hint) if few else hint, ["node", "check", "rid"], "left_semi")
+    post = own.select("node", "check", F.explode(F.arrays_zip("at", "seeds")).alias("x")).select("node", "check", F.col("x.at").alias("pos"), F.col("x.seeds").alias("seed"))
     once = own.select("node", F.explode(F.array_distinct("seeds")).alias("seed"))
-    shared = once.groupBy("seed").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("seed")
-    met = post.join(shared, "seed", "left_semi").groupBy("node").agg(F.array_sort(F.collect_set("pos")).alias("at"))
-    need = met.join(reps.select("node", "rid"), "node").select("rid", "node", "at")
-    full = materialise(contexts(slim.select("rid", "text").join(need, "rid")), "contexts").withColumn("ctx", F.xxhash64("seed", "before", "after"))
+    shared = once.groupBy("seed").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("seed", "n")
+    shared = materialise(shared, "shared")
+    met = spread_join(post, shared.select("seed"), "seed", shared, "node", "left_semi").groupBy("node", "check").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    need = met.join(hint, ["node", "check"]).select("rid", "node", "check", "at")
+    written = materialise(contexts(slim.select("rid", "text").join(need, "rid")), "contexts")
+    full = written.withColumn("ctx", F.xxhash64("seed", "before", "after"))
     table = full.groupBy("ctx", "seed", "before", "after").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     table = materialise(table, "table")
     equal = table.filter("lo <> hi").select("ctx", (F.length("before") / 4).cast("int").alias("left"), (F.length("after") / 4).cast("int").alias("right"))
     equal = equal.filter(F.col("left") + F.col("right") + SEED >= LEAST)
-    large = materialise(table.groupBy("seed").count().filter(F.col("count") > NEIGHBOURS + 1).select("seed"), "large")
-    small = large.count() <= BROADCAST_ROWS
-    large = F.broadcast(large) if small else large
-    few, many = table.join(large, "seed", "left_anti"), table.join(large, "seed", "left_semi")
-    if not small:
-        few, many = materialise(few, "few"), materialise(many, "many")
-    found = equal.unionByName(neighbours(few, ("seed", "after", "before", "ctx"))).unionByName(neighbours(few, ("seed", "before", "after", "ctx"))).unionByName(grouped(many))
-    reach = found.groupBy("ctx").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    span = full.select("node", "pos", "ctx").join(reach, "ctx").select("node", F.struct((F.col("pos") - F.col("left")).alias("s"), (F.col("pos") + SEED + F.col("right")).alias("e")).alias("x"))
-    # overlapping spans of a class become one
-    none = F.array().cast("array<struct<s:int,e:int>>")
-    last = lambda a: F.element_at(a, -1)
-    joined = F.aggregate(F.array_sort(F.collect_set("x")), none, lambda a, x: F.when(F.size(a) == 0, F.array(x)).when(last(a).e >= x.s, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last(a).s.alias("s"), F.greatest(last(a).e, x.e).alias("e"))))).otherwise(F.concat(a, F.array(x))))
-    own = span.groupBy("node").agg(joined.alias("spans"))
-    whole = F.array(F.struct(F.lit(0).alias("s"), F.col("n").cast("int").alias("e")))
-    named = reps.join(own, "node", "left").select("node", F.when(F.col("copies") > 1, whole).otherwise(F.col("spans")).alias("spans")).filter("spans IS NOT NULL")
-    out = rows.select("doc_id", "node").join(named, "node").select("doc_id", F.explode("spans").alias("x"))
-    return out.select("doc_id", F.col("x.s").alias("start"), F.col("x.e").alias("end"), (F.col("x.e") - F.col("x.s")).alias("n_words"))
+    large = materialise(table.groupBy("seed").count().filter(F.col("count") > NEIGHBOURS + 1).select("seed", F.col("count").alias("n")), "large")
+    if large.count() <= BROADCAST_ROWS:
+        mark = F.broadcast(large.select("seed"))
+        seldom, many = table.join(mark, "seed", "left_anti"), table.join(mark, "seed", "left_semi")
+    else:
+        seldom = materialise(spread_join(table, large.select("seed"), "seed", large, "ctx", "left_anti"), "seldom")
+        many = materialise(spread_join(table, large.select("seed"), "seed", large, "ctx", "left_semi"), "many")
+    found = equal.unionByName(neighbours(seldom, ("seed", "after", "before", "ctx"))).unionByName(neighbours(seldom, ("seed", "before", "after", "ctx"))).unionByName(grouped(many))
+    reach = materialise(found.groupBy("ctx").agg(F.max("left").alias("left"), F.max("right").alias("right")), "reach")
+    copies = full.groupBy("ctx").agg(F.count(F.lit(1)).alias("n"))
+    met = spread_join(full.select("node", "check", "pos", "ctx"), reach, "ctx", copies, "node")
+    span = met.select("node", "check", (F.col("pos") - F.col("left")).alias("s"), (F.col("pos") + SEED + F.col("right")).alias("e"))
+    # overlapping spans of a class become one: a span starts anew where it lies behind the furthest end so far
+    place = Window.partitionBy("node", "check").orderBy("s", "e")
+    far = F.max("e").over(place.rowsBetween(Window.unboundedPreceding, -1))
+    runs = span.withColumn("new", F.when(far >= F.col("s"), 0).otherwise(1)).withColumn("run", F.sum("new").over(place))
+    lone = reps.filter("copies = 1").select("node", "check")
+    own = rows.select("doc_id", "node", "check")
+    merged = materialise(runs.groupBy("node", "check", "run").agg(F.min("s").alias("start"), F.max("e").alias("end")).drop("run"), "spans")
+    discard(shared, written, table, large, reach)
+    parts = own.join(merged.join(lone, ["node", "check"], "left_semi"), ["node", "check"])
+    copied = reps.filter("copies > 1").select(F.struct("node", "check").alias("key"), F.lit(0).alias("start"), F.col("n").cast("int").alias("end"), F.col("copies").alias("n"))
+    every = own.select("doc_id", F.struct("node", "check").alias("key"))
+    # rows of a class are alike but for the doc_id, so it deals them
+    whole = every.join(F.broadcast(copied.drop("n")), "key") if few else spread_join(every, copied.drop("n"), "key", copied.select("key", "n"), "doc_id")
+    out = parts.select("doc_id", "start", "end").unionByName(whole.select("doc_id", "start", "end"))
+    return out.select("doc_id", "start", "end", (F.col("end") - F.col("start")).alias("n_words"))
