@@ -3,9 +3,11 @@
 Documents are aggregated by membership pattern (the set of sources that a document belongs to). On the driver, a small
 network routes token capacity from patterns to source quotas; using the tokens of a pattern again costs more each time
 (convex repetition costs), so the flow repeats nothing while fresh tokens are left. The flow of each (pattern, layer) is
-then turned into documents by a seeded order, with bucketed prefix sums: no source is ever ordered in one task.
+then turned into documents by a seeded order: the place where its tokens run out is found by prefix sums over buckets of the
+hash, and inside the bucket that is cut by those of the next level, until so few rows are left that they can be ordered. No
+source is ever ordered in one task, whatever its size.
 
-The driver holds one row per pattern, never rows per document.
+The driver holds one row per pattern and cut, never rows per document.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import SPACES, materialise
 
-BROADCAST_ROWS = 1 << 19  # of bucket totals (some 100 bytes each) that may be sent to every task
-BUCKET_BITS = 12  # of the seeded hash; the prefix sums run over 2^12 bucket totals per pattern
+BUCKET_BITS, LEVELS = 12, 5  # of the seeded hash at each level of the search for a cut; 60 bits in all
+EDGE_ROWS = 2000  # rows that may be ordered one by one around a cut; a bucket of more is cut into 2^12 others
 
 
 def word_count(text):
@@ -170,7 +172,7 @@ def mix(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", sources=
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.array_distinct(src).alias("sources"), word_count(F.col(text)).alias("size"), F.struct(F.lit(0).alias("_"), *extra).alias("extra"))
     slim = slim.withColumn("pattern", F.to_json(F.struct(F.array_sort("sources").alias("s")), {"ignoreNullFields": "false"}))
     slim = slim.withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "size"))
-    slim = materialise(slim.withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS).cast("int")), "mix")
+    slim = materialise(slim.withColumn("h", F.shiftrightunsigned("h", 64 - BUCKET_BITS * LEVELS)), "mix")
     totals = slim.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("sources").alias("sources")).collect()
     sizes, members = {r.pattern: r["size"] for r in totals}, {r.pattern: r.sources for r in totals}
     by_source: dict = {}
@@ -180,22 +182,50 @@ def mix(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", sources=
     targets = source_targets(by_source, weights, share, repeat)
     flow = route(sizes, members, {s: round(t) for s, t in targets.items()}, repeat)
     spark = docs.sparkSession
-    rows = [(p, [int(flow.get((p, i), 0)) for i in range(repeat)]) for p in members]
-    asked = spark.createDataFrame(rows, "pattern string, asked array<long>")
     goal = spark.createDataFrame([(s, float(by_source[s]), float(t)) for s, t in targets.items()], "source string, source_size double, target double")
-    # words before each bucket of a pattern: 2^BUCKET_BITS sums per pattern at most
-    sums = slim.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"))
-    before = F.sum("words").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.withColumn("before", F.coalesce(before, F.lit(0))).join(asked, "pattern")
-    # a bucket is passed whole, not at all, or is cut in some layer; only documents of cut buckets are ordered
-    whole = F.expr("transform(asked, a -> CASE WHEN a >= before + words THEN 1 WHEN a <= before THEN 0 ELSE -1 END)")
-    sums = sums.withColumn("whole", whole).drop("words")
-    cut = F.array_contains("whole", -1)
-    few = len(members) << BUCKET_BITS <= BROADCAST_ROWS
-    dealt = slim.join(F.broadcast(sums) if few else sums, ["pattern", "bucket"])
-    flat = dealt.filter(~cut).withColumn("taken", F.expr("size * aggregate(whole, 0, (a, x) -> a + x)"))
-    inner = Window.partitionBy("pattern", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = dealt.filter(cut).withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    edge = edge.withColumn("taken", F.expr("aggregate(asked, 0L, (a, x) -> a + least(size, greatest(0L, x - before)))"))
+    asked = {p: [int(flow.get((p, i), 0)) for i in range(repeat)] for p in members}
+    cuts = find_cuts(slim, sizes, asked)
+    place = "array<struct<asked:long,shift:int,bucket:long,before:long>>"
+    known = F.broadcast(spark.createDataFrame([(p, cuts[p]) for p in members], f"pattern string, cuts {place}"))  # a row per pattern
+    # before the bucket that is cut a document is taken whole, behind it not at all; inside it documents are ordered
+    at = F.expr("transform(cuts, c -> shiftrightunsigned(h, c.shift) - c.bucket)")
+    dealt = slim.join(known, "pattern").withColumn("at", at)
+    on_edge = F.exists("at", lambda x: x == 0)
+    flat = dealt.filter(~on_edge).withColumn("taken", F.expr("size * aggregate(at, 0, (a, x) -> a + IF(x < 0, 1, 0))"))
+    edge = dealt.filter(on_edge)
+    order = Window.partitionBy("pattern").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.lit(0)
+    for i in range(repeat):
+        cut, here = F.col("cuts")[i], F.col("at")[i]
+        passed = cut["before"] + F.coalesce(F.sum(F.when(here == 0, F.col("size")).otherwise(0)).over(order), F.lit(0))
+        part = F.greatest(F.lit(0), F.least(F.col("size"), cut["asked"] - passed))
+        taken = taken + F.when(here < 0, F.col("size")).when(here == 0, part).otherwise(0)
+    edge = edge.withColumn("taken", taken)
     cols = ["doc_id", "sources", "size", F.col("taken").cast("long").alias("taken"), *(F.col("extra")[c].alias(c) for c in extra)]
     return flat.select(cols).unionByName(edge.select(cols)), goal
+
+
+def find_cuts(slim: DataFrame, sizes: dict, asked: dict) -> dict:
+    """Per pattern, and for each of its layers, (asked, shift, bucket, before): the tokens asked for run out in the rows whose h >> shift is bucket, `before` stand before them.
+
+    slim: (pattern, h, size), h of BUCKET_BITS * LEVELS bits. A layer that takes all or nothing is cut before the first or
+    behind the last bucket.
+    """
+    spark, width = slim.sparkSession, BUCKET_BITS * LEVELS
+    found = {p: [(a, width - BUCKET_BITS, -1 if a <= 0 else 1 << BUCKET_BITS, 0) for a in layers] for p, layers in asked.items()}
+    open_ = [(p, i, a, width, 0, 0) for p, layers in asked.items() for i, a in enumerate(layers) if 0 < a < sizes[p]]
+    for level in range(1, LEVELS + 1):
+        if not open_:
+            break
+        # buckets of this level inside the one that is cut; prefix sums over 2^BUCKET_BITS of them
+        shift = width - BUCKET_BITS * level
+        cut = F.broadcast(spark.createDataFrame(open_, "pattern string, layer int, asked long, up int, parent long, before long"))
+        inside = slim.select("pattern", "h", "size").join(cut, "pattern").filter(F.expr("shiftrightunsigned(h, up)") == F.col("parent"))
+        sums = inside.groupBy("pattern", "layer", "asked", "before", F.expr(f"shiftrightunsigned(h, {shift})").alias("bucket")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+        ahead = F.sum("words").over(Window.partitionBy("pattern", "layer").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+        sums = sums.withColumn("before", F.col("before") + F.coalesce(ahead, F.lit(0)))
+        rows = sums.filter("before < asked AND asked <= before + words").collect()  # one bucket per pattern and layer
+        for r in rows:
+            found[r.pattern][r.layer] = (r.asked, shift, r.bucket, r.before)
+        open_ = [(r.pattern, r.layer, r.asked, shift, r.bucket, r.before) for r in rows if r.n > EDGE_ROWS]
+    return found
