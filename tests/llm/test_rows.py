@@ -4,11 +4,12 @@ import random
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
-from textloom.llm import line_dedup, pii, quality, suffix_dedup
+from textloom.llm import langid, line_dedup, mixing, pii, quality, suffix_dedup, toxicity
 
 LINE = "a line that is long enough to be a key"
 
@@ -101,3 +102,34 @@ def test_passages_among_near_misses(spark):
     near = {x for x in where if x[0] and x[0].startswith("x")}
     assert where - near == {("d0", 6, 56), ("d1", 6, 56), (None, 0, 60), *((f"c{i}", 0, 60) for i in range(30))}
     assert len(got) == 62 and not near
+
+
+@pytest.mark.parametrize("rows", [2000, 3])
+def test_mix_meets_the_flow(spark, monkeypatch, rows):
+    """The search for the cut goes down as many levels as it needs; the words taken are those asked for, ties and null ids included."""
+    monkeypatch.setattr(mixing, "EDGE_ROWS", rows)
+    monkeypatch.setattr(mixing, "BUCKET_BITS", 12 if rows > 3 else 3)
+    docs = [(i if i % 7 else None, "w " * (i % 23), "abc"[i % 3] if i % 5 else None) for i in range(900)] + [(5, "same words here", "a")] * 40
+    mixed, goal = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4))
+    got = mixed.select(F.col("sources")[0].alias("s"), "size", "taken").collect()
+    assert len(got) == len(docs) and all(0 <= r.taken <= 2 * r["size"] for r in got)
+    for r in goal.collect():
+        assert sum(x.taken for x in got if x.s == r.source) == round(r.target)
+        assert sum(0 < x.taken % max(1, x["size"]) for x in got if x.s == r.source) <= 2
+
+
+def test_letter_table(spark):
+    letters = langid.Letters()
+    letters.encode("".join(chr(0x4E00 + i) for i in range(3000)))
+    assert letters.used == 3001 and len(letters.vectors) == 4096 and (np.abs(letters.vectors[:3001]) == 1).all()
+
+
+def test_fit_sample_is_bounded_by_bytes(spark, monkeypatch):
+    """Long texts make the samples smaller, not the driver's rows longer."""
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 20_000)
+    rows = [(i, " ".join(f"w{(i * k) % 997}" for k in range(200)) + (" vile scorn" if i % 4 == 0 else "")) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    got = toxicity.detect(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    assert len(got) == 400 and all(0 <= r.score <= 1 for r in got)
+    n = toxicity._sample(spark.range(4000).withColumnRenamed("id", "doc_id"), 4000, 4000, "doc_id", 200_000).count()
+    assert 300 < n < 500

@@ -35,12 +35,14 @@ class Letters:
     def __init__(self, dim: int = DIM, seed: int = SEED):
         self.dim, self.seed = dim, seed
         self.symbol = np.full(0x110000, -1, np.int32)
-        self.vectors = np.zeros((0, dim), np.float32)
+        self.vectors, self.used = np.zeros((256, dim), np.int8), 0  # one byte a component: all of Unicode's letters take some 140 MB
         self._add(0)
 
     def _add(self, code: int) -> None:
-        own = np.random.default_rng([self.seed, code]).integers(0, 2, self.dim).astype(np.float32) * 2 - 1
-        self.vectors = np.vstack([self.vectors, own])
+        if self.used == len(self.vectors):
+            self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
+        self.vectors[self.used] = np.random.default_rng([self.seed, code]).integers(0, 2, self.dim).astype(np.int8) * 2 - 1
+        self.used += 1
 
     def encode(self, text: str) -> np.ndarray:
         codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -48,7 +50,7 @@ class Letters:
         if (got < 0).any():
             for c in np.unique(codes[got < 0]):
                 if unicodedata.category(chr(c)).startswith("L"):
-                    self.symbol[c] = len(self.vectors)
+                    self.symbol[c] = self.used
                     self._add(int(c))
                 else:
                     self.symbol[c] = 0
@@ -182,5 +184,13 @@ def predict(docs: DataFrame, profiles: Profiles | None, *, text: str = "text", k
 
 
 def identify(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", train=None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Learn from the rows that meet `train`, predict all. Repeated rows are predicted alike; an empty table gives an empty result; other columns are not read."""
+    """Learn from the rows that meet `train`, predict all: `keep`, lang_pred, score.
+
+    Texts of any length are read as a whole, in pieces of bounded size. Repeated rows are predicted alike; of languages equally
+    close the first by name is taken. Null texts and texts without letters are `und`; a null lang plays no part in learning, and
+    without any language all rows are `und`. An empty table gives an empty result; other columns are not read, and `keep` may
+    not hold names of the result.
+    """
+    if clash := [c for c in keep if c.lower() in ("lang_pred", "score")]:
+        raise ValueError(f"names of the result can't be kept columns: {clash}")
     return predict(docs, learn(docs, text=text, lang=lang, doc_id=doc_id, train=train), text=text, keep=keep)

@@ -25,6 +25,8 @@ from textloom.llm.common import free_name, release
 
 BITS = 20
 POSITIVES, UNLABELLED, CALIBRATION = 2000, 5000, 3000
+#: Bytes of text that each of the three samples holds (expected); a text's features take no more bytes than some five times its own.
+FIT_BYTES = 32 << 20
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.3
 _SPLIT = {c: " " for c in range(0x80) if not chr(c).isalnum()}
@@ -140,9 +142,9 @@ def calibrate(raw: np.ndarray, label: np.ndarray, steps: int = 200) -> tuple[flo
     return max(a, 1e-3), b
 
 
-def _sample(df: DataFrame, rows: int, total: int, key: str) -> DataFrame:
-    """About `rows` of `total` rows, by a seeded hash of key."""
-    share = min(1.0, rows / max(1, total))
+def _sample(df: DataFrame, rows: int, total: int, key: str, size: int = 0) -> DataFrame:
+    """About `rows` of `total` rows, or FIT_BYTES of their `size` bytes, whichever is less, by a seeded hash of key."""
+    share = min(1.0, rows / max(1, total), FIT_BYTES / max(1, size))
     return df.filter(F.pmod(F.xxhash64(F.lit(29), F.col(key).cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
 
 
@@ -157,14 +159,18 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     if holdout is not None:
         own = own.filter(~holdout)
     own = own.groupBy("doc_id").agg(F.max("label").alias("label"))
-    counts = {r.label: r["count"] for r in own.groupBy((F.col("label") > 0).cast("int").alias("label")).count().collect()}
-    n_pos, n_all = counts.get(1, 0), sum(counts.values())
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    sizes = slim.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    met = own.join(sizes, "doc_id", "left").groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count_distinct("doc_id").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"))
+    counts = {r.label: (r.n, r["size"]) for r in met.collect()}
+    (n_pos, b_pos), (n_neg, b_neg) = counts.get(1, (0, 0)), counts.get(0, (0, 0))
+    n_all = n_pos + n_neg
     if not n_pos:
         return Model(np.zeros(1 << BITS), -30.0, 1.0, 0.0)
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    picked = _sample(own.filter("label > 0"), POSITIVES, n_pos, "doc_id").unionByName(_sample(own.filter("label <= 0"), CALIBRATION, n_all - n_pos, "doc_id"))
+    n_docs, b_docs = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    picked = _sample(own.filter("label > 0"), POSITIVES, n_pos, "doc_id", b_pos).unionByName(_sample(own.filter("label <= 0"), CALIBRATION, n_neg, "doc_id", b_neg))
     known = slim.join(F.broadcast(picked), "doc_id").select("label", "text")  # the sample is bounded
-    free = _sample(slim, UNLABELLED, slim.select("doc_id").count(), "doc_id").select(F.lit(-1).alias("label"), "text")
+    free = _sample(slim, UNLABELLED, n_docs, "doc_id", b_docs).select(F.lit(-1).alias("label"), "text")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = Encoder()
@@ -225,7 +231,11 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str,
 def detect(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", holdout=None, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, score and predicted (1 from the threshold on) of every document.
 
-    An empty table gives an empty result; repeated rows are scored alike; columns beside those named are not read.
+    Texts of any length are scored as a whole, null ones as empty ones. Repeated rows, and texts of the same words, are scored
+    alike. Without labels no text is toxic. An empty table gives an empty result; columns beside those named are not read, and
+    `keep` may not hold names of the result.
     """
+    if clash := [c for c in keep if c.lower() in ("score", "predicted")]:
+        raise ValueError(f"names of the result can't be kept columns: {clash}")
     model = train(docs, labels, text=text, doc_id=doc_id, label=label, holdout=holdout)
     return score(docs, model, text=text, keep=keep).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
