@@ -2,6 +2,7 @@
 
 import random
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
-from textloom.llm import langid, line_dedup, mixing, pii, quality, suffix_dedup, toxicity
+from textloom.llm import html_extract, langid, line_dedup, mixing, pii, quality, suffix_dedup, toxicity
 
 LINE = "a line that is long enough to be a key"
 
@@ -133,3 +134,28 @@ def test_fit_sample_is_bounded_by_bytes(spark, monkeypatch):
     assert len(got) == 400 and all(0 <= r.score <= 1 for r in got)
     n = toxicity._sample(spark.range(4000).withColumnRenamed("id", "doc_id"), 4000, 4000, "doc_id", 200_000).count()
     assert 300 < n < 500
+
+
+@pytest.mark.parametrize("bad", ["<a x ", "<p ", "<title>", "<a x='", "<!", "<script ", "</p><div>", "<object></objectx>", "<svg></svg "])
+def test_broken_pages_take_linear_time(bad):
+    w = np.array(html_extract.fitted_weights())
+    took = []
+    for n in (1, 4):
+        began = time.perf_counter()
+        for tail in ("", '">"', "</x>" * 1000):
+            html_extract.extract(bad * (n * 250_000 // len(bad)) + tail, w)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 and took[1] < 12 * took[0] + 1
+
+
+def test_pages_without_article_elements():
+    """Pages of two layouts against the lines they were made of."""
+    r, w = random.Random(11), np.array(html_extract.fitted_weights())
+    for i in range(60):
+        say = lambda lo, hi: " ".join(f"w{r.randrange(10**5)}" for _ in range(r.randint(lo, hi)))
+        lines = [say(15, 60) for _ in range(r.randint(2, 6))]
+        menu = "<ul>" + "".join(f"<li><a href='/{k}'>{say(1, 2)}</a></li>" for k in range(r.randint(4, 9))) + "</ul>"
+        inner = "".join(f"<p>{x}</p>" + ("<script>if (a < b) track('<p>x</p>')</script>" if r.random() < 0.3 else "") for x in lines)
+        body = f"<div id='x{i}'>{inner}</div>" if i % 2 else f"<table><tr><td>{menu}</td><td>{inner}</td></tr></table>"
+        page = f"<html><head><title>{say(1, 5)}</title></head><body><div class='nav'>{menu}</div>{body}<div class='footer'><p>{say(2, 6)}</p></div></body></html>"
+        assert html_extract.extract(page, w) == "\n".join(lines)

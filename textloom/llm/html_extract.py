@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import free_name
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_WORDS = re.compile(r"\S+")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile(r"[>\"']")
+#: A tag without < inside: tried first, it reads no further than the next <.
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>")
 
 #: Elements whose content is never text.
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea select title head audio video".split())
@@ -49,6 +52,67 @@ def _marked(attrs: str) -> bool:
     return any(MARKS.search(m.strip("\"'")) for m in _ATTR.findall(attrs)) or bool(_HIDDEN.search(attrs))
 
 
+class Finder:
+    """str.find from growing places of one text; that something doesn't occur any more is found out once."""
+
+    def __init__(self, raw: str):
+        self.raw, self.next, self.ends = raw, {}, {}
+
+    def find(self, what: str, at: int) -> int:
+        """First place of `what` from `at` on, or -1."""
+        known = self.next.get(what)
+        if known is None or 0 <= known < at:
+            known = self.next[what] = self.raw.find(what, at)
+        return known
+
+    def tag_end(self, at: int) -> int:
+        """Place behind the > that ends a tag, signs in quotes left out; -1 if there is none. The walk from a sign to the end is remembered for all signs it passes."""
+        passed, end = [], None
+        first = [p for p in (self.find(c, at) for c in ">\"'") if p >= 0]
+        sign = min(first) if first else -1
+        while end is None:
+            if sign < 0 or sign in self.ends:
+                end = self.ends.get(sign, -1)
+                break
+            passed.append(sign)
+            if self.raw[sign] == ">":
+                end = sign + 1
+            else:
+                close = self.raw.find(self.raw[sign], sign + 1)
+                m = _SPECIAL.search(self.raw, close + 1) if close >= 0 else None
+                sign = m.start() if m else -1
+        self.ends.update(dict.fromkeys(passed, end))
+        return end
+
+
+def tokens(raw: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of tags, with an empty name for comments and declarations; time in proportion to the page.
+
+    The caller may move on: tokens that start before the place sent back are left out.
+    """
+    finder, at, skip = Finder(raw), 0, 0
+    while (at := raw.find("<", max(at, skip))) >= 0:
+        if m := _PLAIN.match(raw, at):
+            found = (at, m.end(), m[2].lower(), bool(m[1]), m[3])
+        elif raw.startswith("<!--", at) or raw.startswith("<![CDATA[", at):
+            close = "-->" if raw.startswith("<!--", at) else "]]>"
+            end = finder.find(close, at)
+            end = len(raw) if end < 0 else end + len(close)
+            found = (at, end, "", False, "")
+        elif raw.startswith(("<!", "<?"), at):
+            end = finder.find(">", at) + 1
+            found = (at, end, "", False, "") if end else None
+        else:
+            m = _NAME.match(raw, at)
+            end = finder.tag_end(m.end()) if m else -1
+            found = (at, end, m[2].lower(), bool(m[1]), raw[m.end() : end - 1]) if end > 0 else None
+        if found is None:
+            at += 1  # a sign of its own
+        else:
+            skip = (yield found) or 0
+            at = found[1]
+
+
 class Page:
     """Tokens of a page: kind of each token, and of text tokens the raw text, the block and whether it is boilerplate."""
 
@@ -58,55 +122,72 @@ class Page:
         self.pieces: dict[int, tuple[str, int]] = {}
         self.block = 0
         stack: list[tuple[str, bool]] = []
-        boiled = links = 0
-        at, end, raw_until = 0, len(raw), None
+        open_: Counter = Counter()
+        boiled = links = at = 0
+        end = len(raw)
         marked: dict[str, bool] = {}
+        low = Finder(raw.lower()) if len(raw.lower()) == end else Finder(raw)
+        found = tokens(raw)
 
         def close(n: int) -> None:
             nonlocal boiled, links
             for name, bad in stack[n:]:
                 boiled -= bad
                 links -= name == "a"
+                open_[name] -= 1
             del stack[n:]
 
-        for m in _TOKEN.finditer(raw):
-            if m.start() < at:
-                continue
-            if m.start() > at:
-                self._text(raw[at : m.start()], boiled, links)
-            at, name = m.end(), (m[2] or "").lower()
-            if not name:
-                continue
-            if name in RAW and not m[1]:
-                if not m[3].rstrip().endswith("/"):
-                    stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(raw, at)
-                    at = stop.end() if stop else self._after_raw(name, at, end)
+        token = next(found, None)
+        while token is not None:
+            start, stop, name, closing, attrs = token
+            if start > at:
+                self._text(raw[at:start], boiled, links)
+            at = stop
+            if name and name in RAW and not closing:
+                if not attrs.rstrip().endswith("/"):
+                    at = self._behind(raw, low, name, at, end)
                 self._tag(BOILER_TAG)
                 self.block += name not in ("svg", "math")
-                continue
-            if name not in INLINE:
-                self.block += 1
-            if m[1]:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                bad = depth is not None and stack[depth][1]
-                if depth is not None:
-                    close(depth)
-            else:
-                if name in CLOSES and stack and stack[-1][0] in CLOSES[name]:
-                    close(len(stack) - 1)
-                bad = marked.get(name + m[3])
-                if bad is None:
-                    bad = marked[name + m[3]] = name in BOILER or (name not in ("html", "body", "article", "main") and bool(m[3]) and _marked(m[3]))
-                if name not in VOID and not m[3].endswith("/"):
-                    stack.append((name, bad))
-                    boiled += bad
-                    links += name == "a"
-            self._tag(BOILER_TAG if bad else MAIN if name in ("article", "main") else INLINE_TAG if name in INLINE else PARAGRAPH if name in ("p", "br", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre") else LIST if name in ("ul", "ol", "li", "dl", "dd", "dt") else BLOCK)
+            elif name:
+                if name not in INLINE:
+                    self.block += 1
+                if closing:
+                    bad = False
+                    if open_[name] > 0:
+                        depth = len(stack) - 1
+                        while stack[depth][0] != name:
+                            depth -= 1
+                        bad = stack[depth][1]
+                        close(depth)
+                else:
+                    if name in CLOSES and stack and stack[-1][0] in CLOSES[name]:
+                        close(len(stack) - 1)
+                    bad = marked.get(name + attrs)
+                    if bad is None:
+                        bad = marked[name + attrs] = name in BOILER or (name not in ("html", "body", "article", "main") and bool(attrs) and _marked(attrs))
+                    if name not in VOID and not attrs.endswith("/"):
+                        stack.append((name, bad))
+                        open_[name] += 1
+                        boiled += bad
+                        links += name == "a"
+                self._tag(BOILER_TAG if bad else MAIN if name in ("article", "main") else INLINE_TAG if name in INLINE else PARAGRAPH if name in ("p", "br", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre") else LIST if name in ("ul", "ol", "li", "dl", "dd", "dt") else BLOCK)
+            try:
+                token = found.send(at)
+            except StopIteration:
+                token = None
         if at < end:
             self._text(raw[at:], boiled, links)
 
     @staticmethod
-    def _after_raw(name: str, at: int, end: int) -> int:
+    def _behind(raw: str, low: Finder, name: str, at: int, end: int) -> int:
+        """Place behind the end tag of an element without text; one that is never closed takes the rest of the page, or nothing if pages often leave it open."""
+        close = low.find(f"</{name}", at)
+        while close >= 0:
+            stop = close + 2 + len(name)
+            rest = raw[stop : stop + 1]
+            if rest == ">" or rest.isspace():
+                return low.find(">", stop) + 1 or end
+            close = low.find(f"</{name}", stop)
         return at if name in ("head", "title", "object", "audio", "video", "canvas") else end
 
     def _tag(self, kind: int) -> None:
@@ -222,9 +303,13 @@ def fitted_weights(seed: int = 3, rounds: int = 4) -> tuple[float, ...]:
 def main_text(pages: DataFrame, *, page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """`keep` and text, the main text of every page, empty if there is none; one row per row of pages, nothing is shuffled.
 
-    A null page is an empty one. Broken markup is read as far as it goes: an unclosed element ends with the page. Repeated
-    rows give equal texts; an empty table gives an empty result; other columns are not read.
+    A null page is an empty one. Broken markup is read as far as it goes, in time in proportion to the page: an unclosed element
+    ends with the page, a tag without its > is text. A br ends a block, as it starts a new line on the page. Of regions with
+    equal sums the first and shortest is taken. Repeated rows give equal texts; an empty table gives an empty result; other
+    columns are not read, and `keep` may not hold the name of the result.
     """
+    if "text" in [c.lower() for c in keep]:
+        raise ValueError("the name of the result can't be a kept column: text")
     weights = fitted_weights()
     slim = pages.select(*keep, F.col(page).alias(free_name(keep, "__html")))
 
