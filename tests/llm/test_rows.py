@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
-from textloom.llm import html_extract, langid, line_dedup, mixing, pii, quality, suffix_dedup, toxicity
+from textloom.llm import decontam, html_extract, langid, line_dedup, mixing, pii, quality, suffix_dedup, toxicity
 
 LINE = "a line that is long enough to be a key"
 
@@ -159,3 +159,15 @@ def test_pages_without_article_elements():
         body = f"<div id='x{i}'>{inner}</div>" if i % 2 else f"<table><tr><td>{menu}</td><td>{inner}</td></tr></table>"
         page = f"<html><head><title>{say(1, 5)}</title></head><body><div class='nav'>{menu}</div>{body}<div class='footer'><p>{say(2, 6)}</p></div></body></html>"
         assert html_extract.extract(page, w) == "\n".join(lines)
+
+
+def test_contamination_in_groups(spark, sf, monkeypatch):
+    """A benchmark searched in several groups gives what one group gives, with and without all postings; ids may be text or null."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.when(F.col("doc_id") % 50 != 0, F.concat(F.lit("d"), "doc_id")).alias("doc_id"), "text")
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    key = lambda df: sorted((r.doc_id or "", r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in df.collect())
+    one = key(decontam.contamination(docs, items))
+    assert sum(r[4] for r in one) > 0 and len(one) == docs.count()
+    monkeypatch.setattr(decontam, "GROUP_WORDS", 5000)
+    monkeypatch.setattr(decontam, "MOST_TERMS", 10)
+    assert key(decontam.contamination(docs, items)) == one

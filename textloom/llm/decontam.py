@@ -1,16 +1,23 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is partitioned by document: each row is a block of documents with its terms, and for every term the sorted
-positions of its occurrences in the block (postings). A search sends the phrases, not the postings: inside a block, the
-positions of a phrase's terms, rarest in the block first, are shifted by the term's offset and intersected, so an absent or
-rare term ends the work at once. Nothing is shuffled, and a lost executor costs the blocks it held.
+positions of its occurrences in the block (postings). A search sends the phrases, not the postings. They are kept under the
+term that the fewest phrases hold; a block looks up its own terms there, so it meets only the phrases whose rarest term it has.
+The positions of a phrase's terms, rarest in the block first, are shifted by the term's offset and intersected, so an absent
+or rare term ends the work at once. No posting is shuffled, and a lost executor costs the blocks it held.
+
+Phrases are a table; they are sent in groups of GROUP_WORDS words (counted), one search of the index each, and a document's
+hits are summed up over the groups, so neither the driver nor a task holds more of a large benchmark than one group.
 
 Storing postings for the phrases' terms only (`terms`) is exact, as no other term can take part in a match.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +28,9 @@ from textloom.llm.common import materialise, release
 
 WINDOW = 13
 BLOCK_TOKENS = 1 << 20  # a block ends after the document that reaches it
-#: Phrases are broadcast in groups of about so many words; a task holds one group at a time.
-GROUP_WORDS = 4_000_000
-INDEX = "doc_ids array<long>, n_words array<int>, starts array<long>, terms array<string>, ends array<long>, positions binary"
+GROUP_WORDS = 1 << 20  # words of the phrases sent at once, some 100 MB as Python objects
+MOST_TERMS = 1 << 20  # terms of the phrases that are sent to choose the postings; with more, all postings are stored
+INDEX = "block string, doc_ids array<{}>, n_words array<int>, starts array<long>, terms array<string>, ends array<long>, positions binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -39,10 +46,11 @@ def build_index(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     """Blocks of postings (see INDEX). gap: free positions between documents, more than any phrase's length, so that no match spans two.
 
     terms: store postings of these only. Null texts and texts without words are in doc_ids with n_words 0. Positions are
-    int64 within the block, so the length of a text is not limited by the block's size.
+    int64 within the block, so the length of a text is not limited by the block's size. A block's name is new at each run: write
+    the index before it is searched more than once.
     """
     known = None if terms is None else docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(sorted(terms))})
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fixed = known.value if known is not None else None
@@ -51,14 +59,15 @@ def build_index(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 state.add(i, t.as_buffer().to_pybytes() if t.is_valid else b"")
                 if state.n_tokens >= block_tokens or len(state.doc_ids) >= block_tokens // 16:
-                    yield state.row()
+                    yield state.row(batch.column(0).type)
                     state = _Block(fixed, gap)
+            kind = batch.column(0).type
         if state.doc_ids:
-            yield state.row()
+            yield state.row(kind)
         del state
         release()
 
-    return slim.mapInArrow(index, INDEX)
+    return slim.mapInArrow(index, INDEX.format(dict(slim.dtypes)["doc_id"]))
 
 
 class _Block:
@@ -85,17 +94,17 @@ class _Block:
         self.next += n + self.gap
         self.n_tokens += n + self.gap
 
-    def row(self) -> pa.RecordBatch:
+    def row(self, id_kind: pa.DataType) -> pa.RecordBatch:
         terms = np.concatenate(self.term_ids) if self.term_ids else np.zeros(0, np.int32)
         places = np.concatenate(self.places) if self.places else np.zeros(0, np.int64)
         order = np.argsort(terms, kind="stable")
         used, counts = np.unique(terms, return_counts=True)
         names = sorted(self.ids, key=self.ids.get) if self.fixed is None else list(self.ids)
         cols = [self.doc_ids, self.n_words, self.starts, [names[i].decode("utf-8", "surrogatepass") for i in used], np.cumsum(counts).tolist()]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64()]
-        arrays = [pa.array([c], pa.list_(k)) for c, k in zip(cols, kinds, strict=True)]
+        kinds = [id_kind, pa.int32(), pa.int64(), pa.string(), pa.int64()]
+        arrays = [pa.array([uuid.uuid4().hex]), *(pa.array([c], pa.list_(k)) for c, k in zip(cols, kinds, strict=True))]
         arrays.append(pa.array([places[order].astype(np.int64).tobytes()], pa.binary()))
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_ids", "n_words", "starts", "terms", "ends", "positions"])
+        return pa.RecordBatch.from_arrays(arrays, names=["block", "doc_ids", "n_words", "starts", "terms", "ends", "positions"])
 
 
 class _Absent:
@@ -165,58 +174,106 @@ def windows(words: list[bytes], size: int = WINDOW) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
 
 
-def load_phrases(items: DataFrame, *, text: str = "text", item_id: str = "item_id", size: int = WINDOW) -> dict[tuple[str, ...], list]:
-    """Windows of the benchmark with the ids (as text) of their items. The benchmark is the query set; it is held by the driver.
+def phrase_table(items: DataFrame, *, text: str = "text", item_id: str = "item_id", size: int = WINDOW) -> DataFrame:
+    """(phrase, items): distinct windows of the items, words joined by a space, with the ids (as sorted text) of their items.
 
     Null ids hold no item of their own: their windows are searched and mark words, but name no item.
     """
-    found: dict[tuple[str, ...], set] = {}
-    for row in items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).distinct().toLocalIterator():
-        for w in windows(words_of(row.t), size):
-            found.setdefault(tuple(x.decode("utf-8", "surrogatepass") for x in w), set()).update([] if row.i is None else [row.i])
-    return {w: sorted(i) for w, i in sorted(found.items())}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in zip(batch.column(0), batch.column(1), strict=True):
+                found = [b" ".join(w) for w in windows((t.as_buffer().to_pybytes() if t.is_valid else b"").translate(_TO_WORDS).split(), size)]
+                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(found), pa.string()), pa.array(found, pa.binary()).cast(pa.string())], names=["item", "phrase"])
+
+    rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).mapInArrow(cut, "item string, phrase string")
+    return rows.groupBy("phrase").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def by_rarest(phrases: dict[tuple[str, ...], list]) -> dict[str, list]:
+    """Phrases and their items under the term that the fewest phrases hold, first in order of equals."""
+    held = Counter(w for p in phrases for w in set(p))
+    found: dict[str, list] = {}
+    for p, items in sorted(phrases.items()):
+        found.setdefault(min(p, key=lambda w: (held[w], w)), []).append((p, items))
+    return found
 
 
 def search(index: DataFrame, phrases: dict[tuple[str, ...], list]) -> DataFrame:
-    """Per document of the index: doc_id, n_words, n_hit (words inside any occurrence of a phrase), items (ids, sorted as text)."""
-    groups, n = [[]], 0
-    for x in phrases.items():
-        if n >= GROUP_WORDS:
-            groups.append([])
-            n = 0
-        groups[-1].append(x)
-        n += len(x[0])
-    sent = [index.sparkSession.sparkContext.broadcast(g) for g in groups]
-    schema = "doc_id long, n_words long, n_hit long, items array<string>"
+    """Per document of the index: doc_id, n_words, n_hit (words inside any occurrence of a phrase), items (ids, sorted as text). The phrases are one group."""
+    sent = index.sparkSession.sparkContext.broadcast(by_rarest(phrases))
+    id_kind = _id_kind(index)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                yield _hits(row, (x for part in sent for x in part.value))
+            for i, row in enumerate(batch.to_pylist()):
+                spans, found = _spans(row, sent.value)
+                n_hit = [sum(e - s for s, e in spans.get(d, ())) for d in range(len(row["n_words"]))]
+                cols = [batch.column("doc_ids")[i].values, pa.array(row["n_words"], pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(found.get(d, ())) for d in range(len(n_hit))], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_hit", "items"])
+
+    return index.mapInArrow(look, f"doc_id {id_kind}, n_words long, n_hit long, items array<string>")
+
 
-    return index.mapInArrow(look, schema)
+def _id_kind(index: DataFrame) -> str:
+    return dict(index.dtypes)["doc_ids"][len("array<") : -1]
 
 
-def _hits(row: dict, phrases) -> pa.RecordBatch:
+def _spans(row: dict, phrases: dict[str, list]) -> tuple[dict[int, list[tuple[int, int]]], dict[int, set]]:
+    """Of a block: by document, the merged spans (in words) of all occurrences, and the items. Only phrases under a term of the block are visited."""
     block, starts = Postings(row["terms"], row["ends"], row["positions"]), np.asarray(row["starts"], np.int64)
-    n_words, n = np.asarray(row["n_words"], np.int64), len(row["doc_ids"])
-    first, length, found = [], [], {}
-    for words, items in phrases:
-        at = block.phrase(words)
-        if len(at):
-            first.append(at)
-            length.append(np.full(len(at), len(words), np.int64))
-            for d in np.unique(np.searchsorted(starts, at, "right") - 1):
-                found.setdefault(int(d), set()).update(items)
-    n_hit = np.zeros(n, np.int64)
+    first, last, found = [], [], {}
+    for term in row["terms"] if len(row["terms"]) < len(phrases) else [x for x in phrases if x in block.at]:
+        for words, items in phrases.get(term, ()):
+            at = block.phrase(words)
+            if len(at):
+                first.append(at)
+                last.append(at + len(words))
+                for d in np.unique(np.searchsorted(starts, at, "right") - 1):
+                    found.setdefault(int(d), set()).update(items)
+    spans: dict[int, list[tuple[int, int]]] = {}
     if first:
-        a, k = np.concatenate(first), np.concatenate(length)
-        size = int(starts[-1] + n_words[-1]) + 1
-        edge = np.bincount(a, minlength=size + 1)[: size + 1] - np.bincount(a + k, minlength=size + 1)[: size + 1]
-        hit = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:size] > 0)])
-        n_hit = hit[starts + n_words] - hit[starts]
-    cols = [pa.array(row["doc_ids"], pa.int64()), pa.array(n_words), pa.array(n_hit), pa.array([sorted(found.get(d, ())) for d in range(n)], pa.list_(pa.string()))]
-    return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_hit", "items"])
+        a, b = np.concatenate(first), np.concatenate(last)
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], np.maximum.accumulate(b[order])
+        new = np.flatnonzero(np.r_[True, a[1:] > b[:-1]])
+        begin, end = a[new], b[np.r_[new[1:] - 1, len(b) - 1]]
+        doc = np.searchsorted(starts, begin, "right") - 1  # the gap between documents keeps spans apart
+        for d, s, e in zip(doc.tolist(), (begin - starts[doc]).tolist(), (end - starts[doc]).tolist(), strict=True):
+            spans.setdefault(d, []).append((s, e))
+    return spans, found
+
+
+def search_groups(index: DataFrame, table: DataFrame, groups: int) -> DataFrame:
+    """As search, for a table (phrase, items) searched in `groups` parts by the phrase's hash; index and table are written ones."""
+    spark, parts = index.sparkSession, []
+    schema = "block string, doc int, spans array<struct<s:int,e:int>>, items array<string>"
+    for g in range(groups):
+        sent = spark.sparkContext.broadcast(by_rarest(_phrases(table.filter(F.pmod(F.xxhash64("phrase"), F.lit(groups)) == g))))
+
+        def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    spans, found = _spans(row, sent.value)
+                    cols = [pa.array([row["block"]] * len(spans), pa.string()), pa.array(list(spans), pa.int32())]
+                    cols.append(pa.array([[{"s": s, "e": e} for s, e in x] for x in spans.values()], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))))
+                    cols.append(pa.array([sorted(found[d]) for d in spans], pa.list_(pa.string())))
+                    yield pa.RecordBatch.from_arrays(cols, names=["block", "doc", "spans", "items"])
+
+        parts.append(materialise(index.select("block", "doc_ids", "n_words", "starts", "terms", "ends", "positions").mapInArrow(look, schema), "hits"))
+        sent.unpersist()
+    every = reduce(DataFrame.unionByName, parts)
+    merged = every.groupBy("block", "doc").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    step = lambda a, x: F.struct(F.greatest(a.end, x.e).alias("end"), (a.n + F.greatest(F.lit(0), x.e - F.greatest(a.end, x.s))).cast("long").alias("n"))
+    merged = merged.select("block", "doc", F.aggregate("spans", zero, step, lambda a: a.n).alias("n_hit"), "items")
+    docs = index.select("block", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("doc", "x")).select("block", "doc", "x.doc_ids", "x.n_words")
+    got = docs.join(merged, ["block", "doc"], "left")
+    return got.select(F.col("doc_ids").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _phrases(table: DataFrame) -> dict[tuple[str, ...], list]:
+    return {tuple(r.phrase.split(" ")): r["items"] for r in table.collect()}
 
 
 def proximity(index: DataFrame, queries: dict[str, tuple[str, ...]], slop: int) -> DataFrame:
@@ -225,24 +282,29 @@ def proximity(index: DataFrame, queries: dict[str, tuple[str, ...]], slop: int)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i, row in enumerate(batch.to_pylist()):
                 block, starts = Postings(row["terms"], row["ends"], row["positions"]), np.asarray(row["starts"], np.int64)
                 for name, words in sent.value.items():
                     at = block.near(tuple(words), slop)
                     d = np.searchsorted(starts, at, "right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array([row["doc_ids"][i] for i in d], pa.int64()), pa.array([name] * len(at), pa.string()), pa.array(at - starts[d] if len(at) else at, pa.int64())], names=["doc_id", "query", "position"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values.take(pa.array(d, pa.int64())), pa.array([name] * len(at), pa.string()), pa.array(at - starts[d] if len(at) else at, pa.int64())], names=["doc_id", "query", "position"])
 
-    return index.mapInArrow(look, "doc_id long, query string, position long")
+    return index.mapInArrow(look, f"doc_id {_id_kind(index)}, query string, position long")
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", size: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, items, contaminated (n_hit > 0 and 20 * n_hit >= n_words); one row per row of docs.
 
-    Null texts have no words and are clean. Repeated items count once, repeated rows of docs are judged alike. An empty
-    benchmark leaves all documents clean; an empty table gives an empty result.
+    Null texts have no words and are clean; a text of any length is read as a whole. Repeated items count once, repeated rows
+    of docs are judged alike; doc_id may have any type and be null. An empty benchmark leaves all documents clean; an empty
+    table gives an empty result. Columns beside those named are not read, whatever their names.
     """
-    phrases = load_phrases(items, text=item_text, item_id=item_id, size=size)
-    terms = sorted({w.encode("utf-8", "surrogatepass") for p in phrases for w in p})
+    table = materialise(phrase_table(items, text=item_text, item_id=item_id, size=size), "phrases")
+    words = F.split("phrase", " ")
+    n_words = table.agg(F.coalesce(F.sum(F.size(words)), F.lit(0))).first()[0]
+    vocabulary = [r.w for r in table.select(F.explode(words).alias("w")).distinct().limit(MOST_TERMS + 1).collect()]
+    terms = [w.encode("utf-8", "surrogatepass") for w in vocabulary] if len(vocabulary) <= MOST_TERMS else None
     index = materialise(build_index(docs, text=text, doc_id=doc_id, terms=terms, gap=size), "index")
-    found = search(index, phrases)
+    groups = max(1, -(-n_words // GROUP_WORDS))
+    found = search(index, _phrases(table)) if groups == 1 else search_groups(index, table, groups)
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
