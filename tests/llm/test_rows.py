@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
-from textloom.llm import decontam, html_extract, langid, line_dedup, mixing, pii, quality, suffix_dedup, toxicity
+from textloom.llm import decontam, html_extract, langid, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup, toxicity
 
 LINE = "a line that is long enough to be a key"
 
@@ -171,3 +171,28 @@ def test_contamination_in_groups(spark, sf, monkeypatch):
     monkeypatch.setattr(decontam, "GROUP_WORDS", 5000)
     monkeypatch.setattr(decontam, "MOST_TERMS", 10)
     assert key(decontam.contamination(docs, items)) == one
+
+
+def test_components_of_a_long_chain(spark):
+    """The rounds go on until nothing changes, whatever the length of a chain."""
+    n = 400
+    order = list(range(n))
+    random.Random(2).shuffle(order)
+    edges = [(order[i], order[i + 1]) for i in range(n - 1)] + [(n + 5, n + 9), (n + 9, n + 7)]
+    got = {r.node: r.root for r in ngram_join.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert all(got[i] == 0 for i in range(1, n)) and got[n + 9] == got[n + 7] == n + 5
+
+
+def test_ngram_links_of_odd_ids(spark):
+    """Text and null ids, repeated rows; sets whose first hash is the same stay apart."""
+    r = random.Random(4)
+    base = [f"w{r.randrange(10**6)}" for _ in range(100)]
+    near = list(base)
+    near[50] = "other"
+    docs = [("b", " ".join(base)), ("a", " ".join(near)), ("a", " ".join(near)), (None, " ".join(base)), (None, "alone in here with these words"), ("c", None)]
+    d = spark.createDataFrame(docs, "doc_id string, text string")
+    got = sorted(((r.doc_id or "", r.n_shingles, r.component_id) for r in ngram_join.join_components(d).collect()), key=str)
+    assert got == sorted([("b", 97, "a"), ("a", 97, "a"), ("a", 97, "a"), ("", 97, "a"), ("", 3, None), ("c", 0, "c")], key=str)
+    rows = spark.createDataFrame([(1, 7, 1), (2, 7, 2), (3, 7, 2), (4, 8, 1)], "rid long, node long, check long").withColumn("n", F.lit(5).cast("long"))
+    again, reps = ngram_join.known_classes(rows)
+    assert {r.rid: r.node for r in again.collect()}[4] == 8 and again.select("node").distinct().count() == reps.count() == 3

@@ -67,8 +67,8 @@ def clear_scratch(spark: SparkSession) -> None:
     _delete(spark, scratch_dir(spark))
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: str, weight: DataFrame, by: str, how: str = "inner", share: int = 1024) -> DataFrame:
-    """left.join(right, on, how) with hot keys dealt over many tasks.
+def spread_join(left: DataFrame, right: DataFrame, on: str, weight: DataFrame, by: str, how: str = "inner", share: int = 1024, where=None) -> DataFrame:
+    """left.join(right, on, how) with hot keys dealt over many tasks; where: a further condition of the join.
 
     weight: (on, n), about how many rows of left hold a key. A key with over 1 / share of all rows is cut into parts of about
     that size, by the hash of left's column `by` (the same in every attempt of a task); right's rows of that key are repeated
@@ -80,7 +80,9 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, weight: DataFrame, b
     parts = F.coalesce("__parts", F.lit(1))
     x = left.join(F.broadcast(hot), on, "left").withColumn("__salt", F.pmod(F.xxhash64(by), parts).cast("int")).drop("__parts")
     y = right.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
-    return x.join(y, [on, "__salt"], how).drop("__salt")
+    if where is None:
+        return x.join(y, [on, "__salt"], how).drop("__salt")
+    return x.join(y, (x[on] == y[on]) & (x["__salt"] == y["__salt"]) & where, how).drop(y[on], x["__salt"], y["__salt"])
 
 def release() -> None:
     """Give what a Python task has freed back to the system: workers are used again, by other operators too."""

@@ -1,11 +1,13 @@
 """Exact n-gram Jaccard join by vertical partitioning, and the components of its links.
 
-A document is the set of its word n-grams, as 64-bit hashes. Equal sets are one class and are joined once. All n-grams stand
-in one global order, common ones last; the order is cut into fragments, and a class becomes one segment per fragment.
+A document is the set of its word n-grams, as 64-bit hashes. Equal sets are one class (known by 128 bits) and are joined once.
+All n-grams stand in one global order, common ones last; the order is cut into fragments, and a class becomes one segment per
+fragment, a row of its own.
 
 1. Candidates: two classes of Jaccard t share at least SHARED of the first  n - ceil(t n) + SHARED  n-grams of each in the
    global order, so only these prefixes are spread out. Sizes and positions rule out more.
-2. Counts: a pair's overlap is counted fragment by fragment, on the segments of its two classes, and summed per pair.
+2. Counts: fragment after fragment, a pair meets the two segments of its classes in that fragment, and what they share is added
+   to the pair's sum. A pair that can't come to the threshold with what its classes hold in later fragments is counted no further.
 
 Groups of near copies are not expanded into all pairs. First every class is paired with the smallest class of its n-gram's
 bucket only (a star); classes that these links connect need no further comparison. Then all pairs of classes of one bucket
@@ -22,13 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialise, release
+from textloom.llm.common import discard, materialise, release, spread_join
 
 PERCENT, N = 85, 4
 SHARED = 2  # n-grams of the prefixes that a linked pair shares at least
-FRAGMENTS = 8  # 7 of the order's front, by hash; the last holds the common n-grams
+FRAGMENTS = 4  # 3 of the order's front, by hash; the last holds the common n-grams
 #: The order needs to know common n-grams; any order gives the same result, so they are estimated from one document in 16.
 ORDER_SHARE, ORDER_LEAST, ORDER_MOST = 16, 2, 1 << 20
+PAIR_SHARE = 64  # a bucket of over 1/64 of all places is cut for the search of its pairs
 BROADCAST_ROWS = 1 << 21  # of 8 or 16 bytes; beyond it, Spark's own choice of join
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -120,50 +123,69 @@ def find_order(slim: DataFrame, n: int = N) -> Order:
     return Order(common, np.arange(len(common), 0, -1))
 
 
+def sign_of(grams: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set."""
+    got = xxhash.xxh3_128_intdigest(grams.tobytes())
+    high, low = got >> 64, got & (1 << 64) - 1
+    return high - (high >> 63 << 64), low - (low >> 63 << 64)
+
+
 def classes(slim: DataFrame, order, n: int, percent: int) -> DataFrame:
-    """(rid, doc_id, n, node, prefix) of every row: node is the hash of the set, 0 shingles give a null node."""
+    """(rid, doc_id, n, node, check, prefix) of every row: node and check are hashes of the set, 0 shingles give a null node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, by = _Words(), order.value
         for batch in batches:
-            sizes, nodes, prefixes = [], [], []
+            sizes, nodes, checks, prefixes = [], [], [], []
             for t in _texts(batch, 1):
                 grams = shingles(t, memo, n)
                 sizes.append(len(grams))
-                sign = xxhash.xxh3_64_intdigest(grams.tobytes())
-                nodes.append(sign - (sign >> 63 << 64) if len(grams) else None)
+                node, check = sign_of(grams) if len(grams) else (None, None)
+                nodes.append(node)
+                checks.append(check)
                 prefixes.append(by.prefix(grams, prefix_length(len(grams), percent)).view(np.int64))
             flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
             ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32))
-            cols = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(ends, flat)]
-            yield pa.RecordBatch.from_arrays(cols, names=["rid", "doc_id", "n", "node", "prefix"])
+            cols = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.ListArray.from_arrays(ends, flat)]
+            yield pa.RecordBatch.from_arrays(cols, names=["rid", "doc_id", "n", "node", "check", "prefix"])
         del memo
         release()
 
-    return slim.select("rid", "text", "doc_id").mapInArrow(run, "rid long, doc_id long, n long, node long, prefix array<long>")
+    kind = dict(slim.dtypes)["doc_id"]
+    return slim.select("rid", "text", "doc_id").mapInArrow(run, f"rid long, doc_id {kind}, n long, node long, check long, prefix array<long>")
+
 
+def known_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows and (node, rid, n, k): one row that stands for each class, and the class's rows. Sets of equal node but different check get nodes of their own."""
+    reps = materialise(rows.filter("node IS NOT NULL").groupBy("node", "check").agg(F.min("rid").alias("rid"), F.min("n").alias("n"), F.count(F.lit(1)).alias("k")), "reps")
+    twice = materialise(reps.groupBy("node").count().filter("count > 1").select("node", F.lit(True).alias("twice")), "twice")
+    if not twice.head(1):
+        return rows, reps.drop("check")
+    node = F.when(F.col("twice"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    again = lambda df: df.join(F.broadcast(twice), "node", "left").withColumn("node", node).drop("twice")  # noqa: E731  # a handful of all rows
+    return again(rows), again(reps).drop("check")
 
-def segments(slim: DataFrame, order, n: int) -> DataFrame:
-    """(node, parts) of the rows given: the set of each, one array per fragment."""
+
+def segments(texts: DataFrame, order, n: int) -> DataFrame:
+    """(node, fragment, part, after) of rows (node, text): the set's n-grams in each fragment, and how many it holds in later ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, by = _Words(), order.value
         for batch in batches:
-            nodes, parts = [], []
+            parts, after = [], []
             for t in _texts(batch, 1):
-                own = shingles(t, memo, n)
-                if len(own):
-                    sign = xxhash.xxh3_64_intdigest(own.tobytes())
-                    nodes.append(sign - (sign >> 63 << 64))
-                    parts += [g.view(np.int64) for g in by.segments(own)]
+                own = by.segments(shingles(t, memo, n))
+                parts += [g.view(np.int64) for g in own]
+                after += np.cumsum([0, *(len(g) for g in own[:0:-1])])[::-1].tolist()
             flat = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
             ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32))
-            rows = pa.array((np.arange(len(nodes) + 1) * FRAGMENTS).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(rows, pa.ListArray.from_arrays(ends, flat))], names=["node", "parts"])
+            nodes = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), FRAGMENTS)))
+            fragment = pa.array(np.tile(np.arange(FRAGMENTS), batch.num_rows), pa.int32())
+            yield pa.RecordBatch.from_arrays([nodes, fragment, pa.ListArray.from_arrays(ends, flat), pa.array(after, pa.int64())], names=["node", "fragment", "part", "after"])
         del memo
         release()
 
-    return slim.select("rid", "text").mapInArrow(run, "node long, parts array<array<long>>")
+    return texts.select("node", "text").mapInArrow(run, "node long, fragment int, part array<long>, after long")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -171,54 +193,70 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def overlaps(pairs: DataFrame, slim: DataFrame, reps: DataFrame, order, n: int) -> DataFrame:
-    """pairs (a, b, na, nb) with their overlap: counted by fragment, summed per pair. Texts are read again for the classes that occur only."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    need = materialise(nodes.join(reps, "node").select("rid"), "need")
-    rows = need.count()
-    texts = slim.join(_small(need.distinct(), rows), "rid", "left_semi")
-    seg = materialise(segments(texts, order, n), "segments").groupBy("node").agg(F.first("parts").alias("parts"))
-    left = seg.select(F.col("node").alias("a"), F.col("parts").alias("pa"))
-    right = seg.select(F.col("node").alias("b"), F.col("parts").alias("pb"))
-    # a pair's fragments are counted one by one, in one row: the pair's own key, not the fragment's, deals the work
-    partial = F.zip_with("pa", "pb", lambda x, y: F.size(F.array_intersect(x, y)))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.aggregate(partial, F.lit(0), lambda s, i: s + i).cast("long").alias("overlap"))
-
-
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, root) of the nodes of edges (u, v): root is the smallest node connected. Alternating large and small stars, written at each round."""
+def overlaps(pairs: DataFrame, slim: DataFrame, reps: DataFrame, order, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) that are linked. Texts are read again for the classes that occur only; pairs is a written table."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    need = materialise(ends.distinct().join(reps, "node").select("rid", "node"), "need")
+    n_need = need.count()
+    texts = slim.join(_small(need, n_need), "rid").select("node", "text")
+    seg = materialise(segments(texts, order, n), "segments")
+    done, found = [need, seg], pairs.withColumn("sum", F.lit(0).cast("long"))
+    degree = {c: materialise(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("n")), "degree") for c in ("a", "b")}
+    done += degree.values()
+    if seg.count() > n_need * FRAGMENTS:  # rows alike in id and text
+        seg = seg.dropDuplicates(["node", "fragment"])
+    for i in range(FRAGMENTS):
+        part = seg.filter(F.col("fragment") == i)
+        for c, other in (("a", "b"), ("b", "a")):  # a class of very many pairs is dealt over many tasks
+            own = part.select(F.col("node").alias(c), F.col("part").alias("p" + c), F.col("after").alias("after" + c))
+            found = spread_join(found, own, c, degree[c], other)
+        found = found.withColumn("sum", F.col("sum") + F.size(F.array_intersect("pa", "pb")))
+        most = F.col("sum") + F.least("aftera", "afterb")
+        found = found.filter(most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb", "sum")
+    found = materialise(found, "linked")
+    discard(*done)
+    return found
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of the nodes of edges (u, v): root is the smallest node connected. Alternating large and small stars, written at each round, until a round changes nothing."""
     e = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     seen = None
-    for _ in range(most):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        e = materialise(small, "edges")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u"))
+        low = materialise(low, "low")
+        large = spread_join(both, low.drop("n"), "u", low.select("u", "n"), "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # after the large star an edge leads from a node to a smaller one that is no larger than any of its neighbours
+        large = materialise(large, "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        old, e = e, materialise(small, "edges")
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        discard(old, low, large)
         if now == seen:
-            break
+            return e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
         seen = now
-    return e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
 
 
 def links(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, node) and the components (node, root) of the classes that have links."""
     spark = docs.sparkSession
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    slim = slim.withColumn("rid", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    slim = slim.withColumn("rid", F.xxhash64(F.col("doc_id").cast("string"), "text"))
     order = spark.sparkContext.broadcast(find_order(slim, n))
-    rows = materialise(classes(slim, order, n, percent), "classes")
-    # one row stands for each class
-    reps = materialise(rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("rid").alias("rid"), F.min("n").alias("n")), "reps")
+    written = materialise(classes(slim, order, n, percent), "classes")
+    rows, reps = known_classes(written)
     n_reps = reps.count()
     own = rows.join(_small(reps.select("node", "rid"), n_reps), ["node", "rid"], "left_semi")
+    if own.count() > n_reps:  # rows alike in id and text
+        own = own.dropDuplicates(["node"])
     # sets of fewer than percent / (100 - percent) n-grams are linked with equal ones only
     post = own.filter(F.col("n") * (100 - percent) >= percent).select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
     # an n-gram of one class only can't be shared. The hub of a bucket is the class with the fewest rarer n-grams, so the most central one
     star = post.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("pos", "node")).alias("hub")).filter("k > 1")
-    met = post.join(star.select("gram", F.col("hub.node").alias("hub")), "gram")
+    star = materialise(star.select("gram", F.col("hub.node").alias("hub"), F.col("k").alias("n")), "star")
+    met = spread_join(post, star.drop("n"), "gram", star.select("gram", "n"), "node")
     before = Window.partitionBy("node").orderBy("pos")
     met = materialise(met.withColumn("live", F.row_number().over(before) - 1), "met")
     hubs = met.filter("node <> hub").groupBy("node", "n", "hub").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= SHARED)
@@ -227,14 +265,15 @@ def links(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int
     spokes = spokes.join(F.broadcast(sizes) if n_reps <= BROADCAST_ROWS else sizes, "hub").filter(F.least("n", "hub_n") * 100 >= percent * F.greatest("n", "hub_n"))
     low = F.col("node") < F.col("hub")
     spokes = spokes.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.when(low, F.col("n")).otherwise(F.col("hub_n")).alias("na"), F.when(low, F.col("hub_n")).otherwise(F.col("n")).alias("nb")).distinct()
-    first = materialise(overlaps(materialise(spokes, "spokes"), slim, reps, order, n), "counted")
-    good = F.col("overlap") * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
-    joined = first.filter(good).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    comp = materialise(components(joined), "components")
+    spokes = materialise(spokes, "spokes")
+    first = overlaps(spokes, slim, reps, order, n, percent)
+    edge = lambda pairs: pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    comp = materialise(components(edge(first)), "components")
     # what is left: pairs of one bucket in different components
     at = met.join(comp, "node", "left").select("gram", "node", "n", "pos", "live", F.coalesce("root", "node").alias("comp"))
-    many = at.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
-    at = at.join(many, "gram", "left_semi")
+    many = at.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo <> hi").select("gram", F.col("k").alias("n"))
+    many = materialise(many, "many")
+    at = spread_join(at, many.drop("n"), "gram", many, "node", "left_semi")
     # the shared n-grams of a class's prefix, in order: a pair is met at its first common one, and only there
     lists = met.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gram"))), lambda x: x.gram).alias("grams"))
     at = materialise(at.join(lists, "node"), "apart")
@@ -248,12 +287,14 @@ def links(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int
     # all n-grams shared up to the earlier end of the two prefixes are counted; behind it stand as many as the longer rest at most
     shared = F.size(F.array_intersect("gramsx", "gramsy"))
     behind = F.greatest(*(F.col(c) - _prefix(c, percent) for c in ("nx", "ny")))
-    rest = x.join(y, (x.gram == y.gram) & apart & close & fits(most) & first_met & (shared >= SHARED) & fits(shared + behind))
+    # the pairs of a large bucket are dealt over tasks by their first class
+    rest = spread_join(x, y, "gram", many, "nodex", share=PAIR_SHARE, where=apart & close & fits(most) & first_met & (shared >= SHARED) & fits(shared + behind))
     rest = rest.select(F.col("nodex").alias("a"), F.col("nodey").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")).distinct()
-    rest = materialise(rest.join(first, ["a", "b"], "left_anti"), "rest")
-    second = overlaps(rest, slim, reps, order, n)
-    edges = joined.unionByName(second.filter(good).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return rows.select("doc_id", "n", "node"), materialise(components(edges), "components")
+    rest = materialise(rest.join(spokes, ["a", "b"], "left_anti"), "rest")
+    second = overlaps(rest, slim, reps, order, n, percent)
+    found = materialise(components(edge(first).unionByName(edge(second))), "components")
+    discard(star, met, spokes, first, comp, many, at, rest, second)
+    return rows.select("doc_id", "n", "node"), found
 
 
 def _prefix(n: str, percent: int):
@@ -264,12 +305,18 @@ def _prefix(n: str, percent: int):
 def join_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included); one row per row of docs.
 
-    Each row is a document of its own. Null texts and texts without words have no shingles and are linked with nothing; a
-    null doc_id takes part in links and gives no component_id. An empty table gives an empty result; other columns are not
-    read.
+    Each row is a document of its own; doc_id may have any type that has an order. Null texts and texts without words have no
+    shingles and are linked with nothing; a null doc_id takes part in links and gives no component_id. A text of any length
+    is read as a whole; repeated rows are linked with each other. An empty table gives an empty result; other columns are not
+    read, whatever their names.
     """
     rows, comp = links(docs, text=text, doc_id=doc_id, n=n, percent=percent)
     lone = rows.filter("node IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    rooted = rows.filter("node IS NOT NULL").join(comp, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(first, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(lone)
+    least = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    by_root = least.join(comp, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "n")
+    by_root = materialise(by_root, "rooted")
+    # a class's smallest doc_id, then a component's; what goes back to the rows is one row a class
+    top = by_root.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = spread_join(by_root.select("node", "root"), top.drop("n"), "root", top.select("root", "n"), "node").select("node", "component_id")
+    out = spread_join(rows.filter("node IS NOT NULL"), named, "node", by_root.select("node", "n"), "doc_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(lone)
