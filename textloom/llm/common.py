@@ -52,9 +52,11 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that materialise has written, once no result that is still to be computed reads them."""
+    """Delete tables that materialise has written, once no result that is still to be computed reads them, and let Spark delete the shuffle files that nothing refers to."""
     for df in tables:
         _delete(df.sparkSession, df.scratch_path)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, name: str) -> None:
@@ -67,16 +69,22 @@ def clear_scratch(spark: SparkSession) -> None:
     _delete(spark, scratch_dir(spark))
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: str, weight: DataFrame, by: str, how: str = "inner", share: int = 1024, where=None) -> DataFrame:
-    """left.join(right, on, how) with hot keys dealt over many tasks; where: a further condition of the join.
+def hot_keys(weight: DataFrame, on: str, share: int = 1024) -> DataFrame | None:
+    """(on, __parts) of the keys that over 1 / share of all rows hold, at most `share` of them; None without any. weight: (on, n), about how many rows hold a key."""
+    total, most = weight.agg(F.sum("n"), F.max("n")).first()
+    if not total or most * share <= total:
+        return None
+    return weight.filter(F.col("n") * share > total).select(on, F.ceil(F.col("n") * share / F.lit(total)).cast("int").alias("__parts"))
+
 
-    weight: (on, n), about how many rows of left hold a key. A key with over 1 / share of all rows is cut into parts of about
-    that size, by the hash of left's column `by` (the same in every attempt of a task); right's rows of that key are repeated
-    for each part. At most `share` keys are hot, so they can be sent to all tasks, and right grows by some 2 * share rows per row
-    that it holds of a key.
+def spread_join(left: DataFrame, right: DataFrame, on: str, hot: DataFrame | None, by: str, how: str = "inner", where=None) -> DataFrame:
+    """left.join(right, on, how) with the hot keys (hot_keys of left) dealt over many tasks; where: a further condition.
+
+    A hot key is cut into parts of about 1 / share of all rows by the hash of left's column `by`, the same in every attempt of
+    a task; right's rows of that key are repeated for each part. The hot keys are few, so they can be sent to all tasks.
     """
-    total = weight.agg(F.sum("n")).first()[0] or 0
-    hot = weight.filter(F.col("n") * share > total).select(on, F.ceil(F.col("n") * share / F.lit(max(total, 1))).cast("int").alias("__parts"))
+    if hot is None:
+        return left.join(right, on, how) if where is None else left.join(right, (left[on] == right[on]) & where, how).drop(right[on])
     parts = F.coalesce("__parts", F.lit(1))
     x = left.join(F.broadcast(hot), on, "left").withColumn("__salt", F.pmod(F.xxhash64(by), parts).cast("int")).drop("__parts")
     y = right.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
@@ -84,6 +92,7 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, weight: DataFrame, b
         return x.join(y, [on, "__salt"], how).drop("__salt")
     return x.join(y, (x[on] == y[on]) & (x["__salt"] == y["__salt"]) & where, how).drop(y[on], x["__salt"], y["__salt"])
 
+
 def release() -> None:
     """Give what a Python task has freed back to the system: workers are used again, by other operators too."""
     gc.collect()

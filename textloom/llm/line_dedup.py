@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import materialise, scratch_dir, spread_join
+from textloom.llm.common import hot_keys, materialise, scratch_dir, spread_join
 
 MIN_CHARS, MIN_DOCS = 20, 3
 KEYS_PER_SHARD = 1 << 16
@@ -280,7 +280,7 @@ def _apply_sharded(docs, active, filters, text, doc_id, shards, extra) -> DataFr
     maybe = probe_shards(line.select("__row", "pos", k1.alias("k1"), k2.alias("k2")), filters, shards)
     keys = active.select(F.struct("k1", "k2").alias("key"), "keeper")
     weight = active.select(F.struct("k1", "k2").alias("key"), F.col("n_docs").alias("n"))
-    hits = spread_join(maybe.select("__row", "pos", F.struct("k1", "k2").alias("key")), keys, "key", weight, "__row")
+    hits = spread_join(maybe.select("__row", "pos", F.struct("k1", "k2").alias("key")), keys, "key", hot_keys(weight, "key"), "__row")
     hits = hits.join(rows.select("__row", "doc_id"), "__row").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     drops = hits.groupBy("__row").agg(F.array_sort(F.collect_set("pos")).alias("__drop"))
     both = rows.join(drops, "__row", "left").withColumn("__drop", F.coalesce("__drop", F.array().cast("array<int>")))

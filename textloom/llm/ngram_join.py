@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import discard, materialise, release, spread_join
+from textloom.llm.common import discard, hot_keys, materialise, release, spread_join
 
 PERCENT, N = 85, 4
 SHARED = 2  # n-grams of the prefixes that a linked pair shares at least
@@ -158,7 +158,7 @@ def classes(slim: DataFrame, order, n: int, percent: int) -> DataFrame:
 def known_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows and (node, rid, n, k): one row that stands for each class, and the class's rows. Sets of equal node but different check get nodes of their own."""
     reps = materialise(rows.filter("node IS NOT NULL").groupBy("node", "check").agg(F.min("rid").alias("rid"), F.min("n").alias("n"), F.count(F.lit(1)).alias("k")), "reps")
-    twice = materialise(reps.groupBy("node").count().filter("count > 1").select("node", F.lit(True).alias("twice")), "twice")
+    twice = reps.groupBy("node").count().filter("count > 1").select("node", F.lit(True).alias("twice"))
     if not twice.head(1):
         return rows, reps.drop("check")
     node = F.when(F.col("twice"), F.xxhash64("node", "check")).otherwise(F.col("node"))
@@ -201,15 +201,14 @@ def overlaps(pairs: DataFrame, slim: DataFrame, reps: DataFrame, order, n: int,
     texts = slim.join(_small(need, n_need), "rid").select("node", "text")
     seg = materialise(segments(texts, order, n), "segments")
     done, found = [need, seg], pairs.withColumn("sum", F.lit(0).cast("long"))
-    degree = {c: materialise(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("n")), "degree") for c in ("a", "b")}
-    done += degree.values()
+    hot = {c: hot_keys(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("n")), c) for c in ("a", "b")}
     if seg.count() > n_need * FRAGMENTS:  # rows alike in id and text
         seg = seg.dropDuplicates(["node", "fragment"])
     for i in range(FRAGMENTS):
         part = seg.filter(F.col("fragment") == i)
         for c, other in (("a", "b"), ("b", "a")):  # a class of very many pairs is dealt over many tasks
             own = part.select(F.col("node").alias(c), F.col("part").alias("p" + c), F.col("after").alias("after" + c))
-            found = spread_join(found, own, c, degree[c], other)
+            found = spread_join(found, own, c, hot[c], other)
         found = found.withColumn("sum", F.col("sum") + F.size(F.array_intersect("pa", "pb")))
         most = F.col("sum") + F.least("aftera", "afterb")
         found = found.filter(most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb", "sum")
@@ -221,22 +220,19 @@ def overlaps(pairs: DataFrame, slim: DataFrame, reps: DataFrame, order, n: int,
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes of edges (u, v): root is the smallest node connected. Alternating large and small stars, written at each round, until a round changes nothing."""
     e = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
-    seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u"))
-        low = materialise(low, "low")
-        large = spread_join(both, low.drop("n"), "u", low.select("u", "n"), "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        # after the large star an edge leads from a node to a smaller one that is no larger than any of its neighbours
-        large = materialise(large, "large")
+        # the large star leads a node's larger neighbours to the smallest one, the small star its smaller ones
+        large = spread_join(both, low.drop("n"), "u", hot_keys(low.select("u", "n"), "u"), "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         old, e = e, materialise(small, "edges")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        discard(old, low, large)
-        if now == seen:
+        # done when every node that leads to another leads to one only, to which none but such edges lead
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("leads"), F.lit(0).alias("led")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("leads"), F.lit(1).alias("led")))
+        if not ends.groupBy("x").agg(F.sum("leads").alias("leads"), F.max("led").alias("led")).filter("leads > 1 OR leads > 0 AND led > 0").head(1):
             return e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-        seen = now
+        discard(old)
 
 
 def links(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -256,7 +252,7 @@ def links(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int
     # an n-gram of one class only can't be shared. The hub of a bucket is the class with the fewest rarer n-grams, so the most central one
     star = post.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("pos", "node")).alias("hub")).filter("k > 1")
     star = materialise(star.select("gram", F.col("hub.node").alias("hub"), F.col("k").alias("n")), "star")
-    met = spread_join(post, star.drop("n"), "gram", star.select("gram", "n"), "node")
+    met = spread_join(post, star.drop("n"), "gram", hot_keys(star, "gram"), "node")
     before = Window.partitionBy("node").orderBy("pos")
     met = materialise(met.withColumn("live", F.row_number().over(before) - 1), "met")
     hubs = met.filter("node <> hub").groupBy("node", "n", "hub").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= SHARED)
@@ -273,10 +269,14 @@ def links(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int
     at = met.join(comp, "node", "left").select("gram", "node", "n", "pos", "live", F.coalesce("root", "node").alias("comp"))
     many = at.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo <> hi").select("gram", F.col("k").alias("n"))
     many = materialise(many, "many")
-    at = spread_join(at, many.drop("n"), "gram", many, "node", "left_semi")
-    # the shared n-grams of a class's prefix, in order: a pair is met at its first common one, and only there
-    lists = met.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gram"))), lambda x: x.gram).alias("grams"))
-    at = materialise(at.join(lists, "node"), "apart")
+    at = spread_join(at, many.drop("n"), "gram", hot_keys(many, "gram"), "node", "left_semi")
+    # n-grams are met as 32-bit hashes from here on: equal ones stay equal, and every pair found is counted afterwards. The n-grams
+    # of a class's prefix, in order: a pair is met at its first common one, and only there
+    own = Window.partitionBy("node").orderBy("pos")
+    at = at.withColumn("gram", F.hash("gram")).withColumn("live", F.row_number().over(own) - 1)
+    at = at.withColumn("grams", F.collect_list("gram").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    at = materialise(at.filter(F.size("grams") >= SHARED), "apart")
+    buckets = hot_keys(at.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", PAIR_SHARE)
     x, y = (at.select("gram", *(F.col(c).alias(c + s) for c in ("node", "n", "pos", "live", "comp", "grams"))) for s in "xy")
     apart = (F.col("nodex") < F.col("nodey")) & (F.col("compx") != F.col("compy"))
     # what the sets can share at most: of what stands before the n-gram that they meet on, and from there on
@@ -288,12 +288,13 @@ def links(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int
     shared = F.size(F.array_intersect("gramsx", "gramsy"))
     behind = F.greatest(*(F.col(c) - _prefix(c, percent) for c in ("nx", "ny")))
     # the pairs of a large bucket are dealt over tasks by their first class
-    rest = spread_join(x, y, "gram", many, "nodex", share=PAIR_SHARE, where=apart & close & fits(most) & first_met & (shared >= SHARED) & fits(shared + behind))
+    rest = spread_join(x, y, "gram", buckets, "nodex", where=apart & close & fits(most) & first_met & (shared >= SHARED) & fits(shared + behind))
     rest = rest.select(F.col("nodex").alias("a"), F.col("nodey").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")).distinct()
     rest = materialise(rest.join(spokes, ["a", "b"], "left_anti"), "rest")
+    discard(star, met, many, at)
     second = overlaps(rest, slim, reps, order, n, percent)
     found = materialise(components(edge(first).unionByName(edge(second))), "components")
-    discard(star, met, spokes, first, comp, many, at, rest, second)
+    discard(spokes, first, comp, rest, second)
     return rows.select("doc_id", "n", "node"), found
 
 
@@ -317,6 +318,6 @@ def join_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     by_root = materialise(by_root, "rooted")
     # a class's smallest doc_id, then a component's; what goes back to the rows is one row a class
     top = by_root.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    named = spread_join(by_root.select("node", "root"), top.drop("n"), "root", top.select("root", "n"), "node").select("node", "component_id")
-    out = spread_join(rows.filter("node IS NOT NULL"), named, "node", by_root.select("node", "n"), "doc_id")
+    named = spread_join(by_root.select("node", "root"), top.drop("n"), "root", hot_keys(top.select("root", "n"), "root"), "node").select("node", "component_id")
+    out = spread_join(rows.filter("node IS NOT NULL"), named, "node", hot_keys(by_root.select("node", "n"), "node"), "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(lone)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import discard, materialise, release, spread_join
+from textloom.llm.common import discard, hot_keys, materialise, release, spread_join
 
 LEAST, SEED = 50, 16
 WINDOW = LEAST - SEED + 1
@@ -269,7 +269,7 @@ def repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> D
     once = own.select("node", F.explode(F.array_distinct("seeds")).alias("seed"))
     shared = once.groupBy("seed").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("seed", "n")
     shared = materialise(shared, "shared")
-    met = spread_join(post, shared.select("seed"), "seed", shared, "node", "left_semi").groupBy("node", "check").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    met = spread_join(post, shared.select("seed"), "seed", hot_keys(shared, "seed"), "node", "left_semi").groupBy("node", "check").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     need = met.join(hint, ["node", "check"]).select("rid", "node", "check", "at")
     written = materialise(contexts(slim.select("rid", "text").join(need, "rid")), "contexts")
     full = written.withColumn("ctx", F.xxhash64("seed", "before", "after"))
@@ -282,12 +282,13 @@ def repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> D
         mark = F.broadcast(large.select("seed"))
         seldom, many = table.join(mark, "seed", "left_anti"), table.join(mark, "seed", "left_semi")
     else:
-        seldom = materialise(spread_join(table, large.select("seed"), "seed", large, "ctx", "left_anti"), "seldom")
-        many = materialise(spread_join(table, large.select("seed"), "seed", large, "ctx", "left_semi"), "many")
+        hot = hot_keys(large, "seed")
+        seldom = materialise(spread_join(table, large.select("seed"), "seed", hot, "ctx", "left_anti"), "seldom")
+        many = materialise(spread_join(table, large.select("seed"), "seed", hot, "ctx", "left_semi"), "many")
     found = equal.unionByName(neighbours(seldom, ("seed", "after", "before", "ctx"))).unionByName(neighbours(seldom, ("seed", "before", "after", "ctx"))).unionByName(grouped(many))
     reach = materialise(found.groupBy("ctx").agg(F.max("left").alias("left"), F.max("right").alias("right")), "reach")
     copies = full.groupBy("ctx").agg(F.count(F.lit(1)).alias("n"))
-    met = spread_join(full.select("node", "check", "pos", "ctx"), reach, "ctx", copies, "node")
+    met = spread_join(full.select("node", "check", "pos", "ctx"), reach, "ctx", hot_keys(copies, "ctx"), "node")
     span = met.select("node", "check", (F.col("pos") - F.col("left")).alias("s"), (F.col("pos") + SEED + F.col("right")).alias("e"))
     # overlapping spans of a class become one: a span starts anew where it lies behind the furthest end so far
     place = Window.partitionBy("node", "check").orderBy("s", "e")
@@ -301,6 +302,6 @@ def repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> D
     copied = reps.filter("copies > 1").select(F.struct("node", "check").alias("key"), F.lit(0).alias("start"), F.col("n").cast("int").alias("end"), F.col("copies").alias("n"))
     every = own.select("doc_id", F.struct("node", "check").alias("key"))
     # rows of a class are alike but for the doc_id, so it deals them
-    whole = every.join(F.broadcast(copied.drop("n")), "key") if few else spread_join(every, copied.drop("n"), "key", copied.select("key", "n"), "doc_id")
+    whole = every.join(F.broadcast(copied.drop("n")), "key") if few else spread_join(every, copied.drop("n"), "key", hot_keys(copied.select("key", "n"), "key"), "doc_id")
     out = parts.select("doc_id", "start", "end").unionByName(whole.select("doc_id", "start", "end"))
     return out.select("doc_id", "start", "end", (F.col("end") - F.col("start")).alias("n_words"))
