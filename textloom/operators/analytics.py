@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.ranks import values_at
+
 QUANTILES = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90}
 
 
@@ -16,15 +18,17 @@ def low_percentile(sorted_values: Column, q: float) -> Column:
 def series_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """n, min, p10 .. p90, max and mean (3 decimals) of the non-null values per group.
 
-    Ranks, not collected arrays: each group is numbered by a window and the values at the wanted ranks are picked by one
-    aggregate, so a group's values are never held together in one row.
+    The quantiles come from counted values in buckets (see ranks), so no group, and no table without groups, is ordered in one task.
     """
     own = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"))
-    order = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = own.withColumn("rn", F.row_number().over(order.orderBy("v"))).withColumn("n", F.count(F.lit(1)).over(order))
-    picks = [F.max(F.when(F.col("rn") == F.floor((F.col("n") - 1) * F.lit(q)) + 1, F.col("v"))).alias(name) for name, q in QUANTILES.items()]
-    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("min"), *picks, F.max("v").alias("max"), F.avg("v").alias("mean"))
-    return out.select(*by, "n", *(F.round(c, 3).alias(c) for c in ("min", *QUANTILES, "max", "mean")))
+    plain = own.groupBy(*by).agg(F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"))
+    picked = values_at(own, "v", by, QUANTILES)
+    x, y = plain.alias("x"), picked.alias("y")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    both = x.join(y, same, "left").select(*[F.col(f"x.{c}") for c in by], F.coalesce("n", F.lit(0)).alias("n"), "min", *QUANTILES, "max", "mean")
+    return both.select(*by, "n", *(F.round(c, 3).alias(c) for c in ("min", *QUANTILES, "max", "mean")))
 
 
 def valid_boundaries(events: DataFrame) -> DataFrame:
@@ -38,7 +42,7 @@ def valid_boundaries(events: DataFrame) -> DataFrame:
 def boundary_report(events: DataFrame, min_samples: int = 200, least_coverage: float = 0.8) -> DataFrame:
     """One row: sample counts, latency coverage, distinct pads, percentiles of delta and corrected delta, recommended pad change.
 
-    Percentiles are exact and distributed: each series is sorted by range and only the value at the wanted rank is taken.
+    Percentiles are exact, from counted values (see series_stats).
     """
     own = valid_boundaries(events).select("pad_ms", "delta_ms", "output_latency_ms", (F.col("delta_ms") + F.col("output_latency_ms")).alias("corrected"))
     total = events.agg(F.count(F.lit(1)).alias("samples_total"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.operators import dictionary as D
+from textloom.operators.ranks import global_rank
 from textloom.plans.common import table
 
 _PAIRS = """
@@ -35,13 +36,8 @@ def q_preferred(spark, sf):
     return D.majority(D.reading_counts(pairs_of(spark, sf), []), [], F.col("reading").isin("r1", "r2")).select("base", "reading", "n")
 
 
-def q_distinct_all(spark, sf):
-    return D.distinct_readings(pairs_of(spark, sf), ["book"])
-
-
 def q_distinct(spark, sf):
-    """One event in 50, as its SQL has it."""
-    return D.distinct_readings(pairs_of(spark, sf).filter("seen % 50 = 0"), ["book"])
+    return D.distinct_readings(pairs_of(spark, sf), ["book"])
 
 
 def q_global(spark, sf):
@@ -123,9 +119,7 @@ def q_library_order(spark, sf):
     """Titles by their key without a leading article."""
     n = table(spark, sf, "part").select("p_partkey", F.concat(F.when(F.col("p_size") % 4 == 0, "The ").when(F.col("p_size") % 4 == 1, "A ").when(F.col("p_size") % 4 == 2, "an ").otherwise(""), "p_name").alias("title"))
     key = F.regexp_replace(F.lower("title"), "^(the|a|an) ", "")
-    from pyspark.sql import Window
-
-    return n.select("p_partkey", F.row_number().over(Window.orderBy(key, "title", "p_partkey")).alias("place"))
+    return global_rank(n, [key, F.col("title"), F.col("p_partkey")], "place").select("p_partkey", F.col("place").cast("int").alias("place"))
 
 
 _LAYERS = """
@@ -136,7 +130,7 @@ keyed AS (SELECT *, CASE WHEN pattern IS NOT NULL THEN 're:' || pattern ELSE 'li
 """
 
 QUERIES = {
-    "a1_reading_counts": q_counts, "a3_majority": q_majority, "a4_preferred": q_preferred, "a5_distinct_readings": q_distinct, "a5_distinct_readings_all": q_distinct_all, "a6_global_entries": q_global, "a7_conflicts": q_conflicts, "a8_promotions": q_promotions, "a9_compounds": q_compounds,
+    "a1_reading_counts": q_counts, "a3_majority": q_majority, "a4_preferred": q_preferred, "a5_distinct_readings": q_distinct, "a6_global_entries": q_global, "a7_conflicts": q_conflicts, "a8_promotions": q_promotions, "a9_compounds": q_compounds,
     "a10_propagated": q_propagated, "a24_categories": q_categories, "a25_pairs": q_pairs_distinct, "j14_skip_bases": q_skip_bases, "j21_merge_overrides": q_merge, "o1_application_order": q_order, "o4_library_order": q_library_order,
     "u1_rules_union": q_rules_union, "u2_rules_minus": q_rules_minus, "u3_ordered_union": q_ordered_union, "u6_missing_comments": q_missing_comments,
 }
@@ -146,7 +140,7 @@ ORACLES = {
     "a3_majority": f"WITH {_PAIRS} SELECT base, reading, n, CAST(total AS BIGINT) AS total FROM chosen",
     "a4_preferred": f"""WITH {_PAIRS}, r AS (SELECT *, max(n) OVER (PARTITION BY base) AS most FROM counts),
 x AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY CASE WHEN reading IN ('r1', 'r2') AND n = most THEN 0 WHEN reading IN ('r1', 'r2') THEN 1 ELSE 2 END, n DESC, first_seen) AS rn FROM r) SELECT base, reading, n FROM x WHERE rn = 1""",
-    "a5_distinct_readings": f"WITH {_PAIRS} SELECT book, base, CASE WHEN count(DISTINCT reading) = 1 THEN 'replacement' ELSE 'conflict' END AS kind, string_agg(DISTINCT reading, ',' ORDER BY reading) AS readings FROM pairs WHERE seen % 50 = 0 GROUP BY book, base",
+    "a5_distinct_readings": f"WITH {_PAIRS} SELECT book, base, CASE WHEN count(DISTINCT reading) = 1 THEN 'replacement' ELSE 'conflict' END AS kind, string_agg(DISTINCT reading, ',' ORDER BY reading) AS readings FROM pairs GROUP BY book, base",
     "a6_global_entries": f"""WITH {_PAIRS}, l AS (SELECT base, surface, reading, count(*) AS n FROM pairs GROUP BY ALL),
 m AS (SELECT l.base, surface, sum(l.n) AS total, arg_min(l.reading, -l.n * 1000000 + first_seen) AS reading, max(l.n) AS n FROM l JOIN counts USING (base, reading) GROUP BY l.base, surface)
 SELECT base, '' AS pattern, '' AS context, reading, n, CAST(total AS BIGINT) AS total FROM chosen WHERE readings = 1
@@ -171,4 +165,3 @@ SELECT p_partkey, CAST(row_number() OVER (ORDER BY regexp_replace(lower(title),
 SELECT book, key, CAST(min(layer * 1000000000 + ord) // 1000000000 AS INT) AS layer, min(layer * 1000000000 + ord) % 1000000000 AS ord FROM l GROUP BY book, key""",
     "u6_missing_comments": """SELECT '# ' || lpad(CAST(c_custkey % 400 AS VARCHAR), 4, '0') AS line FROM customer EXCEPT SELECT '# ' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0') FROM supplier WHERE s_suppkey % 2 = 0 EXCEPT SELECT '# ' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0') FROM supplier WHERE s_suppkey % 3 = 0""",
 }
-ORACLES["a5_distinct_readings_all"] = ORACLES["a5_distinct_readings"].replace(" WHERE seen % 50 = 0", "")

@@ -78,13 +78,8 @@ def q_ruby(spark, sf):
     return rows.select("h", html.html_text("h").alias("x")).select("h", "x.text", F.array_join(F.transform("x.ruby", lambda r: F.concat_ws(":", r.start.cast("string"), r.end.cast("string"), r.base, r.reading)), ",").alias("ruby"))
 
 
-def q_slug_all(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", unicode.slug("text").alias("slug"))
-
-
 def q_slug(spark, sf):
-    """Slugs of the first 90 characters, as its SQL has it."""
-    return table(spark, sf, "documents").select("doc_id", unicode.slug(F.substring("text", 1, 90)).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", unicode.slug("text").alias("slug"))
 
 
 def q_overrides(spark, sf):
@@ -143,14 +138,14 @@ def q_positions(spark, sf):
 
 
 QUERIES = {
-    "a13_class_ratio": q_class_ratio, "f6_slug": q_slug, "f6_slug_all": q_slug_all, "f12_page_text": q_page_text, "f12_page_links": q_page_links, "f13_ruby": q_ruby, "m2_plan": q_plan, "m3_stale": q_stale, "s18_chapter_metadata": q_chapter_metadata, "s18_concat_list": q_concat, "s20_overrides": q_overrides,
+    "a13_class_ratio": q_class_ratio, "f6_slug": q_slug, "f12_page_text": q_page_text, "f12_page_links": q_page_links, "f13_ruby": q_ruby, "m2_plan": q_plan, "m3_stale": q_stale, "s18_chapter_metadata": q_chapter_metadata, "s18_concat_list": q_concat, "s20_overrides": q_overrides,
     "t1_stream_ingest": q_stream, "t5_positions": q_positions, "w6_pack": q_pack, "w8_chunks": q_chunks, "w8_chunk_fixtures": q_chunk_fixtures, "w9_pauses": q_pauses,
 }
 
 _AN = __import__("textloom.plans.analytics", fromlist=["_CHUNKS"])._CHUNKS
 ORACLES = {
     "a13_class_ratio": """WITH m AS (SELECT unnest(regexp_extract_all(html, '<[a-z0-9]+ class="[^"]*"')) AS m FROM pages) SELECT regexp_extract(m, 'class="([^"]*)"', 1) AS cls, count(*) AS n, count(*) FILTER (m LIKE '<div %') AS hits FROM m GROUP BY 1 HAVING hits >= 4 AND hits >= 0.8 * n""",
-    "f6_slug": """WITH s AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(substr(text, 1, 90)), '[^ -~\\n]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS x FROM documents) SELECT doc_id, CASE WHEN x = '' THEN 'chapter' ELSE substr(x, 1, 60) END AS slug FROM s""",
+    "f6_slug": """WITH s AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(text), '[^ -~\\n]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS x FROM documents) SELECT doc_id, CASE WHEN x = '' THEN 'chapter' ELSE substr(x, 1, 60) END AS slug FROM s""",
     "f12_page_links": """SELECT page_id, count(*) AS links, min(h) AS first_href FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS h FROM pages) GROUP BY page_id""",
     "f13_ruby": "SELECT * FROM (VALUES ('<p>前<ruby>漢字<rt>かんじ</rt></ruby>後</p>', '前漢字後', '1:3:漢字:かんじ'), ('<p><ruby>漢字<rp>(</rp><rt>かんじ</rt><rp>)</rp></ruby>です。</p>', '漢字です。', '0:2:漢字:かんじ'), ('<img alt=''第一章 はじまり''><p>文。</p>', '第一章 はじまり' || chr(10) || '文。', ''), ('<p>a<sup>1</sup></p><hr/><p>b</p>', 'a' || chr(10) || chr(57344) || chr(10) || 'b', '')) AS v(h, text, ruby)",
     "m2_plan": "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 <> 0 THEN 'reuse' WHEN trim(text) = '' THEN 'empty' WHEN regexp_matches(trim(text), '^[.…⋯]+$') THEN 'silence' ELSE 'build' END AS action FROM documents",

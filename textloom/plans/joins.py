@@ -44,18 +44,12 @@ def _report(p, chapters):
 
 
 def q_report(spark, sf):
-    """A fifth of the parts as chapters, as its SQL has it."""
-    p = table(spark, sf, "part")
-    return _report(p, p.filter("p_partkey % 5 = 0"))
-
-
-def q_report_all(spark, sf):
     p = table(spark, sf, "part")
     return _report(p, p)
 
 
 def q_title_pages(spark, sf):
-    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("ord"), F.when(F.col("turn") % 2 == 0, F.substring("text", 1, 30)).otherwise(F.col("text")).alias("text"))
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("ord"), F.col("text").alias("text"))
     return J.absorb_title_pages(c).select("book", "ord", F.md5("text").alias("h"))
 
 
@@ -90,7 +84,7 @@ def q_selection(spark, sf):
 
 
 QUERIES = {
-    "a19_totals": q_totals, "j3_headings": q_headings, "j6_raw_chapter": q_raw_of, "j7_voices": q_voices, "j9_hrefs": q_hrefs, "j10_contents": q_contents, "j11_followers": q_followers, "j12_passed_titles": q_passed_titles, "j18_report_rows": q_report, "j18_report_rows_all": q_report_all, "p24_selection": q_selection,
+    "a19_totals": q_totals, "j3_headings": q_headings, "j6_raw_chapter": q_raw_of, "j7_voices": q_voices, "j9_hrefs": q_hrefs, "j10_contents": q_contents, "j11_followers": q_followers, "j12_passed_titles": q_passed_titles, "j18_report_rows": q_report, "p24_selection": q_selection,
     "w15_title_pages": q_title_pages, "w22_frames": q_frames,
 }
 
@@ -109,12 +103,11 @@ s AS (SELECT *, sum(CASE WHEN t = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY
     "j12_passed_titles": """WITH e AS (SELECT user_id % 60 AS book, event_id AS ord, CASE WHEN event_type IN ('view', 'click') THEN NULL ELSE event_type || '-' || event_id END AS title, event_type IN ('view', 'signup') AS empty FROM events),
 g AS (SELECT *, sum(CASE WHEN prev THEN 0 ELSE 1 END) OVER (PARTITION BY book ORDER BY ord) AS grp FROM (SELECT *, coalesce(lag(empty) OVER (PARTITION BY book ORDER BY ord), false) AS prev FROM e)),
 n AS (SELECT *, arg_min(title, ord) FILTER (title IS NOT NULL) OVER (PARTITION BY book, grp ORDER BY ord ROWS UNBOUNDED PRECEDING) AS named FROM g) SELECT book, ord, coalesce(title, named, '') AS title FROM n WHERE NOT empty""",
-    "j18_report_rows": """WITH r AS (SELECT p_partkey AS ord, CASE WHEN p_size > 30 THEN p_name END AS title FROM part WHERE p_partkey % 7 = 0) SELECT p_partkey AS chapter, (SELECT min(ord) FROM r WHERE r.ord = part.p_partkey OR r.title = part.p_name) AS "row" FROM part WHERE p_partkey % 5 = 0""",
+    "j18_report_rows": """WITH r AS (SELECT p_partkey AS ord, CASE WHEN p_size > 30 THEN p_name END AS title FROM part WHERE p_partkey % 7 = 0) SELECT p_partkey AS chapter, (SELECT min(ord) FROM r WHERE r.ord = part.p_partkey OR r.title = part.p_name) AS "row" FROM part""",
     "p24_selection": "SELECT o_custkey AS book, min(o_orderkey) AS chapter FROM orders GROUP BY 1 UNION SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey IN (5, 50, 500)",
-    "w15_title_pages": """WITH c AS (SELECT conv_id AS book, turn AS ord, CASE WHEN turn % 2 = 0 THEN substr(text, 1, 30) ELSE text END AS text FROM conversations),
+    "w15_title_pages": """WITH c AS (SELECT conv_id AS book, turn AS ord, text FROM conversations),
 j AS (SELECT *, coalesce(length(trim(text)) <= 80 AND NOT contains(trim(text), chr(10)) AND length(lead(text) OVER w) >= 400, false) AS joins FROM c WINDOW w AS (PARTITION BY book ORDER BY ord)),
 t AS (SELECT *, coalesce(lag(joins) OVER w, false) AS taken, lag(text) OVER w AS before FROM j WINDOW w AS (PARTITION BY book ORDER BY ord)) SELECT book, ord, md5(CASE WHEN taken THEN before || chr(10) || chr(10) || text ELSE text END) AS h FROM t WHERE NOT joins""",
     "w22_frames": """WITH v AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events), f AS (SELECT user_id, k // 4 - d AS i, value, n FROM v, range(0, 2) AS r(d) WHERE k // 4 - d >= 0)
 SELECT user_id, CAST(i AS INT) AS i, round(sqrt(sum(value * value) / 8), 4) AS rms FROM f WHERE i * 4 + 8 <= n GROUP BY user_id, i""",
 }
-ORACLES["j18_report_rows_all"] = ORACLES["j18_report_rows"].removesuffix(" WHERE p_partkey % 5 = 0")

@@ -10,7 +10,7 @@ from textloom.plans.common import table
 _SPANS = """
 spans AS (
   SELECT l_orderkey AS chapter, l_partkey % 60 AS start, l_partkey % 60 + CAST(l_quantity AS BIGINT) % 12 + 1 AS "end", l_suppkey AS tag, l_linenumber AS ln, l_returnflag AS flag,
-         row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id FROM lineitem)
+         l_orderkey * 1048576 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id FROM lineitem)
 """
 
 
@@ -19,8 +19,8 @@ def spans_of(spark, sf):
 
     i = table(spark, sf, "lineitem")
     start = F.col("l_partkey") % 60
-    w = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return i.select(F.col("l_orderkey").alias("chapter"), start.alias("start"), (start + F.col("l_quantity").cast("long") % 12 + 1).alias("end"), F.col("l_suppkey").alias("tag"), F.col("l_linenumber").alias("ln"), F.col("l_returnflag").alias("flag"), F.row_number().over(w).cast("long").alias("id"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return i.select(F.col("l_orderkey").alias("chapter"), start.alias("start"), (start + F.col("l_quantity").cast("long") % 12 + 1).alias("end"), F.col("l_suppkey").alias("tag"), F.col("l_linenumber").alias("ln"), F.col("l_returnflag").alias("flag"), (F.col("l_orderkey") * (1 << 20) + F.row_number().over(w)).cast("long").alias("id"))
 
 
 def q_version(spark, sf):
@@ -63,18 +63,7 @@ def q_shift(spark, sf):
     return S.shift_concat(c).select("grp", "ord", F.col("offset").cast("long").alias("offset"))
 
 
-def _replaced(d):
-    one = lambda s, e: F.struct(F.lit(s).alias("start"), F.lit(e).alias("end"), F.substring("t", s + 1, e - s).alias("base"), F.concat(F.lit("<"), F.substring("t", s + 1, e - s), F.lit(">")).alias("reading"))
-    wrong = F.struct(F.lit(30).alias("start"), F.lit(34).alias("end"), F.lit("no such").alias("base"), F.lit("!").alias("reading"))
-    return d.select("doc_id", S.replace_spans(F.col("t"), F.array(one(2, 5), wrong, one(40, 44))).alias("t"))
-
-
 def q_replace(spark, sf):
-    """The first 200 characters of documents of 60 or more, as its SQL has it."""
-    return _replaced(table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 200).alias("t")).filter("length(t) >= 60"))
-
-
-def q_replace_all(spark, sf):
     """Every text whole, with spans at fixed places and just before its end."""
     d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("t"))
     n = F.length("t")
@@ -91,11 +80,6 @@ def _marked(p):
 
 
 def q_highlight(spark, sf):
-    """The first 120 characters of pages, as its SQL has it."""
-    return _marked(table(spark, sf, "pages").select("page_id", F.substring("html", 1, 120).alias("t")))
-
-
-def q_highlight_all(spark, sf):
     return _marked(table(spark, sf, "pages").select("page_id", F.col("html").alias("t"))).select("page_id", F.length("html").alias("n"), F.md5("html").alias("h"))
 
 
@@ -118,11 +102,6 @@ def _continued(spark, sf, text):
 
 
 def q_continuations(spark, sf):
-    """The first 40 characters of turns, as its SQL has it."""
-    return _continued(spark, sf, F.substring("text", 1, 40))
-
-
-def q_continuations_all(spark, sf):
     return _continued(spark, sf, F.col("text")).select("book", "ord", F.md5("text").alias("h"), "n")
 
 
@@ -137,8 +116,8 @@ def q_valid(spark, sf):
 
 
 QUERIES = {
-    "f16_highlight": q_highlight, "f16_highlight_all": q_highlight_all, "f40_replace_spans": q_replace, "f40_replace_spans_all": q_replace_all, "j1_version": q_version, "j2_contained": q_contained, "j4_without_overlaps": q_without_overlaps, "j16_enclosing": q_enclosing, "j17_breaks": q_breaks, "p4_valid_spans": q_valid,
-    "w10_coalesce": q_coalesce, "w11_merge_ranges": q_merge, "w12_greedy": q_greedy, "w12b_first_claims": q_claims, "w16_continuations": q_continuations, "w16_continuations_all": q_continuations_all, "w18_shift": q_shift, "w20_renumber": q_renumber,
+    "f16_highlight": q_highlight, "f40_replace_spans": q_replace, "j1_version": q_version, "j2_contained": q_contained, "j4_without_overlaps": q_without_overlaps, "j16_enclosing": q_enclosing, "j17_breaks": q_breaks, "p4_valid_spans": q_valid,
+    "w10_coalesce": q_coalesce, "w11_merge_ranges": q_merge, "w12_greedy": q_greedy, "w12b_first_claims": q_claims, "w16_continuations": q_continuations, "w18_shift": q_shift, "w20_renumber": q_renumber,
 }
 
 _ESC = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
@@ -146,8 +125,11 @@ _MERGED = f"""{_SPANS}, m0 AS (SELECT chapter, start, "end", id, max("end") OVER
 m1 AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chapter ORDER BY start, "end", id) AS run FROM m0), merged AS (SELECT chapter, min(start) AS start, max("end") AS "end" FROM m1 GROUP BY chapter, run)"""
 
 ORACLES = {
-    "f16_highlight": f"SELECT page_id, '<mark>' || {_ESC.format('substr(html, 1, 10)')} || '</mark>' || {_ESC.format('substr(html, 11, 10)')} || '<mark>' || {_ESC.format('substr(html, 21, 20)')} || '</mark>' || {_ESC.format('substr(html, 41, 80)')} AS html FROM pages",
-    "f40_replace_spans": "SELECT doc_id, substr(text, 1, 2) || '<' || substr(text, 3, 3) || '>' || substr(text, 6, 35) || '<' || substr(text, 41, 4) || '>' || substr(text, 45, 156) AS t FROM documents WHERE length(text) >= 60",
+    "f16_highlight": f"SELECT page_id, length(html) AS n, md5(html) AS h FROM (SELECT page_id, '<mark>' || {_ESC.format('substr(html, 1, 10)')} || '</mark>' || {_ESC.format('substr(html, 11, 10)')} || '<mark>' || {_ESC.format('substr(html, 21, 20)')} || '</mark>' || {_ESC.format('substr(html, 41)')} AS html FROM pages)",
+    "f40_replace_spans": """WITH d AS (SELECT doc_id, text AS t, length(text) AS n, CASE WHEN length(text) >= 311 THEN 307 WHEN length(text) >= 48 THEN 44 WHEN length(text) >= 9 THEN 5 ELSE 0 END AS c FROM documents),
+r AS (SELECT doc_id, CASE WHEN n >= 9 THEN substr(t, 1, 2) || '<' || substr(t, 3, 3) || '>' ELSE '' END || CASE WHEN n >= 48 THEN substr(t, 6, 35) || '<' || substr(t, 41, 4) || '>' ELSE '' END
+  || CASE WHEN n >= 311 THEN substr(t, 45, 256) || '<' || substr(t, 301, 7) || '>' ELSE '' END || CASE WHEN n >= 4 THEN substr(t, c + 1, n - 4 - c) || '<' || substr(t, n - 3, 3) || '>' || substr(t, n, 1) ELSE t END AS x FROM d)
+SELECT doc_id, length(x) AS n, md5(x) AS h FROM r""",
     "j1_version": f"""WITH {_SPANS} SELECT chapter, CASE o_custkey % 3 WHEN 0 THEN 'clean' ELSE 'raw' END AS version, count(*) AS n, CAST(sum(start) AS BIGINT) AS s FROM spans JOIN orders ON o_orderkey = chapter
 WHERE o_custkey % 3 = 0 AND flag <> 'R' OR o_custkey % 3 = 1 AND flag = 'R' GROUP BY ALL""",
     "j2_contained": f"""WITH {_SPANS} SELECT chapter, CAST(start // 20 AS BIGINT) AS chunk, id, start % 20 AS start, "end" - start // 20 * 20 AS "end" FROM spans WHERE "end" <= (start // 20 + 1) * 20""",
@@ -170,7 +152,7 @@ f AS (SELECT chapter, i, true AS taken, [{{'s': start, 'e': "end"}}] AS got, id
   UNION ALL SELECT chapter, i, free, CASE WHEN free THEN list_append(got, {{'s': start, 'e': "end"}}) ELSE got END, id FROM (SELECT o.chapter, o.i, o.id, o.start, o."end", f.got, len(list_filter(f.got, lambda x: x.s < o."end" AND o.start < x.e)) = 0 AS free FROM f JOIN o ON o.chapter = f.chapter AND o.i = f.i + 1))
 SELECT o.chapter, o.start, o."end", o.id FROM f JOIN o USING (chapter, i) WHERE taken""",
     "w16_continuations": """WITH g AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS grp FROM conversations)
-SELECT conv_id AS book, min(turn) AS ord, string_agg(substr(text, 1, 40), chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS n FROM g GROUP BY conv_id, grp""",
+SELECT conv_id AS book, min(turn) AS ord, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS h, count(*) AS n FROM g GROUP BY conv_id, grp""",
     "w18_shift": "SELECT conv_id AS grp, turn AS ord, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM conversations",
     "w20_renumber": f"""WITH {_SPANS} SELECT chapter, id, CAST(row_number() OVER (PARTITION BY chapter ORDER BY start, "end", id) AS INT) AS "index" FROM spans""",
 }
