@@ -1,7 +1,8 @@
 """A training corpus from raw documents, in five stages; each is written as Parquet and read again as the next one's input.
 
 Documents are known by doc_id: where a stage rejects a document, all rows of that doc_id go. Columns beside those of
-`documents` don't come in. Null and empty texts pass the filters; they have no words to be taken by the mix.
+`documents` don't come in. Null and empty texts pass the filters; they have no words to be taken by the mix. Texts of any
+length are read as a whole; an empty table passes every stage as one.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows scored below the threshold by a model of the labels that are not held out. A null text is scored as an empty one; rows of equal texts have equal scores."""
     docs = docs.select(*COLUMNS)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), holdout=crc_mod("doc_id", 4) == 2)
     return toxicity.score(docs, model, keep=COLUMNS).filter(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without the lines found in three or more documents but in the one of the largest doc_id. A null text becomes an empty one; n_chars is counted anew."""
     kept = line_dedup.dedup_lines(docs, extra=("lang", "source"))
     return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
@@ -48,6 +51,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose doc_id has no contaminated row. Null texts have no words and are clean, as all rows are beside an empty benchmark."""
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
     gone = materialise(found.filter("contaminated").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     return _without(docs, gone).select(*COLUMNS)
