@@ -119,7 +119,9 @@ def find_order(slim: DataFrame, n: int = N) -> Order:
 
     found = picked.select("rid", "text").mapInArrow(grams, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).filter(F.col("c") >= ORDER_LEAST)
     got = found.orderBy(F.desc("c"), "g").limit(ORDER_MOST).toPandas()
-    common = got["g"].to_numpy(np.int64).view(np.uint64)
+    common = got["g"].to_numpy(np.int64).view(np.uint64).copy()
+    del got
+    release()
     return Order(common, np.arange(len(common), 0, -1))
 
 

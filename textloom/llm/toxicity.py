@@ -91,9 +91,10 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     live = np.flatnonzero(start)
     dense = np.full(n, -1, np.int32)
     dense[live] = np.arange(len(live))
-    (ip, ap), (iu, au) = (_csr([dense[x] for x in rows]) for rows in (positive, unlabelled))
+    # only the few live features of each text are kept, text by text, so no array of all features is made
+    own = lambda rows: [x[x >= 0] for x in (dense[r] for r in rows)]
+    (ip, ap), (iu, au) = _csr(own(positive)), _csr(own(unlabelled))
     p_row, u_row = np.repeat(np.arange(len(positive)), np.diff(ap)), np.repeat(np.arange(len(unlabelled)), np.diff(au))
-    (ip, p_row), (iu, u_row) = ((i[i >= 0], r[i >= 0]) for i, r in ((ip, p_row), (iu, u_row)))
     w, b, n_p, n_u, k = start[live], float(np.log(prior / (1 - prior))), len(positive), len(unlabelled), len(live)
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, steps + 1):
@@ -113,6 +114,14 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return full, b
 
 
+def _counts(rows: list[np.ndarray], n: int) -> np.ndarray:
+    """Texts that hold a feature, summed up in groups of texts."""
+    total = np.zeros(n, np.int64)
+    for at in range(0, len(rows), 256):
+        total += np.bincount(np.concatenate(rows[at : at + 256]), minlength=n)
+    return total
+
+
 def _raw(rows: list[np.ndarray], w: np.ndarray, b: float) -> np.ndarray:
     return np.clip(np.array([w[r].sum() for r in rows]) + b, -30, 30)
 
@@ -120,7 +129,7 @@ def _raw(rows: list[np.ndarray], w: np.ndarray, b: float) -> np.ndarray:
 def _start(positive, unlabelled, n: int, z: float = 4.5) -> np.ndarray:
     """Smoothed log ratios of the features that positives hold clearly more often than unlabelled texts (by z standard
     errors of the count expected of them); 0, and so left out of the model, for the rest."""
-    cp, cu = np.bincount(_csr(positive)[0], minlength=n), np.bincount(_csr(unlabelled)[0], minlength=n)
+    cp, cu = _counts(positive, n), _counts(unlabelled, n)
     expected = cu * (len(positive) / max(1, len(unlabelled)))
     rp, ru = (cp + 0.5) / (len(positive) + 1), (cu + 0.5) / (len(unlabelled) + 1)
     return np.where(cp - expected > z * np.sqrt(expected + 1), np.log(rp / ru), 0.0)
@@ -190,8 +199,11 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     y = np.r_[np.ones(len(positive)), np.zeros(len(negative))]
     weight = n_pos / max(1, len(positive)), (n_all - n_pos) / max(1, len(negative))
     a, c = calibrate(raw, y)
+    has_negative = bool(negative)
+    del rows, ids, positive, negative, unlabelled
+    release()  # the driver gives back what the fit has taken
     # the sample may hold more positives than the corpus
-    c -= np.log(max(1e-6, weight[1] / weight[0])) if negative and abs(weight[1] / weight[0] - 1) > 1e-9 else 0.0
+    c -= np.log(max(1e-6, weight[1] / weight[0])) if has_negative and abs(weight[1] / weight[0] - 1) > 1e-9 else 0.0
     return Model(w.astype(np.float32), float(b), float(a), float(c))
 
 
