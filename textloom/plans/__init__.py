@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 
 def _modules() -> list:
-    from textloom.plans import analytics, dictionary, documents, joins, numerals, spans, text
+    from textloom.plans import analytics, dictionary, documents, joins, numerals, overrides, spans, text
 
-    return [analytics, dictionary, joins, spans, numerals, text, documents]
+    return [analytics, dictionary, joins, spans, numerals, text, documents, overrides]
 
 
 def queries() -> dict[str, Callable]:
