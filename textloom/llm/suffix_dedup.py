@@ -261,7 +261,7 @@ def repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> D
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("rid", F.xxhash64(F.col("doc_id").cast("string"), "text"))
     rows = materialise(suffixes(slim), "suffixes").filter(F.col("n") >= LEAST)
-    reps = materialise(rows.groupBy("node", "check").agg(F.min("rid").alias("rid"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies")), "reps")
+    reps = materialise(rows.groupBy("node", "check").agg(F.min("rid").alias("rid"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("doc_id").alias("doc_id")), "reps")
     few = reps.count() <= BROADCAST_ROWS
     hint = reps.select("node", "check", "rid")
     own = rows.join(F.broadcast(hint) if few else hint, ["node", "check", "rid"], "left_semi")
@@ -294,11 +294,11 @@ def repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> D
     place = Window.partitionBy("node", "check").orderBy("s", "e")
     far = F.max("e").over(place.rowsBetween(Window.unboundedPreceding, -1))
     runs = span.withColumn("new", F.when(far >= F.col("s"), 0).otherwise(1)).withColumn("run", F.sum("new").over(place))
-    lone = reps.filter("copies = 1").select("node", "check")
+    lone = reps.filter("copies = 1").select("node", "check", "doc_id")  # of one row each, so the doc_id is that row's
     own = rows.select("doc_id", "node", "check")
     merged = materialise(runs.groupBy("node", "check", "run").agg(F.min("s").alias("start"), F.max("e").alias("end")).drop("run"), "spans")
     discard(shared, written, table, large, reach)
-    parts = own.join(merged.join(lone, ["node", "check"], "left_semi"), ["node", "check"])
+    parts = merged.join(lone, ["node", "check"])
     copied = reps.filter("copies > 1").select(F.struct("node", "check").alias("key"), F.lit(0).alias("start"), F.col("n").cast("int").alias("end"), F.col("copies").alias("n"))
     every = own.select("doc_id", F.struct("node", "check").alias("key"))
     # rows of a class are alike but for the doc_id, so it deals them
