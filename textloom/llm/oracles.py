@@ -60,4 +60,53 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM tok LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op10_decontamination": OP10, "op5_line_dedup": OP5, "op7_quality": OP7}
+OP11 = """
+WITH turn AS (
+  SELECT conv_id, len, key, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS pos FROM (
+    SELECT conv_id, turn, length(text) AS len, sha256(length(role) || ':' || role || text) AS key FROM (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL))),
+conv AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::UBIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+           lambda a, b: xor(xor(a, b) >> 1, 3988292384::UBIGINT * (xor(a, b) & 1))), 4294967295::UBIGINT) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turn)),
+made AS (
+  SELECT c.conv_id, t.pos, t.key, t.len FROM conv c JOIN turn t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, t.pos, t.key, t.len FROM conv c JOIN turn t ON t.conv_id = c.conv_id AND t.pos > c.h),
+seq AS (
+  SELECT conv_id, coalesce(keys, []) AS keys, coalesce(lens, []) AS lens
+  FROM conv LEFT JOIN (SELECT conv_id, list(key ORDER BY pos) AS keys, list(len ORDER BY pos) AS lens FROM made GROUP BY conv_id) USING (conv_id)),
+member AS (SELECT conv_id, d, array_to_string(keys[1:d], '') AS k, array_to_string(keys[1:d - 1], '') AS up, lens[d] AS len, d = len(keys) AS ends FROM (SELECT *, unnest(range(0, len(keys) + 1)) AS d FROM seq)),
+node AS (
+  SELECT k, d, any_value(CASE WHEN d > 0 THEN up END) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(len), 0) AS len,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM member GROUP BY k, d),
+kids AS (SELECT up AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY up),
+sub AS (
+  SELECT substr(k, 1, 64 * a) AS k, count(*) FILTER (leaf) AS n_leaves, sum((n_convs - 1) * len)::BIGINT AS saved_tokens
+  FROM (SELECT node.k, n_convs, len, n_children IS NULL AS leaf, unnest(range(0, d + 1)) AS a FROM node LEFT JOIN kids USING (k)) GROUP BY 1)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM node n JOIN sub ON sub.k = n.k LEFT JOIN kids ON kids.k = n.k LEFT JOIN node p ON p.k = n.up AND n.d > 0
+"""
+
+OP12 = r"""
+WITH doc AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+word AS (SELECT rid, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM doc),
+cnt AS (SELECT lang, source, term, count(*) AS n FROM word GROUP BY ALL),
+kept AS (SELECT lang, term, count(*) AS n FROM word GROUP BY ALL HAVING count(DISTINCT rid) >= 10),
+grp AS (SELECT DISTINCT lang, source FROM doc),
+own AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER g + 2 * count(*) OVER g) AS p
+  FROM (SELECT grp.lang, grp.source, kept.term, coalesce(cnt.n, 0) AS n FROM grp JOIN kept ON kept.lang = grp.lang LEFT JOIN cnt ON cnt.lang = grp.lang AND cnt.source = grp.source AND cnt.term = kept.term)
+  WINDOW g AS (PARTITION BY lang, source)),
+whole AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER g + 2 * count(*) OVER g) AS q FROM kept WINDOW g AS (PARTITION BY lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM own a JOIN own b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT own.lang, own.source, 'term' AS part, own.term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM own JOIN whole ON whole.lang = own.lang AND whole.term = own.term WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op10_decontamination": OP10, "op11_prefix_trie": OP11, "op12_source_divergence": OP12, "op5_line_dedup": OP5, "op7_quality": OP7}

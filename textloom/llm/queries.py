@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontam, html_extract, langid, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup, toxicity
+from textloom.llm import decontam, divergence, html_extract, langid, line_dedup, mixing, ngram_join, pii, prefix_trie, quality, simhash, suffix_dedup, toxicity
 from textloom.llm.common import crc_mod, table
 
 
@@ -60,4 +60,20 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_suffix_dedup": op2_suffix_dedup, "op10_decontamination": op10_decontamination, "op3_mixing": op3_mixing, "op4_langid": op4_langid, "op6_html_extraction": op6_html_extraction, "op5_line_dedup": op5_line_dedup, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity, "op9_ngram_join": op9_ngram_join}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_pii, op2_suffix_dedup, op10_decontamination, op3_mixing, op4_langid, op6_html_extraction, op5_line_dedup, op7_quality, op8_toxicity, op9_ngram_join, op11_prefix_trie, op12_source_divergence, op13_simhash)
+}
