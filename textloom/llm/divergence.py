@@ -25,10 +25,10 @@ def term_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", sour
     """(lang, source, term, n, docs): occurrences of each term and the number of rows that hold it. Sums are made before the shuffle."""
     slim = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))))
     found = F.sort_array(F.regexp_extract_all(F.translate("text", _UPPER, _LOWER), F.lit(f"({TERM})"), F.lit(1)))
-    words = slim.select("lang", "source", found.alias("w")).select("lang", "source", "w", F.posexplode("w").alias("i", "term"))
     # in a sorted list the first of equal terms stands for the document
-    first = (F.col("i") == 0) | (F.get("w", F.col("i") - 1) != F.col("term"))
-    return words.select("lang", "source", "term", first.cast("int").alias("new")).groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("new").alias("docs"))
+    flagged = F.transform("w", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get("w", i - 1) != t)).cast("int").alias("new")))
+    words = slim.select("lang", "source", found.alias("w")).select("lang", "source", F.explode(flagged).alias("t")).select("lang", "source", "t.*")
+    return words.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("new").alias("docs"))
 
 
 def _share(n: Column, total: Column, size: Column) -> Column:
@@ -70,8 +70,8 @@ def audit(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
     if small:
         dense = kept.select("lang", "term").join(F.broadcast(dense), "lang")
     else:
-        dealt = kept.select("lang", "term", F.pmod(F.xxhash64("term"), F.lit(SALTS)).alias("salt"))
-        dense = dealt.join(dense.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), ["lang", "salt"]).drop("salt")
+        dealt = kept.select("lang", "term", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int").alias("salt"))
+        dense = dealt.join(dense.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["lang", "salt"]).drop("salt")
     dense = dense.join(own.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left")
     dense = materialise(dense.select("lang", "term", "source", _share(F.coalesce("n", F.lit(0)), F.col("total"), F.col("size")).alias("p")), "dense")
 
