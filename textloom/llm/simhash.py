@@ -82,9 +82,11 @@ def fingerprints(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
 
 
 def cells(nodes: DataFrame) -> DataFrame:
-    """(fp, copies, cell): the grid cells of distinct fingerprints. A cell's number writes the 16 counts to base 3."""
+    """The columns of nodes (fp, ...) and cell: the grid cells of distinct fingerprints. A cell's number writes the 16 counts to base 3."""
+    # a row becomes up to 66: dealt out anew, as a few small files hold many rows
+    dealt = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     counts = lambda half: f"transform(sequence(0, 15), i -> bit_count(shiftright(fp, 2 * i + {32 * half}) & 3L))"
-    at = nodes.select("fp", "copies", F.expr(counts(0)).alias("v0"), F.expr(counts(1)).alias("v1"))
+    at = dealt.select("*", F.expr(counts(0)).alias("v0"), F.expr(counts(1)).alias("v1"))
     code = lambda v: F.expr(f"aggregate({v}, 0L, (a, x) -> 3 * a + x)")
     at = at.withColumn("c0", code("v0")).withColumn("c1", code("v1") + 3**16)
     odd = F.expr("aggregate(v1, 0, (a, x) -> a + x) % 2 = 1")
@@ -92,7 +94,7 @@ def cells(nodes: DataFrame) -> DataFrame:
     near = lambda v, c: F.expr(f"concat(transform({v}, (x, i) -> if(x < 2, {c} + {step}, NULL)), transform({v}, (x, i) -> if(x > 0, {c} - {step}, NULL)))")
     own = F.array("c0", "c1")
     all_cells = F.concat(own, near("v0", "c0"), F.when(odd, near("v1", "c1")).otherwise(F.array().cast("array<bigint>")))
-    return at.select("fp", "copies", F.explode(all_cells).alias("cell")).filter("cell IS NOT NULL")
+    return at.select(*nodes.columns, F.explode(F.filter(all_cells, lambda c: c.isNotNull())).alias("cell"))
 
 
 def link_components(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -100,22 +102,22 @@ def link_components(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     grid = cells(nodes)
     star = grid.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max_by("fp", F.struct("copies", "fp")).alias("hub")).filter("n > 1")
     star = materialise(star, "star")
-    hot = hot_keys(star, "cell", CELL_SHARE)
-    met = materialise(spread_join(grid.drop("copies"), star.select("cell", "hub"), "cell", hot, "fp"), "met")
     close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
-    first = materialise(met.filter((F.col("fp") != F.col("hub")) & close("fp", "hub")).select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct(), "spokes")
+    met = spread_join(grid.select("cell", "fp"), star.select("cell", "hub"), "cell", hot_keys(star, "cell", CELL_SHARE), "fp", where=(F.col("fp") != F.col("hub")) & close("fp", "hub"))
+    first = materialise(met.select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct(), "spokes")
     comp = materialise(components(first), "components")
-    # cells that still hold several components
-    at = met.select("cell", "fp").join(comp, F.col("fp") == F.col("node"), "left").select("cell", "fp", F.coalesce("root", "fp").alias("comp"))
-    at = materialise(at, "at")
-    many = materialise(at.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("cell", "n"), "many")
-    hot = hot_keys(many, "cell", CELL_SHARE)
-    left = spread_join(at, many.select("cell"), "cell", hot, "fp", "left_semi")
-    x, y = (left.select("cell", *(F.col(c).alias(c + s) for c in ("fp", "comp"))) for s in "xy")
+    # a cell all of whose fingerprints belong to one component by now is settled; pairs of the others are compared where the components differ
+    rooted = materialise(nodes.join(comp, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("comp")), "rooted")
+    grid = cells(rooted)
+    state = grid.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    state = materialise(state.select("cell", "n", (F.col("lo") == F.col("hi")).alias("settled")), "state")
+    open_ = hot_keys(state.filter("NOT settled").select("cell", "n"), "cell", CELL_SHARE)
+    at = materialise(spread_join(grid, state.filter("settled").select("cell"), "cell", hot_keys(state.select("cell", "n"), "cell", CELL_SHARE), "fp", "left_anti"), "at")
+    x, y = (at.select("cell", *(F.col(c).alias(c + s) for c in ("fp", "comp"))) for s in "xy")
     apart = (F.col("fpx") < F.col("fpy")) & (F.col("compx") != F.col("compy")) & close("fpx", "fpy")
-    rest = materialise(spread_join(x, y, "cell", hot, "fpx", where=apart).select(F.col("fpx").alias("u"), F.col("fpy").alias("v")).distinct(), "rest")
+    rest = materialise(spread_join(x, y, "cell", open_, "fpx", where=apart).select(F.col("fpx").alias("u"), F.col("fpy").alias("v")).distinct(), "rest")
     found = materialise(components(first.unionByName(rest)), "components")
-    discard(star, met, first, comp, at, many, rest)
+    discard(star, first, comp, rooted, state, at, rest)
     return found
 
 
