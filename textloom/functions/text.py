@@ -147,6 +147,91 @@ def is_structural(title: Column) -> Column:
     return (key != "") & (key.isin(*STRUCTURAL) | ((F.length(title) <= 80) & F.trim(title).rlike(form)))
 
 
+# Where a title page ends and the chapter behind it begins to count, in characters.
+TITLE_PAGE_MOST, TITLE_PAGE_NEXT = 80, 400
+
+
+def lines_of(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def same_heading(a: Column, b: Column) -> Column:
+    """Equal but for blanks."""
+    one = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    return one(a) == one(b)
+
+
+def is_title_only(title: Column, text: Column) -> Column:
+    """A chapter whose only line is its title."""
+    lines = lines_of(text)
+    line = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
+    return (F.size(lines) == 1) & (F.length(line) <= TITLE_PAGE_MOST) & same_heading(title, line)
+
+
+def is_title_inferred(title: Column, text: Column) -> Column:
+    """A title that is only the first line of the body."""
+    inferred = title_of(text)
+    return (inferred != "") & same_heading(title, inferred)
+
+
+def is_short_structural(title: Column) -> Column:
+    number = "[0-9０-９一二三四五六七八九十百千〇零]+"
+    bare = F.regexp_replace(title, r"\s+", "")
+    return (F.length(title) <= 40) & (F.length(bare) <= 20) & bare.rlike(rf"^(第?{number}[章話部節巻回篇編]?|{number}[.)．、]|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+[.)．、]?|[IVXLCDM]+[.)．、]?)$")
+
+
+def absorbs_title_page(title: Column, text: Column, next_title: Column, next_text: Column) -> Column:
+    """Whether a chapter is the title page of the next: nothing but its title, before a long body without a title or a numbered heading of its own."""
+    first = first_line(next_text)
+    return is_title_only(title, text) & (F.length(next_text) >= TITLE_PAGE_NEXT) & is_title_inferred(next_title, next_text) & ~same_heading(title, first) & ~is_short_structural(first)
+
+
+def continues_chapter(headings: Column, text: Column) -> Column:
+    """A page without a structural heading at its head or among its headings goes on with the chapter before it; so does an empty one."""
+    return ~F.exists(headings, lambda h: is_structural(h)) & ((F.trim(text) == "") | ~is_structural(first_line(text)))
+
+
+def is_fragment(title: Column, href: Column, headings: Column, text: Column) -> Column:
+    """A page that starts no chapter: its title is a file's name, or it has no heading and its title is its first line, which is not a structural one."""
+    return looks_like_filename(title, href) | ((F.size(headings) == 0) & is_title_inferred(title, text) & ~is_structural(title))
+
+
+def gap_has_separator(gap: Column) -> Column:
+    """A gap between chunks with a line that holds a section mark, or no letter and no number."""
+    return F.exists(F.split(gap, "\n"), lambda x: (F.trim(x) != "") & (F.contains(x, F.lit(SECTION)) | ~x.rlike(r"[\p{L}\p{N}]")))
+
+
+#: Signs that are looked through at the end of a chunk, and those that end a sentence.
+CHUNK_CLOSERS, CHUNK_ENDS = "」』）】］〉》”’\"'", "。！？!?…"
+
+
+def ends_open(text: Column) -> Column:
+    """A text whose last sign, behind closing brackets and quotes, is a pause mark, a dash or an ellipsis."""
+    return text.rlike(f"[{PAUSE_MARKS}—―─━…⋯][{CHUNK_CLOSERS}]*$")
+
+
+def is_continuation_gap(before: Column, gap: Column) -> Column:
+    """A line break within a sentence: no section mark and no separator in it, and the chunk before it ends open."""
+    return F.contains(gap, F.lit("\n")) & ~F.contains(gap, F.lit(SECTION)) & ends_open(before) & ~gap_has_separator(gap)
+
+
+def is_paragraph_gap(gap: Column) -> Column:
+    return F.contains(gap, F.lit("\n")) | F.contains(gap, F.lit(SECTION))
+
+
+def is_hard_boundary(before: Column, gap: Column) -> Column:
+    """A gap that chunks are not joined across: another line, or blanks behind what is no end of a sentence."""
+    return is_paragraph_gap(gap) | ((gap != "") & (F.trim(gap) == "") & ~before.rlike(f"[{CHUNK_ENDS}][{CHUNK_CLOSERS}]*$"))
+
+
+#: Pauses behind a chunk, as multiples of the shortest.
+SECTION_PAUSE, TITLE_PAUSE = 3, 5
+
+
+def gap_pause(gap: Column) -> Column:
+    return F.when(F.contains(gap, F.lit(SECTION)), SECTION_PAUSE).when(gap.rlike("\n{5}"), TITLE_PAUSE).when(gap.rlike("\n{3}"), SECTION_PAUSE).otherwise(1)
+
+
 def is_all_caps(word: Column) -> Column:
     return word.rlike(r"\p{L}") & ~word.rlike(r"[\p{L}&&[^\p{Lu}]]")
 
@@ -173,6 +258,11 @@ _HIRAGANA = "".join(map(chr, range(0x3041, 0x3097)))
 _KATAKANA = "".join(map(chr, range(0x30A1, 0x30F7)))
 
 
+def to_hiragana_map() -> dict[int, int]:
+    """For str.translate."""
+    return str.maketrans(_KATAKANA, _HIRAGANA)
+
+
 def to_hiragana(text: Column) -> Column:
     return F.translate(text, _KATAKANA, _HIRAGANA)
 

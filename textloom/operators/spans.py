@@ -16,16 +16,97 @@ def select_version(chapters: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def contained(spans: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Spans that lie within a chunk of their chapter, with places relative to it."""
-    c = chunks.select("chapter", "chunk", F.col("start").alias("c_start"), F.col("end").alias("c_end"))
-    both = spans.join(c, (spans.chapter == c.chapter) & (spans.start >= c.c_start) & (spans.end <= c.c_end)).drop(c.chapter)
-    return both.withColumn("start", F.col("start") - F.col("c_start")).withColumn("end", F.col("end") - F.col("c_start")).drop("c_start", "c_end")
+    """Spans that lie within a chunk of their chapter, with places relative to it. Chunks of a chapter don't overlap.
+
+    One pass over both in the order of their starts: a span meets the last chunk that starts at or before it.
+    """
+    c = chunks.select("chapter", F.col("start").alias("__at"), F.lit(0).alias("__kind"), F.struct("chunk", "start", "end").alias("__c"))
+    both = spans.withColumns({"__at": F.col("start"), "__kind": F.lit(1)}).unionByName(c, allowMissingColumns=True)
+    w = Window.partitionBy("chapter").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("__c", F.last("__c", ignorenulls=True).over(w)).filter("__kind = 1 AND start >= __c.start AND end <= __c.end")
+    return met.select(*(c for c in spans.columns if c not in ("start", "end")), F.col("__c.chunk").alias("chunk"), (F.col("start") - F.col("__c.start")).alias("start"), (F.col("end") - F.col("__c.start")).alias("end"))
+
+
+def overlap_flags(spans: DataFrame, name: str, *reserved: tuple[str, Column]) -> DataFrame:
+    """spans with a flag column `name`_x for each (x, condition): whether the row overlaps a row of its chapter that meets the condition.
+
+    A sweep over the starts of reserved rows and the ends of all rows: at the end of a row, the furthest end of the reserved rows
+    that started before it tells. No pairs are formed.
+    """
+    tests = {f"{name}_{x}": c for x, c in reserved}
+    rows = spans.withColumns({"__at": F.col("end"), "__kind": F.lit(0)} | {k: F.lit(None).cast("long") for k in tests})
+    starts = spans.withColumns({k: F.when(c, F.col("end").cast("long")) for k, c in tests.items()}).filter(F.coalesce(*tests).isNotNull())
+    starts = starts.withColumns({"__at": F.col("start"), "__kind": F.lit(1)})
+    w = Window.partitionBy("chapter").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, -1)
+    met = rows.unionByName(starts).withColumns({k: F.coalesce(F.max(k).over(w) > F.col("start"), F.lit(False)) for k in tests})
+    return met.filter("__kind = 0").drop("__at", "__kind")
 
 
 def without_overlaps(spans: DataFrame, reserved: DataFrame) -> DataFrame:
     """Spans that overlap no reserved span of their chapter."""
-    r = reserved.select(F.col("chapter").alias("r_chapter"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    return spans.join(r, (F.col("chapter") == F.col("r_chapter")) & (F.col("start") < F.col("r_end")) & (F.col("end") > F.col("r_start")), "left_anti")
+    r = reserved.select("chapter", "start", "end", F.lit(True).alias("__taken"))
+    both = spans.withColumn("__taken", F.lit(False)).unionByName(r, allowMissingColumns=True)
+    return overlap_flags(both, "__hit", ("r", F.col("__taken"))).filter("NOT __taken AND NOT __hit_r").select(*spans.columns)
+
+
+def layered(spans: DataFrame) -> DataFrame:
+    """Of spans (chapter, layer, start, end, ...) of three layers those that overlap none that stays of a lower number.
+
+    Layer 0 stays whole, layer 1 where it is free of layer 0, layer 2 where it is free of both: two sweeps, as what stays of layer 1
+    is known only after the first.
+    """
+    first = overlap_flags(spans, "__hit", ("a", F.col("layer") == 0)).filter("layer = 0 OR NOT __hit_a").drop("__hit_a")
+    return overlap_flags(first, "__hit", ("b", F.col("layer") == 1)).filter("layer < 2 OR NOT __hit_b").drop("__hit_b")
+
+
+def segments(chapters: DataFrame, spans: DataFrame) -> DataFrame:
+    """Chapters (chapter, size) cut at the ends of layered spans (chapter, layer, start, end): (chapter, start, end, layer), apart, in order, without gaps.
+
+    A sweep over events: each start adds one to the open spans of its layer, each end takes one off; a segment bears the lowest open layer, or
+    none (-1). Neighbours of one layer and without an end of a span between them stay apart, as their spans do. Places beyond the chapter are cut off.
+    """
+    c = chapters.select(F.col("chapter"), F.col("size").cast("long").alias("size"))
+    s = spans.select("chapter", "layer", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).join(c, "chapter")
+    s = s.withColumns({"start": F.greatest("start", F.lit(0).cast("long")), "end": F.least("end", "size")}).filter("start < end")
+    ends = lambda at, d: s.select("chapter", F.col(at).alias("at"), *(F.when(F.col("layer") == k, d).otherwise(0).alias(f"d{k}") for k in range(3)))
+    edges = c.filter("size > 0").select("chapter", F.explode(F.array(F.lit(0).cast("long"), "size")).alias("at"), *(F.lit(0).alias(f"d{k}") for k in range(3)))
+    events = ends("start", 1).unionByName(ends("end", -1)).unionByName(edges).groupBy("chapter", "at").agg(*(F.sum(f"d{k}").alias(f"d{k}") for k in range(3)))
+    w = Window.partitionBy("chapter").orderBy("at")
+    opened = events.withColumns({f"n{k}": F.sum(f"d{k}").over(w) for k in range(3)}).withColumn("end", F.lead("at").over(w)).filter("end IS NOT NULL")
+    layer = F.when(F.col("n0") > 0, 0).when(F.col("n1") > 0, 1).when(F.col("n2") > 0, 2).otherwise(-1)
+    return opened.select("chapter", F.col("at").alias("start"), "end", layer.alias("layer"))
+
+
+def runs(texts: DataFrame, classes: dict[str, str]) -> DataFrame:
+    """(chapter, kind, start, end) of the runs of characters of each class in texts (chapter, text); classes map names to the insides of character classes, which don't overlap."""
+    pattern = "|".join([*(f"[{c}]+" for c in classes.values()), f"[^{''.join(classes.values())}]+"])
+    parts = texts.select("chapter", F.posexplode(F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))).alias("i", "run"))
+    end = F.sum(F.length("run")).over(Window.partitionBy("chapter").orderBy("i"))
+    kind = F.lit(None)
+    for name, c in classes.items():
+        kind = F.when(F.col("run").rlike(f"^[{c}]"), name).otherwise(kind)
+    return parts.select("chapter", "run", end.alias("end")).select("chapter", kind.alias("kind"), (F.col("end") - F.length("run")).alias("start"), "end", "run").filter("kind IS NOT NULL")
+
+
+def grown(texts: DataFrame, spans: DataFrame, kanji: str, kana: str) -> DataFrame:
+    """Spans (chapter, start, end, id) with the kana that follow them and the kanji run around them: surface_end, and run_start, run_end (null where the span isn't within a run of two kanji or more).
+
+    Run boundaries are computed once a text; a span meets the run that its first and its last place lie in by one pass over both in order. Spans out of bounds get no row.
+    """
+    r = runs(texts, {"kanji": kanji, "kana": kana}).select("chapter", F.col("start").alias("__at"), F.lit(0).alias("__kind"), F.struct("kind", "start", "end").alias("__r"))
+    size = texts.select("chapter", F.length("text").alias("__size"))
+    own = spans.join(size, "chapter").filter("start >= 0 AND end > start AND end <= __size").drop("__size")
+    probe = lambda at, kind: own.withColumns({"__at": at.cast("long"), "__kind": F.lit(kind)})
+    events = probe(F.col("start"), 1).unionByName(probe(F.col("end"), 2)).unionByName(r.withColumn("__at", F.col("__at").cast("long")), allowMissingColumns=True)
+    w = Window.partitionBy("chapter").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = events.withColumn("__r", F.last("__r", ignorenulls=True).over(w)).filter("__kind > 0")
+    inside = (F.col("__r.start") <= F.col("__at")) & (F.col("__r.end") > F.col("__at"))
+    run = F.when(F.col("__r.kind") == "kanji", F.col("__r"))
+    first = F.max(F.when((F.col("__kind") == 1) & inside, run))
+    tail = F.max(F.when((F.col("__kind") == 2) & inside & (F.col("__r.kind") == "kana"), F.col("__r.end")))
+    out = met.groupBy(*spans.columns).agg(first.alias("r"), tail.alias("tail"))
+    fits = (F.col("r.end") >= F.col("end")) & (F.col("r.end") - F.col("r.start") > 1)
+    return out.select(*spans.columns, F.coalesce("tail", "end").cast("long").alias("surface_end"), F.when(fits, F.col("r.start")).cast("long").alias("run_start"), F.when(fits, F.col("r.end")).cast("long").alias("run_end"))
 
 
 def coalesce_adjacent(spans: DataFrame) -> DataFrame:
@@ -46,12 +127,20 @@ def merge_ranges(spans: DataFrame) -> DataFrame:
     return own.withColumn("run", F.sum("new").over(w)).groupBy("chapter", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
+def _clusters(spans: DataFrame) -> DataFrame:
+    """spans with a column __cluster: spans that overlap, directly or through others, share a number within their chapter."""
+    w = Window.partitionBy("chapter").orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    own = spans.withColumn("__new", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int"))
+    return own.withColumn("__cluster", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__new")
+
+
 def first_claims(spans: DataFrame, order: list[str], keep: list[str]) -> DataFrame:
-    """Spans taken greedily in an order, each if it overlaps none taken before; the fold holds one chapter's spans."""
+    """Spans taken greedily in an order, each if it overlaps none taken before. A fold holds the spans of one cluster of overlapping ones, which is apart from all others."""
     fields = [*order, "start", "end", *keep]
     names = [f"o{i}" for i in range(len(order))]
     row = F.struct(*(F.col(c).alias(n) for c, n in zip(order, names, strict=True)), *(F.col(c) for c in ["start", "end", *keep]))
-    sets = spans.select("chapter", *dict.fromkeys(fields)).groupBy("chapter").agg(F.array_sort(F.collect_list(row)).alias("s"))
+    sets = _clusters(spans.select("chapter", *dict.fromkeys(fields))).groupBy("chapter", "__cluster").agg(F.array_sort(F.collect_list(row)).alias("s"))
     kind = sets.schema["s"].dataType
     none = F.array().cast(kind)
     taken = F.aggregate("s", none, lambda acc, x: F.when(F.exists(acc, lambda o: (o.start < x.end) & (x.start < o.end)), acc).otherwise(F.concat(acc, F.array(x))))
@@ -59,9 +148,9 @@ def first_claims(spans: DataFrame, order: list[str], keep: list[str]) -> DataFra
 
 
 def greedy(spans: DataFrame, keep: list[str]) -> DataFrame:
-    """By start and end: a span is taken if it starts at or behind the end of the last one taken. The cursor moves over one chapter's spans."""
+    """By start and end: a span is taken if it starts at or behind the end of the last one taken. The cursor moves over one cluster of overlapping spans; the next one is behind them all."""
     row = F.struct("start", "end", *keep)
-    sets = spans.groupBy("chapter").agg(F.array_sort(F.collect_list(row)).alias("s"))
+    sets = _clusters(spans).groupBy("chapter", "__cluster").agg(F.array_sort(F.collect_list(row)).alias("s"))
     kind = sets.schema["s"].dataType.simpleString()
     start = F.struct(F.lit(-1).cast("long").alias("at"), F.array().cast(kind).alias("out"))
     step = lambda a, x: F.when(x.start >= a.at, F.struct(x.end.cast("long").alias("at"), F.concat(a.out, F.array(x)).alias("out"))).otherwise(a)

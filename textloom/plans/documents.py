@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from textloom.functions import html, segment, unicode
 from textloom.functions.segment import SECTION
 from textloom.operators import analytics
 from textloom.plans.common import literal_rows, table
+from textloom.shared import shared_dir
 from textloom.sources import files
 from textloom.streaming import boundary
 
@@ -21,12 +19,6 @@ CHUNKS = [
 ]
 
 
-def scratch(spark) -> str:
-    """A folder of its own in the shared checkpoint folder; a temporary one where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-")
-    return f"{root.rstrip('/')}/plans-{uuid.uuid4().hex}"
-
-
 def q_chunk_fixtures(spark, sf):
     rows = literal_rows(spark, {"t": "string", "most": "int", "least": "int"}, [r[:3] for r in CHUNKS])
     parts = []
@@ -124,17 +116,17 @@ def _events(spark, sf):
 
 def q_stream(spark, sf):
     """Events through the streaming ingest; equal to a batch run over the same rows."""
-    at = scratch(spark)
+    at = shared_dir(spark)
     raw = _events(spark, sf).select("event_id", F.col("event_type").alias("trigger"), (F.col("value") * 10).cast("string").alias("delta_ms"), (F.col("value") / 50).alias("playback_rate"), F.get_json_object("props", "$.k").alias("pad_ms"))
     boundary.ingest(raw, f"{at}/table", f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/table")
 
 
 def q_positions(spark, sf):
-    at = scratch(spark)
+    at = shared_dir(spark)
     raw = _events(spark, sf).select(F.col("user_id").alias("book"), "event_id", F.get_json_object("props", "$.k").cast("long").alias("position"))
     boundary.upsert_positions(raw, spark, f"{at}/table", f"{at}/checkpoint")
-    return spark.read.parquet(f"{at}/table").groupBy("book").agg(F.max_by("last", "v").alias("last"), F.max("furthest").alias("furthest"))
+    return boundary.positions(spark, f"{at}/table").select("book", "last", "furthest")
 
 
 QUERIES = {
