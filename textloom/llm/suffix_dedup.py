@@ -2,10 +2,10 @@
 
 Of all word suffixes only those are retained that start at content-selected minimiser positions: the smallest hash among WINDOW
 successive SEED-word runs. Any passage of WINDOW + SEED - 1 = 50 words holds a retained position, the same one in each copy.
-Suffixes that start with a seed found in different documents are sorted by what follows the seed, and once more by what goes
-before it read backwards; each is compared with its neighbours, and the match is extended right and left, word by word. That
-meets all pairs of a seed with NEIGHBOURS + 1 contexts at most; of a seed with more, the 50-word windows that hold it are grouped
-by their hashes, and a window of two classes is a match, so no match is lost at any number of contexts.
+Suffixes that start with a seed found in different documents are sorted by what follows the seed; each is compared with its
+neighbours, and the match is extended right and left, word by word. That meets all pairs of a seed with NEIGHBOURS + 1 contexts at
+most; of a seed with more, the 50-word windows that hold it are grouped by their hashes, and a window of two classes is a match,
+so no match is lost at any number of contexts.
 
 A match may reach REACH words beyond its seed on either side; matches of successive positions overlap, so their union covers
 passages of any length. Texts with equal words are one class and enter once; equal contexts are one row, so neither large
@@ -69,21 +69,11 @@ def run_hashes(h: np.ndarray, k: int = SEED) -> np.ndarray:
 
 
 def minimisers(x: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Positions of the leftmost smallest value of each window. Of equal values less than a window apart (periodic text) the first is retained."""
+    """Positions of the leftmost smallest value of each window, every one of them: what is retained of a passage depends on its own words alone."""
     if len(x) < window:
         return np.zeros(0, np.int64)
     view = np.lib.stride_tricks.sliding_window_view(x, window)
-    at = np.unique(view.argmin(1) + np.arange(len(view)))
-    value = x[at].tolist()
-    if len(set(value)) == len(value):
-        return at
-    last: dict[int, int] = {}
-    kept = []
-    for p, v in zip(at.tolist(), value, strict=True):
-        if p - last.get(v, -window) >= window:
-            last[v] = p
-            kept.append(p)
-    return np.array(kept, np.int64)
+    return np.unique(view.argmin(1) + np.arange(len(view)))
 
 
 def sign_of(h: np.ndarray) -> tuple[int, int]:
@@ -129,31 +119,42 @@ def suffixes(slim: DataFrame) -> DataFrame:
 
 
 def contexts(rows: DataFrame) -> DataFrame:
-    """(node, check, pos, seed, before, after) of rows (node, check, text, at): up to REACH words on either side of a seed, 4 bytes a word, `before` read backwards."""
+    """(node, check, pos, last, seed, before, after) of rows (node, check, text, at): up to REACH words on either side of a seed, 4 bytes a word, `before` read backwards.
+
+    Places of a text with equal contexts, each less than LEAST words behind the one before (periodic text), are one row, from pos to last: what matches there has LEAST words
+    at least, so the matches of these places make one span.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Words()
         for batch in batches:
-            nodes, checks, places, seeds, before, after = [], [], [], [], [], []
+            nodes, checks, places, lasts, seeds, before, after = [], [], [], [], [], [], []
             for t, node, check, at in zip(_texts(batch, "text"), *(batch.column(c).to_pylist() for c in ("node", "check", "at")), strict=True):
                 h = word_hashes(t, memo)
                 if sign_of(h) != (node, check):
                     continue  # another text of the same row id
                 x, low = run_hashes(h), (h >> np.uint64(32)).astype(np.uint32)
-                for p in at:
-                    before.append(low[max(0, p - REACH) : p][::-1].tobytes())
-                    after.append(low[p + SEED : p + SEED + REACH].tobytes())
-                nodes += [node] * len(at)
-                checks += [check] * len(at)
-                places += at
-                seeds.append(x[at].view(np.int64))
-            flat = np.concatenate(seeds) if seeds else np.zeros(0, np.int64)
-            cols = [pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(places, pa.int32()), pa.array(flat), pa.array(before, pa.binary()), pa.array(after, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["node", "check", "pos", "seed", "before", "after"])
+                row: dict[tuple[int, bytes, bytes], int] = {}  # where a context's newest row is
+                for p, seed in zip(at, x[at].view(np.int64).tolist(), strict=True):
+                    key = seed, low[max(0, p - REACH) : p][::-1].tobytes(), low[p + SEED : p + SEED + REACH].tobytes()
+                    i = row.get(key)
+                    if i is not None and p - lasts[i] < LEAST:
+                        lasts[i] = p
+                        continue
+                    row[key] = len(places)
+                    places.append(p)
+                    lasts.append(p)
+                    seeds.append(seed)
+                    before.append(key[1])
+                    after.append(key[2])
+                nodes += [node] * (len(places) - len(nodes))
+                checks += [check] * (len(places) - len(checks))
+            cols = [pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(places, pa.int32()), pa.array(lasts, pa.int32()), pa.array(seeds, pa.int64()), pa.array(before, pa.binary()), pa.array(after, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "check", "pos", "last", "seed", "before", "after"])
         del memo
         release()
 
-    return rows.select("node", "check", "text", "at").mapInArrow(run, "node long, check long, pos int, seed long, before binary, after binary")
+    return rows.select("node", "check", "text", "at").mapInArrow(run, "node long, check long, pos int, last int, seed long, before binary, after binary")
 
 
 def _grid(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -285,11 +286,11 @@ def repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> D
         hot = hot_keys(large, "seed")
         seldom = materialise(spread_join(table, large.select("seed"), "seed", hot, "ctx", "left_anti"), "seldom")
         many = materialise(spread_join(table, large.select("seed"), "seed", hot, "ctx", "left_semi"), "many")
-    found = equal.unionByName(neighbours(seldom, ("seed", "after", "before", "ctx"))).unionByName(neighbours(seldom, ("seed", "before", "after", "ctx"))).unionByName(grouped(many))
+    found = equal.unionByName(neighbours(seldom, ("seed", "after", "before", "ctx"))).unionByName(grouped(many))
     reach = materialise(found.groupBy("ctx").agg(F.max("left").alias("left"), F.max("right").alias("right")), "reach")
     copies = full.groupBy("ctx").agg(F.count(F.lit(1)).alias("n"))
-    met = spread_join(full.select("node", "check", "pos", "ctx"), reach, "ctx", hot_keys(copies, "ctx"), "node")
-    span = met.select("node", "check", (F.col("pos") - F.col("left")).alias("s"), (F.col("pos") + SEED + F.col("right")).alias("e"))
+    met = spread_join(full.select("node", "check", "pos", "last", "ctx"), reach, "ctx", hot_keys(copies, "ctx"), "node")
+    span = met.select("node", "check", (F.col("pos") - F.col("left")).alias("s"), (F.col("last") + SEED + F.col("right")).alias("e"))
     # overlapping spans of a class become one: a span starts anew where it lies behind the furthest end so far
     place = Window.partitionBy("node", "check").orderBy("s", "e")
     far = F.max("e").over(place.rowsBetween(Window.unboundedPreceding, -1))
