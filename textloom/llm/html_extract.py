@@ -2,7 +2,8 @@
 
 A page is a run of tokens: words and tags. Words score positive and tags negative, by weights per kind of token fitted to
 labelled pages; one linear scan finds the contiguous region of the highest sum. Inside the region, what stands in a
-boilerplate element (menus, adverts, forms, comments ...) is left out, and the rest is joined block by block.
+boilerplate element (menus, adverts, forms, comments ...) is left out, and the rest is joined block by block. An element is no
+boilerplate by its name or class alone: one that holds an article, or most of the page's words outside links, is a wrapper.
 
 The labelled pages are made by `labelled_pages` from a seed: pages of several layouts whose article tokens are known.
 """
@@ -37,6 +38,8 @@ MARKS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|side-?bar\w*|foot(?:er)?|header|masthead|comment\w*|disqus\w*|respond|reply|replies|"
     r"cookie\w*|consent|notice\w*|alert\w*|popup|modal|newsletter|subscri\w*|share|sharing|social\w*|related|recommend\w*|widget\w*|pag(?:er|ination)|search\w*|login|skip\w*|toolbar|complementary|contentinfo|navigation)(?:$|[\s_-])", re.I
 )
+#: Of these, the ones that readers write: they may be longer than the article, and hold articles of their own.
+READERS = re.compile(r"(?:^|[\s_-])(?:comment\w*|disqus\w*|respond|reply|replies)(?:$|[\s_-])", re.I)
 _ATTR = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -121,18 +124,22 @@ class Page:
         self.counts: list[int] = []  # words of a text token, 1 for a tag
         self.pieces: dict[int, tuple[str, int]] = {}
         self.block = 0
-        stack: list[tuple[str, bool]] = []
+        self.bad: list[list] = []  # boilerplate elements: first and last token, readers' words or not, kind of the tag otherwise
+        self.heads: list[int] = []  # tokens that open an article
+        self.titles: list[int] = []  # tokens that open a page's title
+        stack: list[tuple[str, int]] = []  # name, number of the boilerplate element or -1
         open_: Counter = Counter()
-        boiled = links = at = 0
+        links = at = 0
         end = len(raw)
         marked: dict[str, bool] = {}
         low = Finder(raw.lower()) if len(raw.lower()) == end else Finder(raw)
         found = tokens(raw)
 
         def close(n: int) -> None:
-            nonlocal boiled, links
+            nonlocal links
             for name, bad in stack[n:]:
-                boiled -= bad
+                if bad >= 0:
+                    self.bad[bad][1] = len(self.kinds)
                 links -= name == "a"
                 open_[name] -= 1
             del stack[n:]
@@ -141,7 +148,7 @@ class Page:
         while token is not None:
             start, stop, name, closing, attrs = token
             if start > at:
-                self._text(raw[at:start], boiled, links)
+                self._text(raw[at:start], links)
             at = stop
             if name and name in RAW and not closing:
                 if not attrs.rstrip().endswith("/"):
@@ -157,7 +164,7 @@ class Page:
                         depth = len(stack) - 1
                         while stack[depth][0] != name:
                             depth -= 1
-                        bad = stack[depth][1]
+                        bad = stack[depth][1] >= 0
                         close(depth)
                 else:
                     if name in CLOSES and stack and stack[-1][0] in CLOSES[name]:
@@ -165,18 +172,25 @@ class Page:
                     bad = marked.get(name + attrs)
                     if bad is None:
                         bad = marked[name + attrs] = name in BOILER or (name not in ("html", "body", "article", "main") and bool(attrs) and _marked(attrs))
+                    if name in ("article", "main"):
+                        self.heads.append(len(self.kinds))
+                    elif name == "h1":
+                        self.titles.append(len(self.kinds))
                     if name not in VOID and not attrs.endswith("/"):
-                        stack.append((name, bad))
+                        stack.append((name, len(self.bad) if bad else -1))
                         open_[name] += 1
-                        boiled += bad
                         links += name == "a"
-                self._tag(BOILER_TAG if bad else MAIN if name in ("article", "main") else INLINE_TAG if name in INLINE else PARAGRAPH if name in ("p", "br", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre") else LIST if name in ("ul", "ol", "li", "dl", "dd", "dt") else BLOCK)
+                        if bad:
+                            self.bad.append([len(self.kinds), 0, bool(READERS.search(" ".join(m.strip("\"'") for m in _ATTR.findall(attrs)))), self._kind(name)])
+                self._tag(BOILER_TAG if bad else self._kind(name))
             try:
                 token = found.send(at)
             except StopIteration:
                 token = None
         if at < end:
-            self._text(raw[at:], boiled, links)
+            self._text(raw[at:], links)
+        close(0)
+        self._wrappers()
 
     @staticmethod
     def _behind(raw: str, low: Finder, name: str, at: int, end: int) -> int:
@@ -190,14 +204,36 @@ class Page:
             close = low.find(f"</{name}", stop)
         return at if name in ("head", "title", "object", "audio", "video", "canvas") else end
 
+    @staticmethod
+    def _kind(name: str) -> int:
+        return MAIN if name in ("article", "main") else INLINE_TAG if name in INLINE else PARAGRAPH if name in ("p", "br", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre") else LIST if name in ("ul", "ol", "li", "dl", "dd", "dt") else BLOCK
+
+    def _wrappers(self) -> None:
+        """Words inside boilerplate are told by the elements that stay boilerplate: none that holds an article, or over half of the page's words outside links; what readers wrote stays unless it holds the page's title too."""
+        kinds, n = np.array(self.kinds, np.int64), len(self.kinds)
+        plain = np.concatenate([[0], np.cumsum(np.where(kinds == WORD, self.counts, 0))])
+        heads, titles = np.array(self.heads, np.int64), np.array(self.titles, np.int64)
+        depth = np.zeros(n + 1, np.int64)
+        has = lambda places, a, b: bool(np.searchsorted(places, b) > np.searchsorted(places, a))
+        for a, b, readers, kind in self.bad:
+            wraps = has(heads, a, b) or 2 * (plain[b] - plain[a]) > plain[n]
+            if wraps and (not readers or has(titles, a, b)):
+                self.kinds[a] = kind
+            else:
+                depth[a] += 1
+                depth[b] -= 1
+        for i in np.flatnonzero(np.cumsum(depth)[:n] > 0).tolist():
+            if self.kinds[i] in (WORD, LINKED):
+                self.kinds[i] = BOILED
+
     def _tag(self, kind: int) -> None:
         self.kinds.append(kind)
         self.counts.append(1)
 
-    def _text(self, text: str, boiled: int, links: int) -> None:
+    def _text(self, text: str, links: int) -> None:
         n = len(text.split())
         self.pieces[len(self.kinds)] = (text, self.block)
-        self.kinds.append(BOILED if boiled else LINKED if links else WORD)
+        self.kinds.append(LINKED if links else WORD)
         self.counts.append(n)
 
 
