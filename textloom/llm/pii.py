@@ -322,6 +322,9 @@ def fitted(spark: SparkSession, seed: int = 13, precision: float = 0.99) -> dict
     return _fit(spark.sparkContext.applicationId, seed, precision)
 
 
+_BLOCK = 128  # candidates that are looked at in one fold
+
+
 def _choose(rest: Column, model: tuple[float, list], least: float) -> Column:
     """Of candidates that reach the threshold, the best first (score, then start, then end), each if it overlaps none taken before it.
 
@@ -330,18 +333,25 @@ def _choose(rest: Column, model: tuple[float, list], least: float) -> Column:
     kind = "struct<s:int,e:int,r:double,v:string>"
     scored = F.transform(rest, lambda c: let(features(c), lambda f: F.struct(c.s.alias("s"), c.e.alias("e"), (-as_column(model, f)).cast("double").alias("r"), c.v.alias("v"))))
     good = F.array_sort(F.array_distinct(F.filter(scored, lambda c: -c.r >= least)))
-    start = F.struct(F.array().cast(f"array<array<{kind}>>").alias("done"), F.array().cast(f"array<{kind}>").alias("run"), F.lit(0).alias("end"))
 
-    def run(a: Column, c: Column) -> Column:
-        apart = c.s >= a.end
-        return F.struct(F.when(apart & (F.size(a.run) > 0), F.concat(a.done, F.array(a.run))).otherwise(a.done).alias("done"), F.when(apart, F.array(c)).otherwise(F.concat(a.run, F.array(c))).alias("run"), F.greatest(a.end, c.e).alias("end"))
+    def firsts(block: Column, end: Column) -> Column:
+        """For each candidate of a block whether it starts a run, if those before the block reach to `end`. Blocks are short, so the lists that grow here are, too."""
+        start = F.struct(end.alias("end"), F.array().cast("array<boolean>").alias("new"))
+        return F.aggregate(block, start, lambda a, c: F.struct(F.greatest(a.end, c.e).alias("end"), F.concat(a.new, F.array(c.s >= a.end)).alias("new")), lambda a: a.new)
+
+    def runs_of(g: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.size(g) - 1, F.lit(_BLOCK)), lambda i: F.slice(g, i + 1, F.lit(_BLOCK)))
+        reach = lambda bs: F.aggregate(bs, F.array(F.lit(0)), lambda a, b: F.concat(a, F.array(F.greatest(F.element_at(a, -1), F.array_max(F.transform(b, lambda c: c.e))))))
+        new = let(blocks, lambda bs: let(reach(bs), lambda r: F.flatten(F.transform(bs, lambda b, i: firsts(b, F.get(r, i))))))
+        begins = let(new, lambda n: F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.get(n, i)))
+        return let(begins, lambda at: F.transform(at, lambda i, k: F.slice(g, i + 1, F.coalesce(F.get(at, k + 1), F.size(g)) - i)))
 
     def greedy(group: Column) -> Column:
         ranked = F.transform(F.array_sort(F.transform(group, lambda c: F.struct(c.r.alias("r"), c.s.alias("s"), c.e.alias("e"), c.v.alias("v")))), lambda c: F.struct(c.s.alias("s"), c.e.alias("e"), c.r.alias("r"), c.v.alias("v")))
         taken = F.aggregate(ranked, F.array().cast(f"array<{kind}>"), lambda a, c: F.when(F.exists(a, lambda o: (o.s < c.e) & (c.s < o.e)), a).otherwise(F.concat(a, F.array(c))))
         return F.when(F.size(group) < 2, group).otherwise(F.array_sort(taken))
 
-    runs = F.aggregate(good, start, run, lambda a: F.concat(a.done, F.array(a.run)))
+    runs = let(good, lambda g: F.when(F.size(g) > 0, runs_of(g)).otherwise(F.array().cast(f"array<array<{kind}>>")))
     return F.transform(F.flatten(F.transform(runs, greedy)), lambda c: F.struct(c.s.alias("s"), c.e.alias("e"), c.v.alias("v")))
 
 
