@@ -277,9 +277,11 @@ def links(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int
     own = Window.partitionBy("node").orderBy("pos")
     at = at.withColumn("gram", F.hash("gram")).withColumn("live", F.row_number().over(own) - 1)
     at = at.withColumn("grams", F.collect_list("gram").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    # n-grams of a set with one 32-bit hash count once where lists are intersected: twins are how many more a set holds
+    at = at.withColumn("twins", F.size("grams") - F.size(F.array_distinct("grams")))
     at = materialise(at.filter(F.size("grams") >= SHARED), "apart")
     buckets = hot_keys(at.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram", PAIR_SHARE)
-    x, y = (at.select("gram", *(F.col(c).alias(c + s) for c in ("node", "n", "pos", "live", "comp", "grams"))) for s in "xy")
+    x, y = (at.select("gram", *(F.col(c).alias(c + s) for c in ("node", "n", "pos", "live", "comp", "grams", "twins"))) for s in "xy")
     apart = (F.col("nodex") < F.col("nodey")) & (F.col("compx") != F.col("compy"))
     # what the sets can share at most: of what stands before the n-gram that they meet on, and from there on
     most = F.least("livex", "livey") + F.least(F.col("nx") - F.col("posx"), F.col("ny") - F.col("posy"))
@@ -287,7 +289,7 @@ def links(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int
     fits = lambda overlap: overlap * (100 + percent) >= percent * (F.col("nx") + F.col("ny"))
     first_met = ~F.arrays_overlap(F.slice("gramsx", F.lit(1), F.col("livex")), F.slice("gramsy", F.lit(1), F.col("livey")))
     # all n-grams shared up to the earlier end of the two prefixes are counted; behind it stand as many as the longer rest at most
-    shared = F.size(F.array_intersect("gramsx", "gramsy"))
+    shared = F.size(F.array_intersect("gramsx", "gramsy")) + F.greatest("twinsx", "twinsy")
     behind = F.greatest(*(F.col(c) - _prefix(c, percent) for c in ("nx", "ny")))
     # the pairs of a large bucket are dealt over tasks by their first class
     rest = spread_join(x, y, "gram", buckets, "nodex", where=apart & close & fits(most) & first_met & (shared >= SHARED) & fits(shared + behind))
