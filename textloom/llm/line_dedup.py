@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import hot_keys, materialise, scratch_dir, spread_join
+from textloom.sinks import finished_versions
 
 MIN_CHARS, MIN_DOCS = 20, 3
 KEYS_PER_SHARD = 1 << 16
@@ -339,14 +340,41 @@ class LineIndex:
 
     A change writes its reference counts, reads those of the shards that it touches, and writes new active keys and filters of
     these shards only. `state/v=N`, written last, names for every shard the version that holds it, so a change that fails leaves
-    nothing that counts. Rows of one doc_id add up, null ids being one document; texts are read as in dedup_lines; an empty
-    table changes nothing. Choose shards so that one holds some KEYS_PER_SHARD active keys: a shard's filter is made in one task.
+    nothing that counts. An index opened on a folder that holds one goes on from its last finished change, with the shards and min_docs it was made
+    with. When the active keys get too many for the shards, all is dealt to more of them, so that a shard's filter, which one task makes, keeps its size. One
+    writer at a time. Rows of one doc_id add up, null ids being one document; texts are read as in dedup_lines, whatever their length; an empty table
+    changes nothing; columns beside text and doc_id are not read by changes. A deletion of what was not inserted is refused as a whole.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, shards: int = 64, min_docs: int = MIN_DOCS):
         self.spark, self.shards, self.min_docs = spark, shards, min_docs
         self.path = path or f"{scratch_dir(spark)}/line-index-{uuid.uuid4().hex}"
         self.version, self.refs, self.holds = 0, [], {}  # holds: shard -> version of its active keys and filter
+        done = finished_versions(spark, f"{self.path}/state")
+        if done:
+            last = spark.read.parquet(f"{self.path}/state/v={done[-1]}").first()
+            self.version, self.refs, self.shards, self.min_docs = last.version, list(last.refs), last.shards, last.min_docs
+            self.holds = {h.shard: h.version for h in last.holds}
+
+    def _publish(self, version: int, refs: list[int], holds: dict[int, int], shards: int) -> None:
+        """The state, written last; from here on it counts."""
+        row = (version, refs, sorted(holds.items()), shards, self.min_docs)
+        self.spark.createDataFrame([row], "version int, refs array<int>, holds array<struct<shard:int,version:int>>, shards int, min_docs int").write.mode("overwrite").parquet(f"{self.path}/state/v={version}")
+        self.version, self.refs, self.holds, self.shards = version, refs, holds, shards
+
+    def _regrow(self) -> None:
+        """More shards, once they hold twice the keys meant for them: reference counts are summed up, and keys and filters written, by new shards."""
+        n = self._read("active", range(self.shards)).count()
+        if n <= 2 * KEYS_PER_SHARD * self.shards:
+            return
+        to, shards = self.version + 1, 2 * shards_for(n)
+        every = reduce(DataFrame.unionByName, (self.spark.read.parquet(f"{self.path}/refs/v={v}") for v in self.refs))
+        live = every.groupBy("k1", "k2", "doc_id").agg(F.sum("n").alias("n")).filter("n > 0")
+        live.withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int")).write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/refs/v={to}")
+        active = self._read("active", range(self.shards)).withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int"))
+        active.write.mode("overwrite").parquet(f"{self.path}/active/v={to}")
+        build_filters(self.spark.read.parquet(f"{self.path}/active/v={to}")).write.mode("overwrite").parquet(f"{self.path}/filters/v={to}")
+        self._publish(to, [to], dict.fromkeys(range(shards), to), shards)
 
     def _read(self, name: str, shards) -> DataFrame | None:
         """The present rows of `shards`; None if no version holds any of them."""
@@ -366,7 +394,10 @@ class LineIndex:
         except AnalysisException:  # no row, no file
             return
         every = reduce(DataFrame.unionByName, (self.spark.read.parquet(f"{self.path}/refs/v={v}") for v in [*self.refs, to])).filter(F.col("shard").isin(touched))
-        live = every.groupBy("shard", "k1", "k2", "doc_id").agg(F.sum("n").alias("n")).filter("n > 0")
+        summed = every.groupBy("shard", "k1", "k2", "doc_id").agg(F.sum("n").alias("n"))
+        if sign < 0 and summed.filter("n < 0").head(1):
+            raise ValueError("documents that were not inserted can't be deleted")
+        live = summed.filter("n > 0")
         new = live.groupBy("shard", "k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= self.min_docs)
         new.write.mode("overwrite").parquet(f"{self.path}/active/v={to}")
         new = self.spark.read.schema(new.schema).parquet(f"{self.path}/active/v={to}")
@@ -376,9 +407,8 @@ class LineIndex:
         came = new.join(old, ["shard", "k1", "k2"], "left_anti").select("shard", "k1", "k2", F.lit(True).alias("add"))
         went = old.join(new, ["shard", "k1", "k2"], "left_anti").select("shard", "k1", "k2", F.lit(False).alias("add"))
         update_filters(kept, came.unionByName(went), new).write.mode("overwrite").parquet(f"{self.path}/filters/v={to}")
-        holds = self.holds | dict.fromkeys(touched, to)
-        self.spark.createDataFrame([(to, [*self.refs, to], sorted(holds.items()))], "version int, refs array<int>, holds array<struct<shard:int,version:int>>").write.mode("overwrite").parquet(f"{self.path}/state/v={to}")
-        self.version, self.refs, self.holds = to, [*self.refs, to], holds
+        self._publish(to, [*self.refs, to], self.holds | dict.fromkeys(touched, to), self.shards)
+        self._regrow()
 
     def insert(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> None:
         self._change(docs, 1, text, doc_id)
