@@ -165,13 +165,14 @@ def mix(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", sources=
     source of its own; an empty array belongs to none and is never taken). Result: (doc_id, sources, size, taken and the columns `extra`), one row per
     row of docs, and (source, source_size, target); taken is at most repeat times size. The seeded order takes whole documents; the one document at the end of
     a (pattern, layer) is taken in part, so the words taken meet the flow exactly. Null or empty texts have size 0 and taken
-    0. Repeated rows are documents of their own; rows alike in hash, id and size are interchangeable. An empty table gives an
+    0. Repeated rows are documents of their own; rows of one id and size stand in the order of their texts' hashes, and rows of one text too are interchangeable. An empty table gives an
     empty result. Column names beside those named play no part.
     """
     src = F.array(F.col("source")) if sources is None else sources
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.array_distinct(src).alias("sources"), word_count(F.col(text)).alias("size"), F.struct(F.lit(0).alias("_"), *extra).alias("extra"))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.array_distinct(src).alias("sources"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("tie"), F.struct(F.lit(0).alias("_"), *extra).alias("extra"))
     slim = slim.withColumn("pattern", F.to_json(F.struct(F.array_sort("sources").alias("s")), {"ignoreNullFields": "false"}))
-    slim = slim.withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "size"))
+    # rows without an id are told apart by their texts, else they would all have one place in the order
+    slim = slim.withColumn("h", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("tie").cast("string"))), "size"))
     slim = materialise(slim.withColumn("h", F.shiftrightunsigned("h", 64 - BUCKET_BITS * LEVELS)), "mix")
     totals = slim.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("sources").alias("sources")).collect()
     sizes, members = {r.pattern: r["size"] for r in totals}, {r.pattern: r.sources for r in totals}
@@ -193,7 +194,7 @@ def mix(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", sources=
     on_edge = F.exists("at", lambda x: x == 0)
     flat = dealt.filter(~on_edge).withColumn("taken", F.expr("size * aggregate(at, 0, (a, x) -> a + IF(x < 0, 1, 0))"))
     edge = dealt.filter(on_edge)
-    order = Window.partitionBy("pattern").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("pattern").orderBy("h", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     taken = F.lit(0)
     for i in range(repeat):
         cut, here = F.col("cuts")[i], F.col("at")[i]
