@@ -79,17 +79,17 @@ def test_tracked(spark, sf):
 def test_tracked_rows(spark):
     texts = spark.createDataFrame([(1, "  ab  漢字 cd"), (2, "x " + A.OPEN + " 漢字"), (3, None), (4, "漢  \n字だ"), (5, ""), (6, "12 漢字34 ")], "chapter long, text string")
     spans = spark.createDataFrame([(1, 6, 8, "漢字", "かんじ"), (1, 7, 8, "字", "じ"), (1, 0, 99, "", "x"), (1, 2, 4, "zz", "x"), (2, 4, 6, "漢字", "かんじ"), (3, 0, 1, "a", "b"), (4, 0, 1, "漢", "かん"), (6, 3, 5, "", "かんじ"), (1, 9, 10, "c", "漢")], SPAN)
-    got = {r.chapter: r for r in tracking.tracked(texts, spans, T.clean).collect()}
+    got = {r.chapter: r for r in tracking.tracked(texts, spans, tracking.by_rows(T.clean)).collect()}
     assert got[1].tracked and [tuple(x) for x in got[1].spans] == [(3, 5, "漢字", "かんじ")] and got[1].spoken == "ab かんじ 漢d"
     assert not got[2].tracked and got[2].spans is None
     assert got[3].cleaned == "" and got[3].spans == [] and got[5].spans == []
     assert got[4].cleaned == "漢\n字だ" and got[4].tracked and [tuple(x) for x in got[4].spans] == [(0, 1, "漢", "かん")]
     # a rule on digits doesn't meet the markers' numbers; one that eats a base's surroundings leaves its place right
-    found = tracking.clean_spans(texts, spans, lambda t: F.regexp_replace(t, r"\d", "")).filter("chapter = 6").collect()
+    found = tracking.clean_spans(texts, spans, tracking.by_rows(lambda t: F.regexp_replace(t, r"\d", ""))).filter("chapter = 6").collect()
     assert [(r.start, r.end, r.base, r.reading, r.how) for r in found] == [(1, 3, "漢字", "かんじ", "tracked")]
     # a rule that needs the signs next to each other is blocked by a marker: the difference takes over
     one = spark.createDataFrame([(1, "ab 漢字 cd")], "chapter long, text string"), spark.createDataFrame([(1, 3, 5, "漢字", "かんじ")], SPAN)
-    found = tracking.clean_spans(*one, lambda t: F.regexp_replace(t, "字 c", "字c")).collect()
+    found = tracking.clean_spans(*one, tracking.by_rows(lambda t: F.regexp_replace(t, "字 c", "字c"))).collect()
     assert [(r.start, r.end, r.base, r.reading.strip(), r.how) for r in found] == [(3, 5, "漢字", "かんじ", "difference")]
 
 

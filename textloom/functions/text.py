@@ -275,6 +275,31 @@ def without_double_quotes(text: Column) -> Column:
     return F.regexp_replace(text, "[\"“”„‟«»＂〝〞〟]", "")
 
 
+# Japanese quotation marks, single ones, runs of dashes, and words that begin with an apostrophe.
+JAPANESE_QUOTES, SINGLE_QUOTES, DASHES = "「」『』《》〈〉【】〔〕［］｢｣〝〞〟", "'‘’‚‛＇", "‐‑‒–—―─━"
+ELISIONS = ("tis", "twas", "twere", "twill", "til", "em", "cause", "bout", "round")
+
+
+def without_japanese_quotes(text: Column) -> Column:
+    """Without Japanese quotation marks; a comma stands where one closes between two Japanese signs."""
+    quotes, closing = JAPANESE_QUOTES.replace("]", r"\]"), "」』》〉】〕］｣〟"
+    return F.regexp_replace(F.regexp_replace(text, f"(?<=[{JAPANESE}])[{closing}](?=[{quotes}]*[{JAPANESE}])", "、"), f"[{quotes}]", "")
+
+
+def without_single_quotes(text: Column) -> Column:
+    """Without single quotes but for apostrophes: between ASCII letters or digits, between Japanese signs, and before words that lack their beginning."""
+    q = f"[{SINGLE_QUOTES}]"
+    keep = (f"(?<=[A-Za-z0-9]){q}(?=[A-Za-z0-9])", f"(?<=[{JAPANESE}]){q}(?=[{JAPANESE}])", rf"(?<![\p{{L}}\p{{N}}]){q}(?=(?i:{'|'.join(ELISIONS)})(?![A-Za-z]))")
+    return F.regexp_replace(text, "".join(f"(?!{k})" for k in keep) + q, "")
+
+
+def final_stop(text: Column) -> Column:
+    """A full stop behind a Japanese text whose last line lacks a mark; brackets at its end are looked through."""
+    bare = F.rtrim(text)
+    marked = bare.endswith("・") | bare.rlike(f"[{END_MARKS}{PAUSE_MARKS}][{CHUNK_CLOSERS}]*$")
+    return F.when(text.rlike(f"[{JAPANESE}]") & (bare != "") & ~marked, F.concat(text, F.lit("。"))).otherwise(text)
+
+
 def without_format_characters(text: Column) -> Column:
     return F.regexp_replace(text, r"\p{Cf}", "")
 
@@ -332,6 +357,13 @@ def chapter_id(index: Column, title: Column) -> Column:
     return F.concat(F.lpad(index.cast("string"), 4, "0"), F.lit("-"), F.when(slug != "", slug).otherwise("chapter"))
 
 
+def path_safe(title: Column, most: int = 80) -> Column:
+    """A title as a folder's name: no separators, reserved or invisible characters, no dots at the ends."""
+    t = F.regexp_replace(F.translate(F.coalesce(title, F.lit("")), "/\\:*?\"<>|", " " * 9), r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}\p{Zl}\p{Zp}]", "")
+    t = F.regexp_replace(strip(F.regexp_replace(t, r"[\s\p{Zs}]+", " ")), r"^\.+|\.+$", "")
+    return F.when(F.length(t) > most, F.rtrim(F.substring(t, 1, most))).otherwise(t)
+
+
 def is_http_url(text: Column) -> Column:
     return F.lower(F.trim(text)).rlike(r"^https?://[^\s/]+")
 

@@ -70,21 +70,37 @@ def _repaired(block: Column, spellings: Column) -> Column:
     return _let(_run(block), repaired)
 
 
+def spellings(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc, m): a map from lower-case words to how each text (doc, text) spells them with a small letter most often (ties: Title, lower, other, then the first), for the words asked for (doc, key)."""
+    words = texts.join(keys.select("doc").distinct(), "doc", "left_semi").select("doc", F.posexplode(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(0))).alias("pos", "w")).filter(F.col("w").rlike(r"\p{Ll}"))
+    counts = words.withColumn("key", F.lower("w")).join(keys, ["doc", "key"], "left_semi").groupBy("doc", "key", "w").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+    score = F.when(F.col("w").rlike(r"^\p{Lu}.*\p{Ll}"), 3).when(~F.col("w").rlike(r"\p{Lu}"), 2).otherwise(1)
+    best = counts.groupBy("doc", "key").agg(F.min_by("w", F.struct(-F.col("n"), -score, "first")).alias("spelling"))
+    return best.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("key", "spelling"))).alias("m"))
+
+
+def _with_map(texts: DataFrame, words: Column) -> DataFrame:
+    """texts with the spellings m of the words that an array names; an empty map where there is none."""
+    own = texts.withColumn("__k", F.array_distinct(F.transform(words, F.lower)))
+    met = own.join(spellings(texts, own.select("doc", F.explode("__k").alias("key"))), "doc", "left")
+    return met.withColumn("m", F.coalesce("m", F.create_map().cast("map<string, string>"))).drop("__k")
+
+
 def small_capitals(texts: DataFrame) -> DataFrame:
     """(doc, text) of texts (doc, text), doc unique: paragraphs that begin with two to six words in capitals, before one with a small letter, respelled.
 
-    A word gets its commonest spelling with a small letter in the same text (ties: Title, lower, other, then the first); stop words are lower-cased, and abbreviations,
-    Roman numerals and short words stay. A run without a stop word or a word known to the text stays, too. Paragraphs are parted by one blank line afterwards. A null text
-    stays null. Only texts with such runs, and of these only the words of the runs, are counted.
+    A word gets its commonest spelling with a small letter in the same text; stop words are lower-cased, and abbreviations, Roman numerals and short words stay. A run
+    without a stop word or a word known to the text stays, too. Paragraphs are parted by one blank line afterwards. A null text stays null. Only texts with such runs,
+    and of these only the words of the runs, are counted.
     """
-    runs = F.array_distinct(F.transform(F.flatten(F.transform(_blocks(F.col("text")), _run)), F.lower))
-    own = texts.select("doc", "text", runs.alias("keys"))
-    keys = own.select("doc", F.explode("keys").alias("key"))
-    words = own.filter(F.size("keys") > 0).select("doc", F.posexplode(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(0))).alias("pos", "w")).filter(F.col("w").rlike(r"\p{Ll}"))
-    counts = words.withColumn("key", F.lower("w")).join(keys, ["doc", "key"], "left_semi").groupBy("doc", "key", "w").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    score = F.when(F.col("w").rlike(r"^\p{Lu}.*\p{Ll}"), 3).when(~F.col("w").rlike(r"\p{Lu}"), 2).otherwise(1)
-    best = counts.groupBy("doc", "key").agg(F.min_by("w", F.struct(-F.col("n"), -score, "first")).alias("spelling"))
-    maps = best.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("key", "spelling"))).alias("m"))
-    none = F.create_map().cast("map<string, string>")
-    met = own.join(maps, "doc", "left").withColumn("m", F.coalesce("m", none))
+    met = _with_map(texts.select("doc", "text"), F.flatten(F.transform(_blocks(F.col("text")), _run)))
     return met.select("doc", F.array_join(F.transform(_blocks(F.col("text")), lambda b: _repaired(b, F.col("m"))), "\n\n").alias("text"))
+
+
+def capital_lines(texts: DataFrame) -> DataFrame:
+    """(doc, text) of texts (doc, text, headings): lines in capitals as titles, if they are among the headings, or as sentences, as the text spells their words. A null text stays null."""
+    capital = lambda x: x.rlike(r"\p{Lu}") & ~x.rlike(r"\p{Ll}")
+    words = F.flatten(F.transform(F.filter(F.split("text", "\n"), capital), lambda x: F.split(x, " ")))
+    keys = F.transform("headings", T.heading_key)
+    met = _with_map(texts.select("doc", "text", F.coalesce(keys, F.array().cast("array<string>")).alias("h")), words)
+    return met.select("doc", F.array_join(F.transform(F.split("text", "\n"), lambda x: T.repair_capitals(x, F.array_contains("h", T.heading_key(x)), F.col("m"))), "\n").alias("text"))

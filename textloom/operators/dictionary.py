@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.text import path_safe
+
 
 def reading_counts(pairs: DataFrame, by: list[str]) -> DataFrame:
     """count and first-seen order of each reading of a base (pairs: *by, base, reading, seen)."""
@@ -109,3 +111,11 @@ def category_map(headings: DataFrame, by: list[str]) -> DataFrame:
     """One category per heading key: title beats section."""
     rank = F.when(F.col("category") == "title", 2).when(F.col("category") == "section", 1).otherwise(0)
     return headings.groupBy(*by, "key").agg(F.max(rank).alias("r")).select(*by, "key", F.when(F.col("r") == 2, "title").when(F.col("r") == 1, "section").otherwise("").alias("category"))
+
+
+def unique_folders(books: DataFrame) -> DataFrame:
+    """(book, folder) of books (book, title): path-safe titles, `book` for empty ones; the second of equal ones, by book, ends in -2 and so on."""
+    own = books.select("book", F.coalesce(F.nullif(path_safe(F.col("title")), F.lit("")), F.lit("book")).alias("folder"))
+    w = Window.partitionBy("folder").orderBy("book")
+    numbered = own.withColumn("n", F.row_number().over(w))
+    return numbered.select("book", F.when(F.col("n") == 1, F.col("folder")).otherwise(F.concat("folder", F.lit("-"), F.col("n").cast("string"))).alias("folder"))

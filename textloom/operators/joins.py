@@ -83,7 +83,8 @@ def frames(samples: Column, size: int, hop: int) -> Column:
 
 def resolve_href(base: Column, href: Column) -> Column:
     """A link without its fragment, decoded, relative to the folder of the file it stands in."""
-    clean = F.url_decode(F.replace(F.regexp_replace(href, "#.*$", ""), F.lit("+"), F.lit("%2B")))
+    bare = F.regexp_replace(href, "#.*$", "")
+    clean = F.coalesce(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), bare)  # a stray % stays as it is
     folder = F.regexp_replace(base, "[^/]*$", "")
     path = F.when(clean.startswith("/"), F.substring(clean, F.lit(2), F.length(clean))).otherwise(F.concat(folder, clean))
     step = lambda a, x: F.when(x.isin("", "."), a).when((x == "..") & (F.size(a) > 0), F.slice(a, F.lit(1), F.size(a) - 1)).when(x == "..", a).otherwise(F.concat(a, F.array(x)))

@@ -163,3 +163,48 @@ def normal_classes(blocks: DataFrame, by: list[str], key: str) -> DataFrame:
     most = counts.groupBy(*by).agg(F.max("n").alias("most"))
     least = F.when(F.col("most") >= 8, F.greatest(F.lit(3), F.floor(F.col("most") / 5))).otherwise(1)
     return counts.join(most, by).filter(F.col("n") >= least).drop("most")
+
+
+_RAW = ("base", "pattern", "reading", "kana")
+
+
+def _unnest(rows: DataFrame, value: str, key: str, place: str) -> DataFrame:
+    """rows with the members of a VARIANT column: `key`, `place` and `value` of each; rows without members go."""
+    tvf = rows.sparkSession.tvf.variant_explode(F.col(value).outer())
+    return rows.lateralJoin(tvf.select(F.col("pos").alias(place), F.col("key").alias(key), F.col("value").alias("__member"))).drop(value).withColumnRenamed("__member", value)
+
+
+def _is(value: str, kind: str) -> Column:
+    return F.schema_of_variant(F.col(value)).startswith(kind)
+
+
+def book_overrides(books: DataFrame) -> DataFrame:
+    """(book, chapter, ord, base, pattern, reading, mode) of override files (book, data: JSON); chapter is null for entries of the whole book.
+
+    Entries of the book stand under `global`, `default` or `*`, the first of these that has any counts. Those of chapters stand under `chapters`, or the file is a map of
+    chapters itself, if it has none of these keys. A list of entries may be wrapped in `replacements` or `entries`, and an entry is an object or a pair. A base of one sign
+    without a mode of its own is replaced where it is isolated. Null and invalid files, and entries without a reading, give no rows.
+    """
+    v = books.select("book", F.try_parse_json("data").alias("v")).filter("v IS NOT NULL").filter(_is("v", "OBJECT"))
+    part = lambda path: F.try_variant_get("v", path, "variant")
+    known = part('$["global"]').isNotNull() | part('$["default"]').isNotNull() | part('$["*"]').isNotNull()
+    whole = [v.select("book", F.lit(None).cast("string").alias("chapter"), F.lit(i).alias("rank"), part(f'$["{k}"]').alias("e")) for i, k in enumerate(("global", "default", "*"))]
+    by_chapter = F.when(part('$["chapters"]').isNotNull(), part('$["chapters"]')).when(~known, F.col("v"))
+    named = _unnest(v.select("book", by_chapter.alias("e")).filter("e IS NOT NULL").filter(_is("e", "OBJECT")), "e", "chapter", "__p").select("book", "chapter", F.lit(9).alias("rank"), "e")
+    lists = whole[0].unionByName(whole[1]).unionByName(whole[2]).unionByName(named).filter("e IS NOT NULL")
+    inner = lambda k: F.try_variant_get("e", f"$.{k}", "variant")
+    some = lambda k: inner(k).isNotNull() & (F.schema_of_variant(inner(k)) != "ARRAY<VOID>")
+    lists = lists.withColumn("e", F.when(_is("e", "OBJECT"), F.when(some("replacements"), inner("replacements")).otherwise(inner("entries"))).otherwise(F.col("e"))).filter("e IS NOT NULL").filter(_is("e", "ARRAY"))
+    items = _unnest(lists, "e", "__k", "ord").filter("e IS NOT NULL")
+    text = lambda p: F.try_variant_get("e", p, "string")
+    pair = _is("e", "ARRAY")
+    given = inner("mode").isNotNull() | inner("scope").isNotNull()
+    raw = items.select(
+        "book", "chapter", "rank", "ord", F.when(pair, text("$[0]")).otherwise(text("$.base")).alias("base"), text("$.pattern").alias("pattern"), F.when(pair, text("$[1]")).otherwise(text("$.reading")).alias("reading"), text("$.kana").alias("kana"),
+        F.try_variant_get("e", "$.regex", "boolean").alias("regex"), F.coalesce(F.nullif(text("$.mode"), F.lit("")), text("$.scope")).alias("mode"), given.alias("given"),
+    )
+    got = parse_entries(raw)
+    alone = F.col("mode").isNull() & ~F.col("given") & (F.length("base") == 1)
+    got = got.withColumn("mode", F.when(alone, "isolated").otherwise(F.col("mode")))
+    first = got.filter("rank < 9").groupBy("book").agg(F.min("rank").alias("first"))
+    return got.join(first, "book", "left").filter("rank = 9 OR rank = first").select("book", "chapter", "ord", "base", "pattern", "reading", "mode")

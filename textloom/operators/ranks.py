@@ -1,7 +1,7 @@
 """Global orders and exact quantiles without a window over the whole table.
 
-Rows are dealt to buckets by boundaries from a bounded sample; any boundaries give the same result. Only the buckets' counts,
-BUCKETS at most per group, are summed up in one place.
+Rows are dealt to tasks by ranges of the order, which Spark samples; any ranges give the same result. The ranges are written before
+they are counted, so that a task that runs again can't deal them anew. Only their counts, one row per range and group, are summed up in one place.
 """
 
 from __future__ import annotations
@@ -9,35 +9,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS, SAMPLE = 128, 20_000
+from textloom.shared import written
 
+#: A range is to hold about so many rows, so their number grows with the table.
+RANGE_ROWS = 1_000_000
 
-def _bounds(df: DataFrame, name: str) -> list:
-    """Up to BUCKETS - 1 values of a column that cut it into about equal parts, from about SAMPLE of its rows."""
-    n = df.count()
-    picked = sorted({r[0] for r in df.select(name).sample(min(1.0, SAMPLE / max(1, n)), seed=5).collect() if r[0] is not None})
-    return [picked[i * len(picked) // BUCKETS] for i in range(1, BUCKETS)] if len(picked) > BUCKETS else picked
 
-
-def _bucket(value: Column, bounds: list) -> Column:
-    """Number of boundaries at or below the value."""
-    return F.size(F.filter(F.array(*[_literal(b) for b in bounds]), lambda b: b <= value)) if bounds else F.lit(0)
-
-
-def _literal(v) -> Column:
-    return F.struct(*[F.lit(x).alias(f"k{i}") for i, x in enumerate(v)]) if isinstance(v, tuple) else F.lit(v)
+def _ranges(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with column `name`: the place, from 1, in the order of the columns given, which must tell rows apart and hold no nulls."""
     keyed = df.withColumn("__key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
-    bounds = [tuple(b) for b in _bounds(keyed, "__key")]
-    dealt = keyed.withColumn("__b", _bucket(F.col("__key"), bounds))
-    counts = dealt.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    # in a sorted partition the id is the partition's number, then the row's
+    dealt = keyed.repartitionByRange(_ranges(df), "__key").sortWithinPartitions("__key").withColumn("__id", F.monotonically_increasing_id())
+    table = written(dealt.drop("__key")).withColumns({"__b": F.shiftright("__id", 33), "__i": F.col("__id").bitwiseAND((1 << 33) - 1)})
+    counts = table.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("__b", F.coalesce(before, F.lit(0)).alias("__before"))
-    ranked = dealt.join(F.broadcast(counts), "__b").withColumn(name, F.col("__before") + F.row_number().over(Window.partitionBy("__b").orderBy("__key")))
-    return ranked.drop("__b", "__key", "__before")
+    ranked = table.join(F.broadcast(counts), "__b").withColumn(name, F.col("__before") + F.col("__i") + 1)  # a row per range
+    return ranked.drop("__b", "__i", "__id", "__before")
 
 
 def values_at(df: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
@@ -46,10 +38,10 @@ def values_at(df: DataFrame, value: str, by: list[str], shares: dict[str, float]
     Equal values are counted before anything else, so neither a hot value nor a hot group is ordered row by row.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    bounds = _bounds(counted, "__v")
-    dealt = counted.withColumn("__b", _bucket(F.col("__v"), bounds))
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(counted.repartitionByRange(ranges, *by, "__v").withColumn("__b", F.spark_partition_id()))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    sums = dealt.groupBy(*by, "__b").agg(F.sum("__c").alias("__s"))  # BUCKETS rows a group at most
+    sums = dealt.groupBy(*by, "__b").agg(F.sum("__c").alias("__s"))  # a row per range and group that it holds
     ahead = F.sum("__s").over(group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select(*by, "__b", F.coalesce(ahead, F.lit(0)).alias("__before"), F.sum("__s").over(group).alias("__n"))
     x, y = dealt.alias("x"), sums.alias("y")

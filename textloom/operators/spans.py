@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.text import KANA, KANJI
+
 
 def select_version(chapters: DataFrame, spans: DataFrame) -> DataFrame:
     """Spans of the text version whose hash is the chapter's: the clean version if it fits, else the raw one, else none.
@@ -119,6 +121,17 @@ def coalesce_adjacent(spans: DataFrame) -> DataFrame:
     return runs.select("chapter", "start", "end", F.array_join(F.transform("p", lambda x: x.base), "").alias("base"), F.array_join(F.transform("p", lambda x: x.reading), "").alias("reading"))
 
 
+def coalesce_singles(spans: DataFrame, key: str) -> DataFrame:
+    """Spans (key, start, end, base, reading), where runs of spans of one kanji read in kana, each starting where the one before ends, are one span with bases and readings joined."""
+    w = Window.partitionBy(key).orderBy("start", "end", "reading")
+    own = spans.withColumn("one", F.col("base").rlike(f"^[{KANJI}]$") & F.col("reading").rlike(f"^[{KANA}]+$"))
+    goes = F.col("one") & F.coalesce(F.lag("one").over(w) & (F.lag("end").over(w) == F.col("start")), F.lit(False))
+    runs = own.withColumn("run", F.sum((~goes).cast("int")).over(w))
+    parts = F.array_sort(F.collect_list(F.struct("start", "end", "reading", "base")))
+    met = runs.groupBy(key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), parts.alias("p"))
+    return met.select(key, "start", "end", F.array_join(F.transform("p", lambda x: x.base), "").alias("base"), F.array_join(F.transform("p", lambda x: x.reading), "").alias("reading"))
+
+
 def merge_ranges(spans: DataFrame) -> DataFrame:
     """Touching or overlapping ranges of a chapter as one; empty ranges don't count."""
     w = Window.partitionBy("chapter").orderBy("start", "end")

@@ -12,6 +12,7 @@ from textloom.functions import alignment as A
 from textloom.functions import text as T
 from textloom.functions.html import RUBY, STRING, struct_of
 from textloom.operators import spans as S
+from textloom.shared import written
 
 _SPAN = "struct<start: int, end: int, base: string, reading: string>"
 #: Anchors are whole pieces of a text: a run up to and with a mark or a line break.
@@ -33,9 +34,16 @@ def _unmarked(base: pd.Series, ruby: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["plain", "ruby", "spans"])
 
 
-def tracked(texts: DataFrame, spans: DataFrame, clean: Callable[[Column], Column]) -> DataFrame:
+def by_rows(clean: Callable[[Column], Column]) -> Callable[[DataFrame], DataFrame]:
+    """A rule for one text as a rule for a table of texts (doc, text)."""
+    return lambda df: df.select("doc", clean(F.col("text")).alias("text"))
+
+
+def tracked(texts: DataFrame, spans: DataFrame, clean: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Spans (chapter, start, end, base, reading) of texts (chapter, text) in the cleaned texts: chapter, cleaned, spoken, tracked, spans.
 
+    clean makes texts (doc, text) into cleaned ones, each by itself; by_rows makes one of a rule for columns.
+
     Spans that don't fit their text are left out, an empty base is read from the text, and of overlapping ones the first stays. The text is cleaned three times:
     as it is, with numbered private-use markers around bases, and with markers around the readings in their place. If the marked
     text without its markers is the cleaned one, but for case, the markers say where each span is now; spans that lost a marker or became
@@ -50,7 +58,12 @@ def tracked(texts: DataFrame, spans: DataFrame, clean: Callable[[Column], Column
     own = t.join(sets, "chapter", "left").withColumn("s", F.coalesce("s", F.array().cast(f"array<{_SPAN}>")))
     own = own.withColumn("free", ~(F.col("text").rlike(A.RESERVED) | F.exists("s", lambda x: x.reading.rlike(A.RESERVED))))
     own = own.withColumn("m", _marked("text", F.when(F.col("free"), F.col("s")).otherwise(F.array().cast(f"array<{_SPAN}>"))))
-    done = own.select("chapter", "free", clean(F.col("text")).alias("cleaned"), clean(F.col("m.base")).alias("b"), clean(F.col("m.ruby")).alias("r")).withColumn("u", _unmarked("b", "r"))
+    # the three versions of a chapter are texts of their own to the rules
+    three = written(own.select("chapter", "free", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("text")), F.struct(F.lit(1).alias("v"), F.col("m.base").alias("text")), F.struct(F.lit(2).alias("v"), F.col("m.ruby").alias("text")))).alias("x")).select("chapter", "free", "x.*"))
+    out = clean(three.select(F.struct("chapter", "v").alias("doc"), "text")).select("doc.*", "text")
+    version = lambda k: F.max(F.when(F.col("v") == k, F.col("text")))
+    met = out.groupBy("chapter").agg(version(0).alias("cleaned"), version(1).alias("b"), version(2).alias("r"))
+    done = three.filter("v = 0").select("chapter", "free").join(met, "chapter").withColumn("u", _unmarked("b", "r"))
     same = F.col("free") & (F.length("u.plain") == F.length("cleaned")) & (F.lower("u.plain") == F.lower("cleaned"))
     kept = F.filter("u.spans", lambda x: ~T.is_suspicious(x.base, x.reading))
     return done.select("chapter", "cleaned", F.col("u.ruby").alias("spoken"), same.alias("tracked"), F.when(same, kept).alias("spans"))
@@ -95,9 +108,13 @@ def diff_spans(texts: DataFrame) -> DataFrame:
     return found.filter(~T.is_suspicious(F.col("base"), F.col("reading")))
 
 
-def clean_spans(texts: DataFrame, spans: DataFrame, clean: Callable[[Column], Column]) -> DataFrame:
+def clean_spans(texts: DataFrame, spans: DataFrame, clean: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Spans in the cleaned texts: tracked ones where tracking holds, else those of the difference. chapter, start, end, base, reading, how."""
-    all_ = tracked(texts, spans, clean)
+    return spans_from(written(tracked(texts, spans, clean)))
+
+
+def spans_from(all_: DataFrame) -> DataFrame:
+    """As clean_spans, from a written result of tracked."""
     kept = all_.filter("tracked").select("chapter", F.explode("spans").alias("x")).select("chapter", "x.*", F.lit("tracked").alias("how"))
     lost = all_.filter("NOT tracked").select("chapter", F.col("cleaned").alias("plain"), F.col("spoken").alias("ruby"))
     return kept.unionByName(diff_spans(lost).withColumn("how", F.lit("difference")))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 
 def _modules() -> list:
-    from textloom.plans import analytics, books, dictionary, documents, joins, numerals, overrides, spans, text
+    from textloom.plans import analytics, books, dictionary, documents, joins, numerals, overrides, reading, spans, text
 
-    return [analytics, dictionary, joins, spans, numerals, text, documents, overrides, books]
+    return [analytics, dictionary, joins, spans, numerals, text, documents, overrides, books, reading]
 
 
 def queries() -> dict[str, Callable]:

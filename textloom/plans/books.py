@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textloom import sinks
 from textloom.functions import html
 from textloom.functions import text as T
-from textloom.operators import casing, chapters, tracking
+from textloom.operators import casing, chapters, sanitise, tracking
 from textloom.operators import spans as S
 from textloom.plans.common import table
 from textloom.shared import shared_dir
@@ -55,7 +55,7 @@ def tracked_of(spark, sf, rules):
     """Texts of pages, every third word with a reading, through the cleaning and the removal of rules."""
     texts = table(spark, sf, "pages").select(F.col("page_id").alias("chapter"), html.html_text("html").text.alias("text"))
     spans = _words(texts, "chapter").filter("i % 3 = 0 AND length(w) > 1").select("chapter", "start", (F.col("start") + F.length("w")).alias("end"), F.col("w").alias("base"), F.concat(F.upper("w"), F.lit("ん")).alias("reading"))
-    return texts, spans, lambda t: T.remove_all(T.clean(t), rules)[0]
+    return texts, spans, tracking.by_rows(lambda t: T.remove_all(T.clean(t), rules)[0])
 
 
 def q_tracked(spark, sf):
@@ -77,6 +77,19 @@ def q_small_capitals(spark, sf):
     return casing.small_capitals(d).select(F.col("doc").alias("doc_id"), F.md5("text").alias("h"))
 
 
+RULES = sanitise.Rules(drop=["^[A-Z][a-z]*ung "], cutoff=["Licensed under", r"^All rights reserved"], remove=[r"[$%&*#]{3}", r"\d{4,}"])
+
+
+def q_sanitised(spark, sf):
+    """Documents as chapters, with small capitals at their heads, lines of signs, and every seventh word with a reading."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chapter"), F.substring_index("text", " ", 4).alias("title"), F.concat(F.upper(F.substring_index("text", " ", 3)), F.lit(" "), F.replace("text", F.lit("\n"), F.lit("\n\n***\n\n"))).alias("text"), F.array(F.substring_index("text", "\n", 1)).alias("headings"))
+    words = _words(d, "chapter").filter("i % 7 = 0 AND length(w) > 2 AND NOT w LIKE concat('%', chr(10), '%')")
+    spans = words.select("chapter", "start", (F.col("start") + F.length("w")).alias("end"), F.col("w").alias("base"), F.concat(F.lit("よ"), F.lower("w")).alias("reading"))
+    texts, found = sanitise.sanitise(d, spans, RULES)
+    n = found.groupBy("chapter").agg(F.count(F.lit(1)).alias("n_spans"), F.sum("start").alias("starts"), F.max("how").alias("how"))
+    return texts.join(n, "chapter", "left").select(F.col("chapter").alias("doc_id"), "reason", "why", F.md5("text").alias("h"), "raw_chars", "clean_chars", F.coalesce("n_spans", F.lit(0)).alias("n_spans"), "starts", "how")
+
+
 def q_growth(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("chapter"), F.translate(F.lower("text"), LATIN, SIGNS).alias("text"))
     s = d.select("chapter", F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(50))).alias("start")).select("chapter", F.col("start").cast("long").alias("start")).select("chapter", "start", (F.col("start") + 1 + F.col("start") % 3).alias("end"), F.col("start").alias("id"))
@@ -160,7 +173,7 @@ def q_contents_tree(spark, sf):
 
 QUERIES = {
     "s1_archives": q_archives, "s2_contents": q_contents_tree,
-    "f8_small_capitals": q_small_capitals, "f15_chapters": q_chapters, "f43_tracked_spans": q_tracked, "f44_difference": q_difference, "j13_notes": q_notes, "j15_heading_pauses": q_heading_pauses, "j22_layers": q_layers, "j22_segments": q_segments, "p17_p19_pauses": q_chunk_pauses,
+    "f8_small_capitals": q_small_capitals, "f11_sanitised": q_sanitised, "f15_chapters": q_chapters, "f43_tracked_spans": q_tracked, "f44_difference": q_difference, "j13_notes": q_notes, "j15_heading_pauses": q_heading_pauses, "j22_layers": q_layers, "j22_segments": q_segments, "p17_p19_pauses": q_chunk_pauses,
     "s16_published": q_published, "w21_growth": q_growth,
 }
 

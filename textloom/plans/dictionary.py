@@ -97,7 +97,8 @@ def q_rules_union(spark, sf):
 def q_rules_minus(spark, sf):
     """Rules of a book that are not among the defaults."""
     p = table(spark, sf, "part")
-    return p.filter("p_size > 25").select(F.col("p_name").alias("pattern")).join(p.filter("p_size <= 20").select(F.col("p_name").alias("pattern")), "pattern", "left_anti").distinct()
+    rule = F.concat_ws(" ", "p_type", "p_brand").alias("pattern")
+    return p.filter("p_size > 25").select(rule).join(p.filter("p_size <= 20").select(rule), "pattern", "left_anti").distinct()
 
 
 def q_missing_comments(spark, sf):
@@ -160,7 +161,7 @@ SELECT w.key, w.base, w.pattern, w.reading, w.mode, f.priority AS at_priority, f
     "o4_library_order": """WITH t AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'The ' WHEN 1 THEN 'A ' WHEN 2 THEN 'an ' ELSE '' END || p_name AS title FROM part)
 SELECT p_partkey, CAST(row_number() OVER (ORDER BY regexp_replace(lower(title), '^(the|a|an) ', ''), title, p_partkey) AS INT) AS place FROM t""",
     "u1_rules_union": "SELECT 'default' AS origin, p_type AS pattern, count(*) AS n FROM part GROUP BY p_type UNION ALL SELECT 'book', p_type, count(*) FROM part WHERE p_size > 25 GROUP BY p_type",
-    "u2_rules_minus": "SELECT p_name AS pattern FROM part WHERE p_size > 25 EXCEPT SELECT p_name FROM part WHERE p_size <= 20",
+    "u2_rules_minus": "SELECT p_type || ' ' || p_brand AS pattern FROM part WHERE p_size > 25 EXCEPT SELECT p_type || ' ' || p_brand FROM part WHERE p_size <= 20",
     "u3_ordered_union": r"""WITH l AS (SELECT p_brand AS book, 0 AS layer, p_partkey AS ord, lower(p_name) AS key FROM part UNION ALL SELECT p_brand, 1, p_partkey, regexp_replace(lower(p_name || '  X'), '\s+', ' ', 'g') FROM part)
 SELECT book, key, CAST(min(layer * 1000000000 + ord) // 1000000000 AS INT) AS layer, min(layer * 1000000000 + ord) % 1000000000 AS ord FROM l GROUP BY book, key""",
     "u6_missing_comments": """SELECT '# ' || lpad(CAST(c_custkey % 400 AS VARCHAR), 4, '0') AS line FROM customer EXCEPT SELECT '# ' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0') FROM supplier WHERE s_suppkey % 2 = 0 EXCEPT SELECT '# ' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0') FROM supplier WHERE s_suppkey % 3 = 0""",

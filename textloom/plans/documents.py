@@ -7,28 +7,17 @@ from pyspark.sql import functions as F
 from textloom.functions import html, segment, unicode
 from textloom.functions.segment import SECTION
 from textloom.operators import analytics
-from textloom.plans.common import literal_rows, table
+from textloom.plans.common import table
 from textloom.shared import shared_dir
 from textloom.sources import files
 from textloom.streaming import boundary
 
-#: (text, most, least, chunks)
-CHUNKS = [
-    ("私は、猫です。\n次の行です。", 100, 0, "私は、猫です。|次の行です。"), ("一。二。三。四。", 4, 0, "一。二。|三。四。"), ("さくら荘のペットな彼女　全13巻", 100, 0, "さくら荘のペットな彼女|全13巻"), ("彼は「いいえ。ありがとうございます」と言った。", 100, 0, "彼は|「いいえ。ありがとうございます」|と言った。"),
-    ("医師の口にした「念のため」にさまざまな解釈をくわえた。", 220, 0, "医師の口にした「念のため」にさまざまな解釈をくわえた。"), ("「あいうえお。かきくけこ。さしすせそ。」", 10, 0, "「あいうえお。|かきくけこ。|さしすせそ。」"), ("……なんで八奈見がここにいるんだ。", 100, 0, "……なんで八奈見がここにいるんだ。"), ("１\n\n本文です。", 100, 0, "１|本文です。"),
-]
-
-
 def q_chunk_fixtures(spark, sf):
-    rows = literal_rows(spark, {"t": "string", "most": "int", "least": "int"}, [r[:3] for r in CHUNKS])
-    parts = []
-    for most, least in sorted({r[1:3] for r in CHUNKS}):
-        c = segment.chunks(rows.filter((F.col("most") == most) & (F.col("least") == least)), "t", ["t"], most, least)
-        parts.append(c.groupBy("t").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda x: x.text), "|").alias("chunks")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Turns of conversations without a bound on chunks: the lines stay apart, and nothing but blanks is lost."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.translate("text", ".", "。").alias("t"))
+    found = segment.chunks(c, "t", ["conv_id", "turn"], 1_000_000, 0)
+    one = F.array_sort(F.collect_list(F.struct("chunk", "text")))
+    return found.groupBy("conv_id", "turn").agg(F.md5(F.array_join(F.transform(one, lambda x: x.text), "|")).alias("h"))
 
 
 def q_chunks(spark, sf):
@@ -66,8 +55,12 @@ def q_class_ratio(spark, sf):
 
 
 def q_ruby(spark, sf):
-    rows = literal_rows(spark, {"h": "string"}, [("<p>前<ruby>漢字<rt>かんじ</rt></ruby>後</p>",), ("<p><ruby>漢字<rp>(</rp><rt>かんじ</rt><rp>)</rp></ruby>です。</p>",), ("<img alt='第一章 はじまり'><p>文。</p>",), ("<p>a<sup>1</sup></p><hr/><p>b</p>",)])
-    return rows.select("h", html.html_text("h").alias("x")).select("h", "x.text", F.array_join(F.transform("x.ruby", lambda r: F.concat_ws(":", r.start.cast("string"), r.end.cast("string"), r.base, r.reading)), ",").alias("ruby"))
+    """Turns of conversations as pages whose first word has a reading."""
+    esc = lambda t: F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    first = F.regexp_extract("text", r"^(\S*)", 1)
+    h = F.concat(F.lit("<p><ruby>"), esc(first), F.lit("<rp>(</rp><rt>よ み</rt><rp>)</rp></ruby>"), esc(F.expr(r"substring(text, length(regexp_extract(text, '^(\\S*)', 1)) + 1)")), F.lit("</p>"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", html.html_text(h).alias("x"))
+    return rows.select("conv_id", "turn", F.md5("x.text").alias("h"), F.array_join(F.transform("x.ruby", lambda r: F.concat_ws(":", r.start.cast("string"), r.end.cast("string"), r.base, r.reading)), ",").alias("ruby"))
 
 
 def q_slug(spark, sf):
@@ -139,7 +132,7 @@ ORACLES = {
     "a13_class_ratio": """WITH m AS (SELECT unnest(regexp_extract_all(html, '<[a-z0-9]+ class="[^"]*"')) AS m FROM pages) SELECT regexp_extract(m, 'class="([^"]*)"', 1) AS cls, count(*) AS n, count(*) FILTER (m LIKE '<div %') AS hits FROM m GROUP BY 1 HAVING hits >= 4 AND hits >= 0.8 * n""",
     "f6_slug": """WITH s AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(text), '[^ -~\\n]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS x FROM documents) SELECT doc_id, CASE WHEN x = '' THEN 'chapter' ELSE substr(x, 1, 60) END AS slug FROM s""",
     "f12_page_links": """SELECT page_id, count(*) AS links, min(h) AS first_href FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS h FROM pages) GROUP BY page_id""",
-    "f13_ruby": "SELECT * FROM (VALUES ('<p>前<ruby>漢字<rt>かんじ</rt></ruby>後</p>', '前漢字後', '1:3:漢字:かんじ'), ('<p><ruby>漢字<rp>(</rp><rt>かんじ</rt><rp>)</rp></ruby>です。</p>', '漢字です。', '0:2:漢字:かんじ'), ('<img alt=''第一章 はじまり''><p>文。</p>', '第一章 はじまり' || chr(10) || '文。', ''), ('<p>a<sup>1</sup></p><hr/><p>b</p>', 'a' || chr(10) || chr(57344) || chr(10) || 'b', '')) AS v(h, text, ruby)",
+    "f13_ruby": r"""SELECT conv_id, turn, md5(trim(regexp_replace(text, '[ \t\r\n\f]+', ' ', 'g'))) AS h, CASE WHEN w = '' THEN '' ELSE '0:' || length(w) || ':' || w || ':よみ' END AS ruby FROM (SELECT *, regexp_extract(text, '^(\S*)', 1) AS w FROM conversations)""",
     "m2_plan": "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 <> 0 THEN 'reuse' WHEN trim(text) = '' THEN 'empty' WHEN regexp_matches(trim(text), '^[.…⋯]+$') THEN 'silence' ELSE 'build' END AS action FROM documents",
     "m3_stale": "SELECT doc_id, 'x' AS sha FROM documents WHERE doc_id % 7 = 0",
     "s18_chapter_metadata": f"""WITH {_AN}, t AS (SELECT book, chapter, CAST(sum(greatest(duration_ms, 1)) OVER w AS BIGINT) AS e, greatest(duration_ms, 1) AS d FROM chapters WINDOW w AS (PARTITION BY book ORDER BY chapter))
@@ -151,7 +144,7 @@ SELECT book, chapter, '[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) ||
     "w6_pack": """WITH RECURSIVE o AS (SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)) AS i FROM lineitem),
 f AS (SELECT l_orderkey, i, q AS used, 1 AS no FROM o WHERE i = 1 UNION ALL SELECT o.l_orderkey, o.i, CASE WHEN f.used + o.q <= 80 THEN f.used + o.q ELSE o.q END, CASE WHEN f.used + o.q <= 80 THEN f.no ELSE f.no + 1 END FROM f JOIN o ON o.l_orderkey = f.l_orderkey AND o.i = f.i + 1)
 SELECT l_orderkey, string_agg(CAST(no AS VARCHAR), ',' ORDER BY i) AS packs FROM f GROUP BY l_orderkey""",
-    "w8_chunk_fixtures": "SELECT * FROM (VALUES " + ", ".join("('" + r[0].replace("\n", "' || chr(10) || '") + f"', '{r[3]}')" for r in CHUNKS) + ") AS v(t, chunks)",
+    "w8_chunk_fixtures": """SELECT conv_id, turn, md5(array_to_string(list_filter(list_transform(string_split(replace(text, '.', '。'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), '|')) AS h FROM conversations WHERE trim(text) <> ''""",
     "w9_pauses": """WITH h AS (SELECT conv_id, turn, CASE WHEN role = 'system' OR length(text) % 11 = 0 THEN 5 WHEN length(text) % 7 = 0 THEN 3 ELSE 0 END AS own, CASE WHEN length(text) % 3 = 0 THEN 3 ELSE 1 END AS sec FROM conversations)
 SELECT conv_id, turn AS chunk, CAST(CASE WHEN lead(turn) OVER w IS NULL THEN 1 ELSE greatest(sec, own, lead(own) OVER w) END AS INT) AS pause FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
 }

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from textloom.operators import joins as J
 from textloom.plans.analytics import _CHUNKS, chunks_of
-from textloom.plans.common import literal_rows, table
+from textloom.plans.common import table
 
-HREFS = [("text/a.xhtml", "b.xhtml#x", "text/b.xhtml"), ("text/a.xhtml", "../img/c%20d.png", "img/c d.png"), ("a.xhtml", "./x+y.html", "x+y.html"), ("t/a.xhtml", "#top", "t/a.xhtml"), ("t/u/a.xhtml", "/k/../z.html", "z.html")]
 
 
 def q_headings(spark, sf):
@@ -68,7 +67,12 @@ def q_frames(spark, sf):
 
 
 def q_hrefs(spark, sf):
-    return literal_rows(spark, {"base": "string", "href": "string"}, [r[:2] for r in HREFS]).select("base", "href", J.resolve_href(F.col("base"), F.col("href")).alias("target"))
+    """Links of pages, written in four ways, from pages in folders."""
+    base = F.format_string("b%d/t/p%d.html", F.col("page_id") % 7, F.col("page_id"))
+    links = F.regexp_extract_all("html", F.lit(r'<a href="/([^"]*)">'), F.lit(1))
+    p = table(spark, sf, "pages").select("page_id", base.alias("base"), F.posexplode(links).alias("i", "x")).withColumn("x", F.replace("x", F.lit("%"), F.lit("p")))
+    href = F.when(F.col("i") % 4 == 0, F.concat(F.lit("/"), "x")).when(F.col("i") % 4 == 1, F.concat(F.lit("../"), F.replace("x", F.lit("p"), F.lit("%70")))).when(F.col("i") % 4 == 2, F.concat(F.lit("./"), "x", F.lit("#top"))).otherwise(F.concat(F.lit("#"), "x"))
+    return p.select("page_id", "i", J.resolve_href(F.col("base"), href).alias("target"))
 
 
 def q_contents(spark, sf):
@@ -95,7 +99,8 @@ i2 AS (SELECT i.k, CASE WHEN p.p_size % 8 = 0 THEN p.p_type END AS h FROM i JOIN
 SELECT p_partkey AS chapter, coalesce(CASE WHEN p_size % 3 = 0 THEN p_brand END, i2.h, f.h, '') AS headings FROM part LEFT JOIN i2 ON i2.k = p_partkey % 40 LEFT JOIN f USING (p_name)""",
     "j6_raw_chapter": "SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN c_name END AS raw FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
     "j7_voices": "SELECT c_custkey AS chapter, CASE WHEN s_suppkey IS NULL OR s_suppkey % 3 < 2 THEN 'narrator' ELSE s_name END AS voice FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey",
-    "j9_hrefs": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in HREFS) + ") AS v(base, href, target)",
+    "j9_hrefs": r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="/([^"]*)">', 1) AS l FROM pages), x AS (SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS i, replace(unnest(l), '%', 'p') AS x0 FROM l), c AS (SELECT *, regexp_replace(x0, '#.*$', '') AS x FROM x)
+SELECT page_id, i, CASE i % 4 WHEN 0 THEN x WHEN 1 THEN regexp_replace('b' || page_id % 7 || '/' || x, '/$', '') WHEN 2 THEN regexp_replace('b' || page_id % 7 || '/t/' || x, '/$', '') ELSE 'b' || page_id % 7 || '/t/p' || page_id || '.html' END AS target FROM c""",
     "j10_contents": """WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS hs FROM pages), p AS (SELECT page_id, unnest(hs) AS href, generate_subscripts(hs, 1) - 1 AS ord FROM l), m AS (SELECT page_id, href, min(ord) AS ord FROM p GROUP BY ALL)
 SELECT page_id, count(*) AS n, CAST(sum(ord) AS BIGINT) AS s FROM m GROUP BY page_id""",
     "j11_followers": """WITH e AS (SELECT user_id % 50 AS book, event_id AS pos, event_type AS t, max(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS start FROM events),

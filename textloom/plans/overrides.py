@@ -91,12 +91,34 @@ parsed AS (SELECT *, CASE WHEN given IS NOT NULL THEN given WHEN regex AND base
 entries AS (SELECT p_partkey, p_type, CASE WHEN pattern IS NULL THEN base END AS base, pattern, reading, CASE WHEN pattern IS NULL THEN mode END AS mode FROM parsed WHERE pattern IS NOT NULL OR p_size % 5 = 4)
 """
 
+def q_files(spark, sf):
+    """Override files written as JSON from parts, a file a brand, in several forms; and read again."""
+    p = table(spark, sf, "part").filter("p_brand IS NOT NULL").select(F.col("p_brand").alias("book"), F.concat(F.lit("c"), (F.col("p_size") % 5).cast("string")).alias("chapter"), F.col("p_partkey").alias("k"), F.when(F.col("p_size") % 7 == 0, F.substring("p_name", 1, 1)).otherwise(F.concat(F.lit(" "), "p_name")).alias("base"), F.col("p_type").alias("reading"), F.when(F.col("p_size") % 3 == 0, "once").alias("mode"))
+    w = Window.partitionBy("book", "chapter").orderBy("k")
+    rows = p.withColumn("ord", F.row_number().over(w) - 1)
+    entry = F.array_sort(F.collect_list(F.struct("ord", "base", "reading", "mode")))
+    lists = rows.groupBy("book", "chapter").agg(F.transform(entry, lambda e: F.struct(e.base.alias("base"), e.reading.alias("reading"), e["mode"].alias("mode"))).alias("entries"))
+    # a file's c0 is the whole book's list, as pairs where the brand's number is even
+    pairs = F.transform("entries", lambda e: F.array(e.base, e.reading))
+    even = F.substring("book", -1, 1).isin("0", "2", "4", "6", "8")
+    files = lists.groupBy("book").agg(
+        F.max(F.when((F.col("chapter") == "c0") & even, F.to_json(pairs))).alias("pairs"), F.max(F.when((F.col("chapter") == "c0") & ~even, F.to_json(F.struct(F.col("entries").alias("replacements"))))).alias("list"),
+        F.map_from_entries(F.collect_list(F.when(F.col("chapter") != "c0", F.struct("chapter", "entries")))).alias("chapters"),
+    )
+    body = F.when(F.coalesce("pairs", "list").isNull(), F.to_json("chapters")).otherwise(F.concat(F.lit('{"default": '), F.coalesce("pairs", "list"), F.lit(', "chapters": '), F.to_json("chapters"), F.lit("}")))
+    return O.book_overrides(files.select("book", body.alias("data"))).select("book", "chapter", F.col("ord").cast("int").alias("ord"), "base", "reading", "mode")
+
+
 QUERIES = {
+    "s19_override_files": q_files,
     "j5_apply_overrides": q_apply, "f41_boundaries": q_boundaries, "j8_surfaces": q_surfaces, "a2_context_counts": q_context_counts, "a14_normal_classes": q_classes, "s21_entries": q_entries, "f48_entries_text": q_entries_text,
     "j20_add_comments": q_comments,
 }
 
 ORACLES = {
+    "s19_override_files": """WITH p AS (SELECT p_brand AS book, 'c' || p_size % 5 AS chapter, p_partkey AS k, CASE WHEN p_size % 7 = 0 THEN p_name[1] ELSE trim(p_name) END AS base, p_type AS reading, CASE WHEN p_size % 3 = 0 THEN 'first' END AS mode FROM part),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY book, chapter ORDER BY k) - 1 AS INT) AS ord, CAST(right(book, 1) AS INT) % 2 = 0 AND chapter = 'c0' AS pair FROM p)
+SELECT book, CASE WHEN chapter <> 'c0' THEN chapter END AS chapter, ord, base, reading, CASE WHEN NOT pair AND mode IS NOT NULL THEN mode WHEN length(base) = 1 THEN 'isolated' END AS mode FROM r""",
     "j5_apply_overrides": r"""WITH t AS (SELECT doc_id, CASE lang
   WHEN 'en' THEN regexp_replace(replace(replace(CASE WHEN strpos(text, 'tion') > 0 THEN substr(text, 1, strpos(text, 'tion') - 1) || 'ション' || substr(text, strpos(text, 'tion') + 4) ELSE text END, 'the', 'ザ'), 'th', 'TH'), '([aeiou])n([.,])', '\1ン\2', 'g')
   WHEN 'fr' THEN replace(replace(text, 'eaux', 'オー'), 'eau', 'オ')

@@ -5,26 +5,24 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.plans.common import literal_rows, table
+from textloom.operators import dictionary, sections
+from textloom.plans.common import table
 
 DROP = ["widget$", "^(red|blue) ", "bolt"]
 CUT = [r"^All rights reserved", r"\bidiot\b", "Licensed under"]
 REMOVE = [r"[$%&*#]{3}", r"\d+", "the "]
 
-#: (text, script, hiragana, katakana, tail, spaces, waves, ellipsis, pause); results written out by hand from the rules
-FIXTURES = [
-    ("漢字", "kanji", "漢字", "漢字", "漢字。", "漢字", "漢字", "漢字", 0), ("カナ", "katakana", "かな", "カナ", "カナ。", "カナ", "カナ", "カナ", 0), ("ひらカタ", "kana", "ひらかた", "ヒラカタ", "ひらカタ。", "ひらカタ", "ひらカタ", "ひらカタ", 0),
-    ("東京 大阪", "mixed", "東京 大阪", "東京 大阪", "東京 大阪。", "東京。大阪", "東京 大阪", "東京 大阪", 0), ("今日 は 雨", "mixed", "今日 は 雨", "今日 ハ 雨", "今日 は 雨。", "今日、は、雨", "今日 は 雨", "今日 は 雨", 0),
-    ("10〜20人", "mixed", "10〜20人", "10〜20人", "10〜20人。", "10〜20人", "10から20人", "10〜20人", 0), ("あ〜ん", "mixed", "あ〜ん", "ア〜ン", "あ〜ん。", "あ〜ん", "あーん", "あ〜ん", 0), ("行く。」", "mixed", "行く。」", "行ク。」", "行く。」", "行く。」", "行く。」", "行く。」", 0),
-    ("…………", "other", "…………", "…………", "…………", "…………", "…………", "⋯", 740), ("「……」", "other", "「……」", "「……」", "「……」", "「……」", "「……」", "「……」", 500), ("abc", "other", "abc", "abc", "abc", "abc", "abc", "abc", 0), ("そうか？", "mixed", "そうか？", "ソウカ？", "そうか？", "そうか？", "そうか？", "そうか？", 0),
-]
-_NAMES = ("t", "script", "hiragana", "katakana", "tail", "spaces", "waves", "ellipsis", "pause")
+#: Letters as Japanese signs, as in plans/books.py: consonants as kanji, vowels as kana of both kinds.
+_LATIN, _SIGNS = "bcdfghjklmnpqrstvwxzaeiouy.", "木本東京大阪山川田中水火土金月日人口手足アいウえおヤ。"
+_ELLIPSES = "CASE WHEN length(t) % 10 = 0 THEN repeat('…', CAST(1 + length(t) % 9 AS INT)) ELSE replace(t, ', ', '……⋯') END"
 
 
 def q_japanese(spark, sf):
-    rows = literal_rows(spark, {"t": "string"}, [(r[0],) for r in FIXTURES])
-    t = F.col("t")
-    return rows.select("t", T.script(t).alias("script"), T.to_hiragana(t).alias("hiragana"), T.to_katakana(t).alias("katakana"), T.tail_stop(t).alias("tail"), T.space_to_pause(t).alias("spaces"), T.wave_dashes(t).alias("waves"), T.short_ellipsis(t).alias("ellipsis"), T.ellipsis_pause(t).alias("pause"))
+    """Words of documents in Japanese signs, by script, in both kana, with stops, and with short ellipses."""
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.translate(F.lower("text"), _LATIN, _SIGNS), "\n")).alias("i", "t"))
+    t, e = F.col("t"), F.expr(_ELLIPSES)
+    word = F.element_at(F.split(t, " "), 1)
+    return d.select("doc_id", "i", T.script(word).alias("script"), F.md5(T.to_hiragana(t)).alias("hiragana"), F.md5(T.to_katakana(t)).alias("katakana"), F.md5(T.tail_stop(t)).alias("tail"), F.md5(T.short_ellipsis(e)).alias("ellipsis"), T.ellipsis_pause(e).alias("pause"))
 
 
 def q_clean(spark, sf):
@@ -137,19 +135,41 @@ def q_section_markers(spark, sf):
     return out.select("doc", F.col("x").alias("marker"), "n", "alone", "embedded", (~T.has_bracket(F.col("x")) & (F.col("embedded") <= 0.35 * F.col("n") * F.length("x")) & (F.col("n") >= 2) & (F.col("alone") >= 0.8 * F.col("n"))).alias("is_marker"))
 
 
-CAPS = [("CHAPTER FIRST", True, "Chapter First"), ("CHAPTER FIRST", False, "Chapter first"), ("THE HOUSE OF NASA AND LONDON IV", False, "The house of NASA and London IV"), ("Not Capitals", True, "Not Capitals"), ("12 - 13", False, "12 - 13")]
-CSS = [("h1.Title { a: b } .body{} #hd-1, p.midashi2 > a.ttl {x:y} /* .chapter {} */", ".title|#hd-1|.midashi2|.ttl"), ("p { }", ""), ("", "")]
+def sections_of(spark, sf):
+    """Documents with lines of signs between their lines: some alone, some in runs, some beside text."""
+    line = F.split("text", "\n")
+    sign = lambda x, i: F.when((F.length(x) + i) % 6 == 0, F.concat(x, F.lit("\n\n***\n\n"))).when((F.length(x) + i) % 6 == 1, F.concat(x, F.lit("\n--\n"))).when((F.length(x) + i) % 6 == 2, F.concat(x, F.lit("\n \n# #\n# #\n"))).when(F.length(x) % 31 == 0, F.concat(x, F.lit("\n\n†\n\n"))).otherwise(x)
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.array_join(F.transform(line, sign), "\n").alias("text"))
+
+
+def q_sections(spark, sf):
+    return sections.with_sections(sections_of(spark, sf)).select(F.col("doc").alias("doc_id"), F.md5("text").alias("h"), F.regexp_count("text", F.lit(T.SECTION)).alias("n"))
+
+
+def q_folders(spark, sf):
+    """Books named by their language and kind, with signs that folders can't have."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("book"), F.concat(F.lit(" ..a/"), "lang", F.lit('?: "'), "source", F.lit("\t*. ")).alias("title"))
+    return dictionary.unique_folders(d)
+
+
+_KNOWN = {"der": "DeR", "the": "THe", "que": "Que", "and": "and"}
 
 
 def q_capitals(spark, sf):
-    rows = literal_rows(spark, {"line": "string", "heading": "boolean"}, [r[:2] for r in CAPS])
-    known = F.create_map(F.lit("nasa"), F.lit("NASA"), F.lit("london"), F.lit("London"))
-    return rows.select("line", "heading", T.repair_capitals(F.col("line"), F.col("heading"), known).alias("repaired"))
+    """Lines of documents in capitals, those of even length as headings."""
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("ß"), F.lit("ss")), "\n")).alias("i", "line"))
+    line = F.when(F.length("line") % 5 > 0, F.upper("line")).otherwise(F.col("line"))
+    known = F.create_map(*(F.lit(x) for kv in _KNOWN.items() for x in kv))
+    return d.select("doc_id", "i", F.md5(T.repair_capitals(line, F.length("line") % 2 == 0, known)).alias("h"))
 
 
 def q_css(spark, sf):
-    rows = literal_rows(spark, {"css": "string"}, [r[:1] for r in CSS])
-    return rows.select("css", F.array_join(T.css_markers(F.col("css")), "|").alias("markers"))
+    """Style sheets with the words of a page's title as class names, by turns with a heading's ending."""
+    words = F.regexp_extract_all("html", F.lit("<title>([^<]*)</title>"), F.lit(1))
+    names = F.transform(F.split(F.coalesce(F.get(words, F.lit(0)), F.lit("")), " "), lambda w: F.concat(F.lit("x"), F.regexp_replace(w, "[^A-Za-z]", "")))
+    rule = F.transform(names, lambda n, i: F.concat(F.when(i % 2 == 0, ".").otherwise("#"), n, F.when(i % 3 == 0, "-ttl").when(i % 3 == 1, "Title").otherwise(""), F.lit(" > p { margin: 0 }")))
+    css = F.concat(F.lit("/* .title {} */"), F.array_join(rule, "\n"))
+    return table(spark, sf, "pages").select("page_id", F.array_join(F.array_sort(T.css_markers(css)), "|").alias("markers"))
 
 
 def _md5(sql: str) -> str:
@@ -163,14 +183,28 @@ _REMOVED = f"""r AS (SELECT doc_id, text AS t0, regexp_replace(text, '{_R0}', ''
 c AS (SELECT doc_id, t3, len(regexp_extract_all(t0, '{_R0}')) AS n0, len(regexp_extract_all(t1, '{_R1}')) AS n1, len(regexp_extract_all(t2, '(?i){_R2}')) AS n2 FROM r3)"""
 
 QUERIES = {
+    "f4_sections": q_sections, "f7_folders": q_folders,
     "a11_case_map": q_case_map, "a12_section_markers": q_section_markers, "a15_removal_totals": q_removal_totals, "f1_clean": q_clean, "f9_capitals": q_capitals, "f17_f28_japanese": q_japanese, "f49_f51_metadata": q_meta, "f53_urls": q_url, "o7_title": q_title, "p1_drop_reason": q_drop,
     "p2_cutoff": q_cutoff, "p3_remove": q_remove, "p5_suspicious": q_suspicious, "p6_p7_lines": q_lines, "p8_p9_titles": q_filename, "p10_p11_markers": q_markers, "p21_caps": q_words, "s7_titles": q_markdown, "s10_reader": q_reader, "s26_css_markers": q_css,
 }
 
 ORACLES = {
-    "f9_capitals": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {str(b).lower()}, '{c}')" for a, b, c in CAPS) + ") AS v(line, heading, repaired)",
-    "s26_css_markers": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in CSS) + ") AS v(css, markers)",
-    "f17_f28_japanese": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in FIXTURES) + f") AS v({', '.join(_NAMES)})",
+    "f7_folders": """WITH d AS (SELECT doc_id AS book, 'a ' || lang || ' ' || source AS f FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY book) AS n FROM d) SELECT book, CASE WHEN n = 1 THEN f ELSE f || '-' || n END AS folder FROM n""",
+    "f9_capitals": r"""WITH l AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS i, unnest(string_split(replace(text, 'ß', 'ss'), chr(10))) AS line FROM documents),
+u AS (SELECT doc_id, i, CASE WHEN length(line) % 5 > 0 THEN upper(line) ELSE line END AS line, length(line) % 2 = 0 AS heading FROM l)
+SELECT doc_id, i, md5(CASE WHEN regexp_matches(line, '\p{Lu}') AND NOT regexp_matches(line, '\p{Ll}') THEN array_to_string(list_transform(string_split(line, ' '), lambda w, k:
+  CASE WHEN map_contains(MAP {KNOWN}, lower(w)) THEN CASE WHEN k = 1 THEN upper(MAP {KNOWN}[lower(w)][1]) || MAP {KNOWN}[lower(w)][2:] ELSE MAP {KNOWN}[lower(w)] END
+    WHEN list_contains(['SMALL'], lower(w)) THEN CASE WHEN k = 1 THEN upper(w[1]) || lower(w[2:]) ELSE lower(w) END
+    WHEN regexp_full_match(w, '[IVXLCDM]+') OR length(w) <= 3 THEN w WHEN heading OR k = 1 THEN upper(w[1]) || lower(w[2:]) ELSE lower(w) END), ' ') ELSE line END) AS h FROM u""".replace("KNOWN", str(_KNOWN)[1:-1]).replace("SMALL", "', '".join(T.SMALL_WORDS)),
+    "s26_css_markers": r"""WITH w AS (SELECT page_id, list_transform(string_split(regexp_extract(html, '<title>([^<]*)</title>', 1), ' '), lambda x: 'x' || regexp_replace(x, '[^A-Za-z]', '', 'g')) AS ws FROM pages),
+n AS (SELECT page_id, lower(CASE WHEN i % 2 = 0 THEN '.' ELSE '#' END || ws[i + 1] || CASE i % 3 WHEN 0 THEN '-ttl' WHEN 1 THEN 'Title' ELSE '' END) AS m FROM (SELECT page_id, ws, unnest(range(0, len(ws))) AS i FROM w))
+SELECT page_id, coalesce(string_agg(DISTINCT m, '|' ORDER BY m) FILTER (regexp_matches(m, 'title|chapter|section|headline|heading|midashi|-ttl$')), '') AS markers FROM n GROUP BY page_id""",
+    "f17_f28_japanese": rf"""WITH l AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS i, unnest(string_split(translate(lower(text), '{_LATIN}', '{_SIGNS}'), chr(10))) AS t FROM documents),
+x AS (SELECT *, string_split(t, ' ')[1] AS w, {_ELLIPSES} AS e, rtrim(t) AS r FROM l)
+SELECT doc_id, i, CASE WHEN regexp_full_match(w, '[{_SIGNS[:20]}]+') THEN 'kanji' WHEN regexp_full_match(w, '[いえお]+') THEN 'hiragana' WHEN regexp_full_match(w, '[アウヤ]+') THEN 'katakana' WHEN regexp_full_match(w, '[アウヤいえお]+') THEN 'kana' WHEN regexp_matches(w, '[{_SIGNS[:26]}]') THEN 'mixed' ELSE 'other' END AS script,
+  md5(translate(t, 'アウヤ', 'あうや')) AS hiragana, md5(translate(t, 'いえお', 'イエオ')) AS katakana,
+  md5(CASE WHEN regexp_matches(t, '[{_SIGNS[:26]}]') AND r <> '' AND NOT regexp_matches(r, '[。！？!?…、，,;；:：][」』】）)］〉》”’\]]*$') THEN r || '。' || substr(t, length(r) + 1) ELSE t END) AS tail,
+  md5(regexp_replace(e, '[…⋯]{{3,}}', '⋯', 'g')) AS ellipsis, CAST(CASE WHEN regexp_full_match(regexp_replace(e, '["“”‘’「」『』\s]', '', 'g'), '[…⋯]+') THEN least(1200, 380 + 120 * (length(regexp_replace(e, '["“”‘’「」『』\s]', '', 'g')) - 1)) ELSE 0 END AS INT) AS pause FROM x""",
     "f1_clean": r"""WITH d AS (SELECT doc_id, '  “[t]he”  ' || replace(text, '. ', '.  ' || chr(13) || chr(10)) || ' . . .' AS t FROM documents),
 a AS (SELECT doc_id, regexp_replace(regexp_replace(replace(replace(t, '“', '"'), '”', '"'), '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g') AS t FROM d),
 b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(t, '"[t]he', '"the'), '-\n([\p{L}\p{N}_])', '-\1', 'g'), '[ \t]{2,}', ' ', 'g'), '\.[ \t]*\.[ \t]*\.', '...', 'g') AS t FROM a),
