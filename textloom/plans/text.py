@@ -189,7 +189,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "f7_folders": """WITH d AS (SELECT doc_id AS book, 'a ' || lang || ' ' || source AS f FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY book) AS n FROM d) SELECT book, CASE WHEN n = 1 THEN f ELSE f || '-' || n END AS folder FROM n""",
+    "f7_folders": """WITH d AS (SELECT doc_id AS book, 'a ' || lang || ' ' || source || ' ' AS f FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY book) AS n FROM d) SELECT book, CASE WHEN n = 1 THEN f ELSE f || '-' || n END AS folder FROM n""",
     "f9_capitals": r"""WITH l AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS i, unnest(string_split(replace(text, 'ß', 'ss'), chr(10))) AS line FROM documents),
 u AS (SELECT doc_id, i, CASE WHEN length(line) % 5 > 0 THEN upper(line) ELSE line END AS line, length(line) % 2 = 0 AS heading FROM l)
 SELECT doc_id, i, md5(CASE WHEN regexp_matches(line, '\p{Lu}') AND NOT regexp_matches(line, '\p{Ll}') THEN array_to_string(list_transform(string_split(line, ' '), lambda w, k:
