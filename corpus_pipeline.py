@@ -40,6 +40,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of the smallest doc_id stays; of rows of one doc_id and text, one."""
+    docs = docs.select(*COLUMNS)
     found = materialise(ngram_join.join_components(docs, n=SHINGLE, percent=PERCENT), "found")
     gone = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     kept = _without(docs, gone)
@@ -52,13 +53,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose doc_id has no contaminated row. Null texts have no words and are clean, as all rows are beside an empty benchmark."""
+    docs = docs.select(*COLUMNS)
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
     gone = materialise(found.filter("contaminated").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     return _without(docs, gone).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size and taken (words; repeats counted)."""
+    """The documents that the mix takes, with size and taken (words; repeats counted). Null and empty texts have no words and are not taken; of rows of one id and size the order of their texts' hashes says which are, repeated rows are documents of their own."""
     mixed, _ = mixing.mix(docs, extra=COLUMNS[1:])
     return mixed.filter("taken > 0").select(*COLUMNS, "size", "taken")
 
