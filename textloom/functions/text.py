@@ -19,6 +19,11 @@ HEADING_HINTS = ("title", "subtitle", "chapter", "section", "headline", "heading
 HONORIFICS = ("さん", "くん", "ちゃん", "様", "君", "先生", "先輩")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def straight_quotes(text: Column) -> Column:
     return F.translate(text, *CURLY)
 

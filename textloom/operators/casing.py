@@ -23,11 +23,6 @@ def _blocks(text: Column) -> Column:
     return F.split(text, r"\n\s*\n")
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _run(block: Column) -> Column:
     """The words of a paragraph's leading run of capitals, if it may be one of small capitals: LEAST to MOST words before one with a small letter."""
     head = F.regexp_extract(block, rf"^(?:\P{{L}}*+{WORD}){{1,{MOST + 1}}}", 0)  # no further than the words that tell
@@ -36,9 +31,9 @@ def _run(block: Column) -> Column:
     def fits(words: Column) -> Column:
         # the place of the first word that isn't in capitals; a longer run counts up to MOST words, and the next one must have a small letter
         at = F.array_position(F.transform(words, lambda w: ~T.is_all_caps(w)), True)
-        return _let(F.when(at == 0, F.size(words)).otherwise(at - 1).cast("int"), lambda n: F.when((n >= LEAST) & (n <= MOST) & (n < F.size(words)) & F.coalesce(F.get(words, n).rlike(r"\p{Ll}"), F.lit(False)), F.slice(words, F.lit(1), n)).otherwise(none))
+        return T.let(F.when(at == 0, F.size(words)).otherwise(at - 1).cast("int"), lambda n: F.when((n >= LEAST) & (n <= MOST) & (n < F.size(words)) & F.coalesce(F.get(words, n).rlike(r"\p{Ll}"), F.lit(False)), F.slice(words, F.lit(1), n)).otherwise(none))
 
-    return F.when(block.rlike("[a-z]"), _let(F.regexp_extract_all(head, F.lit(f"({WORD})"), F.lit(0)), fits)).otherwise(none)
+    return F.when(block.rlike("[a-z]"), T.let(F.regexp_extract_all(head, F.lit(f"({WORD})"), F.lit(0)), fits)).otherwise(none)
 
 
 def _title(w: Column) -> Column:
@@ -61,13 +56,13 @@ def _repaired(block: Column, spellings: Column) -> Column:
 
     def step(a: Column, w: Column) -> Column:
         # before the first word nothing is done yet; a block may begin with a sign, which is then done with it
-        return _let(F.call_function("instr", a.rest, w), lambda at: F.struct(F.concat(a.done, F.substring(a.rest, F.lit(1), at - 1), _spelled(w, a.done == "", spellings)).alias("done"), F.substring(a.rest, at + F.length(w), F.length(a.rest)).alias("rest")))
+        return T.let(F.call_function("instr", a.rest, w), lambda at: F.struct(F.concat(a.done, F.substring(a.rest, F.lit(1), at - 1), _spelled(w, a.done == "", spellings)).alias("done"), F.substring(a.rest, at + F.length(w), F.length(a.rest)).alias("rest")))
 
     def repaired(run: Column) -> Column:
         sign = F.exists(run, lambda w: F.map_contains_key(spellings, F.lower(w)) | F.lower(w).isin(*STOP_WORDS))
         return F.when((F.size(run) > 0) & sign, F.aggregate(run, start, step, lambda a: F.concat(a.done, a.rest))).otherwise(block)
 
-    return _let(_run(block), repaired)
+    return T.let(_run(block), repaired)
 
 
 def spellings(texts: DataFrame, keys: DataFrame) -> DataFrame:

@@ -31,14 +31,20 @@ def prepare(text: Column, *, short_stops: bool = False, old: str = "", new: str
     long ellipses as one, wave dashes, blanks as one, blanks between Japanese signs as pauses (no full stop where a run of dashes was), (short_stops) a final full stop.
     A null text is an empty one.
     """
-    t = modern_forms(nfkc(F.coalesce(text, F.lit(""))), old, new)
-    dashed = t.rlike(f"[{T.DASHES}]{{2,}}")
-    t = T.without_format_characters(F.regexp_replace(t, f"[{T.DASHES}]{{2,}}", " "))
-    t = T.tail_stop(t) if short_stops else t
-    t = T.without_single_quotes(T.without_double_quotes(T.without_japanese_quotes(t)))
-    t = T.strip(F.regexp_replace(T.wave_dashes(T.short_ellipsis(t)), r"[\s\x{3000}]+", " "))
-    t = F.when(dashed, T.space_to_pause(t, full_stop=False)).otherwise(T.space_to_pause(t))
-    return T.final_stop(t) if short_stops else t
+    run = f"[{T.DASHES}]{{2,}}"
+
+    def blanks(t: Column, dashed: Column) -> Column:
+        one = T.strip(F.regexp_replace(t, r"[\s\x{3000}]+", " "))
+        return T.let(one, lambda x: F.when(dashed, T.space_to_pause(x, full_stop=False)).otherwise(T.space_to_pause(x)))
+
+    def steps(t: Column) -> Column:
+        bare = T.without_format_characters(F.regexp_replace(t, run, " "))
+        stopped = T.let(bare, T.tail_stop) if short_stops else bare
+        plain = T.without_single_quotes(T.without_double_quotes(T.without_japanese_quotes(stopped)))
+        done = T.let(T.wave_dashes(T.short_ellipsis(plain)), lambda x: blanks(x, t.rlike(run)))
+        return T.let(done, T.final_stop) if short_stops else done
+
+    return T.let(modern_forms(nfkc(F.coalesce(text, F.lit(""))), old, new), steps)
 
 
 def ruby_evidence(chunks: DataFrame, spans: DataFrame) -> DataFrame:
