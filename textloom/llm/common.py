@@ -77,17 +77,25 @@ def hot_keys(weight: DataFrame, on: str, share: int = 1024) -> DataFrame | None:
     return weight.filter(F.col("n") * share > total).select(on, F.ceil(F.col("n") * share / F.lit(total)).cast("int").alias("__parts"))
 
 
+def sorted_join(df: DataFrame) -> DataFrame:
+    """df, to be joined by sorting: a table that grows with the input never passes through the driver, however small its files look."""
+    return df.hint("merge")
+
+
 def spread_join(left: DataFrame, right: DataFrame, on: str, hot: DataFrame | None, by: str, how: str = "inner", where=None) -> DataFrame:
     """left.join(right, on, how) with the hot keys (hot_keys of left) dealt over many tasks; where: a further condition.
 
     A hot key is cut into parts of about 1 / share of all rows by the hash of left's column `by`, the same in every attempt of
-    a task; right's rows of that key are repeated for each part. The hot keys are few, so they can be sent to all tasks.
+    a task; right's rows of that key are repeated for each part. The hot keys are few, so they can be sent to all tasks. Neither side
+    is: both grow with the input, and a file's size says little about the memory that its rows take on the driver.
     """
     if hot is None:
+        right = sorted_join(right)
         return left.join(right, on, how) if where is None else left.join(right, (left[on] == right[on]) & where, how).drop(right[on])
     parts = F.coalesce("__parts", F.lit(1))
     x = left.join(F.broadcast(hot), on, "left").withColumn("__salt", F.pmod(F.xxhash64(by), parts).cast("int")).drop("__parts")
     y = right.join(F.broadcast(hot), on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    y = sorted_join(y)
     if where is None:
         return x.join(y, [on, "__salt"], how).drop("__salt")
     return x.join(y, (x[on] == y[on]) & (x["__salt"] == y["__salt"]) & where, how).drop(y[on], x["__salt"], y["__salt"])

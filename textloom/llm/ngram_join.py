@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import discard, hot_keys, materialise, release, spread_join
+from textloom.llm.common import discard, hot_keys, materialise, release, sorted_join, spread_join
 
 PERCENT, N = 85, 4
 SHARED = 2  # n-grams of the prefixes that a linked pair shares at least
@@ -228,7 +228,7 @@ def components(edges: DataFrame) -> DataFrame:
         # the large star leads a node's larger neighbours to the smallest one, the small star its smaller ones
         large = spread_join(both, low.drop("n"), "u", hot_keys(low.select("u", "n"), "u"), "v").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        small = large.join(sorted_join(least), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         old, e = e, materialise(small, "edges")
         # done when every node that leads to another leads to one only, to which none but such edges lead
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("leads"), F.lit(0).alias("led")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("leads"), F.lit(1).alias("led")))
@@ -268,7 +268,7 @@ def links(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int
     edge = lambda pairs: pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
     comp = materialise(components(edge(first)), "components")
     # what is left: pairs of one bucket in different components
-    at = met.join(comp, "node", "left").select("gram", "node", "n", "pos", "live", F.coalesce("root", "node").alias("comp"))
+    at = met.join(sorted_join(comp), "node", "left").select("gram", "node", "n", "pos", "live", F.coalesce("root", "node").alias("comp"))
     many = at.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo <> hi").select("gram", F.col("k").alias("n"))
     many = materialise(many, "many")
     at = spread_join(at, many.drop("n"), "gram", hot_keys(many, "gram"), "node", "left_semi")
@@ -294,7 +294,7 @@ def links(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n: int
     # the pairs of a large bucket are dealt over tasks by their first class
     rest = spread_join(x, y, "gram", buckets, "nodex", where=apart & close & fits(most) & first_met & (shared >= SHARED) & fits(shared + behind))
     rest = rest.select(F.col("nodex").alias("a"), F.col("nodey").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")).distinct()
-    rest = materialise(rest.join(spokes, ["a", "b"], "left_anti"), "rest")
+    rest = materialise(rest.join(sorted_join(spokes), ["a", "b"], "left_anti"), "rest")
     discard(star, met, many, at)
     second = overlaps(rest, slim, reps, order, n, percent)
     found = materialise(components(edge(first).unionByName(edge(second))), "components")
@@ -318,7 +318,7 @@ def join_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     rows, comp = links(docs, text=text, doc_id=doc_id, n=n, percent=percent)
     lone = rows.filter("node IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     least = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    by_root = least.join(comp, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "n")
+    by_root = least.join(sorted_join(comp), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "n")
     by_root = materialise(by_root, "rooted")
     # a class's smallest doc_id, then a component's; what goes back to the rows is one row a class
     top = by_root.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))

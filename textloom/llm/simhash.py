@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import discard, hot_keys, materialise, release, spread_join
+from textloom.llm.common import discard, hot_keys, materialise, release, sorted_join, spread_join
 from textloom.llm.ngram_join import components
 
 N, DISTANCE, SEED = 4, 4, 42
@@ -107,7 +107,7 @@ def link_components(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     first = materialise(met.select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct(), "spokes")
     comp = materialise(components(first), "components")
     # a cell all of whose fingerprints belong to one component by now is settled; pairs of the others are compared where the components differ
-    rooted = materialise(nodes.join(comp, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("comp")), "rooted")
+    rooted = materialise(nodes.join(sorted_join(comp), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("comp")), "rooted")
     grid = cells(rooted)
     state = grid.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     state = materialise(state.select("cell", "n", (F.col("lo") == F.col("hi")).alias("settled")), "state")
@@ -134,7 +134,7 @@ def near_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     rows = materialise(fingerprints(docs, text=text, doc_id=doc_id, n=n), "fingerprints")
     nodes = materialise(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least")), "nodes")
     comp = link_components(nodes.select("fp", "copies"), distance)
-    rooted = materialise(nodes.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "copies", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    rooted = materialise(nodes.join(sorted_join(comp), F.col("fp") == F.col("node"), "left").select("fp", "copies", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     top = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
     named = spread_join(rooted.select("fp", "root"), top.drop("n"), "root", hot_keys(top.select("root", "n"), "root"), "fp").select("fp", "component_id")
     return spread_join(rows, named, "fp", hot_keys(nodes.select("fp", F.col("copies").alias("n")), "fp"), "doc_id").select("doc_id", "fp", "component_id")
