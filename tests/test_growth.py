@@ -7,7 +7,7 @@ sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parents[1])]
 
 from compare import oracle_rows, rows_of
 
-from textloom import plans
+from textloom import plans, sinks
 
 
 def test_replaced_spans_at_every_length(spark, tmp_path):
@@ -24,3 +24,11 @@ def oracle_rows_of(sql, path):
 
 def plans_folder():
     return "/root/testdata/sf0.001"
+
+
+def test_files_of_a_sink_dont_grow_with_its_chapters(spark, tmp_path):
+    at = f"file://{tmp_path}/t"
+    sinks.write_chunks(spark.range(600).selectExpr("id % 2 AS book", "id AS chapter", "0L AS chunk", "'x' AS text"), at)
+    files = list((tmp_path / "t/data").rglob("*.parquet"))
+    assert len(files) <= 2 * 4 and {p.parent.name for p in files} == {"book=0", "book=1"}
+    assert sinks.manifest(spark, at).count() == 600

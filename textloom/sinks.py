@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as Ty
 
 from textloom.shared import path_of, written
 
@@ -30,28 +29,23 @@ def manifest(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def publish(rows: DataFrame, path: str, keys: list[str], order: list[str]) -> None:
-    """Write rows as Parquet partitions by keys; the first key is the scope: what the rows hold of a scope replaces all of it.
+    """Write rows as Parquet, a folder for each scope, the first key: what the rows hold of a scope replaces all of it.
 
-    1. The partitions that have rows are overwritten dynamically; Spark's commit moves them only when all tasks are done, so a lost or repeated
-       task leaves nothing behind. 2. Partitions of the same scopes that have no rows any more are deleted. 3. The manifest, with the number of rows and a digest of each
-       partition, is written as a new version. A run that breaks off at any point leaves the last manifest as it was, and running it again ends in the
+    1. The folders of scopes that have rows are overwritten dynamically; Spark's commit moves them only when all tasks are done, so a lost or repeated
+       task leaves nothing behind. Rows with the same keys are in one file, in order; the files are as many as the tasks that have rows of a scope, however many keys
+       it has. 2. The manifest, with the number of rows and a digest for all values of the keys, is written as a new version. A run that breaks off at any point leaves the last manifest as it was, and running it again ends in the
        same tables. Other scopes are not touched or read. Rows with null keys are refused. Null columns are kept; digests read them as a sign of their own.
     """
     spark = rows.sparkSession
     if rows.filter(reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))).head(1):
         raise ValueError("rows without a key have no partition")
     data = f"{path}/data"
-    rows.repartition(*keys).sortWithinPartitions(*keys, *order).write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(data)
+    rows.repartition(*keys).sortWithinPartitions(*keys, *order).write.partitionBy(keys[0]).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(data)
     rest = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in rows.columns if c not in keys]
     one = F.sha2(F.concat_ws("\x1f", *rest), 256)
     digest = F.sha2(F.concat_ws("", F.sort_array(F.collect_list(F.struct(*order, one.alias("h")))).h), 256)
     new = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), digest.alias("digest")))
     scopes = new.select(keys[0]).distinct()
-    schema = Ty.StructType([f for f in rows.schema if f.name not in keys] + [rows.schema[k] for k in keys])
-    there = spark.read.schema(schema).parquet(data).select(*keys).distinct()
-    for r in there.join(scopes, keys[0], "left_semi").join(new, keys, "left_anti").toLocalIterator():
-        p, fs = path_of(spark, "/".join([data, *(f"{k}={_escaped(spark, r[k])}" for k in keys)]))
-        fs.delete(p, True)
     done = finished_versions(spark, f"{path}/manifest")
     old = [spark.read.parquet(f"{path}/manifest/v={done[-1]}").join(scopes, keys[0], "left_anti")] if done else []
     number = done[-1] + 1 if done else 0
@@ -61,12 +55,8 @@ def publish(rows: DataFrame, path: str, keys: list[str], order: list[str]) -> No
         fs.delete(p, True)
 
 
-def _escaped(spark: SparkSession, value) -> str:
-    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(value))
-
-
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunk texts (book, chapter, chunk, text), a partition for each chapter."""
+    """Chunk texts (book, chapter, chunk, text), a folder for each book and an entry of the manifest for each chapter."""
     publish(chunks.select("book", "chapter", "chunk", "text"), path, ["book", "chapter"], ["chunk"])
 
 
