@@ -8,6 +8,7 @@ sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parents[1])]
 from compare import oracle_rows, rows_of
 
 from textloom import plans, sinks
+from textloom.operators import joins
 
 
 def test_replaced_spans_at_every_length(spark, tmp_path):
@@ -26,6 +27,14 @@ def plans_folder():
     return "/root/testdata/sf0.001"
 
 
+def test_followers_without_pairs(spark):
+    starts = spark.createDataFrame([(1, 1), (1, 5), (1, 5), (2, 3), (None, 1)], "book long, pos long")
+    items = spark.createDataFrame([(1, 0, True), (1, 2, True), (1, 3, False), (1, 4, True), (1, 5, False), (1, 6, True), (2, 4, True), (2, 5, None), (None, 2, True)], "book long, pos long, continues boolean")
+    got = joins.followers(starts, items)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 2), (1, 5, 6), (2, 3, 4), (2, 3, 5)]
+    assert "Join" not in plan_of(got)
+
+
 def test_files_of_a_sink_dont_grow_with_its_chapters(spark, tmp_path):
     at = f"file://{tmp_path}/t"
     sinks.write_chunks(spark.range(600).selectExpr("id % 2 AS book", "id AS chapter", "0L AS chunk", "'x' AS text"), at)

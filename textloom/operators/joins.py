@@ -28,10 +28,15 @@ def voices(chapters: DataFrame, mapping: DataFrame, default: str) -> DataFrame:
 
 
 def followers(starts: DataFrame, items: DataFrame) -> DataFrame:
-    """Items (book, pos, continues) that follow a start (book, pos) before the next start, up to the first that doesn't continue."""
-    nxt = F.lead("pos").over(Window.partitionBy("book").orderBy("pos"))
-    s = starts.select("book", F.col("pos").alias("start"), F.coalesce(nxt, F.lit(1 << 62)).alias("stop"))
-    both = items.join(s, "book").filter((F.col("pos") > F.col("start")) & (F.col("pos") < F.col("stop")))
+    """Items (book, pos, continues) that follow a start (book, pos) before the next start, up to the first that doesn't continue.
+
+    One pass over both in order: an item meets the last start before it. No pairs are formed.
+    """
+    s = starts.filter("pos IS NOT NULL").select("book", "pos", F.lit(None).cast("boolean").alias("continues"), F.lit(0).alias("__kind"), F.col("pos").alias("start"))
+    all_ = items.select("book", "pos", F.col("continues").cast("boolean").alias("continues"), F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("start")).unionByName(s)
+    sweep = Window.partitionBy("book").orderBy("pos", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # an item where a start is follows none
+    both = all_.filter("book IS NOT NULL").withColumn("start", F.last("start", ignorenulls=True).over(sweep)).filter("__kind = 1 AND start < pos")
     w = Window.partitionBy("book", "start").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("ok", F.min(F.col("continues").cast("int")).over(w)).filter("ok = 1").select("book", "start", "pos")
 
