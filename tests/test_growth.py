@@ -8,7 +8,7 @@ sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parents[1])]
 from compare import oracle_rows, rows_of
 
 from textloom import plans, sinks
-from textloom.operators import joins
+from textloom.operators import joins, sections
 from textloom.operators import spans as S
 
 
@@ -50,3 +50,10 @@ def test_files_of_a_sink_dont_grow_with_its_chapters(spark, tmp_path):
     files = list((tmp_path / "t/data").rglob("*.parquet"))
     assert len(files) <= 2 * 4 and {p.parent.name for p in files} == {"book=0", "book=1"}
     assert sinks.manifest(spark, at).count() == 600
+
+
+def test_signs_are_counted_in_their_document(spark):
+    texts = spark.createDataFrame([(1, "a\n\n***\n\nb\n\n***\n\nc"), (2, "a*\n***\nb"), (3, "no signs"), (4, None), (5, "a\n\n†\n\nb")], "doc long, text string")
+    got = sections.markers(texts)
+    assert sorted(map(tuple, got.collect())) == [(1, "***"), (5, "†")]
+    assert "LeftSemi" not in plan_of(got)  # no row for each sign of a text

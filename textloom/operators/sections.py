@@ -17,7 +17,9 @@ def markers(texts: DataFrame) -> DataFrame:
     line holds. Lines with brackets or quotation marks are none.
     """
     w = Window.partitionBy("doc").orderBy("p")
-    lines = texts.select("doc", F.posexplode(F.split("text", "\n")).alias("p", "x")).withColumn("x", T.strip(F.col("x")))
+    stripped = F.transform(F.split("text", "\n"), T.strip)
+    texts = texts.select("doc", "text").filter(F.exists(stripped, T.is_symbolic))  # others have none
+    lines = texts.select("doc", F.posexplode(stripped).alias("p", "x"))
     own = lines.withColumn("candidate", T.is_symbolic(F.col("x")))
     # runs of equal candidates; a run is alone if the lines before and behind it are blank or missing
     goes = F.col("candidate") & F.coalesce(F.lag("x").over(w) == F.col("x"), F.lit(False))
@@ -25,8 +27,11 @@ def markers(texts: DataFrame) -> DataFrame:
     per_run = run.filter("candidate").groupBy("doc", "run", "x").agg(F.count(F.lit(1)).alias("n"), F.min_by("before", "p").alias("before"), F.max_by("after", "p").alias("after"))
     stats = per_run.groupBy("doc", "x").agg(F.sum("n").alias("n"), F.sum(F.when((F.col("before") == "") & (F.col("after") == ""), F.col("n")).otherwise(0)).alias("alone"))
     signs = stats.select("doc", "x", F.explode(F.split(F.regexp_replace("x", r"\s", ""), "")).alias("c")).filter("c <> ''")
-    kinds = signs.select("doc", "c").distinct()
-    there = own.filter("NOT candidate").select("doc", F.explode(F.split("x", "")).alias("c")).join(kinds, ["doc", "c"], "left_semi").groupBy("doc", "c").agg(F.count(F.lit(1)).alias("k"))
+    # the signs of a document are counted within its other lines, one row a document
+    kinds = signs.groupBy("doc").agg(F.collect_set("c").alias("cs"))
+    others = F.array_join(F.filter(stripped, lambda x: ~T.is_symbolic(x)), "\n")
+    times = lambda t: F.transform("cs", lambda c: F.struct(c.alias("c"), (F.length(t) - F.length(F.replace(t, c, F.lit("")))).alias("k")))
+    there = texts.join(kinds, "doc").select("doc", F.inline(T.let(others, times)))
     embedded = signs.join(there, ["doc", "c"], "left").groupBy("doc", "x").agg(F.sum(F.coalesce("k", F.lit(0))).alias("embedded"), F.count(F.lit(1)).alias("size"))
     both = stats.join(embedded, ["doc", "x"])
     often = (F.col("n") >= 2) & (F.col("alone") >= ALONE * F.col("n"))
