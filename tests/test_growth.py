@@ -57,3 +57,10 @@ def test_signs_are_counted_in_their_document(spark):
     got = sections.markers(texts)
     assert sorted(map(tuple, got.collect())) == [(1, "***"), (5, "†")]
     assert "LeftSemi" not in plan_of(got)  # no row for each sign of a text
+
+
+def test_numbers_of_every_kind_are_spoken(spark):
+    query, sql = plans.queries()["f33_spoken"], plans.oracle_sql()["f33_spoken"]
+    got = rows_of(query(spark, plans_folder()))
+    assert got == oracle_rows(sql, plans_folder())
+    assert {"全ななさつ 合本版", "さんぶんのに", "しがつ"} <= {r[got[0].index("spoken")] for r in got[1]}

@@ -6,7 +6,12 @@ from pyspark.sql import functions as F
 
 from textloom.functions import numerals as N
 from textloom.functions.spoken import speak_numbers
-from textloom.plans.common import table
+from textloom.plans.common import literal_rows, table
+
+#: Texts and how their numbers are spoken.
+SPOKEN = [
+    ("2024年7月1日", "二千二十四年しちがつついたち"), ("四月", "しがつ"), ("七月一五日", "しちがつじゅうごにち"), ("八月一〇日", "はちがつとおか"), ("二〇一〇年三月", "二千十年さんがつ"), ("一二時五九分〇二秒", "じゅうにじごじゅうきゅうふんにびょう"), ("一〇〇パーセント", "百パーセント"), ("三〇年", "三十年"), ("二〇日ほど経つ", "にじゅうにちほど経つ"), ("二．〇", "二てんぜろ"), ("3.14", "三てんいちよん"), ("合計13です", "合計十三です"), ("10", "十"), (" 11 ", " 十一 "), ("番号 10", "番号 いちゼロ"), ("全7冊 合本版", "全ななさつ 合本版"), ("20歳を過ぎた", "はたちを過ぎた"), ("一人で二人と4人", "ひとりでふたりとよにん"), ("二日間の旅", "ふつかかんの旅"), ("一日間滞在", "いちにちかん滞在"), ("三杯", "さんばい"), ("十分待つ", "じゅっぷん待つ"), ("十分に注意する", "じゅうぶんに注意する"), ("一個人の判断", "一個人の判断"), ("三分の二", "さんぶんのに"), ("10分の1", "じゅうぶんのいち"), ("2/3(日)開催", "にがつみっか(日)開催"), ("HG 1/144 スサノオ", "HG ひゃくよんじゅうよんぶんのいち スサノオ"), ("GOSICK VIII 上", "GOSICK はち 上"), ("TV CM", "TV CM"), ("平日10:00～18:00まで", "平日じゅうじぜろふんからじゅうはちじぜろふんまで"), ("下心１００％だぜ", "下心百パーセントだぜ"), ("ver.1.0", "ver.一てんゼロ"),
+]
 
 
 def _list(xs) -> str:
@@ -87,8 +92,10 @@ def q_counters(spark, sf):
 
 
 def q_spoken(spark, sf):
-    """Days of orders written with digits, read out."""
-    return table(spark, sf, "orders").select("o_orderkey", speak_numbers(F.date_format("o_orderdate", "yyyy年M月d日")).alias("spoken"))
+    """Days of all orders written with digits, and texts with numbers of every kind (without a key), read out."""
+    days = table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy年M月d日").alias("t"))
+    texts = literal_rows(spark, {"t": "string"}, [r[:1] for r in SPOKEN]).select(F.lit(None).cast(days.schema["o_orderkey"].dataType).alias("o_orderkey"), "t")
+    return days.unionByName(texts).withColumn("spoken", speak_numbers("t"))
 
 
 def _spoken(o):
@@ -118,7 +125,7 @@ _IRREGULAR = (
 _NAMES = ("かい", "さつ", "ふん", "ほん", "はい", "けん", "さい", "てん", "まい", "にん")
 
 ORACLES = {
-    "f33_spoken": f"SELECT o_orderkey, {_kanji('year(o_orderdate)')} || '年' || {_list(N.MONTHS)}[month(o_orderdate)] || {_list(N.DAYS)}[day(o_orderdate)] AS spoken FROM orders",
+    "f33_spoken": f"SELECT o_orderkey, year(o_orderdate) || '年' || month(o_orderdate) || '月' || day(o_orderdate) || '日' AS t, {_kanji('year(o_orderdate)')} || '年' || {_list(N.MONTHS)}[month(o_orderdate)] || {_list(N.DAYS)}[day(o_orderdate)] AS spoken FROM orders UNION ALL SELECT NULL, t, spoken FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in SPOKEN) + ") AS v(t, spoken)",
     "f33_spoken_orders": f"SELECT o_orderkey, {_kanji('year(o_orderdate)')} || '年' || {_list(N.MONTHS)}[month(o_orderdate)] || {_list(N.DAYS)}[day(o_orderdate)] || 'に' || {_kana(_PRICE)} || 'えん' AS spoken FROM orders",
     "f35_counters": f"""WITH p AS (SELECT p_partkey, p_size % 24 + 1 AS n, CAST(p_partkey % 10 + 1 AS INT) AS k FROM part), q AS (SELECT *, {_list(_COUNTED)}[k] AS counter, {_list(_NAMES)}[k] AS name FROM p),
 i AS (SELECT * FROM (VALUES {", ".join("('{}', {}, '{}')".format(*x.split()) for x in _IRREGULAR.split(", "))}) AS v(counter, n, r)) SELECT p_partkey, q.n, q.counter, coalesce(r, {_kana('q.n')} || name) AS reading FROM q LEFT JOIN i ON i.counter = q.counter AND i.n = q.n""",
