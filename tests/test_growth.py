@@ -12,6 +12,10 @@ from textloom.operators import joins, sections
 from textloom.operators import spans as S
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_replaced_spans_at_every_length(spark, tmp_path):
     rows = [(n, "".join(chr(97 + i % 26) for i in range(n))) for n in [*range(60), 303, 304, 305, 310, 311, 312]] + [(999, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -64,3 +68,9 @@ def test_numbers_of_every_kind_are_spoken(spark):
     got = rows_of(query(spark, plans_folder()))
     assert got == oracle_rows(sql, plans_folder())
     assert {"全ななさつ 合本版", "さんぶんのに", "しがつ"} <= {r[got[0].index("spoken")] for r in got[1]}
+
+
+def test_cleaned_texts_are_read_from_a_table(spark):
+    got = sections.normalise(spark.createDataFrame([(1, "a\n\n†\n\nb"), (2, None)], "doc long, text string"))
+    assert "parquet" in plan_of(got) and not any(x in plan_of(got) for x in ("LogicalRDD", "LocalRelation"))
+    assert got.count() == 2

@@ -44,7 +44,8 @@ def sanitise(chapters: DataFrame, spans: DataFrame, rules: Rules) -> tuple[DataF
     heads = kept.select("chapter", "headings")
 
     def clean(texts: DataFrame) -> DataFrame:
-        small = casing.small_capitals(clean_texts(texts, rules))
+        # each step reads its texts several times: without tables between them the work of one is repeated for each time that the next ones read it
+        small = written(casing.small_capitals(written(clean_texts(texts, rules))))
         with_heads = small.join(heads.withColumnRenamed("chapter", "__c"), F.col("doc.chapter").eqNullSafe(F.col("__c"))).select("doc", "text", "headings")
         return casing.capital_lines(with_heads)
 

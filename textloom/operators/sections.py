@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.shared import written
 
 DENSITY, ALONE = 0.35, 0.8
 
@@ -57,5 +58,5 @@ def with_sections(texts: DataFrame) -> DataFrame:
 
 
 def normalise(texts: DataFrame) -> DataFrame:
-    """(doc, text) cleaned, with sections found by markers as well as by blank lines."""
-    return with_sections(texts.select("doc", T.clean(F.col("text")).alias("text")))
+    """(doc, text) cleaned, with sections found by markers as well as by blank lines. The cleaned texts are written, as several steps read them."""
+    return with_sections(written(texts.select("doc", T.clean(F.col("text")).alias("text"))))
