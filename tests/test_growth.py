@@ -1,6 +1,9 @@
 """Work that grows no faster than the input, and texts of the lengths where spans meet."""
 
+import random
+import re
 import sys
+import time
 from pathlib import Path
 
 sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parents[1])]
@@ -8,7 +11,8 @@ sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parents[1])]
 from compare import oracle_rows, rows_of
 
 from textloom import plans, sinks
-from textloom.operators import joins, sections
+from textloom.functions import alignment
+from textloom.operators import joins, sections, tracking
 from textloom.operators import spans as S
 
 
@@ -74,3 +78,36 @@ def test_cleaned_texts_are_read_from_a_table(spark):
     got = sections.normalise(spark.createDataFrame([(1, "a\n\n†\n\nb"), (2, None)], "doc long, text string"))
     assert "parquet" in plan_of(got) and not any(x in plan_of(got) for x in ("LogicalRDD", "LocalRelation"))
     assert got.count() == 2
+
+
+def test_periodic_texts_are_aligned(spark):
+    plain = "水東日うえ水 木う木, " * 1500
+    read = re.sub("木う木(?=,)", lambda m: "よみうかた" if m.start() % 3 else m[0], plain)
+    started = time.monotonic()
+    got = tracking.diff_spans(spark.createDataFrame([(1, plain.replace(",", ";"), read.replace(",", ";"))], "chapter long, plain string, ruby string")).collect()
+    assert time.monotonic() - started < 60
+    want = [(i, "木", r) for m in re.finditer("木う木(?=,)", plain) if m.start() % 3 for i, r in ((m.start(), "よみ"), (m.start() + 2, "かた"))]
+    assert sorted((r.start, r.base, r.reading) for r in got) == want
+
+
+def test_common_subsequences_are_the_longest(monkeypatch):
+    def size(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(old[j] + 1 if x == y else max(old[j + 1], row[j]))
+        return row[-1]
+
+    rng = random.Random(3)
+    for bits in (1 << 28, 8):  # the whole table, or halves of it
+        monkeypatch.setattr(alignment, "BITS", bits)
+        for _ in range(200):
+            a, b = ("".join(rng.choice(signs) for _ in range(rng.randrange(30))) for signs in ("abc", "abx"))
+            got = list(alignment._common(a, b))
+            assert len(got) == size(a, b) and all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+
+
+def test_gaps_are_spread_over_tasks(spark):
+    got = tracking.diff_spans(spark.createDataFrame([(i, "木本。", "もと。") for i in range(40)], "chapter long, plain string, ruby string"))
+    assert "Repartition" in plan_of(got) and got.count() == 40

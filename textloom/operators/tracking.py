@@ -91,7 +91,7 @@ def diff_spans(texts: DataFrame) -> DataFrame:
     are left out. Null texts are read as empty. chapter must be unique; a chapter's gaps are spread over tasks.
     """
     t = texts.select("chapter", F.coalesce("plain", F.lit("")).alias("plain"), F.coalesce("ruby", F.lit("")).alias("ruby"))
-    sides = {s: _pieces(t, s) for s in ("plain", "ruby")}
+    sides = {s: written(_pieces(t, s)) for s in ("plain", "ruby")}  # read twice
     once = {s: df.groupBy("chapter", "piece").agg(F.min(f"{s}_i").alias(f"{s}_i"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n") for s, df in sides.items()}
     w = Window.partitionBy("chapter").orderBy("plain_i")
     before, behind = F.max("ruby_i").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.min("ruby_i").over(w.rowsBetween(1, Window.unboundedFollowing))
@@ -104,7 +104,10 @@ def diff_spans(texts: DataFrame) -> DataFrame:
         at = at.withColumn("gap", F.count("anchor").over(order)).withColumn("off", F.sum(F.length("piece")).over(order) - F.length("piece")).filter("anchor IS NULL")
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(f"{s}_i", "piece"))), lambda x: x.piece), "")
         gaps[s] = at.groupBy("chapter", "gap").agg(joined.alias(s), F.min("off").cast("int").alias(f"{s}_at"))
-    found = gaps["plain"].join(gaps["ruby"], ["chapter", "gap"]).filter("plain <> ruby").select("chapter", F.explode(_replaced("plain", "ruby", "plain_at")).alias("x")).select("chapter", "x.*")
+    # gaps are small in bytes and much work: without a number of partitions they would come together in few tasks
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    differ = gaps["plain"].join(gaps["ruby"], ["chapter", "gap"]).filter("plain <> ruby").repartition(parts)
+    found = differ.select("chapter", F.explode(_replaced("plain", "ruby", "plain_at")).alias("x")).select("chapter", "x.*")
     return found.filter(~T.is_suspicious(F.col("base"), F.col("reading")))
 
 

@@ -10,7 +10,7 @@ from textloom.functions import text as T
 from textloom.operators import casing, chapters, sanitise, tracking
 from textloom.operators import spans as S
 from textloom.plans.common import table
-from textloom.shared import shared_dir
+from textloom.shared import shared_dir, written
 from textloom.sources import archives
 
 #: Letters as Japanese signs: consonants as kanji, vowels as kana.
@@ -53,7 +53,7 @@ def _words(df, key):
 
 def tracked_of(spark, sf, rules):
     """Texts of pages, every third word with a reading, through the cleaning and the removal of rules."""
-    texts = table(spark, sf, "pages").select(F.col("page_id").alias("chapter"), html.html_text("html").text.alias("text"))
+    texts = written(table(spark, sf, "pages").select(F.col("page_id").alias("chapter"), html.html_text("html").text.alias("text")))
     spans = _words(texts, "chapter").filter("i % 3 = 0 AND length(w) > 1").select("chapter", "start", (F.col("start") + F.length("w")).alias("end"), F.col("w").alias("base"), F.concat(F.upper("w"), F.lit("ん")).alias("reading"))
     return texts, spans, tracking.by_rows(lambda t: T.remove_all(T.clean(t), rules)[0])
 
