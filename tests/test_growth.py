@@ -4,6 +4,7 @@ import random
 import re
 import sys
 import time
+import unicodedata
 from pathlib import Path
 
 sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parents[1])]
@@ -13,7 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom import plans, sinks
-from textloom.functions import alignment
+from textloom.functions import alignment, text, unicode
 from textloom.operators import joins, sections, tracking
 from textloom.operators import spans as S
 
@@ -139,3 +140,16 @@ def test_layers_keep_their_partitions(spark):
         kept += [r for r in rows if r[1] == layer and fits(r, list(kept))]
     assert sorted(tuple(r)[:4] for r in got.collect()) == sorted(kept)
     assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_compatibility_forms(spark):
+    keep = re.compile("([…⋯]+)")
+    texts = ["", "ｶﾞ", "か\u3099", "が…", "…Ⅳ⋯①", "plain", "Å", "\u1100\u1161", None]
+    want = [None if t is None else "".join(p if keep.fullmatch(p) else unicodedata.normalize("NFKC", p) for p in keep.split(t)) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", unicode.nfkc("t").alias("n")).collect()
+    assert [r.n for r in sorted(rows)] == want
+
+
+def test_rules_look_for_rare_signs_first(spark):
+    plan = plan_of(spark.createDataFrame([("木 山",)], "t string").select(text.space_to_pause(text.wave_dashes(text.without_single_quotes(F.col("t"))))))
+    assert all(f"(?={x}" in plan for x in ("['", " )", "~)"))

@@ -295,7 +295,7 @@ def without_single_quotes(text: Column) -> Column:
     """Without single quotes but for apostrophes: between ASCII letters or digits, between Japanese signs, and before words that lack their beginning."""
     q = f"[{SINGLE_QUOTES}]"
     keep = (f"(?<=[A-Za-z0-9]){q}(?=[A-Za-z0-9])", f"(?<=[{JAPANESE}]){q}(?=[{JAPANESE}])", rf"(?<![\p{{L}}\p{{N}}]){q}(?=(?i:{'|'.join(ELISIONS)})(?![A-Za-z]))")
-    return F.regexp_replace(text, "".join(f"(?!{k})" for k in keep) + q, "")
+    return F.regexp_replace(text, f"(?={q})" + "".join(f"(?!{k})" for k in keep) + q, "")  # what surrounds a sign is looked at where there is one
 
 
 def final_stop(text: Column) -> Column:
@@ -319,7 +319,7 @@ def tail_stop(text: Column) -> Column:
 
 def space_to_pause(text: Column, full_stop: bool = True) -> Column:
     """Blanks between Japanese characters as pauses: a full stop if there is one such blank and no mark or ASCII letter or digit, else commas."""
-    between = f"(?<=[{JAPANESE}]) (?=[{JAPANESE}])"
+    between = f"(?= )(?<=[{JAPANESE}]) (?=[{JAPANESE}])"  # the blank is looked for first, as it is rarer
     alone = (F.regexp_count(text, F.lit(between)) == 1) & ~text.rlike(f"[{END_MARKS}{PAUSE_MARKS}A-Za-z0-9]") & F.lit(full_stop)
     return F.when(alone, F.regexp_replace(text, between, "。")).otherwise(F.regexp_replace(text, between, "、"))
 
@@ -328,13 +328,13 @@ def wave_dashes(text: Column) -> Column:
     """Wave dashes: a range word between numbers, a long vowel at kana, a comma between blanks, else nothing."""
     number = "0-9０-９一二三四五六七八九十百千万億兆京〇零"
     t = F.regexp_replace(text, "[~～〜]+", "~")
-    t = F.regexp_replace(t, rf"(?<=[{JAPANESE}])(?:\s+~\s*|~\s+)(?=[{JAPANESE}])", "、")
+    t = F.regexp_replace(t, rf"(?=[\s~])(?<=[{JAPANESE}])(?:\s+~\s*|~\s+)(?=[{JAPANESE}])", "、")
     t = F.regexp_replace(t, r"(?<=\s)~|~(?=\s)", "")
-    t = F.regexp_replace(t, f"(?<=[{number}])~(?=[{number}])", "から")
-    t = F.regexp_replace(t, f"(?<=[{KANA}])~(?=[{JAPANESE}])|(?<=[{JAPANESE}])~(?=[{KANA}])", "ー")
+    t = F.regexp_replace(t, f"(?=~)(?<=[{number}])~(?=[{number}])", "から")
+    t = F.regexp_replace(t, f"(?=~)(?:(?<=[{KANA}])~(?=[{JAPANESE}])|(?<=[{JAPANESE}])~(?=[{KANA}]))", "ー")
     closers = CLOSERS.replace("]", r"\]")
-    t = F.regexp_replace(t, f"(?<=[{JAPANESE}])~(?=$|[{END_MARKS}{PAUSE_MARKS}{closers}])", "ー")
-    return F.replace(F.regexp_replace(t, f"(?<=[{JAPANESE}])~(?=[{JAPANESE}])", "、"), F.lit("~"), F.lit(""))
+    t = F.regexp_replace(t, f"(?=~)(?<=[{JAPANESE}])~(?=$|[{END_MARKS}{PAUSE_MARKS}{closers}])", "ー")
+    return F.replace(F.regexp_replace(t, f"(?=~)(?<=[{JAPANESE}])~(?=[{JAPANESE}])", "、"), F.lit("~"), F.lit(""))
 
 
 def short_ellipsis(text: Column) -> Column:

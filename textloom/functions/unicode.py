@@ -14,7 +14,8 @@ from pyspark.sql.types import StringType
 def nfkc(s: pd.Series) -> pd.Series:
     """NFKC, with ellipses left as they are."""
     keep = re.compile("([…⋯]+)")
-    return s.map(lambda t: None if t is None else "".join(p if keep.fullmatch(p) else unicodedata.normalize("NFKC", p) for p in keep.split(t)))
+    # most texts are in that form already, and so is each part of them
+    return s.map(lambda t: t if t is None or unicodedata.is_normalized("NFKC", t) else "".join(p if keep.fullmatch(p) else unicodedata.normalize("NFKC", p) for p in keep.split(t)))
 
 
 @F.pandas_udf(StringType())
