@@ -14,9 +14,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom import plans, sinks
-from textloom.functions import alignment, text, unicode
-from textloom.operators import joins, sections, tracking
+from textloom.functions import alignment, spoken, text, unicode
+from textloom.operators import joins, preparation, sections, tracking
 from textloom.operators import spans as S
+from textloom.plans import reading
 
 
 def plan_of(df):
@@ -153,3 +154,46 @@ def test_compatibility_forms(spark):
 def test_rules_look_for_rare_signs_first(spark):
     plan = plan_of(spark.createDataFrame([("木 山",)], "t string").select(text.space_to_pause(text.wave_dashes(text.without_single_quotes(F.col("t"))))))
     assert all(f"(?={x}" in plan for x in ("['", " )", "~)"))
+
+
+def test_spans_of_a_chunk_meet_its_text_as_one_row(spark):
+    rng = random.Random(7)
+    chunks = [(c, k, k * 50, k * 50 + 40, "".join(rng.choice("木本山あいx \U00020000") for _ in range(40))) for c in range(12) for k in range(3)] + [(99, 0, 0, 9, None), (98, 0, 0, 0, "")]
+    readings = ["かな", "カナ", "ｶﾅ", "木", "か" * 25, " ", "", None, "a\n", "㍍"]
+    spans = []
+    for c, _, at, _, t in chunks[:36]:
+        for _ in range(rng.randrange(14)):
+            a = rng.randrange(40)
+            b = a + rng.choice((0, 1, 1, 1, 1, 2, 3, 9))  # overlaps, and spans beyond the chunk
+            spans.append((c, at + a, at + b, t[a:b] if rng.random() < 0.8 else "山", rng.choice(readings[:2] if rng.random() < 0.6 else readings)))
+    c = spark.createDataFrame(chunks, "chapter long, chunk int, start long, end long, text string")
+    s = spark.createDataFrame([*spans, (99, 1, 2, "木", "き")], "chapter long, start long, end long, base string, reading string")
+    got = preparation.ruby_evidence(c, s)
+    want = []
+    for c_, k, at, end, t in chunks:
+        runs = []
+        for start, stop, x, base in sorted((i - at, j - at, r, x) for c2, i, j, x, r in spans if c2 == c_ and r and at <= i and j <= end):
+            one = len(base) == 1 and base in "木本山\U00020000" and set(x) <= set("かなカナｶﾅ")
+            if one and runs and runs[-1][4] and runs[-1][1] == start:
+                runs[-1] = (runs[-1][0], stop, runs[-1][2] + base, runs[-1][3] + x, True)
+            else:
+                runs.append((start, stop, base, x, one))
+        for start, stop, base, x, _ in sorted(runs, reverse=True):
+            if not preparation._suspicious(base, x) and t[start:stop] == base:
+                t = t[:start] + preparation._script(x) + t[stop:]
+        want.append((c_, k, at, end, t))
+    columns = ["chapter", "chunk", "start", "end", "text"]
+    rows = lambda df: sorted(map(str, map(tuple, df.select(*columns).collect())))
+    assert rows(got) == sorted(map(str, want)) != rows(c)
+    pairs = spark.createDataFrame([(x, r) for x in ("木", "木x", "", " ", "a\n", "木本山木本") for r in readings if r is not None], "base string, reading string")
+    for r in pairs.select("base", "reading", text.is_suspicious(F.col("base"), F.col("reading")).alias("bad"), preparation.reading_script(F.col("reading")).alias("script")).collect():
+        assert (preparation._suspicious(r.base, r.reading), preparation._script(r.reading)) == (r.bad, r.script)
+    assert plan_of(got).count("Window [") == 1  # of the meeting only: runs are joined where the text is
+
+
+def test_a_row_for_each_forty_signs(spark):
+    rows = [(1, 0, 0, "木本山あい" * 20), (1, 1, 101, "木\U00020000本" * 30), (1, 2, 192, ""), (2, 0, 0, "x"), (3, 0, 81, "ab"), (4, 0, 0, None)]
+    got = reading.spans_of(spark.createDataFrame(rows, "chapter long, chunk int, start long, text string"))
+    want = [(c, at + i, at + i + 1, x, "かな") for c, _, at, t in rows for i, x in enumerate(t or "") if (at + i) % 40 < 2]
+    assert sorted(map(tuple, got.collect())) == want
+    assert "split(" not in plan_of(got)

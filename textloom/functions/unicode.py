@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+_ELLIPSES = re.compile("([…⋯]+)")
+
+
+def compatible(t: str) -> str:
+    """NFKC, with ellipses left as they are."""
+    # most texts are in that form already, and so is each part of them
+    return t if unicodedata.is_normalized("NFKC", t) else "".join(p if p[:1] in "…⋯" else unicodedata.normalize("NFKC", p) for p in _ELLIPSES.split(t) if p)
+
+
 @F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """NFKC, with ellipses left as they are."""
-    keep = re.compile("([…⋯]+)")
-    # most texts are in that form already, and so is each part of them
-    return s.map(lambda t: t if t is None or unicodedata.is_normalized("NFKC", t) else "".join(p if keep.fullmatch(p) else unicodedata.normalize("NFKC", p) for p in keep.split(t)))
+    return s.map(lambda t: t if t is None else compatible(t))
 
 
 @F.pandas_udf(StringType())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.operators import preparation as P
 from textloom.plans.books import LATIN, SIGNS
 from textloom.plans.common import literal_rows, table
+from textloom.shared import written
 
 _ENTRY = {"book": "string", "ord": "int", "base": "string", "pattern": "string", "reading": "string", "mode": "string"}
 #: Signs of every step: dashes, quotes, ellipses, waves, numbers; what a line has in place of some of its ASCII signs.
@@ -23,13 +24,15 @@ def chunks_of(spark, sf):
 
 
 def spans_of(chunks):
-    """The first two of every forty signs of a chapter, each with a reading."""
-    e = chunks.select("chapter", "start", F.posexplode(F.split("text", "")).alias("i", "base")).filter("base <> ''").withColumn("p", F.col("start") + F.col("i")).filter("p % 40 < 2")
-    return e.select("chapter", F.col("p").alias("start"), (F.col("p") + 1).alias("end"), "base", F.lit("かな").alias("reading"))
+    """The first two of every forty signs of a chapter, each with a reading: a row for each forty signs, not for each sign."""
+    before = (F.col("start") % 40).cast("int")  # signs of the forty that stand before the chunk
+    e = chunks.select("chapter", (F.col("start") - before).alias("at"), F.posexplode(F.regexp_extract_all(F.concat(F.repeat(F.lit("\n"), before), "text"), F.lit("(?s).{1,40}"), F.lit(0))).alias("k", "t"))
+    two = e.select("chapter", (F.col("at") + 40 * F.col("k")).alias("at"), F.posexplode(F.array(F.substring("t", 1, 1), F.substring("t", 2, 1))).alias("i", "base")).filter("base NOT IN ('', '\n')")
+    return two.select("chapter", (F.col("at") + F.col("i")).alias("start"), (F.col("at") + F.col("i") + 1).alias("end"), "base", F.lit("かな").alias("reading"))
 
 
 def q_evidence(spark, sf):
-    c = chunks_of(spark, sf)
+    c = written(chunks_of(spark, sf))
     return P.ruby_evidence(c, spans_of(c)).select("chapter", "chunk", F.md5("text").alias("h"), F.length("text").alias("n"))
 
 
@@ -41,7 +44,7 @@ def q_prepared(spark, sf):
 
 
 def q_pipeline(spark, sf):
-    c = chunks_of(spark, sf)
+    c = written(chunks_of(spark, sf))
     book = literal_rows(spark, _ENTRY, [("en", 0, "木木", None, "モリ", None), ("en", 1, "東", None, "ひがし", None), ("de", 0, "大", None, "だい", "first")])
     own = literal_rows(spark, _ENTRY, [("en", 0, "東", None, "トウ", None), ("fr", 0, None, "([あいう])山", r"\1やま", None)])
     got = P.pipeline(c, spans_of(c), book, own)
