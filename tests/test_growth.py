@@ -197,3 +197,26 @@ def test_a_row_for_each_forty_signs(spark):
     want = [(c, at + i, at + i + 1, x, "かな") for c, _, at, t in rows for i, x in enumerate(t or "") if (at + i) % 40 < 2]
     assert sorted(map(tuple, got.collect())) == want
     assert "split(" not in plan_of(got)
+
+
+def test_rules_of_numbers_pass_over_texts_without_any(monkeypatch):
+    rng = random.Random(9)
+    for _ in range(3000):
+        t = "".join(rng.choice("0129〇一二十百万年月日分の時第%.,:/~Ⅳ木あ… x三") for _ in range(rng.randrange(12)))
+        want = spoken._ROMAN_LETTERS.sub(lambda m: m[0], spoken._ROMAN_GLYPHS.sub(lambda m: spoken.kana(spoken.roman(unicodedata.normalize("NFKC", m[0]))) if spoken.roman(unicodedata.normalize("NFKC", m[0])) else m[0], t))
+        want = "".join(p if p[:1] in "…⋯" else unicodedata.normalize("NFKC", p) for p in re.split("([…⋯]+)", want) if p)
+        for pattern, rule, _ in spoken.RULES:
+            want = re.sub(pattern, lambda m, r=rule: m[0] if (x := r(m)) is None else x, want)
+        assert spoken.speak(t) == want
+    monkeypatch.setattr(spoken, "_RULES", [(None, *r[1:]) for r in spoken._RULES])  # none of them is tried
+    assert spoken.speak("木本山 あい, x") == "木本山 あい, x"
+
+
+def test_plain_texts_are_looked_at_once(spark):
+    texts = ["木本 山", "木。" + "」" * 40, "木" + "」" * 40, "木。\r", "木…」 ", "ab c", "", " ", "木 " * 40, "“木”", "木――山 川", "木~山", "é ü ß", "木­本 山"]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    stops = lambda c, closers: c.rlike(f"[{text.END_MARKS}{text.PAUSE_MARKS}][{closers}]*$")
+    got = d.select(text._ends_with(F.col("t"), text.END_MARKS + text.PAUSE_MARKS, text.CHUNK_CLOSERS).alias("a"), stops(F.col("t"), text.CHUNK_CLOSERS).alias("b"), "t", (~F.col("t").rlike(f"[^{text.PLAIN}]")).alias("plain"))
+    rows = got.collect()
+    assert all(r.a == r.b for r in rows) and {r.t for r in rows if r.plain} == {"木本 山", "ab c", "", " ", "木 " * 40, "é ü ß"}
+    assert text.PLAIN in plan_of(d.select(preparation.prepare(F.col("t"))))

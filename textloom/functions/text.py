@@ -277,31 +277,48 @@ def to_katakana(text: Column) -> Column:
 
 
 def without_double_quotes(text: Column) -> Column:
-    return F.regexp_replace(text, "[\"“”„‟«»＂〝〞〟]", "")
+    return F.regexp_replace(text, r"[\"\x{AB}\x{BB}\x{201C}-\x{201F}\x{301D}-\x{301F}\x{FF02}]", "")
 
 
 # Japanese quotation marks, single ones, runs of dashes, and words that begin with an apostrophe.
+#: Signs that are no quotation mark, dash, wave, ellipsis or format character: the rules about these pass over texts of nothing else.
+PLAIN = r"\n\x{20}\x{21}\x{23}-\x{26}\x{28}-\x{7D}\x{C0}-\x{17F}\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{3001}\x{3002}"
 JAPANESE_QUOTES, SINGLE_QUOTES, DASHES = "「」『』《》〈〉【】〔〕［］｢｣〝〞〟", "'‘’‚‛＇", "‐‑‒–—―─━"
 ELISIONS = ("tis", "twas", "twere", "twill", "til", "em", "cause", "bout", "round")
 
 
+def _where(text: Column, signs: str, change) -> Column:
+    """change(text), if it has any of the signs that the change is about."""
+    return let(text, lambda t: F.when(t.rlike(f"[{signs}]"), change(t)).otherwise(t))
+
+
 def without_japanese_quotes(text: Column) -> Column:
     """Without Japanese quotation marks; a comma stands where one closes between two Japanese signs."""
+    return _where(text, r"\x{3008}-\x{3011}\x{3014}\x{3015}\x{301D}-\x{301F}\x{FF3B}\x{FF3D}\x{FF62}\x{FF63}", _without_japanese_quotes)
+
+
+def _without_japanese_quotes(text: Column) -> Column:
     quotes, closing = JAPANESE_QUOTES.replace("]", r"\]"), "」』》〉】〕］｣〟"
-    return F.regexp_replace(F.regexp_replace(text, f"(?<=[{JAPANESE}])[{closing}](?=[{quotes}]*[{JAPANESE}])", "、"), f"[{quotes}]", "")
+    return F.regexp_replace(F.regexp_replace(text, f"(?=[{closing}])(?<=[{JAPANESE}])[{closing}](?=[{quotes}]*[{JAPANESE}])", "、"), f"[{quotes}]", "")
 
 
 def without_single_quotes(text: Column) -> Column:
     """Without single quotes but for apostrophes: between ASCII letters or digits, between Japanese signs, and before words that lack their beginning."""
-    q = f"[{SINGLE_QUOTES}]"
+    q = r"['\x{2018}-\x{201B}\x{FF07}]"  # SINGLE_QUOTES
     keep = (f"(?<=[A-Za-z0-9]){q}(?=[A-Za-z0-9])", f"(?<=[{JAPANESE}]){q}(?=[{JAPANESE}])", rf"(?<![\p{{L}}\p{{N}}]){q}(?=(?i:{'|'.join(ELISIONS)})(?![A-Za-z]))")
     return F.regexp_replace(text, f"(?={q})" + "".join(f"(?!{k})" for k in keep) + q, "")  # what surrounds a sign is looked at where there is one
 
 
+def _ends_with(text: Column, marks: str, closers: str) -> Column:
+    """Whether one of the marks stands at a text's end, behind closers. Its last signs tell, unless they are closers all."""
+    found, last = f"[{marks}][{closers}]*$", F.substring(text, -16, 16)
+    return last.rlike(found) | (F.length(text) > 16) & last.rlike(f"^[{closers}]*$") & text.rlike(found)
+
+
 def final_stop(text: Column) -> Column:
     """A full stop behind a Japanese text whose last line lacks a mark; brackets at its end are looked through."""
     bare = F.rtrim(text)
-    marked = bare.endswith("・") | bare.rlike(f"[{END_MARKS}{PAUSE_MARKS}][{CHUNK_CLOSERS}]*$")
+    marked = bare.endswith("・") | _ends_with(bare, END_MARKS + PAUSE_MARKS, CHUNK_CLOSERS)
     return F.when(text.rlike(f"[{JAPANESE}]") & (bare != "") & ~marked, F.concat(text, F.lit("。"))).otherwise(text)
 
 
@@ -311,10 +328,12 @@ def without_format_characters(text: Column) -> Column:
 
 def tail_stop(text: Column) -> Column:
     """A full stop behind every line of a Japanese text that lacks a mark there; closing brackets are looked through."""
-    marks = f"[{END_MARKS}{PAUSE_MARKS}]"
+    marks = END_MARKS + PAUSE_MARKS
     closers = CLOSERS.replace("]", r"\]")
-    one = lambda x: F.when((F.rtrim(x) == "") | F.rtrim(x).endswith("・") | F.rtrim(x).rlike(f"{marks}[{closers}]*$"), x).otherwise(F.concat(F.rtrim(x), F.lit("。"), F.substring(x, F.length(F.rtrim(x)) + 1, F.length(x))))
-    return F.when(text.rlike(f"[{JAPANESE}]"), F.array_join(F.transform(F.split(text, "\n"), one), "\n")).otherwise(text)
+    stopped = lambda x, bare: F.when((bare == "") | bare.endswith("・") | _ends_with(bare, marks, closers), x).otherwise(F.concat(bare, F.lit("。"), F.substring(x, F.length(bare) + 1, F.length(x))))
+    one = lambda x: let(F.rtrim(x), lambda bare: stopped(x, bare))
+    lines = F.when(F.contains(text, F.lit("\n")), F.array_join(F.transform(F.split(text, "\n"), one), "\n")).otherwise(one(text))
+    return F.when(text.rlike(f"[{JAPANESE}]"), lines).otherwise(text)
 
 
 def space_to_pause(text: Column, full_stop: bool = True) -> Column:
@@ -326,6 +345,10 @@ def space_to_pause(text: Column, full_stop: bool = True) -> Column:
 
 def wave_dashes(text: Column) -> Column:
     """Wave dashes: a range word between numbers, a long vowel at kana, a comma between blanks, else nothing."""
+    return _where(text, "~～〜", _wave_dashes)
+
+
+def _wave_dashes(text: Column) -> Column:
     number = "0-9０-９一二三四五六七八九十百千万億兆京〇零"
     t = F.regexp_replace(text, "[~～〜]+", "~")
     t = F.regexp_replace(t, rf"(?=[\s~])(?<=[{JAPANESE}])(?:\s+~\s*|~\s+)(?=[{JAPANESE}])", "、")

@@ -36,20 +36,22 @@ def prepare(text: Column, *, short_stops: bool = False, old: str = "", new: str
     long ellipses as one, wave dashes, blanks as one, blanks between Japanese signs as pauses (no full stop where a run of dashes was), (short_stops) a final full stop.
     A null text is an empty one.
     """
-    run = f"[{T.DASHES}]{{2,}}"
+    run = r"[\x{2010}-\x{2015}\x{2500}\x{2501}]{2,}"  # text.DASHES
 
     def blanks(t: Column, dashed: Column) -> Column:
         one = T.strip(F.regexp_replace(t, r"[\s\x{3000}]+", " "))
         return T.let(one, lambda x: F.when(dashed, T.space_to_pause(x, full_stop=False)).otherwise(T.space_to_pause(x)))
 
+    stop = (lambda t: T.let(t, T.tail_stop)) if short_stops else (lambda t: t)
+
     def steps(t: Column) -> Column:
         bare = T.without_format_characters(F.regexp_replace(t, run, " "))
-        stopped = T.let(bare, T.tail_stop) if short_stops else bare
-        plain = T.without_single_quotes(T.without_double_quotes(T.without_japanese_quotes(stopped)))
-        done = T.let(T.wave_dashes(T.short_ellipsis(plain)), lambda x: blanks(x, t.rlike(run)))
-        return T.let(done, T.final_stop) if short_stops else done
+        plain = T.without_single_quotes(T.without_double_quotes(T.without_japanese_quotes(stop(bare))))
+        return T.let(T.wave_dashes(T.short_ellipsis(plain)), lambda x: blanks(x, t.rlike(run)))
 
-    return T.let(modern_forms(nfkc(F.coalesce(text, F.lit(""))), old, new), steps)
+    # most texts have none of the signs that the steps before the blanks are about; one look tells
+    done = T.let(modern_forms(nfkc(F.coalesce(text, F.lit(""))), old, new), lambda t: F.when(t.rlike(f"[^{T.PLAIN}]"), steps(t)).otherwise(T.let(stop(t), lambda x: blanks(x, F.lit(False)))))
+    return T.let(done, T.final_stop) if short_stops else done
 
 
 @lru_cache(1 << 12)
