@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from textloom import plans, sinks
 from textloom.functions import alignment, spoken, text, unicode
-from textloom.operators import joins, preparation, sections, tracking
+from textloom.operators import casing, joins, preparation, sections, tracking
 from textloom.operators import spans as S
 from textloom.plans import reading
 
@@ -220,3 +220,11 @@ def test_plain_texts_are_looked_at_once(spark):
     rows = got.collect()
     assert all(r.a == r.b for r in rows) and {r.t for r in rows if r.plain} == {"木本 山", "ab c", "", " ", "木 " * 40, "é ü ß"}
     assert text.PLAIN in plan_of(d.select(preparation.prepare(F.col("t"))))
+
+
+def test_words_are_looked_up_in_their_text(spark):
+    rows = [(1, "THE OLD HOUSE stood. old House house House, the"), (2, "no run here"), (3, None), (4, "THE CAT sat\n\nTHE DOG ran. Dog dog dog Cat")]
+    got = casing.small_capitals(spark.createDataFrame(rows, "doc long, text string"))
+    want = {1: "The old House stood. old House house House, the", 2: "no run here", 3: None, 4: "The CAT sat\n\nThe dog ran. Dog dog dog Cat".replace("CAT", "Cat")}
+    assert {r.doc: r.text for r in got.collect()} == want
+    assert "LeftSemi" not in plan_of(got) and plan_of(got).count("Join") == 1  # no row for each word of a text

@@ -65,10 +65,14 @@ def _repaired(block: Column, spellings: Column) -> Column:
     return T.let(_run(block), repaired)
 
 
-def spellings(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """(doc, m): a map from lower-case words to how each text (doc, text) spells them with a small letter most often (ties: Title, lower, other, then the first), for the words asked for (doc, key)."""
-    words = texts.join(keys.select("doc").distinct(), "doc", "left_semi").select("doc", F.posexplode(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(0))).alias("pos", "w")).filter(F.col("w").rlike(r"\p{Ll}"))
-    counts = words.withColumn("key", F.lower("w")).join(keys, ["doc", "key"], "left_semi").groupBy("doc", "key", "w").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+def spellings(texts: DataFrame) -> DataFrame:
+    """(doc, m): a map from lower-case words to how each text (doc, text, keys) spells them with a small letter most often (ties: Title, lower, other, then the first), for the words asked for (keys, an array).
+
+    Words that aren't asked for are left out within their text, so that only counts of the others are shuffled.
+    """
+    asked = lambda w: w.rlike(r"\p{Ll}") & F.array_contains("keys", F.lower(w))
+    words = texts.filter(F.size("keys") > 0).select("doc", F.posexplode(F.filter(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(0)), asked)).alias("pos", "w"))
+    counts = words.withColumn("key", F.lower("w")).groupBy("doc", "key", "w").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     score = F.when(F.col("w").rlike(r"^\p{Lu}.*\p{Ll}"), 3).when(~F.col("w").rlike(r"\p{Lu}"), 2).otherwise(1)
     best = counts.groupBy("doc", "key").agg(F.min_by("w", F.struct(-F.col("n"), -score, "first")).alias("spelling"))
     return best.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("key", "spelling"))).alias("m"))
@@ -76,9 +80,8 @@ def spellings(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _with_map(texts: DataFrame, words: Column) -> DataFrame:
     """texts with the spellings m of the words that an array names; an empty map where there is none."""
-    own = texts.withColumn("__k", F.array_distinct(F.transform(words, F.lower)))
-    met = own.join(spellings(texts, own.select("doc", F.explode("__k").alias("key"))), "doc", "left")
-    return met.withColumn("m", F.coalesce("m", F.create_map().cast("map<string, string>"))).drop("__k")
+    maps = spellings(texts.select("doc", "text", F.array_distinct(F.transform(words, F.lower)).alias("keys")))
+    return texts.join(maps, "doc", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<string, string>")))
 
 
 def small_capitals(texts: DataFrame) -> DataFrame:
