@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from textloom import plans, sinks
 from textloom.functions import alignment, spoken, text, unicode
-from textloom.operators import casing, joins, preparation, sections, tracking
+from textloom.operators import casing, joins, overrides, preparation, sections, tracking
 from textloom.operators import spans as S
 from textloom.plans import reading
 
@@ -228,3 +228,17 @@ def test_words_are_looked_up_in_their_text(spark):
     want = {1: "The old House stood. old House house House, the", 2: "no run here", 3: None, 4: "The CAT sat\n\nThe dog ran. Dog dog dog Cat".replace("CAT", "Cat")}
     assert {r.doc: r.text for r in got.collect()} == want
     assert "LeftSemi" not in plan_of(got) and plan_of(got).count("Join") == 1  # no row for each word of a text
+
+
+def test_a_book_is_not_one_task(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, "en" if i % 5 else None if i % 2 else "fr", "the tin. eau" if i % 7 else None) for i in range(60)], "id long, lang string, text string")
+    entries = spark.createDataFrame([("en", 0, "th", None, "TH", None), ("en", 1, None, "([aeiou])n", r"\1ン", None), ("fr", 0, "eau", None, "オ", None)], "lang string, ord int, base string, pattern string, reading string, mode string")
+    got = overrides.apply_overrides(texts, entries, ["lang"])
+    assert "strategy=broadcast" in plan_of(got)
+    want = sorted(map(str, got.collect()))
+    said = {"en": "THe tiン. eau", "fr": "the tin. オ", None: "the tin. eau"}
+    assert [(r.id, r.text) for r in sorted(got.collect(), key=lambda r: r.id)] == [(r.id, r.text and said[r.lang]) for r in sorted(texts.collect(), key=lambda r: r.id)]
+    monkeypatch.setattr(overrides, "SENT_BYTES", -1)  # dictionaries too large to be sent
+    dealt = overrides.apply_overrides(texts, entries, ["lang"])
+    assert "__salt" in plan_of(dealt) and "strategy=broadcast" not in plan_of(dealt)
+    assert sorted(map(str, dealt.collect())) == want

@@ -21,6 +21,8 @@ MODES = {"first": ("first", "once", "single", "one"), "isolated": ("isolated", "
 
 _OPEN = rf"[^\s\p{{P}}{PARTICLES}]"  # a character that doesn't part words
 _BLOCKS = f"[{T.JAPANESE}&&{_OPEN}]"
+#: Entries of so many bytes are sent to all tasks; larger dictionaries are repeated for so many parts of a group's texts.
+SENT_BYTES, PARTS = 8 << 20, 64
 _TOKEN_BIN = 64  # code points: tokens and spans meet in the bins that they touch
 
 
@@ -123,16 +125,23 @@ def apply_entries(text: Column, literals: Column) -> Column:
 def apply_overrides(texts: DataFrame, entries: DataFrame, by: list[str], text: str = "text") -> DataFrame:
     """texts with the overrides (*by, ord, base, pattern, reading, mode) of their group applied: literals, longest base first and then by ord, then patterns by ord.
 
-    A group's entries, one book's dictionary, are one row; the texts meet it by an equi-join. Texts of a group without
+    A group's entries, one book's dictionary, are one row. Dictionaries of up to SENT_BYTES in all (measured) are sent to the texts, which stay where they are; else the
+    texts meet them by an equi-join, dealt by their group and PARTS hashes, so that a book's texts don't go to one task. Texts of a group without
     entries stay as they are, as do null texts. Without any pattern among the entries (looked for) nothing passes through Python.
     """
     own = entries.filter("reading <> '' AND coalesce(pattern, base, '') <> ''")
     literal = F.when(F.coalesce("pattern", F.lit("")) == "", F.struct((-F.length("base")).alias("k"), "ord", "base", "reading", "mode"))
     pattern = F.when(F.coalesce("pattern", F.lit("")) != "", F.struct("ord", "pattern", "reading"))
     lists = own.groupBy(*by).agg(F.array_sort(F.collect_list(literal)).alias("__literals"), F.array_sort(F.collect_list(pattern)).alias("__patterns"))
-    both = texts.join(lists, by, "left")
+    filled = [F.coalesce(F.octet_length(c), F.lit(0)) for c in ("base", "pattern", "reading")]
+    size, patterns = own.agg(F.coalesce(F.sum(sum(filled, F.lit(64))), F.lit(0)), F.coalesce(F.max((F.coalesce("pattern", F.lit("")) != "").cast("int")), F.lit(0))).first()
+    if size <= SENT_BYTES:
+        both = texts.join(F.broadcast(lists), by, "left")
+    else:
+        dealt = lists.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        both = texts.withColumn("__salt", F.pmod(F.xxhash64(*(c for c, kind in texts.dtypes if "map<" not in kind)), F.lit(PARTS)).cast("int")).join(dealt.hint("merge"), [*by, "__salt"], "left")
     done = both.withColumn(text, F.when(F.col("__literals").isNotNull(), apply_entries(F.col(text), F.col("__literals"))).otherwise(F.col(text)))
-    if entries.filter("coalesce(pattern, '') <> ''").head(1):
+    if patterns:
         done = done.withColumn(text, _patterns(F.col(text), F.col("__patterns.pattern"), F.col("__patterns.reading")))
     return done.select(*texts.columns)
 
