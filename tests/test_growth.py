@@ -18,6 +18,7 @@ from textloom.functions import alignment, spoken, text, unicode
 from textloom.operators import casing, chapters, joins, overrides, preparation, sections, tracking
 from textloom.operators import spans as S
 from textloom.plans import reading
+from textloom.plans.common import BATCH_BYTES, table
 
 
 def plan_of(df):
@@ -259,3 +260,9 @@ def test_books_are_put_in_order_without_their_texts(spark):
         found = windows(df._jdf.queryExecution().optimizedPlan())
         assert found and not any("ruby#" in x for x in found)
     assert sorted((r.ord, r.title, r.n_pages, len(r.text)) for r in whole.collect()) == [(1, "One", 3, 3 * 207 + 4), (2, "Two", 3, 3 * 207 + 4)]
+
+
+def test_arrow_batches_end_at_so_many_bytes(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    table(spark, plans_folder(), "pages")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == BATCH_BYTES
