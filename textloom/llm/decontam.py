@@ -46,8 +46,8 @@ def build_index(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     """Blocks of postings (see INDEX). gap: free positions between documents, more than any phrase's length, so that no match spans two.
 
     terms: store postings of these only. Null texts and texts without words are in doc_ids with n_words 0. Positions are
-    int64 within the block, so the length of a text is not limited by the block's size. A block's name is new at each run: write
-    the index before it is searched more than once.
+    int64 within the block, so the length of a text is not limited by the block's size; they are stored packed (see pack). A
+    block's name is new at each run: write the index before it is searched more than once.
     """
     known = None if terms is None else docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(sorted(terms))})
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -70,6 +70,17 @@ def build_index(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     return slim.mapInArrow(index, INDEX.format(dict(slim.dtypes)["doc_id"]))
 
 
+def pack(positions: np.ndarray) -> bytes:
+    """int64 positions as the compressed steps from one to the next: a block stands in several buffers of the JVM and of Arrow at once, when it is written and when it is read."""
+    return pa.compress(np.diff(positions, prepend=0).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(packed: bytes, n: int) -> np.ndarray:
+    """The n positions that pack was given."""
+    steps = pa.decompress(packed, decompressed_size=8 * n, codec="zstd") if n else b""
+    return np.cumsum(np.frombuffer(steps, np.int64))
+
+
 class _Block:
     def __init__(self, fixed: dict[bytes, int] | None, gap: int):
         self.fixed, self.gap = fixed, gap
@@ -103,7 +114,7 @@ class _Block:
         cols = [self.doc_ids, self.n_words, self.starts, [names[i].decode("utf-8", "surrogatepass") for i in used], np.cumsum(counts).tolist()]
         kinds = [id_kind, pa.int32(), pa.int64(), pa.string(), pa.int64()]
         arrays = [pa.array([uuid.uuid4().hex]), *(pa.array([c], pa.list_(k)) for c, k in zip(cols, kinds, strict=True))]
-        arrays.append(pa.array([places[order].astype(np.int64).tobytes()], pa.binary()))
+        arrays.append(pa.array([pack(places[order].astype(np.int64))], pa.binary()))
         return pa.RecordBatch.from_arrays(arrays, names=["block", "doc_ids", "n_words", "starts", "terms", "ends", "positions"])
 
 
@@ -126,7 +137,7 @@ class Postings:
     def __init__(self, terms: list[str], ends, positions: bytes):
         self.at = {t: i for i, t in enumerate(terms)}
         self.bounds = np.concatenate([[0], np.asarray(ends, np.int64)])
-        self.positions = np.frombuffer(positions, np.int64)
+        self.positions = unpack(positions, int(self.bounds[-1]))
 
     def count(self, term: str) -> int:
         i = self.at.get(term)
@@ -206,7 +217,7 @@ def search(index: DataFrame, phrases: dict[tuple[str, ...], list]) -> DataFrame:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, row in enumerate(batch.to_pylist()):
+            for i, row in enumerate(_rows(batch)):
                 spans, found = _spans(row, sent.value)
                 n_hit = [sum(e - s for s, e in spans.get(d, ())) for d in range(len(row["n_words"]))]
                 cols = [batch.column("doc_ids")[i].values, pa.array(row["n_words"], pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(found.get(d, ())) for d in range(len(n_hit))], pa.list_(pa.string()))]
@@ -215,6 +226,12 @@ def search(index: DataFrame, phrases: dict[tuple[str, ...], list]) -> DataFrame:
     return index.mapInArrow(look, f"doc_id {id_kind}, n_words long, n_hit long, items array<string>")
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The blocks of a batch, one in memory at a time."""
+    for i in range(batch.num_rows):
+        yield from batch.slice(i, 1).to_pylist()
+
+
 def _id_kind(index: DataFrame) -> str:
     return dict(index.dtypes)["doc_ids"][len("array<") : -1]
 
@@ -253,7 +270,7 @@ def search_groups(index: DataFrame, table: DataFrame, groups: int) -> DataFrame:
 
         def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row in batch.to_pylist():
+                for row in _rows(batch):
                     spans, found = _spans(row, sent.value)
                     cols = [pa.array([row["block"]] * len(spans), pa.string()), pa.array(list(spans), pa.int32())]
                     cols.append(pa.array([[{"s": s, "e": e} for s, e in x] for x in spans.values()], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))))
@@ -282,7 +299,7 @@ def proximity(index: DataFrame, queries: dict[str, tuple[str, ...]], slop: int)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, row in enumerate(batch.to_pylist()):
+            for i, row in enumerate(_rows(batch)):
                 block, starts = Postings(row["terms"], row["ends"], row["positions"]), np.asarray(row["starts"], np.int64)
                 for name, words in sent.value.items():
                     at = block.near(tuple(words), slop)
