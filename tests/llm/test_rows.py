@@ -161,6 +161,16 @@ def test_pages_without_article_elements():
         assert html_extract.extract(page, w) == "\n".join(lines)
 
 
+def test_footer_longer_than_its_article():
+    """Menus and footers beside an article stay out, however few words it has; without one, or within one, an element of most words is the text."""
+    w, long = np.array(html_extract.fitted_weights()), "what the site says of itself in a great many words of small print, year after year"
+    for tag in ("footer", "aside", "header"):
+        for page in ("<article><h1>A b.</h1><p><b>A b.<br></article><{0}>{1}</{0}>", "<{0}>{1}</{0}><main><h1>A b.</h1><p>A b.</p></main>"):
+            assert html_extract.extract(f"<html><body>{page.format(tag, long)}</body></html>", w) == "A b.\nA b."
+        for page in ("<{0}>{1}</{0}>", "<article><{0}>{1}</{0}></article>", "<article></article><{0}>{1}</{0}>", "<{0}>{1}</{0}><div class='related'><article>A b.</article></div>"):
+            assert long in html_extract.extract(f"<html><body>{page.format(tag, long)}</body></html>", w)
+
+
 def test_contamination_in_groups(spark, sf, monkeypatch):
     """A benchmark searched in several groups gives what one group gives, with and without all postings; ids may be text or null."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.when(F.col("doc_id") % 50 != 0, F.concat(F.lit("d"), "doc_id")).alias("doc_id"), "text")

@@ -3,7 +3,8 @@
 A page is a run of tokens: words and tags. Words score positive and tags negative, by weights per kind of token fitted to
 labelled pages; one linear scan finds the contiguous region of the highest sum. Inside the region, what stands in a
 boilerplate element (menus, adverts, forms, comments ...) is left out, and the rest is joined block by block. An element is no
-boilerplate by its name or class alone: one that holds an article, or most of the page's words outside links, is a wrapper.
+boilerplate by its name or class alone: one that holds an article, or most of the page's words outside links, is a wrapper. A
+footer or the like beside an article stays boilerplate, however short the article is.
 
 The labelled pages are made by `labelled_pages` from a seed: pages of several layouts whose article tokens are known.
 """
@@ -124,10 +125,12 @@ class Page:
         self.counts: list[int] = []  # words of a text token, 1 for a tag
         self.pieces: dict[int, tuple[str, int]] = {}
         self.block = 0
-        self.bad: list[list] = []  # boilerplate elements: first and last token, readers' words or not, kind of the tag otherwise
+        self.bad: list[list] = []  # boilerplate elements: first and last token, readers' words or not, kind of the tag otherwise, boilerplate by the element's name or not
         self.heads: list[int] = []  # tokens that open an article
+        self.articles: list[list[int]] = []  # first and last token of the articles outside boilerplate
         self.titles: list[int] = []  # tokens that open a page's title
-        stack: list[tuple[str, int]] = []  # name, number of the boilerplate element or -1
+        stack: list[tuple[str, int, int]] = []  # name, numbers of the boilerplate element and of the article, or -1
+        inside = 0  # open boilerplate elements
         open_: Counter = Counter()
         links = at = 0
         end = len(raw)
@@ -136,10 +139,13 @@ class Page:
         found = tokens(raw)
 
         def close(n: int) -> None:
-            nonlocal links
-            for name, bad in stack[n:]:
+            nonlocal links, inside
+            for name, bad, article in stack[n:]:
                 if bad >= 0:
                     self.bad[bad][1] = len(self.kinds)
+                    inside -= 1
+                if article >= 0:
+                    self.articles[article][1] = len(self.kinds)
                 links -= name == "a"
                 open_[name] -= 1
             del stack[n:]
@@ -177,11 +183,15 @@ class Page:
                     elif name == "h1":
                         self.titles.append(len(self.kinds))
                     if name not in VOID and not attrs.endswith("/"):
-                        stack.append((name, len(self.bad) if bad else -1))
+                        article = name in ("article", "main") and not inside
+                        stack.append((name, len(self.bad) if bad else -1, len(self.articles) if article else -1))
                         open_[name] += 1
                         links += name == "a"
                         if bad:
-                            self.bad.append([len(self.kinds), 0, bool(READERS.search(" ".join(m.strip("\"'") for m in _ATTR.findall(attrs)))), self._kind(name)])
+                            self.bad.append([len(self.kinds), 0, bool(READERS.search(" ".join(m.strip("\"'") for m in _ATTR.findall(attrs)))), self._kind(name), name in BOILER])
+                            inside += 1
+                        if article:
+                            self.articles.append([len(self.kinds), 0])
                 self._tag(BOILER_TAG if bad else self._kind(name))
             try:
                 token = found.send(at)
@@ -209,14 +219,17 @@ class Page:
         return MAIN if name in ("article", "main") else INLINE_TAG if name in INLINE else PARAGRAPH if name in ("p", "br", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre") else LIST if name in ("ul", "ol", "li", "dl", "dd", "dt") else BLOCK
 
     def _wrappers(self) -> None:
-        """Words inside boilerplate are told by the elements that stay boilerplate: none that holds an article, or over half of the page's words outside links; what readers wrote stays unless it holds the page's title too."""
+        """Words inside boilerplate are told by the elements that stay boilerplate: none that holds an article, or over half of the page's words outside links, unless it is a footer or the like (by the element's name) beside an article with words; what readers wrote stays unless it holds the page's title too."""
         kinds, n = np.array(self.kinds, np.int64), len(self.kinds)
         plain = np.concatenate([[0], np.cumsum(np.where(kinds == WORD, self.counts, 0))])
         heads, titles = np.array(self.heads, np.int64), np.array(self.titles, np.int64)
         depth = np.zeros(n + 1, np.int64)
         has = lambda places, a, b: bool(np.searchsorted(places, b) > np.searchsorted(places, a))
-        for a, b, readers, kind in self.bad:
-            wraps = has(heads, a, b) or 2 * (plain[b] - plain[a]) > plain[n]
+        said = [(a, b) for a, b in self.articles if plain[b] > plain[a]]
+        first_end, last_start = min((b for _, b in said), default=n + 1), max((a for a, _ in said), default=-1)
+        for a, b, readers, kind, named in self.bad:
+            beside = named and (first_end <= a or last_start >= b)
+            wraps = has(heads, a, b) or not beside and 2 * (plain[b] - plain[a]) > plain[n]
             if wraps and (not readers or has(titles, a, b)):
                 self.kinds[a] = kind
             else:
