@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import json
+import random
 import re
 import sys
 import unicodedata
@@ -10,8 +11,10 @@ from pathlib import Path
 
 sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parents[1])]
 
+from pyspark.sql import functions as F
+
 from textloom.functions import text as T
-from textloom.operators import dictionary, sections
+from textloom.operators import casing, dictionary, sections
 from textloom.operators import overrides as O
 from textloom.plans import text as plans
 
@@ -71,6 +74,45 @@ def test_section_cases(spark):
     assert got == f"a b\n\n{S}\n\nc\n\n{S}\n\nd\n\n{S}\n\ne"
 
 
+def test_rules_learn_of_a_text_within_its_row(spark):
+    """The same as over tables, of texts that each rule has something to do with."""
+    rng = random.Random(4)
+    signs = ["", "", "", " ", "***", " *** ", "*", "†", "# #", "a*", "x", "Word of THE", S, f" {S}", "(*)", "-", "\u00a0", "*\u2028 ", "\U0001f600", "- \U0001f600"]
+    words = ["THE", "OLD", "House", "HOUSE", "house", "hOuse", "Old", "old", "the", "IV", "o'Neil", "O'NEIL", "ÄRA", "ära", "1", "and", "AND", "\n\n", "\n\n", "\n", ".", "x"]
+    texts = [None, "", *("\n".join(rng.choice(signs) for _ in range(rng.randrange(14))) for _ in range(400)), *(" ".join(rng.choice(words) for _ in range(rng.randrange(30))) for _ in range(400))]
+    rows = spark.createDataFrame([(i, t, [["THE OLD  HOUSE"], [], None][i % 3]) for i, t in enumerate(texts)], "doc int, text string, headings array<string>")
+    own = rows.select("doc", sections.sectioned(F.col("text")), casing.small_capitals_of(F.col("text")), casing.capital_lines_of(F.col("text"), F.col("headings")))
+    got = {r[0]: tuple(r)[1:] for r in own.collect()}
+    tables = [{r.doc: r.text for r in f(rows).collect()} for f in (sections.with_sections, casing.small_capitals, casing.capital_lines)]
+    assert got == {i: tuple(t[i] for t in tables) for i in range(len(texts))}
+    assert all(sum(t[i] != x for i, x in enumerate(texts)) > 50 for t in tables)
+
+
+def test_clean_texts_are_looked_at_for_bytes(spark):
+    """The guards of the steps change nothing: the steps without them, one after the other."""
+    rng = random.Random(6)
+    parts = ["a", "B ", " ", "\t", "\n", "\n\n", "\r", "\r\n", "[", "[A]b", "-\n", ".", ". .", "...", "、", ",\n\n", "「", "“", "(", "\u2028", "\u0085", "’", "«", "漢"]
+    texts = [None, "", *("".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(3000))]
+    t = F.regexp_replace(F.translate("t", *T.CURLY), "\r\n?", "\n")
+    rules = [("[ \t]+\n", "\n"), ("\n{3,}", f"\n\n{S}\n\n"), (r"(^|[\s“(\"])\[([A-Za-z])\](?=[a-z])", "$1$2"), (r"-\n(?=[\p{L}\p{N}_])", "-"), ("[ \t]{2,}", " "), (r"\.[ \t]*\.[ \t]*\.", "..."), (r"([、，,:：])[ \t]*\n\n\s*(?=[「『“\"(（])", "$1\n"), (r"^\s+|\s+$", "")]
+    for pattern, new in rules:
+        t = F.regexp_replace(t, pattern, new)
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select("t", T.clean(F.col("t")).alias("got"), t.alias("want")).collect()
+    assert all(r.got == r.want for r in got) and len(got) == len(texts)
+
+
+def test_chapters_meet_their_spans_once(spark):
+    """Versions of a chapter are cleaned within its row: one join, no window, and no row for a span and its text."""
+    from textloom.operators import sanitise, tracking
+
+    chapters = spark.createDataFrame([(i, f"THE OLD cat {i} 12345 sat\n\n†\n\nold The", ["x"]) for i in range(9)], "chapter long, text string, headings array<string>")
+    spans = spark.createDataFrame([(i, 8, 11, "cat", "ねこ") for i in range(9)], "chapter long, start int, end int, base string, reading string")
+    got = tracking.tracked(chapters, spans, tracking.by_rows(*sanitise.steps(sanitise.Rules(remove=[r"\d{4,} "]), F.col("headings"))))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Window" not in plan
+    assert {(r.cleaned, r.tracked, tuple(r.spans[0])) for r in got.collect()} == {(f"The old cat {i} sat\n\n{S}\n\nold The", True, (8, 11, "cat", "ねこ")) for i in range(9)}
+
+
 def test_override_files(spark):
     files = {
         "a": {"global": [["木", "き"], {"base": "大阪", "reading": " おおさか ", "scope": "once"}, ["x"], {"base": "y"}], "default": [["z", "zz"]], "chapters": {"1": {"entries": [{"pattern": "a+", "kana": "え"}]}, "2": {"replacements": [], "entries": [["re:b", "c"]]}, "3": 5}},

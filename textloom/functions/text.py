@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,23 +28,31 @@ def let(value: Column, body) -> Column:
 
 
 def straight_quotes(text: Column) -> Column:
-    return F.translate(text, *CURLY)
+    for curly, straight in zip(*CURLY, strict=True):
+        text = F.replace(text, F.lit(curly), F.lit(straight))  # looks for bytes, and most texts have none
+    return text
 
 
 def unify_breaks(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
+def where_any(text: Column, parts: list[str], change) -> Column:
+    """change(text), if it holds any of the parts, one of which each match of the change has: they are looked for as bytes, without a pattern."""
+    return let(text, lambda t: F.when(reduce(or_, (F.contains(t, F.lit(p)) for p in parts)), change(t)).otherwise(t))
+
+
 def clean(text: Column) -> Column:
     """The text normaliser without section inference: straight quotes, line breaks, blanks, three dots as one run, hyphens at line ends closed up."""
-    t = unify_breaks(straight_quotes(text))
-    t = F.regexp_replace(t, "[ \t]+\n", "\n")
-    t = F.regexp_replace(t, "\n{3,}", f"\n\n{SECTION}\n\n")
-    t = F.regexp_replace(t, r"(^|[\s“(\"])\[([A-Za-z])\](?=[a-z])", "$1$2")
-    t = F.regexp_replace(t, r"-\n(?=[\p{L}\p{N}_])", "-")
-    t = F.regexp_replace(t, "[ \t]{2,}", " ")
-    t = F.regexp_replace(t, r"\.[ \t]*\.[ \t]*\.", "...")
-    return strip(join_dialogue(t))
+    t = where_any(straight_quotes(text), ["\r"], unify_breaks)
+    t = where_any(t, [" \n", "\t\n"], lambda x: F.regexp_replace(x, "[ \t]+\n", "\n"))
+    t = where_any(t, ["\n\n\n"], lambda x: F.regexp_replace(x, "\n{3,}", f"\n\n{SECTION}\n\n"))
+    t = where_any(t, ["["], lambda x: F.regexp_replace(x, r"(^|[\s“(\"])\[([A-Za-z])\](?=[a-z])", "$1$2"))
+    t = where_any(t, ["-\n"], lambda x: F.regexp_replace(x, r"-\n(?=[\p{L}\p{N}_])", "-"))
+    t = where_any(t, ["  ", "\t"], lambda x: F.regexp_replace(x, "[ \t]{2,}", " "))
+    t = where_any(t, ["..", ". .", ".\t."], lambda x: F.regexp_replace(x, r"\.[ \t]*\.[ \t]*\.", "..."))
+    # blanks at an end are looked for where there are any: at the first sign, and at the last one or before a line's end of another kind
+    return let(join_dialogue(t), lambda x: F.when(F.substring(x, 1, 1).rlike(r"\s") | F.substring(x, -1, 1).rlike(r"[\s\x{85}\x{2028}\x{2029}]"), strip(x)).otherwise(x))
 
 
 def strip(text: Column) -> Column:
@@ -50,7 +61,7 @@ def strip(text: Column) -> Column:
 
 def join_dialogue(text: Column) -> Column:
     """A block that ends in a pause mark and a following one that opens a quotation stand on successive lines, not in separate blocks."""
-    return F.regexp_replace(text, r"([、，,:：])[ \t]*\n\n\s*(?=[「『“\"(（])", "$1\n")
+    return where_any(text, [f"{x}\n\n" for x in "、，,:： \t"], lambda t: F.regexp_replace(t, r"([、，,:：])[ \t]*\n\n\s*(?=[「『“\"(（])", "$1\n"))
 
 
 def clean_reader(text: Column) -> Column:

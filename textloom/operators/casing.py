@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 
-WORD = r"\p{L}(?:[\p{L}'’\-]|\p{M})*"
+WORD = r"\p{L}[\p{L}\p{M}'’\-]*+"
 LEAST, MOST = 2, 6  # words of a run
 
 # Words that stay small inside a run, and abbreviations that stay capital.
@@ -33,7 +33,8 @@ def _run(block: Column) -> Column:
         at = F.array_position(F.transform(words, lambda w: ~T.is_all_caps(w)), True)
         return T.let(F.when(at == 0, F.size(words)).otherwise(at - 1).cast("int"), lambda n: F.when((n >= LEAST) & (n <= MOST) & (n < F.size(words)) & F.coalesce(F.get(words, n).rlike(r"\p{Ll}"), F.lit(False)), F.slice(words, F.lit(1), n)).otherwise(none))
 
-    return F.when(block.rlike("[a-z]"), T.let(F.regexp_extract_all(head, F.lit(f"({WORD})"), F.lit(0)), fits)).otherwise(none)
+    capital = block.rlike(r"^\P{L}*+\p{Lu}(?![\p{M}'’\-]*+[\p{L}&&[^\p{Lu}]])")  # the first two letters tell that most blocks have none
+    return F.when(capital & block.rlike("[a-z]"), T.let(F.regexp_extract_all(head, F.lit(f"({WORD})"), F.lit(0)), fits)).otherwise(none)
 
 
 def _title(w: Column) -> Column:
@@ -84,6 +85,39 @@ def _with_map(texts: DataFrame, words: Column) -> DataFrame:
     return texts.join(maps, "doc", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<string, string>")))
 
 
+def spellings_of(text: Column, words: Column) -> Column:
+    """As spellings, the map of one text within its row, for an array of words. Without any that map is empty, and the text isn't looked through."""
+    none = F.create_map().cast("map<string, string>")
+    spelled = lambda keys: F.filter(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(0)), lambda w: F.array_contains(keys, F.lower(w)) & w.rlike(r"\p{Ll}"))
+    # equal spellings stand side by side, in the order of their places; the first of each with the place of the next one's tells how many there are
+    sort = lambda ws: F.array_sort(F.transform(ws, lambda w, i: F.struct(F.lower(w).alias("key"), w.alias("w"), i.alias("i"))))
+    heads = lambda es: F.filter(F.transform(es, lambda e, i: F.struct(e.alias("e"), i.alias("at"))), lambda h: (h["at"] == 0) | (F.get(es, h["at"] - 1).w != h.e.w))
+    score = lambda w: F.when(w.rlike(r"^\p{Lu}.*\p{Ll}"), 3).when(~w.rlike(r"\p{Lu}"), 2).otherwise(1)
+    many = lambda hs, j, size: F.coalesce(F.get(hs, j + 1)["at"], size) - F.get(hs, j)["at"]
+    ranked = lambda hs, size: F.array_sort(F.transform(hs, lambda h, j: F.struct(h.e.key.alias("key"), (-many(hs, j, size)).alias("n"), (-score(h.e.w)).alias("s"), h.e.i.alias("first"), h.e.w.alias("w"))))
+    best = lambda rs: F.map_from_entries(F.transform(F.filter(rs, lambda r, j: (j == 0) | (F.get(rs, j - 1).key != r.key)), lambda r: F.struct(r.key, r.w)))
+    of = lambda ws: T.let(sort(ws), lambda es: T.let(heads(es), lambda hs: T.let(ranked(hs, F.size(es)), best)))
+    known = lambda keys: F.when(F.size(keys) > 0, T.let(spelled(keys), lambda ws: F.when(F.size(ws) > 0, of(ws))))
+    return F.coalesce(T.let(F.array_distinct(F.transform(words, F.lower)), known), none)
+
+
+def small_capitals_of(text: Column) -> Column:
+    """As small_capitals, for one text within its row."""
+    words = lambda bs: F.flatten(F.transform(bs, _run))
+    done = lambda t, bs: T.let(spellings_of(t, words(bs)), lambda m: F.array_join(F.transform(bs, lambda b: _repaired(b, m)), "\n\n"))
+    return T.let(text, lambda t: T.let(_blocks(t), lambda bs: done(t, bs)))
+
+
+def capital_lines_of(text: Column, headings: Column) -> Column:
+    """As capital_lines, for one text within its row; a text without such lines stays as it is."""
+    capital = lambda x: x.rlike(r"\p{Lu}") & ~x.rlike(r"\p{Ll}")
+    keys = F.coalesce(F.transform(headings, T.heading_key), F.array().cast("array<string>"))
+    repair = lambda ls, m, h: F.array_join(F.transform(ls, lambda x: T.repair_capitals(x, F.array_contains(h, T.heading_key(x)), m)), "\n")
+    words = lambda own: F.flatten(F.transform(own, lambda x: F.split(x, " ")))
+    done = lambda t, ls, own: F.when(F.size(own) > 0, T.let(spellings_of(t, words(own)), lambda m: T.let(keys, lambda h: repair(ls, m, h)))).otherwise(t)
+    return T.let(text, lambda t: T.let(F.split(t, "\n"), lambda ls: T.let(F.filter(ls, capital), lambda own: done(t, ls, own))))
+
+
 def small_capitals(texts: DataFrame) -> DataFrame:
     """(doc, text) of texts (doc, text), doc unique: paragraphs that begin with two to six words in capitals, before one with a small letter, respelled.
 

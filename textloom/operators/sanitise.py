@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -21,11 +22,10 @@ class Rules:
     remove: list[str] = field(default_factory=list)
 
 
-def clean_texts(texts: DataFrame, rules: Rules) -> DataFrame:
-    """(doc, text) cleaned: normalised with sections, cut off, rid of what the rules remove, and normalised again."""
-    cut = lambda t: T.remove_all(T.cutoff(t, rules.cutoff)[0], rules.remove)[0]
-    first = sections.normalise(texts).select("doc", cut(F.col("text")).alias("text"))
-    return sections.normalise(first)
+def steps(rules: Rules, headings: Column) -> list[Callable[[Column], Column]]:
+    """How a text is cleaned: normalised with sections, cut off, rid of what the rules remove, and normalised again; then small capitals and lines in capitals. What the rules learn of a text they learn within its row."""
+    cut = lambda t: T.let(T.cutoff(t, rules.cutoff)[0], lambda x: T.remove_all(x, rules.remove)[0])
+    return [T.clean, sections.sectioned, cut, T.clean, sections.sectioned, casing.small_capitals_of, lambda t: casing.capital_lines_of(t, headings)]
 
 
 def sanitise(chapters: DataFrame, spans: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
@@ -39,16 +39,8 @@ def sanitise(chapters: DataFrame, spans: DataFrame, rules: Rules) -> tuple[DataF
     Null titles and texts are read as empty ones; chapter must be unique. An empty table gives empty tables.
     """
     own = chapters.select("chapter", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"), "headings")
-    own = own.withColumn("reason", T.drop_reason(F.col("title"), rules.drop)).withColumn("why", T.cutoff(T.clean(F.col("text")), rules.cutoff)[1])
-    kept = own.filter("reason = ''")
-    heads = kept.select("chapter", "headings")
-
-    def clean(texts: DataFrame) -> DataFrame:
-        # each step reads its texts several times: without tables between them the work of one is repeated for each time that the next ones read it
-        small = written(casing.small_capitals(written(clean_texts(texts, rules))))
-        with_heads = small.join(heads.withColumnRenamed("chapter", "__c"), F.col("doc.chapter").eqNullSafe(F.col("__c"))).select("doc", "text", "headings")
-        return casing.capital_lines(with_heads)
-
-    found = written(tracking.tracked(kept.select("chapter", "text"), spans, clean))
+    own = own.withColumn("reason", T.drop_reason(F.col("title"), rules.drop)).withColumn("why", T.let(T.clean(F.col("text")), lambda t: T.cutoff(t, rules.cutoff)[1]))
+    clean = tracking.by_rows(*steps(rules, F.col("headings")))
+    found = written(tracking.tracked(own.filter("reason = ''").select("chapter", "text", "headings"), spans, clean))
     texts = own.select("chapter", "title", "reason", "why", F.length("text").alias("raw_chars")).join(found.select("chapter", F.col("cleaned").alias("text")), "chapter", "left")
     return texts.withColumn("clean_chars", F.coalesce(F.length("text"), F.lit(0))), tracking.spans_from(found)

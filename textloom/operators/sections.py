@@ -40,12 +40,48 @@ def markers(texts: DataFrame) -> DataFrame:
     return both.filter(~T.has_bracket(F.col("x")) & (F.col("embedded") <= DENSITY * F.col("n") * F.col("size")) & (often | once)).select("doc", F.col("x").alias("marker"))
 
 
+def markers_of(text: Column) -> Column:
+    """The markers of one text, as `markers` finds them, within its row; an array, null of a null text. Of the lines only those without letters and numbers are taken apart."""
+    none = F.array().cast("array<string>")
+    times = lambda t, part: F.length(t) - F.length(F.replace(t, part, F.lit("")))
+    # blocks of such lines, blank ones among them; a text begins and ends with a blank line
+    blocks = F.regexp_extract_all(F.concat(F.lit("\n\n"), text, F.lit("\n\n")), F.lit(rf"((?:\n[^\p{{L}}\p{{N}}\p{{M}}\n{T.SECTION}]*+(?=\n))++)"), F.lit(1))
+    stripped = lambda b: F.transform(F.split(F.substring(b, F.lit(2), F.length(b)), "\n"), T.strip)
+
+    def fits(x: Column, own: Column, lines: Column) -> Column:
+        bare = F.regexp_replace(x, r"\s", "")
+        signs, size = F.array_distinct(F.split(bare, "")), F.length(bare)
+        runs = F.concat(F.lit(r"(?<=\n\n)(?:\Q"), x, F.lit(r"\E\n)++(?=\n)"))
+        n = F.size(F.filter(lines, lambda y: y == x))
+        alone = (F.length(own) - F.length(F.regexp_replace(own, runs, F.lit("")))) / (F.length(x) + 1)
+        embedded = F.aggregate(signs, F.lit(0), lambda k, c: k + times(bare, c) * (times(text, c) - times(own, c)))
+        fit = lambda v: (v.k <= DENSITY * v.n * size) & ((v.n >= 2) & (alone >= ALONE * v.n) | (v.n == 1) & (size == 1) & (v.k == 0))
+        return ~T.has_bracket(x) & T.let(F.struct(n.alias("n"), embedded.alias("k")), fit)
+
+    def of(lines: Column) -> Column:
+        own = F.concat(F.lit("\n"), F.array_join(lines, "\n"), F.lit("\n"))
+        return T.let(own, lambda t: F.filter(F.array_distinct(F.filter(lines, lambda x: ~x.isin("", "x"))), lambda x: fits(x, t, lines)))
+
+    # an x stands for the lines behind a block
+    seen = lambda bs: F.flatten(F.transform(bs, lambda b: F.concat(stripped(b), F.array(F.lit("x")))))
+    return T.let(F.filter(blocks, lambda b: b.rlike(r"\S")), lambda bs: F.when(F.size(bs) == 0, none).when(bs.isNotNull(), T.let(seen(bs), of)))
+
+
+def sectioned(text: Column) -> Column:
+    """As with_sections, for one text within its row."""
+    mark = lambda x, m: F.when(~x.rlike(r"[\p{L}\p{N}\p{M}]") & F.array_contains(m, T.strip(x)), T.SECTION).otherwise(x)
+    marked = lambda t, m: F.array_join(F.transform(F.split(t, "\n"), lambda x: mark(x, m)), "\n")
+    return T.let(text, lambda t: T.let(T.let(markers_of(t), lambda m: F.when(F.size(m) > 0, marked(t, m)).otherwise(t)), tidy))
+
+
 def tidy(text: Column) -> Column:
     """Section marks in paragraphs of their own, one where several stand together, none at either end. A text without any stays as it is."""
     s = T.SECTION
-    t = F.regexp_replace(F.regexp_replace(text, f"[ \t]*{s}[ \t]*", f"\n\n{s}\n\n"), "\n{3,}", "\n\n")
-    t = F.regexp_replace(F.regexp_replace(t, f"(?:\n\n{s}){{2,}}", f"\n\n{s}"), f"(?:{s}\n\n){{2,}}", f"{s}\n\n")
-    t = F.regexp_replace(F.regexp_replace(t, rf"^(?:\s*{s}\s*)+", ""), rf"(?:\s*{s}\s*)+$", "")
+    t = T.where_any(text, [f" {s}", f"\t{s}", f"{s} ", f"{s}\t"], lambda x: F.regexp_replace(x, f"[ \t]*{s}[ \t]*", s))
+    t = F.regexp_replace(F.replace(t, F.lit(s), F.lit(f"\n\n{s}\n\n")), "\n{3,}", "\n\n")
+    t = T.where_any(t, [f"{s}\n\n{s}"], lambda x: F.regexp_replace(F.regexp_replace(x, f"(?:\n\n{s}){{2,}}", f"\n\n{s}"), f"(?:{s}\n\n){{2,}}", f"{s}\n\n"))
+    t = F.regexp_replace(t, rf"^(?:\s*{s}\s*)+", "")
+    t = T.let(t, lambda x: F.when(F.substring(x, -1, 1).rlike(rf"[\s{s}\x{{85}}\x{{2028}}\x{{2029}}]"), F.regexp_replace(x, rf"(?:\s*{s}\s*)+$", "")).otherwise(x))
     return F.when(F.contains(text, F.lit(s)), t).otherwise(text)
 
 

@@ -5,38 +5,52 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from textloom.functions import alignment as A
 from textloom.functions import text as T
 from textloom.functions.html import RUBY, STRING, struct_of
-from textloom.operators import spans as S
 from textloom.shared import written
 
-_SPAN = "struct<start: int, end: int, base: string, reading: string>"
-#: Anchors are whole pieces of a text: a run up to and with a mark or a line break.
-PIECE = r"[^\n。．！？!?.、,]*[\n。．！？!?.、,]+|[^\n。．！？!?.、,]+$"
 
 
-@F.pandas_udf(struct_of(base=STRING, ruby=STRING))
-def _marked(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([(A.mark(t, s, False), A.mark(t, s, True)) for t, s in zip(texts, spans, strict=True)], columns=["base", "ruby"])
+@F.pandas_udf(struct_of(base=STRING, ruby=STRING, free=BooleanType()))
+def _marked(texts: pd.Series, starts: pd.Series, ends: pd.Series, bases: pd.Series, readings: pd.Series) -> pd.DataFrame:
+    """The text with markers, null where it has none, and whether neither it nor a reading holds a marker's sign."""
+    out = []
+    for t, *columns in zip(texts, starts, ends, bases, readings, strict=True):
+        spans = [] if columns[0] is None else A.apart(t, zip(*(c.tolist() for c in columns), strict=True))
+        free = not (A.HELD.search(t) or any(A.HELD.search(r) for *_, r in spans))
+        out.append((A.mark(t, spans, False), A.mark(t, spans, True), True) if free and spans else (None, None, free))
+    return pd.DataFrame(out, columns=["base", "ruby", "free"])
 
 
-@F.pandas_udf(struct_of(plain=STRING, ruby=STRING, spans=RUBY))
-def _unmarked(base: pd.Series, ruby: pd.Series) -> pd.DataFrame:
-    out = []
-    for b, r in zip(base, ruby, strict=True):
-        (plain, at), (spoken, there) = A.unmark(b), A.unmark(r)
-        both = sorted((*at[k], plain[slice(*at[k])], spoken[slice(*there[k])]) for k in at.keys() & there.keys())
-        out.append((plain, spoken, [dict(zip(("start", "end", "base", "reading"), x, strict=True)) for x in both if x[2] and x[3]]))
-    return pd.DataFrame(out, columns=["plain", "ruby", "spans"])
+def _unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last columns are b and r with plain, ruby and spans in their place."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("base", pa.string()), ("reading", pa.string())]))
+    for batch in batches:
+        out = []
+        for b, r in zip(batch["b"].to_pylist(), batch["r"].to_pylist(), strict=True):
+            (plain, at), (spoken, there) = A.unmark(b), A.unmark(r)
+            both = sorted((*at[k], plain[slice(*at[k])], spoken[slice(*there[k])]) for k in at.keys() & there.keys())
+            out.append((plain, spoken, [dict(zip(("start", "end", "base", "reading"), x, strict=True)) for x in both if x[2] and x[3]]))
+        new = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.string(), kind))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *new], names=[*batch.schema.names[:-2], "plain", "ruby", "spans"])
+
+
+class by_rows:  # noqa: N801
+    """Rules for one text, a column, as a rule for a table of texts (doc, text), one step after the other. `tracked` takes them where the texts are; there they may also name other columns of theirs."""
 
+    def __init__(self, *steps: Callable[[Column], Column]):
+        self.steps = steps
 
-def by_rows(clean: Callable[[Column], Column]) -> Callable[[DataFrame], DataFrame]:
-    """A rule for one text as a rule for a table of texts (doc, text)."""
-    return lambda df: df.select("doc", clean(F.col("text")).alias("text"))
+    def __call__(self, df: DataFrame) -> DataFrame:
+        for step in self.steps:  # one step a projection: Spark resolves functions within functions level by level, and not without end
+            df = df.select("doc", step(F.col("text")).alias("text"))
+        return df
 
 
 def tracked(texts: DataFrame, spans: DataFrame, clean: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -50,27 +64,30 @@ def tracked(texts: DataFrame, spans: DataFrame, clean: Callable[[DataFrame], Dat
     suspicious go. Otherwise tracked is false, spans is null, and `spoken` (the cleaned text with readings) serves diff_spans. A text or span
     that holds a marker's sign is not tracked. Null texts are read as empty ones. Any rule of `clean` may delete, join or rewrite: nothing is assumed of it.
     """
-    t = texts.select("chapter", F.coalesce("text", F.lit("")).alias("text"))
-    fit = spans.join(t, "chapter").withColumn("base", F.when(F.coalesce("base", F.lit("")) == "", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))).otherwise(F.col("base")))
-    apart = S.greedy(S.valid(fit).select("chapter", "start", "end", "base", "reading"), ["base", "reading"])
+    # the spans of a chapter meet its text as one row; texts are few bytes for their work, so that a number of partitions is given
+    t = texts.filter("chapter IS NOT NULL").withColumn("text", F.coalesce("text", F.lit(""))).repartition(2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chapter")
     row = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "base", "reading")
-    sets = apart.groupBy("chapter").agg(F.array_sort(F.collect_list(row)).alias("s"))
-    own = t.join(sets, "chapter", "left").withColumn("s", F.coalesce("s", F.array().cast(f"array<{_SPAN}>")))
-    own = own.withColumn("free", ~(F.col("text").rlike(A.RESERVED) | F.exists("s", lambda x: x.reading.rlike(A.RESERVED))))
-    own = own.withColumn("m", _marked("text", F.when(F.col("free"), F.col("s")).otherwise(F.array().cast(f"array<{_SPAN}>"))))
-    # the three versions of a chapter are texts of their own to the rules
-    three = written(own.select("chapter", "free", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("text")), F.struct(F.lit(1).alias("v"), F.col("m.base").alias("text")), F.struct(F.lit(2).alias("v"), F.col("m.ruby").alias("text")))).alias("x")).select("chapter", "free", "x.*"))
-    out = clean(three.select(F.struct("chapter", "v").alias("doc"), "text")).select("doc.*", "text")
-    version = lambda k: F.max(F.when(F.col("v") == k, F.col("text")))
-    met = out.groupBy("chapter").agg(version(0).alias("cleaned"), version(1).alias("b"), version(2).alias("r"))
-    done = three.filter("v = 0").select("chapter", "free").join(met, "chapter").withColumn("u", _unmarked("b", "r"))
-    same = F.col("free") & (F.length("u.plain") == F.length("cleaned")) & (F.lower("u.plain") == F.lower("cleaned"))
-    kept = F.filter("u.spans", lambda x: ~T.is_suspicious(x.base, x.reading))
-    return done.select("chapter", "cleaned", F.col("u.ruby").alias("spoken"), same.alias("tracked"), F.when(same, kept).alias("spans"))
-
-
-def _pieces(texts: DataFrame, side: str) -> DataFrame:
-    return texts.select("chapter", F.posexplode(F.regexp_extract_all(side, F.lit(f"({PIECE})"), F.lit(1))).alias(side + "_i", "piece"))
+    sets = spans.filter("start IS NOT NULL AND end IS NOT NULL AND reading IS NOT NULL").groupBy("chapter").agg(F.collect_list(row).alias("__s"))
+    own = t.join(sets, "chapter", "left").withColumn("__m", _marked("text", "__s.start", "__s.end", "__s.base", "__s.reading"))
+    three = F.array("text", F.coalesce("__m.base", "text"), F.coalesce("__m.ruby", "text"))
+    if isinstance(clean, by_rows):  # the versions stay in their row; where nothing is marked they are one
+        own = own.withColumn("__v", F.when(F.col("__m.base").isNull(), F.array("text")).otherwise(three))
+        for step in clean.steps:  # named twice, so that Spark leaves each step a projection: one expression of them all takes it half a minute to plan
+            own = own.withColumn("__v", F.when(F.col("__v").isNotNull(), F.transform("__v", step)))
+        version = lambda k: F.coalesce(F.get("__v", F.lit(k)), F.get("__v", F.lit(0)))
+        done = own.select("chapter", F.col("__m.free").alias("free"), version(0).alias("cleaned"), version(1).alias("b"), version(2).alias("r"))
+    else:  # the three versions of a chapter are texts of their own to the rules
+        rows = written(own.select("chapter", F.col("__m.free").alias("free"), F.posexplode(three).alias("v", "text")))
+        out = clean(rows.select(F.struct("chapter", "v").alias("doc"), "text")).select("doc.*", "text")
+        version = lambda k: F.max(F.when(F.col("v") == k, F.col("text")))
+        met = out.groupBy("chapter").agg(version(0).alias("cleaned"), version(1).alias("b"), version(2).alias("r"))
+        done = rows.filter("v = 0").select("chapter", "free").join(met, "chapter")
+    done = done.select("chapter", "free", "cleaned", "b", "r")
+    # a step over rows: the versions are cleaned once, however often their parts are named behind it
+    done = done.mapInArrow(_unmarked, StructType([*done.schema.fields[:-2], StructField("plain", STRING), StructField("ruby", STRING), StructField("spans", RUBY)]))
+    same = F.col("free") & (F.length("plain") == F.length("cleaned")) & (F.lower("plain") == F.lower("cleaned"))
+    kept = F.filter("spans", lambda x: ~T.is_suspicious(x.base, x.reading))
+    return done.select("chapter", "cleaned", F.col("ruby").alias("spoken"), same.alias("tracked"), F.when(same, kept).alias("spans"))
 
 
 @F.pandas_udf(RUBY)
@@ -83,30 +100,23 @@ def _replaced(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iter
         yield pd.Series([one(*row) for row in zip(plain, ruby, at, strict=True)])
 
 
+@F.pandas_udf(ArrayType(struct_of(plain_at=IntegerType(), plain=STRING, ruby=STRING)))
+def _gaps(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for plain, ruby in batches:
+        yield pd.Series([[dict(zip(("plain_at", "plain", "ruby"), x, strict=True)) for x in A.gaps(a, b)] for a, b in zip(plain, ruby, strict=True)], dtype=object)
+
+
 def diff_spans(texts: DataFrame) -> DataFrame:
     """Spans (chapter, start, end, base, reading) of what `ruby` has in place of parts of `plain`, from rows (chapter, plain, ruby).
 
-    Pieces that occur once on both sides, and whose order agrees with all others before and behind them, are anchors. What lies between two anchors is a gap, a row of its own;
-    an edit script is made for each gap, and replaced parts that mix kanji and kana are divided at the kana. Spans of suspicious readings
+    Pieces that occur once on both sides, and whose order agrees with all others before and behind them, are anchors. What lies between two anchors and differs is a gap, a row of its
+    own, and all that is shuffled; an edit script is made for each gap, and replaced parts that mix kanji and kana are divided at the kana. Spans of suspicious readings
     are left out. Null texts are read as empty. chapter must be unique; a chapter's gaps are spread over tasks.
     """
-    t = texts.select("chapter", F.coalesce("plain", F.lit("")).alias("plain"), F.coalesce("ruby", F.lit("")).alias("ruby"))
-    sides = {s: written(_pieces(t, s)) for s in ("plain", "ruby")}  # read twice
-    once = {s: df.groupBy("chapter", "piece").agg(F.min(f"{s}_i").alias(f"{s}_i"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n") for s, df in sides.items()}
-    w = Window.partitionBy("chapter").orderBy("plain_i")
-    before, behind = F.max("ruby_i").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.min("ruby_i").over(w.rowsBetween(1, Window.unboundedFollowing))
-    both = once["plain"].join(once["ruby"], ["chapter", "piece"])
-    anchors = both.withColumn("b", before).withColumn("n", behind).filter("(b IS NULL OR b < ruby_i) AND (n IS NULL OR n > ruby_i)").select("chapter", "plain_i", "ruby_i")
-    gaps = {}
-    for s, df in sides.items():
-        order = Window.partitionBy("chapter").orderBy(f"{s}_i")
-        at = df.join(anchors.select("chapter", f"{s}_i", F.lit(1).alias("anchor")), ["chapter", f"{s}_i"], "left")
-        at = at.withColumn("gap", F.count("anchor").over(order)).withColumn("off", F.sum(F.length("piece")).over(order) - F.length("piece")).filter("anchor IS NULL")
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(f"{s}_i", "piece"))), lambda x: x.piece), "")
-        gaps[s] = at.groupBy("chapter", "gap").agg(joined.alias(s), F.min("off").cast("int").alias(f"{s}_at"))
+    t = texts.filter("chapter IS NOT NULL").select("chapter", F.coalesce("plain", F.lit("")).alias("plain"), F.coalesce("ruby", F.lit("")).alias("ruby"))
     # gaps are small in bytes and much work: without a number of partitions they would come together in few tasks
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    differ = gaps["plain"].join(gaps["ruby"], ["chapter", "gap"]).filter("plain <> ruby").repartition(parts)
+    differ = t.filter("plain <> ruby").select("chapter", F.inline(_gaps("plain", "ruby"))).repartition(parts)
     found = differ.select("chapter", F.explode(_replaced("plain", "ruby", "plain_at")).alias("x")).select("chapter", "x.*")
     return found.filter(~T.is_suspicious(F.col("base"), F.col("reading")))
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from textloom import sinks
 from textloom.functions import html
@@ -42,13 +45,15 @@ def q_notes(spark, sf):
     return chapters.pages_of(with_notes).select(F.col("book").alias("page_id"), F.md5("text").alias("h"), F.length("text").alias("n"))
 
 
-def _words(df, key):
-    """(chapter, i, start, w): words parted by one blank, with their places."""
-    from pyspark.sql import Window
+@F.pandas_udf(ArrayType(LongType()))
+def _starts(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else np.cumsum([0, *(len(w) + 1 for w in t.split(" "))])[:-1])
 
-    w = Window.partitionBy("chapter").orderBy("i")
-    e = df.select(F.col(key).alias("chapter"), F.posexplode(F.split("text", " ")).alias("i", "w"))
-    return e.withColumn("start", F.sum(F.length("w") + 1).over(w) - F.length("w") - 1)
+
+def _words(df, key):
+    """(chapter, i, start, w): words parted by one blank, with their places, which are summed up within the text's row."""
+    e = df.select(F.col(key).alias("chapter"), _starts("text").alias("s"), F.split("text", " ").alias("ws"))
+    return e.select("chapter", F.posexplode(F.arrays_zip("ws", "s")).alias("i", "x")).select("chapter", "i", F.col("x.ws").alias("w"), F.col("x.s").alias("start"))
 
 
 def tracked_of(spark, sf, rules):
