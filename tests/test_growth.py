@@ -1,5 +1,6 @@
 """Work that grows no faster than the input, and texts of the lengths where spans meet."""
 
+import difflib
 import random
 import re
 import sys
@@ -113,6 +114,27 @@ def test_common_subsequences_are_the_longest(monkeypatch):
             assert len(got) == size(a, b) and all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
 
 
+def test_matches_are_found_once_for_each_size_of_pieces(monkeypatch):
+    """The blocks of difflib; what lies before and behind a match isn't looked through again for pieces of the same size."""
+    rng = random.Random(1)
+    for _ in range(500):
+        signs = rng.choice(("ab", "abcd", "abcdefghij"))
+        a, b = ("".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(2))
+        if rng.random() < 0.5:
+            b = a[: rng.randrange(60)] + b[:9] + a[rng.randrange(60) :]
+        got = []
+        for i, j, n in alignment._blocks(a, b):  # neighbours are one match to difflib
+            if got and (got[-1][0] + got[-1][2], got[-1][1] + got[-1][2]) == (i, j):
+                i, j, n = *got[-1][:2], got.pop()[2] + n
+            got.append((i, j, n))
+        assert got == [tuple(m) for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()][:-1]
+    seen, find = [], alignment._diagonals
+    monkeypatch.setattr(alignment, "_diagonals", lambda a, b, a0, a1, b0, b1, k: seen.append(a1 - a0) or find(a, b, a0, a1, b0, b1, k))
+    words = ["".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(60)]
+    alignment._blocks(" ".join(words), " ".join(w.upper() if i % 3 == 0 else w for i, w in enumerate(words)))
+    assert sum(seen) < 5 * 13 * 60  # once for each size at most, however many matches there are
+
+
 def test_gaps_are_spread_over_tasks(spark):
     got = tracking.diff_spans(spark.createDataFrame([(i, "木本。", "もと。") for i in range(40)], "chapter long, plain string, ruby string"))
     assert "Repartition" in plan_of(got) and got.count() == 40
