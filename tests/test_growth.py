@@ -135,6 +135,13 @@ def test_matches_are_found_once_for_each_size_of_pieces(monkeypatch):
     assert sum(seen) < 5 * 13 * 60  # once for each size at most, however many matches there are
 
 
+def test_differences_shuffle_their_gaps_only(spark):
+    got = tracking.diff_spans(spark.range(9).selectExpr("id AS chapter", "concat('木本。同じ', id, '。') AS plain", "concat('もと。同じ', id, '。') AS ruby"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "Join" not in plan
+    assert sorted(map(tuple, got.collect())) == [(i, 0, 2, "木本", "もと") for i in range(9)]
+
+
 def test_gaps_are_spread_over_tasks(spark):
     got = tracking.diff_spans(spark.createDataFrame([(i, "木本。", "もと。") for i in range(40)], "chapter long, plain string, ruby string"))
     assert "Repartition" in plan_of(got) and got.count() == 40
